@@ -7,6 +7,7 @@ identifiers into one nested row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,7 +51,7 @@ def _record(head, block) -> F.Column:
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write one archive for each task under `path`.
+    """Write gzipped archives under `path`.
 
     A record is text ending in two empty lines, so Spark's own text writer with that line separator makes valid archives
     through any file system. Null url and html are empty; page_id must be unique.
@@ -75,7 +76,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     about = F.concat(F.lit("fetched-by: tidemark\r\npayload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(_EOL))
     metadata = _record(_fields(("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uid("metadata", F.col("page_id"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))), about)
     # explode would need an array of three whole records; one row of three records in their order is the same bytes
-    p.select(F.concat_ws(_EOL * 2, request, main, metadata).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    p.select(F.concat_ws(_EOL * 2, request, main, metadata).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
@@ -110,7 +111,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("content"):
             rows, held = [], 0
-            for row in parse_archive(data.as_py()):
+            for row in parse_archive(zlib.decompress(data.as_py(), 31)):
                 rows.append(row)
                 held += len(row["body"])
                 if held > 4 << 20:
@@ -122,7 +123,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row for each record of the archives under `path`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     return files.mapInArrow(_parse, RECORD_SCHEMA)
 
 
