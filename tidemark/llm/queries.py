@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality, toxicity, warc
+from . import licenses, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, machine)
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_licenses, op5_quality, op7_warc)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op4_licenses, op5_quality, op7_warc, op8_packing)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
