@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, packing, quality, secrets, toxicity, warc
+from . import decontaminate, embeddings, jaccard, licenses, packing, quality, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,11 +43,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """

@@ -146,7 +146,7 @@ def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """
     rows = base_spans(docs.withColumn("row_id", F.monotonically_increasing_id())).drop("text")
     rows = materialise(rows, "spans")
-    tokens = battery(rows.select("row_id", "base", F.explode("long_tokens").alias("x")).select("row_id", "base", "x", "x.v"))
+    tokens = materialise(battery(rows.select("row_id", "base", F.explode("long_tokens").alias("x")).select("row_id", "base", "x", "x.v")), "tokens")
     cuts = F.broadcast(discoveries(tokens, rate))
     clear = ~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
     added = tokens.join(cuts, "length_class").where((F.col("bin") >= F.col("cut")) & clear).groupBy("row_id").agg(F.collect_list("x").alias("added"))
