@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, licenses, packing, quality, secrets, toxicity, warc
+from . import decontaminate, embeddings, jaccard, licenses, packing, quality, secrets, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +55,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
