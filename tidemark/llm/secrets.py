@@ -161,3 +161,29 @@ def join_spans(spans: str) -> Column:
 def digest(scanned: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return scanned.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(join_spans("base"), 256).alias("base_sha256"), join_spans("found").alias("spans"))
+
+
+def redact(docs: DataFrame, rate: float = FDR, mark: str = "[secret]") -> DataFrame:
+    """`docs` with every secret in `text` replaced by a mark, other columns as they are but n_chars, where there is one.
+
+    Only texts that change are joined back, by doc_id and a hash of the text, so equal rows change alike. Null texts stay.
+    """
+    key = [F.xxhash64("doc_id", "text").alias("_k1"), F.xxhash64("text", F.lit(1)).alias("_k2")]
+    own = docs.select("doc_id", "text", *key)
+    found = scan(own, rate).where(F.size("found") > 0).groupBy("_k1", "_k2").agg(F.min("found").alias("_found"))
+    names = docs.columns
+    got = docs.select("*", *key).join(found, ["_k1", "_k2"], "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))
+        apart = F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))
+        overlap = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
+        return F.when(x["s"] >= acc["at"], apart).otherwise(overlap)
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
+    changed = F.when(F.col("_found").isNotNull(), F.aggregate("_found", start, step, rest)).otherwise(F.col("text"))
+    got = got.withColumn("text", changed)
+    if "n_chars" in names:
+        got = got.withColumn("n_chars", F.when(F.col("_found").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return got.select(*names)
