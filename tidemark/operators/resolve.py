@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_title, modifiers
 
@@ -15,7 +16,7 @@ MATCHED, GUESSED = 0.72, 0.5
 TITLE_WEIGHT, ARTIST_WEIGHT, MODIFIER_PENALTY = 0.55, 0.45, 0.35
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp ratio of two strings; nulls count as empty."""
     known: dict[tuple[str, str], float] = {}

@@ -19,10 +19,14 @@ def moments(vectors: DataFrame, x: str = "embedding") -> DataFrame:
     return long.groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd")).withColumn("sd", F.when(F.col("sd") == 0, 1.0).otherwise(F.col("sd")))
 
 
+def _field(name: str):
+    return lambda s: s[name]
+
+
 def _lists(df: DataFrame, key: str, *cols: str) -> DataFrame:
     """One row with the columns as arrays in the order of `key`; for small tables that are broadcast."""
     packed = F.array_sort(F.collect_list(F.struct(key, *cols)))
-    return df.agg(*[F.transform(packed, lambda s, c=c: s[c]).alias(c) for c in cols])
+    return df.agg(*[F.transform(packed, _field(c)).alias(c) for c in cols])
 
 
 def normalised(vectors: DataFrame, x: str = "embedding") -> DataFrame:
