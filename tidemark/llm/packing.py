@@ -144,26 +144,27 @@ def _trace(take: np.ndarray, lengths: np.ndarray, c: int) -> dict[int, int]:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 12, rate: float = 1.0, slack: float = 0.02) -> list[tuple[int, dict[int, int]]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 24, rate: float = 1.0, slack: float = 0.05) -> list[tuple[float, dict[int, int]]]:
     """A fractional cover of the histogram as [(times, {index of length: number of it})], by multiplicative weights.
 
-    In each round the knapsack prices all capacities at once, which gives for every length the best configuration that
-    holds it; those worth at least 1 - slack of the best are used for a share of that length's demand, and weights fall
-    with the coverage reached.
+    Each round covers an equal share of every length's demand. The knapsack prices all capacities at once, which gives for
+    every length the best configuration that holds it; those worth at least 1 - slack of the best are used. A length's
+    weight is its size, times the exponential of how far its coverage lags behind.
     """
     total: dict[tuple, float] = {}
     covered = np.zeros(len(lengths))
     size = lengths / capacity
-    for _ in range(rounds):
-        weight = size * np.exp(-rate * np.maximum(covered / counts - covered.sum() / counts.sum(), -1))
+    for r in range(1, rounds + 1):
+        goal = r / rounds
+        weight = size * np.exp(-rate * (covered / counts - goal))
         best, take = _knapsack(lengths, weight, capacity)
         for i in range(len(lengths) - 1, -1, -1):
-            if weight[i] + best[capacity - lengths[i]] < (1 - slack) * best[capacity] or covered[i] >= counts[i]:
+            if weight[i] + best[capacity - lengths[i]] < (1 - slack) * best[capacity] or covered[i] >= counts[i] * goal:
                 continue
             config = _trace(take, lengths, int(capacity - lengths[i]))
             config[i] = config.get(i, 0) + 1
             config = {k: min(n, int(counts[k])) for k, n in config.items()}
-            times = min((counts[k] - covered[k]) / n for k, n in config.items()) / 2
+            times = min((counts[i] * goal - covered[i]) / config[i], min((counts[k] - covered[k]) / n for k, n in config.items()))
             if times <= 0:
                 continue
             key = tuple(sorted(config.items()))
@@ -204,16 +205,21 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
 
 
 def plan_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """Whole configurations that hold each piece once: the program's solution rounded, then best fit for the rest."""
-    left, out = counts.astype(np.int64).copy(), []
-    # A configuration is used as often as the solution says, rounded up, while its pieces last.
-    for x, config in solve(lengths, counts, capacity):
-        times = min(int(np.ceil(x)), min(int(left[k]) // n for k, n in config.items()))
-        if times:
-            out.append((times, config))
-            for k, n in config.items():
-                left[k] -= times * n
-    return out + best_fit(lengths, left, capacity)
+    """Whole configurations that hold each piece once: the program's solution rounded down, then best fit for the rest.
+
+    Rounding is tried with several shares of the solution, and the one that takes the fewest sequences counts.
+    """
+    solution, tried = solve(lengths, counts, capacity), []
+    for share in (1.0, 0.75, 0.5):
+        left, out = counts.astype(np.int64).copy(), []
+        for x, config in solution:
+            times = min(int(share * x), min(int(left[k]) // n for k, n in config.items()))
+            if times:
+                out.append((times, config))
+                for k, n in config.items():
+                    left[k] -= times * n
+        tried.append(out + best_fit(lengths, left, capacity))
+    return min(tried, key=lambda bins: sum(n for n, _ in bins))
 
 
 @dataclass

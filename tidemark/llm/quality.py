@@ -50,7 +50,7 @@ def assemble_rows(n: int, row: np.ndarray, word: np.ndarray, tf: np.ndarray, sta
     return np.searchsorted(rows[order], np.arange(n + 1)), index[order], value[order]
 
 
-def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size: int, rank: int = RANK, epochs: int = 12, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
+def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size: int, rank: int = RANK, epochs: int = 12, least_steps: int = 800, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
     """Logistic loss, Adam on mini-batches, only the features that the sample holds. One class or no rows: a constant."""
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
@@ -60,10 +60,11 @@ def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size
     theta = np.zeros((len(used), rank + 1))
     theta[:, 1:] = rng.normal(0, 0.05, (len(used), rank))
     m, s, w0 = np.zeros_like(theta), np.zeros_like(theta), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    step = 0
+    step, batches = 0, max(1, len(y) // 64)
+    epochs = max(epochs, -(-least_steps // batches))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
-        for batch in np.array_split(order, max(1, len(y) // 128)):
+        for batch in np.array_split(order, batches):
             lengths = start[batch + 1] - start[batch]
             take = np.repeat(start[batch], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             feature, value = local[take], x[take]
@@ -80,7 +81,7 @@ def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size
             step += 1
             m[touched] = 0.9 * m[touched] + 0.1 * full
             s[touched] = 0.99 * s[touched] + 0.01 * full**2
-            theta[touched] -= rate / (1 + epoch) ** 0.5 * (m[touched] / (1 - 0.9**step)) / (np.sqrt(s[touched] / (1 - 0.99**step)) + 1e-8)
+            theta[touched] -= rate / (1 + 12 * epoch / epochs) ** 0.5 * (m[touched] / (1 - 0.9**step)) / (np.sqrt(s[touched] / (1 - 0.99**step)) + 1e-8)
             w0 -= rate * g.sum()
     w, v = np.zeros(size, np.float32), np.zeros((size, rank), np.float32)
     w[used], v[used] = theta[:, 0], theta[:, 1:]
