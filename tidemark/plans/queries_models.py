@@ -102,7 +102,7 @@ def _(s, d):
 
 @query("agg11_weighted_median", f"WITH {_YEARS}, r AS (SELECT year FROM years, range(5) WHERE range < plays AND year IS NOT NULL) SELECT CAST(FLOOR(median(year)) AS BIGINT) AS listening_year FROM r")
 def _(s, d):
-    return years(s, d).where("year is not null and plays > 0").agg(F.percentile("year", 0.5, "plays").cast("int").alias("listening_year"))
+    return years(s, d).where("year is not null and plays > 0").agg(F.percentile("year", 0.5, F.col("plays")).cast("int").alias("listening_year"))
 
 
 @query("agg12_share_below", f"WITH {_YEARS} SELECT SUM(CASE WHEN year < 1980 THEN plays ELSE 0 END) / SUM(plays) AS share FROM years WHERE year IS NOT NULL", "share")
@@ -421,10 +421,10 @@ def _(s, d):
     return similarity.normalised(table(s, d, "embeddings").select("vec_id", "embedding")).select("vec_id", F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
-@query("lsh3_activations", f"WITH {_ACT} SELECT vec_id, kc, a FROM act", "a")
+@query("lsh3_activations", f"WITH {_ACT} SELECT vec_id, kc, CAST(FLOOR(a * 10000 + 0.123456) AS BIGINT) AS a FROM act")
 def _(s, d):
     v = similarity.normalised(table(s, d, "embeddings").select("vec_id", "embedding"))
-    return similarity.activations(v, similarity.edges(s, N_KC, 64)).select("vec_id", F.posexplode("act").alias("kc", "a"))
+    return similarity.activations(v, similarity.edges(s, N_KC, 64)).select("vec_id", F.posexplode("act").alias("kc", "a")).withColumn("a", F.floor(F.col("a") * 10000 + 0.123456))  # a cut that nine places can't hit
 
 
 @query("lsh4_winners", f"WITH {_PRINTS} SELECT vec_id, array_to_string(list_transform(kc, lambda x: CAST(x AS VARCHAR)), ',') AS kc FROM prints")
