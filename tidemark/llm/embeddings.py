@@ -95,15 +95,20 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("vec_id", *_K), one
 
 
+_FOUND = "a long, b long, n long"
+
+
 def links(one: DataFrame) -> DataFrame:
-    """Pairs (a, b) of class representatives of one label whose cosine reaches the threshold. `one` can be read again."""
+    """What each block of an inverted list finds, without its pairs: a spanning forest of the links between class
+    representatives (a, b, 0), and how many rows each is linked with (a, a, n), each link being counted in one block.
+    `one` can be read again."""
     spark = one.sparkSession
     shape = one.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     pairs = None
     for r in sorted(shape, key=lambda r: r["dim"]):  # as a rule one dimension
         found = _links_of(spark, one.where(F.size("embedding") == r["dim"]), r["n"])
         pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs if pairs is not None else spark.createDataFrame([], "a long, b long")
+    return pairs if pairs is not None else spark.createDataFrame([], _FOUND)
 
 
 def _unit(column: pd.Series) -> np.ndarray:
@@ -122,33 +127,54 @@ def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
         for f in frames:
             if len(f):
                 probes = index.nearest(_unit(f["embedding"]).astype(np.float32), PROBES)
-                yield pd.DataFrame({"rep": f["rep"], "label": f["label"], "embedding": f["embedding"], "probes": list(probes.astype(np.int32))})
+                yield f.assign(probes=list(probes.astype(np.int32)))
 
-    placed = materialise(one.select("rep", "label", "embedding").mapInPandas(assign, "rep long, label int, embedding array<double>, probes array<int>"), "lists")
+    placed = materialise(one.select("rep", "n", "label", "embedding").mapInPandas(assign, "rep long, n long, label int, embedding array<double>, probes array<int>"), "lists")
     # blocks of each list: at most labels x lists rows
     size = placed.groupBy("label", F.col("probes")[0].alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = placed.select("rep", "label", "embedding", F.col("probes")[0].alias("list")).join(size, ["label", "list"])
-    base = own.select("label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("base"), "rep", "embedding")
-    asked = placed.select("rep", "label", "embedding", F.explode("probes").alias("list")).join(size, ["label", "list"])
-    query = asked.select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("base"), "rep", "embedding")
+    row = ["rep", "n", "embedding", "probes"]
+    own = placed.select("label", *row, F.col("probes")[0].alias("list")).join(size, ["label", "list"])
+    base = own.select("label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("base"), *row)
+    asked = placed.select("label", *row, F.explode("probes").alias("list")).join(size, ["label", "list"])
+    query = asked.select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("base"), *row)
 
     def search(key, f: pd.DataFrame) -> pd.DataFrame:
         index, which = shared.value, int(key[1])
         b, q = f[f["base"]], f[~f["base"]]
         if not len(b) or not len(q):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        xb, ib, out = _unit(b["embedding"]), b["rep"].to_numpy(), []
+            return pd.DataFrame(columns=["a", "b", "n"], dtype=np.int64)
+        xb, ib, nb, pb = _unit(b["embedding"]), b["rep"].to_numpy(), b["n"].to_numpy(), np.stack(b["probes"].to_numpy())
         codes = index.codes(xb, np.full(len(b), which))
+        counts: dict[int, int] = {}
+        up: dict[int, int] = {}
+        edges = []
+
+        def root(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
         for at in range(0, len(q), 2048):
-            xq, iq = _unit(q["embedding"].iloc[at : at + 2048]), q["rep"].to_numpy()[at : at + 2048]
+            part = q.iloc[at : at + 2048]
+            xq, iq, nq, own_list = _unit(part["embedding"]), part["rep"].to_numpy(), part["n"].to_numpy(), np.array([p[0] for p in part["probes"]])
             i, j = np.nonzero(index.look_up(xq, codes, which) >= THRESHOLD - index.slack)
-            i, j = i[iq[i] != ib[j]], j[iq[i] != ib[j]]
-            keep = np.einsum("nd,nd->n", xq[i], xb[j]) >= THRESHOLD
-            out.append(np.stack([np.maximum(iq[i], ib[j])[keep], np.minimum(iq[i], ib[j])[keep]], 1))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return base.unionByName(query).groupBy("label", "list", "block").applyInPandas(search, "a long, b long").distinct()
+            ok = iq[i] != ib[j]
+            i, j = i[ok], j[ok]
+            ok = np.einsum("nd,nd->n", xq[i], xb[j]) >= THRESHOLD
+            i, j = i[ok], j[ok]
+            # a query counts what it finds; what it finds counts it in turn, unless that finds the query by itself
+            silent = ~(pb[j] == own_list[i][:, None]).any(1)
+            for ids, n in ((iq, np.bincount(i, nb[j], len(iq))), (ib, np.bincount(j[silent], nq[i[silent]], len(ib)))):
+                for k in np.flatnonzero(n):
+                    counts[int(ids[k])] = counts.get(int(ids[k]), 0) + int(n[k])
+            for x, y in zip(iq[i].tolist(), ib[j].tolist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    edges.append((max(x, y), min(x, y), 0))
+        return pd.DataFrame(edges + [(k, k, n) for k, n in counts.items()], columns=["a", "b", "n"], dtype=np.int64)
+
+    return base.unionByName(query).groupBy("label", "list", "block").applyInPandas(search, _FOUND)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
@@ -160,10 +186,9 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     """
     rows, one = classes(vectors)
     one = materialise(one, "classes")
-    pairs = materialise(links(one), "links")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(one.select(F.col("rep").alias("b"), "n"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    part = components(pairs).withColumnRenamed("id", "rep")
+    found = materialise(links(one), "links")
+    others = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    part = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
     one = one.select(*_K, "rep", "n").join(others, "rep", "left").join(part, "rep", "left")
     one = one.select(*_K, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     got = rows.join(one, _K, "left")
