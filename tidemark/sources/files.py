@@ -57,15 +57,20 @@ def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", header=True, inferSchema=True).select(*columns)
 
 
-def read_feather(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
-    """Arrow IPC files, read on the executors through Spark's file systems."""
+def parse_feather(columns: list[str]):
+    """For mapInArrow over Arrow IPC files (content): their rows, of the given columns."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
                 yield from pa.feather.read_table(io.BytesIO(content.as_py()), columns=columns).to_batches()
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
+    return parse
+
+
+def read_feather(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
+    """Arrow IPC files, read on the executors through Spark's file systems."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse_feather(columns), schema)
 
 
 def save_crate(crate: DataFrame, path: str, **about: str) -> None:
