@@ -258,7 +258,8 @@ def _compare_sides(cells: DataFrame) -> DataFrame:
         both = f.sort_values("side", ascending=False)
         return pd.concat([compare_cell(both), compare_cell(both[both["side"]].assign(side=False))])
 
-    return cells.groupBy("block", "group", "cell").applyInPandas(run, _LINKS)
+    # dealt anew: the joins before leave the rows of a block together, which would put all its cells into one task
+    return cells.repartition("block", "group", "cell").groupBy("block", "group", "cell").applyInPandas(run, _LINKS)
 
 
 def join(docs: DataFrame, width: int = WORDS) -> DataFrame:
