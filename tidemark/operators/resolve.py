@@ -40,21 +40,48 @@ def match_score(df: DataFrame, q_title: str, q_artist: str, c_title: str, c_arti
     return df.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw - F.when(same, 0.0).otherwise(MODIFIER_PENALTY))))
 
 
-def block_titles(queries: DataFrame, library: DataFrame, least: int = 4) -> DataFrame:
-    """Pairs whose clean titles are equal or of which one holds the other, the held one having `least` characters.
+GRAM = 4
 
-    Either way they share the held title's words, so pairs are found by an equi-join on the rarest word of a title rather
-    than by a nested loop; a title's words are few, and only its longest word (then the first) is looked up in the other.
+
+def _grams(c: str) -> F.Column:
+    """The distinct substrings of GRAM characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(F.col(c), i, F.lit(GRAM))))
+
+
+def _contained(held: DataFrame, h: str, whole: DataFrame, w: str) -> DataFrame:
+    """(h, w) for distinct titles of which the first stands within the second.
+
+    What holds a title holds its grams, so the pairs are looked up by the gram of the title that the fewest others have.
+    """
+    long = lambda df, c: df.where(F.length(c) >= GRAM).select(c, F.explode(_grams(c)).alias("g"))
+    inside = long(whole, w)
+    rare = long(held, h).join(inside.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy(h).agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    return rare.join(inside, "g").where(F.col(w).contains(F.col(h))).select(h, w)
+
+
+def block_titles(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """Pairs whose clean titles are equal, or of which one of at least GRAM characters stands within the other.
+
+    Distinct titles are compared, by equi-joins on their rarest grams rather than a nested loop; rows come back at the end.
     """
-    longest = lambda c: F.element_at(F.array_sort(F.transform(F.split(c, " "), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    words = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
     q, c = queries.withColumn("q_clean", clean_title("q_title")), library.withColumn("c_clean", clean_title("c_title"))
-    a = q.withColumn("w", longest("q_clean")).join(c.select("*", words("c_clean").alias("w")), "w").drop("w")
-    b = q.select("*", words("q_clean").alias("w")).join(c.withColumn("w", longest("c_clean")), "w").drop("w")
-    held = lambda x, y: F.col(x).contains(F.col(y)) & (F.length(y) >= least)
-    ok = (F.col("q_clean") == F.col("c_clean")) | held("q_clean", "c_clean") | held("c_clean", "q_clean")
-    return a.unionByName(b).where(ok).distinct()
+    dq, dc = q.select("q_clean").distinct(), c.select("c_clean").distinct()
+    same = dq.join(dc, F.col("q_clean") == F.col("c_clean"))
+    pairs = same.unionByName(_contained(dq, "q_clean", dc, "c_clean")).unionByName(_contained(dc, "c_clean", dq, "q_clean")).distinct()
+    return q.join(pairs, "q_clean").join(c, "c_clean")
 
 
 def status(score: str = "score") -> F.Column:
     return F.when(F.col(score) >= MATCHED, "matched").when(F.col(score) >= GUESSED, "best guess").otherwise("missed")
+
+
+def best(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """q, c and score: the library row that answers each query best (of equal scores the smallest c), null if none can.
+
+    Equal questions are asked once, and equal library rows (all but the smallest c of a title and artist) are left out.
+    """
+    asked = queries.select("q_title", "q_artist").distinct()
+    held = library.groupBy("c_title", "c_artist").agg(F.min("c").alias("c"))
+    scored = match_score(block_titles(asked, held), "q_title", "q_artist", "c_title", "c_artist")
+    top = scored.groupBy("q_title", "q_artist").agg(F.max_by(F.struct("c", "score"), F.struct("score", -F.col("c"))).alias("best"))
+    return queries.join(top, ["q_title", "q_artist"], "left").select("q", "best.c", "best.score")

@@ -586,9 +586,7 @@ def _(s, d):
 def _(s, d):
     wanted = titles(s, d).select(F.col("p_partkey").alias("q"), F.col("title").alias("q_title"), F.col("p_brand").alias("q_artist"))
     library = table(s, d, "part").select(F.col("p_partkey").alias("c"), F.col("p_name").alias("c_title"), F.col("p_brand").alias("c_artist"))
-    scored = resolve.match_score(resolve.block_titles(wanted, library), "q_title", "q_artist", "c_title", "c_artist")
-    best = scored.groupBy("q").agg(F.max_by(F.struct("c", "score"), F.struct("score", -F.col("c"))).alias("best"))
-    return wanted.join(best, "q", "left").select("q", "best.c", "best.score", resolve.status("best.score").alias("status"))
+    return resolve.best(wanted, library).withColumn("status", resolve.status())
 
 
 @query("res4_representative_albums", f"WITH {PLAYS} SELECT artist_name, album_name, MIN(track_id) AS track_id FROM plays WHERE verdict > 0 GROUP BY 1, 2")
