@@ -247,7 +247,8 @@ def _links(d: DataFrame) -> DataFrame:
     whole = rest.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     left = lost.select("block", "group", "cell", "rep", "n", "common", F.lit(True).alias("side"))
     right = whole.select("block", "group", "cell", "rep", "n", "common", F.lit(False).alias("side"))
-    return found.unionByName(_compare_sides(left.unionByName(right)))
+    # written before it is used, so that no task runs two Python stages at once
+    return found.unionByName(materialise(_compare_sides(left.unionByName(right)), "links"))
 
 
 def _compare_sides(cells: DataFrame) -> DataFrame:
