@@ -61,6 +61,7 @@ def shingles(text):
 def test_jaccard_join(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)  # so that blocks have several cells, pivots and a rest
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "TILE", 8)
     got = {r.doc_id: r for r in jaccard.join(frame(spark, texts)).collect()}
     s = {i: shingles(t) for i, t in texts}
     ids = sorted(s)

@@ -27,6 +27,8 @@ WORDS = 5
 PERCENT = 80
 #: Documents and n-grams of a cell, and pivots of a block that has several.
 CELL, CELL_GRAMS, PIVOTS = 128, 2_000_000, 12
+#: Documents on each side of a tile of the second comparison.
+TILE = 512
 #: N-grams of one fragment within a cell.
 FRAGMENT = 8192
 _ROWS = 60_000
@@ -179,15 +181,16 @@ def _forest(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> list[tuple[int, in
 
 
 def compare_cell(f: pd.DataFrame) -> pd.DataFrame:
-    """Links of a cell: a spanning forest of the pairs that reach the threshold. Rows marked `left` are compared with the
-    others only, if there are any; else all with all.
+    """Links of a cell: a spanning forest of the pairs that reach the threshold. Rows of `side` true are compared with the
+    others only, if there are any; else all with all. A document may be on both sides; it isn't compared with itself.
 
     Partial overlaps are counted for one fragment of the n-gram order after another; it ends when no pair can still reach
     the threshold.
     """
-    f = f.drop_duplicates("rep")
-    ids, n, left = f["rep"].to_numpy(), f["n"].to_numpy().astype(np.float32), f["side"].to_numpy(bool)
-    m = len(f)
+    f = f.drop_duplicates(["rep", "side"]).sort_values("side", ascending=False, kind="stable")
+    ids, n = f["rep"].to_numpy(), f["n"].to_numpy().astype(np.float32)
+    m, split = len(f), int(f["side"].sum())
+    a, b = (slice(0, split), slice(split, m)) if split else (slice(0, m), slice(0, m))
     grams = [_unpack48(x) for x in f["common"]]
     row = np.repeat(np.arange(m), [len(g) for g in grams])
     vocabulary, col, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
@@ -195,10 +198,9 @@ def compare_cell(f: pd.DataFrame) -> pd.DataFrame:
     row, col = row[ok], np.cumsum(times > 1)[col[ok]] - 1
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    a = np.flatnonzero(left) if left.any() else np.arange(m)
-    b = np.flatnonzero(~left) if left.any() else np.arange(m)
     need = PERCENT * (n[a][:, None] + n[b][None, :]) / (100 + PERCENT)  # intersection that a link takes
-    overlap = np.zeros((len(a), len(b)), np.float32)
+    need[ids[a][:, None] == ids[b][None, :]] = np.inf
+    overlap = np.zeros(need.shape, np.float32)
     rest = np.bincount(row, minlength=m).astype(np.float32)
     for lo in range(0, int(col[-1]) + 1 if len(col) else 0, FRAGMENT):
         s, e = np.searchsorted(col, [lo, lo + FRAGMENT])
@@ -211,7 +213,7 @@ def compare_cell(f: pd.DataFrame) -> pd.DataFrame:
     o = np.rint(overlap).astype(np.int64)
     total = n[a].astype(np.int64)[:, None] + n[b].astype(np.int64)[None, :]
     i, j = np.nonzero((100 * o >= PERCENT * (total - o)) & (ids[a][:, None] != ids[b][None, :]))
-    return pd.DataFrame(_forest(a[i], b[j], ids), columns=["a", "b"], dtype=np.int64)
+    return pd.DataFrame(_forest(i, split + j, ids), columns=["a", "b"], dtype=np.int64)
 
 
 _LINKS = "a long, b long"
@@ -237,28 +239,28 @@ def _links(d: DataFrame) -> DataFrame:
     pivots = members.where("cells > 1").where(F.pmod(F.xxhash64("rep", F.lit(1)), "one_in") == 0).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     own = members.select("block", "cell", "rep", "n", "common", F.lit(False).alias("side"))
     found = materialise(_compare(own.unionByName(pivots.select("block", "cell", "rep", "n", "common", F.lit(False).alias("side"))), "block", "cell"), "links")
-    # what isn't yet with the largest component of its block is compared with all of the block
+    # what isn't yet with the largest component of its block is compared with all of the block, in tiles
     part = components(found).withColumnRenamed("id", "rep")
-    large = members.where("cells > 1").join(part, "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).drop("component_id")
-    parts = large.groupBy("block", "part").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.sum("k").alias("all"), F.max("k").alias("most"))
-    parts = parts.where("all > most").select("block", "main", F.ceil((F.col("all") - F.col("most")) / CELL).cast("int").alias("groups"))
-    rest = large.join(parts, "block")
-    lost = rest.where("part <> main").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(2)), "groups").cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    whole = rest.withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    left = lost.select("block", "group", "cell", "rep", "n", "common", F.lit(True).alias("side"))
-    right = whole.select("block", "group", "cell", "rep", "n", "common", F.lit(False).alias("side"))
-    return found.unionByName(_compare_sides(left.unionByName(right)))
-
-
-def _compare_sides(cells: DataFrame) -> DataFrame:
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        # a document may be on both sides: it is compared as one of the left, and with the others of the left too
-        if not f["side"].any():
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        both = f.sort_values("side", ascending=False)
-        return pd.concat([compare_cell(both), compare_cell(both[both["side"]].assign(side=False))])
-
-    return cells.groupBy("block", "group", "cell").applyInPandas(run, _LINKS)
+    large = members.where("cells > 1").join(part, "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).drop("component_id", "cell")
+    large = materialise(large, "parts")
+    parts = large.groupBy("block", "part").agg(F.count("*").alias("k"), F.sum(F.octet_length("common") / 6).alias("g"))
+    parts = parts.groupBy("block").agg(F.max_by(F.struct("part", "k", "g"), F.struct("k", "part")).alias("main"), F.sum("k").alias("k"), F.sum("g").alias("g"))
+    tiles = lambda k, g: F.greatest(F.ceil(k / TILE), F.ceil(g / CELL_GRAMS)).cast("int")
+    k, g = F.col("k"), F.col("g")
+    parts = parts.where(k > F.col("main.k")).select("block", F.col("main.part").alias("main"), tiles(k - F.col("main.k"), g - F.col("main.g")).alias("groups"), tiles(k, g).alias("columns"))
+    rest = large.join(parts, "block").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(2)), "groups").cast("int")).withColumn("column", F.pmod(F.xxhash64("rep", F.lit(3)), "columns").cast("int"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    left = rest.where("part <> main").withColumn("column", F.explode(span("columns"))).withColumn("side", F.lit(True))
+    right = rest.withColumn("group", F.explode(span("groups"))).withColumn("side", F.lit(False))
+    key, own = ("block", "group", "column"), ("rep", "n", "common", "side")
+    # by all of the key: the join on the block would else leave all its tiles in one task
+    dealt = left.select(*key, *own).unionByName(right.select(*key, *own)).repartition(*key)
+    return found.unionByName(dealt.groupBy(*key).applyInPandas(compare_tile, _LINKS))
+
+
+def compare_tile(f: pd.DataFrame) -> pd.DataFrame:
+    """Links of those left over (`side`) with one part of their block."""
+    return compare_cell(f) if f["side"].any() else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
 
 
 def join(docs: DataFrame, width: int = WORDS) -> DataFrame:
