@@ -1,6 +1,8 @@
 """Small fixtures worked by hand, and invariants."""
 
+import ast
 import json
+import pathlib
 import random
 
 import numpy as np
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import music, text
-from tidemark.operators import clusters, evaluation, governance, ingest, listening, planner, similarity, taste, warehouse
+from tidemark.operators import brief, clusters, evaluation, governance, ingest, listening, planner, similarity, taste, warehouse
 from tidemark.plans import report
 from tidemark.plans.queries_listening import plays as event_plays
 from tidemark.sources import files
@@ -99,7 +101,7 @@ def test_edge_matrix(spark):
 
 def test_medoids_find_groups():
     cells = [[1, 2, 3, 4 + i % 2] for i in range(6)] + [[20, 21, 22, 23 + i % 2] for i in range(6)]
-    d = clusters._distances(cells)
+    d = clusters.distances(cells)
     m = clusters.medoids(d, 2)
     label = d[:, m].argmin(1)
     assert len(set(label[:6])) == 1 and len(set(label[6:])) == 1 and label[0] != label[6]
@@ -187,3 +189,35 @@ def test_stream_sessions_are_the_batch_sessions(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("event_type", F.lit("view")).withColumn("value", F.lit(1.0)).coalesce(1).write.parquet(src)
     got = live.run_to_end(live.sessions(live.event_stream(spark, src)), spark, "s1", "append", str(tmp_path / "c"))
     assert sorted(r.n for r in got.collect()) == [4, 5]
+
+
+def test_brief_fill_and_seeds(spark):
+    rows = [(i, "a", i / 10, 100_000 + 1000 * i) for i in range(10)]
+    c = spark.createDataFrame(rows, "track_id long, artist string, energy double, duration_ms long")
+    got = sorted(r.track_id for r in brief.fill(c, "artist", "track_id", 10).collect())
+    want, used, mid = [], 0, 104_500
+    for i, _, _, ms in rows:
+        if 600_000 - used <= mid / 2:
+            break
+        want.append(i)
+        used += ms
+    assert got == want
+    placed = {r.slot: r.track_id for r in brief.sorted_to_arc(c, "artist", 0.3, 0.8).collect()}
+    targets = planner.arc_target((np.arange(10) + 0.5) / 10, 0.3, 0.8)
+    assert [placed[s] for s in np.argsort(np.round(targets, 9), kind="stable")] == list(range(10))
+    d = clusters.distances([[0, 1], [0, 1, 2], [8, 9], [0, 2]])
+    assert clusters.seeds(d, 2).tolist()[1] == 2 and len(clusters.seeds(d, 9)) == 4
+    asked = spark.createDataFrame([], "track_id long")
+    r = brief.build(c, asked, 23, 30).first()
+    assert (r.theme, r.seeds, r.rationale) == ("night drive", "[]", "night drive at 23:00; 0 of 0 requested seeds are in the crate")
+
+
+def test_corpus_operators_are_out_of_reach():
+    """No module outside the corpus subpackage reaches it, directly or through others."""
+    root = pathlib.Path(__file__).parent.parent / "tidemark"
+    for path in root.rglob("*.py"):
+        if "llm" in path.relative_to(root).parts:
+            continue
+        for node in ast.walk(ast.parse(path.read_text())):
+            names = [a.name for a in node.names] + [getattr(node, "module", None) or ""] if isinstance(node, (ast.Import, ast.ImportFrom)) else []
+            assert not any("llm" in n.split(".") for n in names), path

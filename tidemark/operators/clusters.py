@@ -12,7 +12,7 @@ from .similarity import hamming
 SAMPLE = 4000
 
 
-def _distances(cells: list[list[int]]) -> np.ndarray:
+def distances(cells: list[list[int]]) -> np.ndarray:
     width = max((max(c, default=-1) for c in cells), default=-1) + 1
     x = np.zeros((len(cells), max(width, 1)), np.float32)
     for i, c in enumerate(cells):
@@ -21,12 +21,17 @@ def _distances(cells: list[list[int]]) -> np.ndarray:
     return (n[:, None] + n[None, :] - 2 * x @ x.T) / np.maximum(n[:, None] + n[None, :], 1)
 
 
-def medoids(d: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
-    """Farthest-first seeds, then assignment and re-centring until nothing changes; an empty cluster keeps its medoid."""
+def seeds(d: np.ndarray, k: int) -> np.ndarray:
+    """Farthest-first: the most central row, then ever the row farthest from those chosen (the first of equal ones)."""
     own = [int(d.sum(1).argmin())]
     while len(own) < min(k, len(d)):
         own.append(int(d[:, own].min(1).argmax()))
-    own = np.array(own)
+    return np.array(own)
+
+
+def medoids(d: np.ndarray, k: int, rounds: int = 50) -> np.ndarray:
+    """Seeds, then assignment and re-centring until nothing changes; an empty cluster keeps its medoid."""
+    own = seeds(d, k)
     for _ in range(rounds):
         label = d[:, own].argmin(1)
         new = own.copy()
@@ -50,11 +55,16 @@ def silhouette(d: np.ndarray, label: np.ndarray) -> float:
     return float(np.where(n[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
 
 
+def sample(tags: DataFrame, key: str) -> list[list[int]]:
+    """At most SAMPLE distinct fingerprints, in the order of a hash of their smallest key."""
+    distinct = tags.groupBy("kc").agg(F.min(key).alias(key)).orderBy(F.xxhash64(key), key).limit(SAMPLE)
+    return [r["kc"] for r in distinct.collect()]
+
+
 def fit(tags: DataFrame, key: str, ks: range = range(6, 13)) -> tuple[list[list[int]], float]:
     """Cells of the medoids of the k with the best mean silhouette (the smallest of equal ones), and that value."""
-    distinct = tags.groupBy("kc").agg(F.min(key).alias(key)).orderBy(F.xxhash64(key), key).limit(SAMPLE)
-    cells = [r["kc"] for r in distinct.collect()]
-    d, best = _distances(cells), (-2.0, [])
+    cells = sample(tags, key)
+    d, best = distances(cells), (-2.0, [])
     for k in ks:
         m = medoids(d, k)
         label = d[:, m].argmin(1)

@@ -170,7 +170,7 @@ def _(s, d):
 def _(s, d):
     p = prints(s, d)
     cells = [r["kc"] for r in p.orderBy(F.xxhash64("vec_id"), "vec_id").limit(clusters.SAMPLE).collect()]
-    far = clusters._distances(cells)
+    far = clusters.distances(cells)
     rows = [(k, clusters.silhouette(far, far[:, clusters.medoids(far, k)].argmin(1))) for k in range(6, 9)]
     return s.createDataFrame(rows, "k long, silhouette double")
 
@@ -233,12 +233,6 @@ def _(s, d):
     return y.agg((2024 - F.percentile(F.when(F.col("year").isNotNull(), F.col("year")), 0.5, F.col("plays")).cast("int")).alias("age"), F.count_if(F.col("year").isNotNull() & (F.col("plays") > 0)).alias("tracks_used"))
 
 
-@query("rpt10_cluster_card", f"WITH {_TAGS}, g AS (SELECT lang, COUNT(*) AS n FROM documents GROUP BY 1) SELECT lang, n, n / SUM(n) OVER () AS share FROM g", "share")
-def _(s, d):
-    g = table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return g.crossJoin(F.broadcast(g.agg(F.sum("n").alias("t")))).select("lang", "n", (F.col("n") / F.col("t")).alias("share"))
-
-
 @query("rpt16_visitor_report", f"WITH {PLAYS} SELECT COUNT(*) AS plays, COUNT(DISTINCT track_id) AS tracks FROM plays WHERE track_id IN (SELECT track_id FROM plays GROUP BY 1 HAVING COUNT(*) > 2)")
 def _(s, d):
     known = plays(s, d).groupBy("track_id").agg(F.count("*").alias("n")).where("n > 2").select("track_id")

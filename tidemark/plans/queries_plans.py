@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import music
-from ..operators import clusters, planner, ranks
+from ..operators import brief, clusters, planner, ranks
 from ..sources import files
 from ..sources.adapters import table
 from ..streaming import live
@@ -55,18 +55,13 @@ def _(s, d):
     return planner.critique(picks, "listener", planner.Rules().minutes)
 
 
-@query("dj9_sort_match", f"WITH {_CRATE}, t AS (SELECT artist, track_id, ROW_NUMBER() OVER (PARTITION BY artist ORDER BY energy, track_id) AS k, COUNT(*) OVER (PARTITION BY artist) AS n FROM crate) SELECT artist, k, track_id FROM t WHERE k <= 10")
-def _(s, d):
-    return ranks.top_per(crate(s, d), 10, ["artist"], ["energy", "track_id"], "k").select("artist", "k", "track_id")
-
-
 @query("dj11_order_tracks")
 def _(s, d):
     own = ranks.top_per(crate(s, d), 30, ["artist"], ["track_id"], "k")
     return planner.order(own, "artist")
 
 
-_THEMES = (("slow sunrise", 5, 10), ("focus drift", 9, 17), ("golden hour", 15, 20), ("night drive", 20, 24), ("after hours", 0, 5))
+_THEMES = brief.THEMES
 
 
 @query("dj2_theme_by_hour", f"WITH {PLAYS}, t(name, lo, hi) AS (VALUES {', '.join(map(str, _THEMES))}), s AS (SELECT hour_utc, name, CAST(hour_utc >= lo AND hour_utc < hi AS INTEGER) AS fit FROM (SELECT DISTINCT hour_utc FROM plays), t) SELECT hour_utc, arg_min(name, (-fit, name)) AS theme FROM s GROUP BY 1", longs="hour_utc")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,23 @@ SCHEMA_VERSION = "2.1"
 ARCHETYPES = (("explorer", "discovery_ratio", True, 0.4), ("loyalist", "top1_share", True, 0.25), ("time_traveller", "old_share", True, 0.5), ("specialist", "cluster_evenness", False, 0.7), ("restless", "skip_rate", True, 0.25))
 
 
+@dataclass(frozen=True)
+class Profile:
+    """Whose history a report is made of. Each has folders of its own, and only reports of made-up ones may be published."""
+
+    name: str
+    private: bool
+
+    def warehouse(self, root: str) -> str:
+        return f"{root}/{self.name}/warehouse" if root else f"{self.name}/warehouse"
+
+    def may_publish(self) -> bool:
+        return not self.private
+
+
+PROFILES = (Profile("private", True), Profile("synthetic", False))
+
+
 def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:8]
 
