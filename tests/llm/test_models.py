@@ -121,7 +121,7 @@ def test_broken_archives_are_reported():
         list(warc.parse_archive(b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <a>\r\nContent-Length: 9\r\n\r\nabc"))
 
 
-def test_embeddings_against_brute_force(spark):
+def test_embeddings_against_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 16))
     x = np.concatenate([centres[i % 60] + rng.normal(scale=0.12, size=16) for i in range(500)]).reshape(500, 16).astype(np.float32)
@@ -140,6 +140,11 @@ def test_embeddings_against_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in (600, 601, 602, 603, 604, 605))
     assert (got[607].n_links, got[607].component_id, got[607].kept) == (1, 606, False)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    # small blocks and shares of queries find the same
+    monkeypatch.setattr(embeddings, "BLOCK", 8)
+    monkeypatch.setattr(embeddings, "ASKED", 32)
+    again = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: r for r in again} == got
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(empty).collect() == []
 

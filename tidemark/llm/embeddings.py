@@ -21,8 +21,8 @@ LISTS = (16, 4096)
 #: Lists searched for each vector.
 PROBES = 10
 SUBSPACES, CODES = 8, 64
-#: Vectors in one block of an inverted list.
-BLOCK = 1024
+#: Vectors in one block of an inverted list, and queries that are put to it together.
+BLOCK, ASKED = 1024, 8192
 _K = ["k1", "k2"]
 
 
@@ -130,13 +130,17 @@ def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
                 yield f.assign(probes=list(probes.astype(np.int32)))
 
     placed = materialise(one.select("rep", "n", "label", "embedding").mapInPandas(assign, "rep long, n long, label int, embedding array<double>, probes array<int>"), "lists")
-    # blocks of each list: at most labels x lists rows
-    size = placed.groupBy("label", F.col("probes")[0].alias("list")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # blocks of each list and shares of its queries: at most labels x lists rows. A group holds one of each, so its size is
+    # bounded, and a pair meets in one group
+    probes = placed.select("label", F.posexplode("probes").alias("nth", "list"))
+    size = probes.groupBy("label", "list").agg(F.ceil(F.count_if(F.col("nth") == 0) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("shares"))
+    size = size.where("blocks > 0")
     row = ["rep", "n", "embedding", "probes"]
     own = placed.select("label", *row, F.col("probes")[0].alias("list")).join(size, ["label", "list"])
-    base = own.select("label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), F.lit(True).alias("base"), *row)
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    base = own.select("label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), span("shares").alias("share"), F.lit(True).alias("base"), *row)
     asked = placed.select("label", *row, F.explode("probes").alias("list")).join(size, ["label", "list"])
-    query = asked.select("label", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("base"), *row)
+    query = asked.select("label", "list", span("blocks").alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("base"), *row)
 
     def search(key, f: pd.DataFrame) -> pd.DataFrame:
         index, which = shared.value, int(key[1])
@@ -174,7 +178,7 @@ def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
                     edges.append((max(x, y), min(x, y), 0))
         return pd.DataFrame(edges + [(k, k, n) for k, n in counts.items()], columns=["a", "b", "n"], dtype=np.int64)
 
-    return base.unionByName(query).groupBy("label", "list", "block").applyInPandas(search, _FOUND)
+    return base.unionByName(query).groupBy("label", "list", "block", "share").applyInPandas(search, _FOUND)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
