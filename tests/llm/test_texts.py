@@ -204,3 +204,24 @@ def test_alignment():
     for _ in range(50):
         a, b = rng.integers(0, 5, rng.integers(1, 12)).astype(np.uint64), rng.integers(0, 5, rng.integers(1, 20)).astype(np.uint64)
         assert decontaminate.align(a, b)[0] == brute_alignment(a.tolist(), b.tolist())
+
+
+def test_decontamination_finds_what_alignment_finds(spark):
+    """However often an item is leaked whole, edited copies are found as by Smith-Waterman on every document."""
+    rng = random.Random(13)
+    items = [(i, prose(rng, 40, 3000)) for i in range(8)] + [(8, " ".join(f"w{k % 7}" for k in range(24)))]
+    third = lambda w: [x if k % 3 else f"new{rng.randrange(10**6)}" for k, x in enumerate(w)]
+    rows = []
+    for i, t in items:
+        w = t.split()
+        m = len(w) // 2
+        copies = [third(w[:m]) + w[m:], w[:m] + third(w[m:]), [x for k in w for x in (k, "between")], [x for k, x in enumerate(w) if k % 4], third(w), w[:m]]
+        copies += [w] * (30 if i < 4 else 0)
+        rows += [(100 * i + k, prose(rng, 60, 3000) + " " + " ".join(c) + " " + prose(rng, 20, 3000)) for k, c in enumerate(copies)]
+    rows += [(5000 + i, prose(rng, 300, 3000)) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()}
+    words = {i: decontaminate.text_words(t) for i, t in items}
+    want = {(d, i): decontaminate.align(w, decontaminate.text_words(t))[0] / (2 * len(w)) for d, t in rows for i, w in words.items()}
+    assert got == {k: s for k, s in want.items() if s >= 0.5}
+    assert {(100 * i + k, i) for i in range(8) for k in range(4)} <= set(got)

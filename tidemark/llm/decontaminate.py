@@ -1,5 +1,8 @@
-"""Benchmark decontamination: rare word n-gram seeds find where test items may stand in documents, and Smith-Waterman
-alignment over words scores each place, so that edited and paraphrased copies are found as well.
+"""Benchmark decontamination: words and word pairs as seeds find where test items may stand in documents, and
+Smith-Waterman alignment over words scores each place, so that edited and paraphrased copies are found as well.
+
+Of each item the rarest seeds are kept until no alignment without a hit on one of them can reach the least score, so seeds
+lose nothing: how often an item is leaked decides what a scan costs, never what it finds.
 
 The benchmark is taken in blocks of bounded size, which are broadcast; documents are only scanned, never shuffled.
 """
@@ -16,12 +19,10 @@ from pyspark.sql import functions as F
 
 from .kernels import ALNUM, blocks, lower_ascii, ngram_hash, prefix_hash, span_hash, words
 
-#: Words in a seed.
-SEED = 3
-#: Words of benchmark text in one broadcast block (about 40 bytes each with their seeds); more items make more blocks.
+#: Items of fewer words than this say little: they must share SHORT_SEED words in a row with a document (or stand whole).
+SHORT, SHORT_SEED = 8, 3
+#: Words of benchmark text in one broadcast block (about 90 bytes each with their seeds); more items make more blocks.
 BLOCK_WORDS = 500_000
-#: Seeds in at most this share of the documents are rare; of each item the rarer half always counts as rare.
-RARE_SHARE = 1e-3
 #: An alignment counts when it reaches this share of the item's own score.
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
@@ -35,7 +36,6 @@ class Items:
     ids: list[int]
     words: list[np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by n: seeds; first place; item and place of each
-    least_hits: np.ndarray
 
 
 def text_words(text: str) -> np.ndarray:
@@ -49,16 +49,16 @@ def make_items(rows: list[tuple[int, str]]) -> Items:
     kept = [(i, w) for i, t in rows if len(w := text_words(t or ""))]
     found: dict[int, list] = {}
     for k, (_, w) in enumerate(kept):
-        n = min(SEED, len(w))
-        g = ngram_hash(w, n)
-        found.setdefault(n, []).append(np.stack([g, np.full(len(g), k, np.uint64), np.arange(len(g), dtype=np.uint64)], 1))
+        for n in (1, 2) if len(w) >= SHORT else (min(SHORT_SEED, len(w)),):
+            g = ngram_hash(w, n)
+            found.setdefault(n, []).append(np.stack([g, np.full(len(g), k, np.uint64), np.arange(len(g), dtype=np.uint64)], 1))
     seeds = {}
     for n, parts in found.items():
         a = np.concatenate(parts)
         a = a[np.argsort(a[:, 0], kind="stable")]
         distinct, first = np.unique(a[:, 0], return_index=True)
         seeds[n] = (distinct, np.append(first, len(a)), a[:, 1].astype(np.int64), a[:, 2].astype(np.int64))
-    return Items([i for i, _ in kept], [w for _, w in kept], seeds, np.array([1 if len(w) < 8 else 2 for _, w in kept], np.int64))
+    return Items([i for i, _ in kept], [w for _, w in kept], seeds)
 
 
 def _finder(items: Items):
@@ -87,8 +87,8 @@ def _words_of(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return span_hash(prefix_hash(low), s, e), np.repeat(np.arange(len(off) - 1), np.diff(first)), first
 
 
-def seed_frequencies(docs: DataFrame, items: Items) -> tuple[int, dict[int, np.ndarray]]:
-    """Number of documents, and of those that hold each seed, over the whole corpus.
+def seed_frequencies(docs: DataFrame, items: Items) -> dict[int, np.ndarray]:
+    """For each seed the number of documents that hold it, over the whole corpus.
 
     Each task adds up its documents; what is shuffled is one row for each task, n and seed that it saw.
     """
@@ -96,16 +96,15 @@ def seed_frequencies(docs: DataFrame, items: Items) -> tuple[int, dict[int, np.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        find, total = _finder(own), 0
+        find = _finder(own)
         df = {n: np.zeros(len(s[0]), np.int64) for n, s in own.seeds.items()}
         for batch in batches:
-            total += batch.num_rows
             for _, _, b, off in blocks(batch.column("text")):
                 h, row, _ = _words_of(b, off)
                 for n, at, i in find(h, row):
                     size = len(df[n])
                     df[n] += np.bincount(np.unique(row[at] * size + i) % size, minlength=size)
-        ns, seed, count = [0], [0], [total]
+        ns, seed, count = [], [], []
         for n, c in df.items():
             at = np.flatnonzero(c)
             ns += [n] * len(at)
@@ -114,29 +113,76 @@ def seed_frequencies(docs: DataFrame, items: Items) -> tuple[int, dict[int, np.n
         yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int32()), pa.array(seed, pa.int64()), pa.array(count, pa.int64())], names=["n", "seed", "docs"])
 
     got = docs.select("text").mapInArrow(run, "n int, seed long, docs long").groupBy("n", "seed").agg(F.sum("docs").alias("docs")).toArrow()
-    out, total = {n: np.zeros(len(s[0]), np.int64) for n, s in items.seeds.items()}, 0
-    for n, seed, count in zip(*(got.column(c).to_pylist() for c in ("n", "seed", "docs"))):
-        if n:
-            out[n][seed] = count
-        else:
-            total = count
-    return total, out
+    ns, seed, count = (got.column(c).to_numpy() for c in ("n", "seed", "docs"))
+    out = {n: np.zeros(len(s[0]), np.int64) for n, s in items.seeds.items()}
+    for n, c in out.items():
+        c[seed[ns == n]] = count[ns == n]
+    return out
 
 
-def keep_rare(items: Items, total: int, df: dict[int, np.ndarray]) -> Items:
-    """The items with their rare seeds only: those in few documents, and the rarer half of each item's in any case."""
-    seeds = {}
-    for n, (distinct, first, item, place) in items.seeds.items():
-        seed = np.repeat(np.arange(len(distinct)), np.diff(first))
-        each = df[n][seed]
-        order = np.lexsort((place, each, item))
-        rank = np.empty(len(order), np.int64)
-        starts = np.searchsorted(item[order], np.arange(len(items.ids) + 1))
-        rank[order] = np.arange(len(order)) - starts[item[order]]
-        ok = (each <= RARE_SHARE * total) | (2 * rank < np.diff(starts)[item] + 1)
-        kept, cut = np.unique(seed[ok], return_index=True)
-        seeds[n] = (distinct[kept], np.append(cut, ok.sum()), item[ok], place[ok])
-    return Items(items.ids, items.words, seeds, items.least_hits)
+def best_missed(lengths: np.ndarray, word: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """The best score of each item's alignments, with any text, that hit no kept seed.
+
+    Items lie end to end; `word` and `pair` say whether the seed that starts at a place is kept. A kept word can't be matched
+    without a hit; words of a kept pair can't both be matched without one, unless a word stands between them (a gap).
+    """
+    by = np.argsort(-lengths, kind="stable")
+    start, size = (np.cumsum(lengths) - lengths)[by], lengths[by]
+    low = np.iinfo(np.int64).min // 2
+    on, off, best = np.full(len(by), low), np.full(len(by), low), np.zeros(len(by), np.int64)
+    for p in range(int(size[0]) if len(size) else 0):
+        m = int(np.searchsorted(-size, -p, "left"))  # items with more than p words
+        at = start[:m] + p
+        before = np.maximum(off[:m], on[:m] - GAP * pair[at - 1] if p else low)
+        new = np.where(word[at], low, MATCH + np.maximum(before, 0))
+        off[:m] = np.maximum(np.maximum(off[:m], on[:m]) - min(MISMATCH, GAP), low)
+        on[:m] = new
+        best[:m] = np.maximum(best[:m], new)
+    out = np.empty_like(best)
+    out[by] = best
+    return out
+
+
+def keep_seeds(items: Items, df: dict[int, np.ndarray], least: float) -> Items:
+    """The items with as few of their rarest seeds as every alignment of at least the score `least` must hit.
+
+    Short items keep all. Rarity decides only which seeds are cheap: whatever stands in many documents, the item itself
+    among it, the kept ones are always enough.
+    """
+    if not {1, 2} <= items.seeds.keys():
+        return items
+    size = np.array([len(w) for w in items.words], np.int64)
+    first = np.cumsum(size) - size
+    parts = []
+    for n in (1, 2):
+        distinct, cut, item, place = items.seeds[n]
+        seed = np.repeat(np.arange(len(distinct)), np.diff(cut))
+        parts.append(np.stack([item, df[n][seed], np.full(len(seed), n), place, np.arange(len(seed))], 1))
+    a = np.concatenate(parts)
+    a = a[np.lexsort((a[:, 3], a[:, 2], a[:, 1], a[:, 0]))]
+    item, at = a[:, 0], first[a[:, 0]] + a[:, 3]
+    number = np.bincount(item, minlength=len(size))
+    rank = np.arange(len(a)) - (np.cumsum(number) - number)[item]
+    low, high = np.zeros(len(size), np.int64), number.copy()  # the least number of seeds that is enough lies in [low, high]
+    while (low < high).any():
+        middle = (low + high) // 2
+        use = rank < middle[item]
+        flags = []
+        for n in (1, 2):
+            flag = np.zeros(int(size.sum()), bool)
+            flag[at[use & (a[:, 2] == n)]] = True
+            flags.append(flag)
+        enough = best_missed(size, *flags) < least * MATCH * size
+        high = np.where(enough, middle, high)
+        low = np.where(enough, low, np.minimum(middle + 1, high))
+    use, seeds = rank < high[item], dict(items.seeds)
+    for n in (1, 2):
+        distinct, cut, of, place = items.seeds[n]
+        ok = np.zeros(len(of), bool)
+        ok[a[use & (a[:, 2] == n), 4]] = True
+        kept, begin = np.unique(np.repeat(np.arange(len(distinct)), np.diff(cut))[ok], return_index=True)
+        seeds[n] = (distinct[kept], np.append(begin, ok.sum()), of[ok], place[ok])
+    return Items(items.ids, items.words, {n: s for n, s in seeds.items() if len(s[0])})
 
 
 def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
@@ -154,37 +200,46 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def leaks_of_row(items: Items, h: np.ndarray, hits: list[tuple[int, int, int]], least: float) -> list[tuple[int, float, int, int]]:
-    """(item, score, first word, word after the last) for the items that stand in one document.
+def regions(item: np.ndarray, h: np.ndarray, start: int, stop: int, least: float) -> Iterator[tuple[int, int]]:
+    """Parts of h[start:stop] that hold every alignment of at least the score `least`.
 
-    hits: (item, place in item, place in document). Hits of an item that lie within two item lengths are one place; each
-    place with enough distinct seeds is aligned, and the best counts.
+    An alignment of M matches over D words of a document scores at most 3 M - D (each other word costs one), so D is at most
+    3 m - least, and a part is left out only if too few of its words are words of the item.
     """
-    out, hits = [], sorted(hits)
-    lo = 0
-    while lo < len(hits):
-        hi = lo
-        while hi < len(hits) and hits[hi][0] == hits[lo][0]:
-            hi += 1
-        k = hits[lo][0]
-        own = sorted((d, p) for _, p, d in hits[lo:hi])
-        m, best = len(items.words[k]), (0.0, 0, 0)
-        a = 0
-        while a < len(own):
-            z = a + 1
-            while z < len(own) and own[z][0] - own[z - 1][0] <= 2 * m:
-                z += 1
-            if len({p for _, p in own[a:z]}) >= items.least_hits[k]:
-                start = max(0, min(d - p for d, p in own[a:z]) - m // 2)
-                stop = min(len(h), max(d + m - p for d, p in own[a:z]) + m // 2)
-                score, end = align(items.words[k], h[start:stop])
+    own = np.unique(item)
+    x = h[start:stop]
+    inside = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
+    run = np.zeros(len(x) + 1, np.int64)
+    np.cumsum(np.where(inside, MATCH, -1), out=run[1:])
+    width = max(1, int((MATCH + 1) * len(item) - least))
+    padded = np.concatenate([np.full(width, np.iinfo(np.int64).max), run])
+    lowest = np.lib.stride_tricks.sliding_window_view(padded, width + 1).min(1) if (run - np.minimum.accumulate(run)).max() >= least else run
+    ends = np.flatnonzero((run - lowest >= least) & (run > lowest))
+    a = 0
+    for z in range(1, len(ends) + 1):
+        if z == len(ends) or ends[z] - ends[z - 1] > width:
+            yield start + max(0, int(ends[a]) - width), start + int(ends[z - 1])
+            a = z
+
+
+def leak(item: np.ndarray, h: np.ndarray, offsets: np.ndarray, least: float) -> tuple[float, int, int] | None:
+    """(share of the item's own score, first word, word after the last) of the item's best place, if that reaches `least`.
+
+    offsets: places in the document less places in the item of its hits, ascending. With the score wanted an alignment has at
+    most 2 m - score words between, so it lies within that of a hit's offset; places that touch are looked at together.
+    """
+    m, best = len(item), (0.0, 0, 0)
+    need = least * MATCH * m
+    spare = max(0, int(MATCH * m - need))
+    a = 0
+    for z in range(1, len(offsets) + 1):
+        if z == len(offsets) or offsets[z] - offsets[z - 1] > m + 2 * spare:
+            for start, stop in regions(item, h, max(0, int(offsets[a]) - spare), min(len(h), int(offsets[z - 1]) + m + spare), need):
+                score, end = align(item, h[start:stop])
                 if score / (MATCH * m) > best[0]:
                     best = (score / (MATCH * m), max(0, start + end - m), start + end)
             a = z
-        if best[0] >= least:
-            out.append((k, *best))
-        lo = hi
-    return out
+    return best if best[0] >= least and best[0] > 0 else None
 
 
 PAIR_SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long"
@@ -210,15 +265,22 @@ def find_leaks(docs: DataFrame, items: Items, least: float = LEAST_SCORE) -> Dat
 
 def _block_leaks(items: Items, find, b: np.ndarray, off: np.ndarray, least: float):
     h, row, first = _words_of(b, off)
-    by_row: dict[int, list] = {}
+    parts = [np.zeros((0, 3), np.int64)]
     for n, at, i in find(h, row):
         _, cut, item, place = items.seeds[n]
-        for r, p, s in zip(row[at].tolist(), at.tolist(), i.tolist()):
-            own = by_row.setdefault(r, [])
-            own += [(int(item[x]), int(place[x]), p - int(first[r])) for x in range(cut[s], cut[s + 1])]
-    for r, hits in by_row.items():
-        if got := leaks_of_row(items, h[first[r] : first[r + 1]], hits, least):
-            yield r, got
+        many = cut[i + 1] - cut[i]
+        x = np.repeat(cut[i] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        parts.append(np.stack([row[at], item[x], at - first[row[at]] - place[x]], 1))
+    hits = np.concatenate(parts)
+    hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
+    new = np.flatnonzero(np.append(True, (hits[1:, :2] != hits[:-1, :2]).any(1))) if len(hits) else np.zeros(0, np.int64)
+    by_row: dict[int, list] = {}
+    for lo, hi in zip(new.tolist(), np.append(new[1:], len(hits)).tolist()):
+        r, k = int(hits[lo, 0]), int(hits[lo, 1])
+        if got := leak(items.words[k], h[first[r] : first[r + 1]], hits[lo:hi, 2], least):
+            by_row.setdefault(r, []).append((k, *got))
+    yield from by_row.items()
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
@@ -242,8 +304,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
     """
     out = None
     for items in item_blocks(benchmark):
-        total, df = seed_frequencies(docs, items)
-        found = find_leaks(docs, keep_rare(items, total, df), least)
+        found = find_leaks(docs, keep_seeds(items, seed_frequencies(docs, items), least), least)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], PAIR_SCHEMA) if out is None else out
 
@@ -251,8 +312,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The rows of `docs` in which no item stands, with their columns."""
     for items in item_blocks(benchmark):
-        total, df = seed_frequencies(docs, items)
-        shared = docs.sparkSession.sparkContext.broadcast(keep_rare(items, total, df))
+        shared = docs.sparkSession.sparkContext.broadcast(keep_seeds(items, seed_frequencies(docs, items), least))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
