@@ -1,6 +1,7 @@
 """The operators on texts against brute force, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import random
 import re
 
@@ -225,3 +226,33 @@ def test_decontamination_finds_what_alignment_finds(spark):
     want = {(d, i): decontaminate.align(w, decontaminate.text_words(t))[0] / (2 * len(w)) for d, t in rows for i, w in words.items()}
     assert got == {k: s for k, s in want.items() if s >= 0.5}
     assert {(100 * i + k, i) for i in range(8) for k in range(4)} <= set(got)
+
+
+def matches_of(pattern):
+    """Texts that a rule's pattern matches, one for each choice of alternatives, with `|` for a run of separators."""
+    pattern = pattern.removeprefix(licenses._NOT_IN_WORD).removesuffix(licenses._WORD_ENDS).replace(licenses._SEP, "\x00")
+    parts = [[p] if not p.startswith("(?:") else ([p[3:-2], ""] if p.endswith("?") else p[3:-1].split("|")) for p in re.split(r"(\(\?:[^()]*\)\??)", pattern)]
+    for choice in itertools.product(*parts):
+        yield "".join(choice)
+
+
+def test_license_prefilter_loses_nothing():
+    """What every rule matches gets through the prefilter, however its words are separated."""
+    scanner = licenses.Scanner()
+    tried = 0
+    for i, (rule, compiled) in enumerate(zip(scanner.rules, scanner.compiled)):
+        for t in matches_of(rule.pattern):
+            for separator in (" ", "\n", "\n * ", "-"):
+                text = t.replace("\x00", separator)
+                assert compiled.search(text), (rule, text)
+                low = np.frombuffer(b"x " + text.encode() + b"license", np.uint8)
+                cut = np.array([0, 2, 2 + len(text), len(low)])
+                assert i in scanner.prefilter(*scanner.spaced(low, cut)).get(1, []), (rule, text)
+                tried += 1
+    assert tried > 1000
+
+
+def test_wrapped_license_headers(spark):
+    rows = [(1, "GNU Lesser\n * General  Public License"), (2, "Permission is hereby\n# granted, free of charge, to any person obtaining a copy"), (3, "This software is provided 'as is', without any express or implied warranty"), (4, "Non Profit Open Software License"), (5, "under the terms of the GNU Lesser General Public License"), (6, "redistribution"), (7, "and use in source and binary forms")]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {1: "lgpl", 2: "mit", 3: "zlib", 4: "nposl", 5: "lgpl", 6: "", 7: ""}

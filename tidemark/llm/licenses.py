@@ -1,8 +1,8 @@
 """License scan: ordered signature rules with a keyword prefilter and containment suppression.
 
 A rule is a regular expression over the lower-cased text, written in words: in a phrase a space stands for any run of
-separators, `a|b` in braces for alternatives and `?` after a word for an optional one. Each rule names a literal keyword;
-a document runs only the rules whose keyword it contains. Detections that overlap are resolved by priority: one that lies
+separators, `a|b` in braces for alternatives and `?` after a word for an optional one. Each rule names a keyword, words
+that stand in all that it matches; a document runs only the rules whose keyword it contains, between any separators. Detections that overlap are resolved by priority: one that lies
 within a detection of at least its priority is dropped. The four base phrases are matched on words and always stay.
 """
 
@@ -113,7 +113,7 @@ _SINGLE = (
     ("copyright", 20, "copyright", 0.5, "copyright {c|19|20}"),
     ("copyright", 10, "copyright", 0.4, "copyright"),
     ("gpl", 70, "free software foundation", 0.9, "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", 75, "free software foundation", 0.9, "under the terms of the gnu lesser general public license"),
+    ("lgpl", 75, "lesser general", 0.9, "under the terms of the gnu lesser general public license"),
     ("apache", 70, "apache license", 0.95, "licensed under the apache license version 2 0"),
     ("apache", 70, "apache.org", 0.9, "www apache org licenses license 2 0"),
     ("mpl", 70, "mozilla.org", 0.9, "mozilla org mpl"),
@@ -162,10 +162,20 @@ class Scanner:
         self.compiled = [re.compile(r.pattern) for r in self.rules]
         self.by_keyword: dict[bytes, list[int]] = {}
         for i, r in enumerate(self.rules):
-            self.by_keyword.setdefault(r.keyword.encode(), []).append(i)
+            self.by_keyword.setdefault(re.sub(_SEP, " ", r.keyword).encode(), []).append(i)
+
+    @staticmethod
+    def spaced(low: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """A lower-cased block with each run of separators as one space, and where its documents start."""
+        word = ALNUM[low]
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        place = np.zeros(len(low) + 1, np.int64)
+        np.cumsum(keep, out=place[1:])
+        return np.where(word, low, np.uint8(32))[keep].tobytes(), place[off]
 
     def prefilter(self, block: bytes, off: np.ndarray) -> dict[int, list[int]]:
-        """For each document of a lower-cased block, the rules whose keyword it holds."""
+        """For each document of a block from `spaced`, the rules whose keyword it holds."""
         out: dict[int, list[int]] = {}
         for keyword, ids in self.by_keyword.items():
             at = block.find(keyword)
@@ -224,7 +234,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         count[d] += 1
                         least[d], most[d] = min(least[d], place), max(most[d], place)
                         labels[d].add(label)
-            hits = scanner.prefilter(raw, off)
+            hits = scanner.prefilter(*scanner.spaced(low, off))
             rest, score, spans = [set(x) for x in labels], np.zeros(n), [[] for _ in range(n)]
             for d, rule_ids in hits.items():
                 left = 1.0
