@@ -230,7 +230,7 @@ def test_decontamination_finds_what_alignment_finds(spark):
 
 def matches_of(pattern):
     """Texts that a rule's pattern matches, one for each choice of alternatives, with `|` for a run of separators."""
-    pattern = pattern.removeprefix(licenses._NOT_IN_WORD).removesuffix(licenses._WORD_ENDS).replace(licenses._SEP, "\x00")
+    pattern = pattern.removeprefix(licenses._NOT_IN_WORD).removesuffix(licenses._WORD_ENDS).replace(licenses._SEP, "\x00").replace(licenses._NO_MINOR, "")
     parts = [[p] if not p.startswith("(?:") else ([p[3:-2], ""] if p.endswith("?") else p[3:-1].split("|")) for p in re.split(r"(\(\?:[^()]*\)\??)", pattern)]
     for choice in itertools.product(*parts):
         yield "".join(choice)
@@ -256,3 +256,18 @@ def test_wrapped_license_headers(spark):
     rows = [(1, "GNU Lesser\n * General  Public License"), (2, "Permission is hereby\n# granted, free of charge, to any person obtaining a copy"), (3, "This software is provided 'as is', without any express or implied warranty"), (4, "Non Profit Open Software License"), (5, "under the terms of the GNU Lesser General Public License"), (6, "redistribution"), (7, "and use in source and binary forms")]
     got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
     assert got == {1: "lgpl", 2: "mit", 3: "zlib", 4: "nposl", 5: "lgpl", 6: "", 7: ""}
+
+
+def test_license_versions_as_they_are_written():
+    scanner = licenses.Scanner()
+    labels = lambda t: [r.label for _, _, r in scanner.detect(t.lower(), range(len(scanner.rules)))]
+    for stem, _, names, _, versions in licenses._VERSIONED:
+        name = names[0].replace("{license|licence}", "License").replace("?", "")
+        for v in versions:
+            said = [f"version {v}", f"v{v}", f"v {v}", f"Version\n{v}."] + ([f"version {v[:-2]}", f"v{v[:-2]}", f"version {v[:-2]}."] if v.endswith(".0") else [])
+            for s in said:
+                assert f"{stem}-{v}" in labels(f"{name}, {s}"), (name, s)
+                assert f"{stem}-{v}+" in labels(f"{name}, {s} or later"), (name, s)
+    assert labels("GNU General Public License, version 3.") == ["gpl-3.0"] == labels("GNU General Public License v3.0")
+    assert labels("Academic Free License version 2.1") == ["afl-2.1"] and labels("PHP License, version 3.01") == ["php-3.01"]
+    assert labels("GNU General Public License version 2.1") == ["gpl"] == labels("GNU General Public License version 30")

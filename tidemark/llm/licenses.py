@@ -1,7 +1,8 @@
 """License scan: ordered signature rules with a keyword prefilter and containment suppression.
 
 A rule is a regular expression over the lower-cased text, written in words: in a phrase a space stands for any run of
-separators, `a|b` in braces for alternatives and `?` after a word for an optional one. Each rule names a keyword, words
+separators, `a|b` in braces for alternatives, `?` after a word for an optional one and `#3.0` for a version, said as
+"version 3.0", "v 3.0" or "v3.0", or without its 0. Each rule names a keyword, words
 that stand in all that it matches; a document runs only the rules whose keyword it contains, between any separators. Detections that overlap are resolved by priority: one that lies
 within a detection of at least its priority is dropped. The four base phrases are matched on words and always stay.
 """
@@ -23,6 +24,8 @@ BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("c
 
 _SEP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _NOT_IN_WORD, _WORD_ENDS = r"(?<![^\x00-\x2f\x3a-\x60\x7b-\x7f])", r"(?![^\x00-\x2f\x3a-\x60\x7b-\x7f])"
+#: After a bare major version: it isn't the beginning of another version.
+_NO_MINOR = r"(?!\.[1-9]|\.0[0-9])"
 
 
 @dataclass(frozen=True)
@@ -34,13 +37,20 @@ class Rule:
     pattern: str
 
 
+def _version(version: str) -> str:
+    """The regular expression of a version in words."""
+    first, *rest = version.split(".")
+    minor = f"{_NO_MINOR}(?:{_SEP}0)?" if rest == ["0"] else "".join(_SEP + x for x in rest)
+    return f"(?:version{_SEP}|v{_SEP}|v){first}{minor}"
+
+
 def _phrase(text: str) -> str:
     """The regular expression of a phrase in the notation above."""
     out = ""
     for i, w in enumerate(text.split()):
         optional = w.endswith("?")
         w = w.rstrip("?")
-        w = "(?:" + "|".join(map(re.escape, w[1:-1].split("|"))) + ")" if w[0] == "{" else re.escape(w)
+        w = _version(w[1:]) if w[0] == "#" else "(?:" + "|".join(map(re.escape, w[1:-1].split("|"))) + ")" if w[0] == "{" else re.escape(w)
         out += (f"(?:{_SEP}{w})?" if optional else f"{_SEP}{w}") if i else w
     return f"{_NOT_IN_WORD}{out}{_WORD_ENDS}"
 
@@ -135,7 +145,7 @@ def rules() -> list[Rule]:
             loose = number.removesuffix(" 0")
             for name in names:
                 for tail, mark in (("or later", "+"), ("only", ""), ("", "")):
-                    out.append(Rule(f"{stem}-{v}{mark}", 65 + 5 * bool(tail), keyword, 0.95, _phrase(f"{name} {{v|version|v{loose.split()[0]}}} {number} {tail}".strip())))
+                    out.append(Rule(f"{stem}-{v}{mark}", 65 + 5 * bool(tail), keyword, 0.95, _phrase(f"{name} #{v} {tail}".strip())))
             for abbreviation in short:
                 first, *rest = loose.split()
                 tight = " ".join([f"{{v{first}|{first}}}", *rest])
