@@ -114,6 +114,29 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_archives_keep_every_row(spark, tmp_path):
+    """Rows with a repeated or null page_id are captures of their own, by the query's SQL."""
+    import duckdb
+
+    from tidemark.llm.queries import ORACLE_SQL
+
+    big, other = "<p>big</p>" * 200, "<p>other</p>" * 200
+    rows = [(1, "a", big), (1, "a", big), (1, "b", big), (5, "c", big), (5, "c", big), (2, "d", "x"), (2, "d", "y"), (3, "e", other), (3, "e", big), (None, "f", big), (None, "f", "z"), (None, "g", None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda r: tuple(str(x) for x in r)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted(got, key=key) == sorted(con.execute(ORACLE_SQL["op7_warc"]).fetchall(), key=key)
+    warc.write_archives(pages, f"file://{tmp_path}/w")
+    records = warc.read_records(spark, f"file://{tmp_path}/w").collect()
+    assert len({r.record_id for r in records}) == 3 * len(rows)
+    whole = {r.record_id: r.payload_digest for r in records if r.record_type == "response"}
+    revisits = [r for r in records if r.record_type == "revisit"]
+    assert len(revisits) == 4 and all(whole[r.refers_to] == r.payload_digest for r in revisits)
+
+
 def test_broken_archives_are_reported():
     with pytest.raises(ValueError):
         list(warc.parse_archive(b"not a record\r\n\r\n"))

@@ -20,21 +20,27 @@ from .shared import new_path
 LEAST_REVISIT_BYTES = 1000
 FILE_RECORDS = 4000
 _EOL = "\r\n"
+#: Headers of responses and revisits: page_id, and that of the response that a revisit repeats.
+_PAGE, _REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 _RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("http_headers", pa.string()), ("body", pa.binary())])
 RECORD_SCHEMA = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, headers map<string,string>, http_headers string, body binary"
 
 
 def plan_captures(pages: DataFrame) -> DataFrame:
-    """Adds payload (binary), payload_digest, payload_bytes and refers_to (page_id of the response that a revisit repeats).
+    """Adds capture (a number of each row's own), payload_bytes, payload_digest, and refers_to and refers_to_capture (page_id
+    and capture of the response that a revisit repeats: the largest page_id with that payload).
 
+    Rows with a null page_id are responses, and so are all rows that have the page_id referred to. Captures are numbered by
+    partition and place in `pages`, which must be the same whenever it is read, as those of files are.
     Only digests that occur twice are joined back; their maximum is taken before the shuffle, and the join is one whose
     large partitions adaptive execution splits, so a payload that a third of all pages share is no bottleneck.
     """
-    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    p = pages.select(F.monotonically_increasing_id().alias("capture"), "page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha1(F.encode("html", "UTF-8")))
-    again = p.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).groupBy("payload_digest").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = p.where(F.col("payload_bytes") >= LEAST_REVISIT_BYTES).groupBy("payload_digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "capture"))).alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     p = p.join(again, "payload_digest", "left")
-    return p.withColumn("refers_to", F.when((F.col("payload_bytes") >= LEAST_REVISIT_BYTES) & (F.col("kept_id") != F.col("page_id")), F.col("kept_id"))).drop("kept_id")
+    repeats = (F.col("payload_bytes") >= LEAST_REVISIT_BYTES) & (F.col("kept.page_id") != F.col("page_id"))
+    return p.withColumns({"refers_to": F.when(repeats, F.col("kept.page_id")), "refers_to_capture": F.when(repeats, F.col("kept.capture"))}).drop("kept")
 
 
 def _uid(kind: str, key) -> F.Column:
@@ -54,27 +60,28 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     """Write gzipped archives under `path`.
 
     A record is text ending in two empty lines, so Spark's own text writer with that line separator makes valid archives
-    through any file system. Null url and html are empty; page_id must be unique.
+    through any file system. Null url and html are empty. Identifiers hold the capture's number, so every row is a capture,
+    whether its page_id is repeated or null; page_id is a header of its own, which is left out where it is null.
     """
     p = plan_captures(pages)
     # a header line must not be broken by its value
     uri = F.regexp_replace("url", r"[\r\n\x00]", "%0A")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_EOL}Content-Type: text/html; charset=utf-8{_EOL}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(_EOL * 2))
     revisit = F.col("refers_to").isNotNull()
-    own, digest = _uid("page", F.col("page_id")), F.concat(F.lit("sha1:"), "payload_digest")
+    own, digest = _uid("page", F.col("capture")), F.concat(F.lit("sha1:"), "payload_digest")
     common = (("WARC-Target-URI", uri), ("WARC-Date", F.lit(date)))
     main = _record(
         _fields(
             ("WARC-Type", F.when(revisit, "revisit").otherwise("response")), ("WARC-Record-ID", own), *common, ("WARC-Payload-Digest", digest),
-            ("X-Payload-Length", F.col("payload_bytes").cast("string")),
-            ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("WARC-Refers-To", F.when(revisit, _uid("page", F.col("refers_to")))), ("Content-Type", F.lit("application/http; msgtype=response")),
+            ("X-Payload-Length", F.col("payload_bytes").cast("string")), (_PAGE, F.col("page_id").cast("string")), (_REFERS_TO_PAGE, F.col("refers_to").cast("string")),
+            ("WARC-Profile", F.when(revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))), ("WARC-Refers-To", F.when(revisit, _uid("page", F.col("refers_to_capture")))), ("Content-Type", F.lit("application/http; msgtype=response")),
         ),
         F.when(revisit, http).otherwise(F.concat(http, "html")),
     )
     asked = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{_EOL}Accept: text/html{_EOL * 2}"))
-    request = _record(_fields(("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uid("request", F.col("page_id"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))), asked)
+    request = _record(_fields(("WARC-Type", F.lit("request")), ("WARC-Record-ID", _uid("request", F.col("capture"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))), asked)
     about = F.concat(F.lit("fetched-by: tidemark\r\npayload-bytes: "), F.col("payload_bytes").cast("string"), F.lit(_EOL))
-    metadata = _record(_fields(("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uid("metadata", F.col("page_id"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))), about)
+    metadata = _record(_fields(("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", _uid("metadata", F.col("capture"))), *common, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))), about)
     # explode would need an array of three whole records; one row of three records in their order is the same bytes
     p.select(F.concat_ws(_EOL * 2, request, main, metadata).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
@@ -138,7 +145,8 @@ def assemble(records: DataFrame, bodies: bool = True) -> DataFrame:
     key = F.when(F.col("record_type").isin("response", "revisit"), F.col("record_id")).otherwise(F.col("concurrent_to"))
     is_main = F.col("record_type").isin("response", "revisit")
     pick = lambda cond: F.min_by(F.when(cond, part), F.when(cond, F.col("record_id")))
-    main = F.struct("record_id", "record_type", "refers_to", "target_uri", "payload_digest", "payload_bytes", "http_headers", *(["body"] if bodies else []))
+    header = lambda name: F.try_element_at("headers", F.lit(name)).cast("long")
+    main = F.struct("record_id", "record_type", header(_PAGE).alias("page_id"), header(_REFERS_TO_PAGE).alias("refers_to_page"), "refers_to", "target_uri", "payload_digest", "payload_bytes", "http_headers", *(["body"] if bodies else []))
     got = records.withColumn("capture_id", key).groupBy("capture_id").agg(F.min_by(F.when(is_main, main), F.when(is_main, F.col("record_id"))).alias("response"), pick(F.col("record_type") == "request").alias("request"), pick(F.col("record_type") == "metadata").alias("metadata"))
     return got.where("response is not null")
 
@@ -153,9 +161,8 @@ def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     whole = F.col("record_type") == "response"
     records = read_records(spark, path).withColumn("payload_digest", F.when(whole, F.sha1("body")).otherwise(F.col("payload_digest"))).withColumn("payload_bytes", F.when(whole, F.octet_length("body").cast("long")).otherwise(F.col("payload_bytes")))
     got = assemble(records, bodies=False)
-    number = lambda c: F.regexp_extract(c, r":(-?\d+)>$", 1).cast("long")
     return got.select(
-        number(F.col("response.record_id")).alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
-        F.when(F.col("response.refers_to").isNotNull(), number(F.col("response.refers_to"))).alias("refers_to"),
+        F.col("response.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        F.col("response.refers_to_page").alias("refers_to"),
         F.col("request.http_headers").alias("request_line"), F.col("metadata.record_id").isNotNull().alias("has_metadata"),
     )
