@@ -145,6 +145,20 @@ def test_order_places_every_track_once():
     assert sorted(got["track_id"]) == list(range(25)) and got["slot"].tolist() == list(range(25))
 
 
+def test_sets_hold_every_track(spark):
+    from tidemark.plans.catalog import QUERIES
+
+    rows = [(i, a) for a, n in (("one", 1), ("two", 100), ("three", 101), ("four", 250)) for i in range(n)]
+    got = planner.in_sets(spark.createDataFrame(rows + rows[:50], "track_id long, artist string"), "artist").distinct().groupBy("artist", "set_no").count().collect()
+    assert sorted((r["artist"], r["set_no"], r["count"]) for r in got) == [("four", 0, 84), ("four", 1, 83), ("four", 2, 83), ("one", 0, 1), ("three", 0, 51), ("three", 1, 50), ("two", 0, 100)]
+    sf = "/root/testdata/sf0.01"
+    parts = spark.read.parquet(f"{sf}/part.parquet").count()
+    ordered = QUERIES["dj11_order_tracks"](spark, sf).toPandas()
+    assert len(ordered) == ordered["track_id"].nunique() == parts
+    assert all(sorted(g["slot"]) == list(range(len(g))) and len(g) <= 100 for _, g in ordered.groupby(["artist", "set_no"]))
+    assert QUERIES["dj10_polish"](spark, sf).agg({"n": "sum"}).first()[0] == parts
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)], "s double, y int")
     assert abs(evaluation.auc(df, "s", "y").first().auc - 4.5 / 6) < 1e-12

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import music
 from ..functions.music import ENERGY_STEP, PHASES, TEMPO_SHIFT, TOLERANCE
 
+#: Tracks that are ordered as one set, at most.
+MOST_TRACKS = 100
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -164,8 +167,18 @@ def order_tracks(f: pd.DataFrame, floor: float | None = None, ceiling: float | N
     return pd.DataFrame({"slot": np.arange(n), "track_id": f["track_id"].to_numpy()[order]})
 
 
-def order(tracks: DataFrame, by: str) -> DataFrame:
+def in_sets(tracks: DataFrame, by: str, most: int = MOST_TRACKS) -> DataFrame:
+    """Adds set_no: each group's tracks, by track_id, in as few sets of at most `most` as hold them all, of even sizes."""
+    own = Window.partitionBy(by)
+    t = tracks.withColumn("_r", F.dense_rank().over(own.orderBy("track_id"))).withColumn("_n", F.max("_r").over(own))
+    return t.withColumn("set_no", F.floor((F.col("_r") - 1) * F.ceil(F.col("_n") / most) / F.col("_n")).cast("long")).drop("_r", "_n")
+
+
+def order(tracks: DataFrame, *by: str) -> DataFrame:
+    """The tracks of each group in order; groups are sets, of MOST_TRACKS at most."""
+
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        return order_tracks(f).assign(**{by: key[0]})
+        return order_tracks(f).assign(**dict(zip(by, key)))
 
-    return tracks.groupBy(by).applyInPandas(run, f"slot long, track_id long, {by} {tracks.schema[by].dataType.simpleString()}")
+    keys = ", ".join(f"{c} {tracks.schema[c].dataType.simpleString()}" for c in by)
+    return tracks.groupBy(*by).applyInPandas(run, f"slot long, track_id long, {keys}")

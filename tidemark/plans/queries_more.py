@@ -195,14 +195,14 @@ def _(s, d):
 
 @query("dj10_polish")
 def _(s, d):
-    """Tracks ordered with and without near swaps."""
-    own = ranks.top_per(crate(s, d), 20, ["artist"], ["track_id"], "k")
+    """Tracks of each set ordered with and without near swaps."""
+    own = planner.in_sets(crate(s, d), "artist")
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
         a, b = planner.order_tracks(f, passes=0), planner.order_tracks(f)
-        return pd.DataFrame({"artist": [key[0]], "moved": [int((a["track_id"] != b["track_id"]).sum())], "n": [len(f)]})
+        return pd.DataFrame({"artist": [key[0]], "set_no": [key[1]], "moved": [int((a["track_id"] != b["track_id"]).sum())], "n": [len(f)]})
 
-    return own.groupBy("artist").applyInPandas(run, "artist string, moved long, n long")
+    return own.groupBy("artist", "set_no").applyInPandas(run, "artist string, set_no long, moved long, n long")
 
 
 @query("dj8_revision")

@@ -57,8 +57,7 @@ def _(s, d):
 
 @query("dj11_order_tracks")
 def _(s, d):
-    own = ranks.top_per(crate(s, d), 30, ["artist"], ["track_id"], "k")
-    return planner.order(own, "artist")
+    return planner.order(planner.in_sets(crate(s, d), "artist"), "artist", "set_no")
 
 
 _THEMES = brief.THEMES
