@@ -108,6 +108,24 @@ def test_medoids_find_groups():
     assert clusters.silhouette(d, label) > 0.5
 
 
+def test_model_choice_tries_every_k(spark, monkeypatch):
+    from tidemark.plans import queries_more
+    from tidemark.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(4)
+    own = [sorted(rng.choice(40, 6, False).tolist()) for _ in range(60)]
+    rows = [(i, k) for i, k in enumerate(own)] + [(1000 + i, own[0]) for i in range(500)]  # one print that most rows share
+    tags = spark.createDataFrame(rows, "vec_id long, kc array<long>")
+    monkeypatch.setattr(queries_more, "prints", lambda s, d: tags)
+    got = {r.k: r.silhouette for r in QUERIES["cl3_silhouette"](spark, "").collect()}
+    far = clusters.distances(clusters.sample(tags, "vec_id"))
+    assert len(far) == len({tuple(k) for k in own})
+    want = {k: clusters.silhouette(far, far[:, clusters.medoids(far, k)].argmin(1)) for k in range(6, 13)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)  # queries round
+    _, best = clusters.fit(tags, "vec_id")
+    assert abs(best - max(want.values())) < 1e-9
+
+
 def test_titles(spark):
     one = spark.createDataFrame([("Abbey Road (Remastered)", "The Beatles ", "Artist - Song - B")], "album string, artist string, q string")
     r = one.select(text.album_key("artist", "album"), text.clean_title(F.lit("Song (Live) feat. X - Remastered")), text.modifiers(F.lit("Song Live Remastered")), *text.split_query("q"), text.fold_suffix("q"), text.slug(F.lit("  A & B! ")), text.clock_label(F.lit(15)), text.clock_label(F.lit(0))).first()

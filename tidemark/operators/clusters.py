@@ -11,6 +11,9 @@ from .similarity import hamming
 #: Distinct fingerprints that medoids are fitted on, at most; all rows are assigned.
 SAMPLE = 4000
 
+#: Numbers of clusters that are tried.
+KS = range(6, 13)
+
 
 def distances(cells: list[list[int]]) -> np.ndarray:
     width = max((max(c, default=-1) for c in cells), default=-1) + 1
@@ -61,7 +64,13 @@ def sample(tags: DataFrame, key: str) -> list[list[int]]:
     return [r["kc"] for r in distinct.collect()]
 
 
-def fit(tags: DataFrame, key: str, ks: range = range(6, 13)) -> tuple[list[list[int]], float]:
+def silhouettes(d: np.ndarray, ks: range = KS) -> list[tuple[int, float]]:
+    """(k, mean silhouette) of each k whose medoids make more than one cluster."""
+    labels = ((k, d[:, medoids(d, k)].argmin(1)) for k in ks) if len(d) else ()
+    return [(k, silhouette(d, label)) for k, label in labels if len(np.unique(label)) > 1]
+
+
+def fit(tags: DataFrame, key: str, ks: range = KS) -> tuple[list[list[int]], float]:
     """Cells of the medoids of the k with the best mean silhouette (the smallest of equal ones), and that value."""
     cells = sample(tags, key)
     d, best = distances(cells), (-2.0, [])

@@ -168,11 +168,8 @@ def _(s, d):
 
 @query("cl3_silhouette")
 def _(s, d):
-    p = prints(s, d)
-    cells = [r["kc"] for r in p.orderBy(F.xxhash64("vec_id"), "vec_id").limit(clusters.SAMPLE).collect()]
-    far = clusters.distances(cells)
-    rows = [(k, clusters.silhouette(far, far[:, clusters.medoids(far, k)].argmin(1))) for k in range(6, 9)]
-    return s.createDataFrame(rows, "k long, silhouette double")
+    far = clusters.distances(clusters.sample(prints(s, d), "vec_id"))
+    return s.createDataFrame(clusters.silhouettes(far), "k long, silhouette double")
 
 
 @query("str13_cluster_names")

@@ -94,7 +94,7 @@ def _(s, d):
 @query("cl2_k_medoids")
 def _(s, d):
     p = prints(s, d)
-    centres, _ = clusters.fit(p, "vec_id", range(6, 9))
+    centres, _ = clusters.fit(p, "vec_id")
     return clusters.assign(p, centres).select("vec_id", "cluster", "distance")
 
 
