@@ -21,9 +21,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id; rows with a null doc_id stay."""
-    gone = jaccard.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked rows the one with the smallest doc_id (of several the first); rows with a null doc_id stay.
+
+    Rows are linked by a number of their own, as a doc_id may be repeated, with the same text or another. They are numbered by
+    partition and place, which are the same whenever a stage's files are read.
+    """
+    own = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
+    linked = jaccard.join(own.select(F.col("_row").alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id")
+    kept = linked.join(own.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    gone = linked.join(kept, "component_id").where("_row <> kept._row").select("_row")
+    return own.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

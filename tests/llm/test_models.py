@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import embeddings, packing, quality, toxicity, warc
 from tidemark.llm.queries import table
-from tidemark.llm.shared import components
+from tidemark.llm.shared import components, new_path
 
 SF = "/root/testdata/sf0.01"
 
@@ -179,6 +179,21 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """One row of each group of texts stays, whatever rows share a doc_id."""
+    import corpus_pipeline as p
+
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(9, a), (9, b), (5, a + " end"), (7, c), (7, c), (3, d), (3, e), (4, e), (2, d + " end"), (None, c), (None, c), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    path = f"{new_path(spark, 'repeated')}"
+    docs.write.parquet(path)
+    out = p.drop_near_duplicates(spark, spark.read.parquet(path), "")
+    assert out.columns == ["doc_id", "text", "source"]
+    want = [(9, b), (5, a + " end"), (7, c), (3, e), (2, d + " end"), (None, c), (None, c), (8, None), (8, "")]
+    assert sorted(str((r.doc_id, r.text)) for r in out.collect()) == sorted(map(str, want))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
