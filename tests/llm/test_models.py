@@ -208,3 +208,13 @@ def test_pipeline(spark):
     assert 0 < seen.count() < docs.count()
     packed = p.run(spark, "/root/testdata/sf0.001").toPandas()
     assert set(packed["doc_id"]) == {r.doc_id for r in seen.collect()}
+
+
+def test_embeddings_with_repeated_and_null_ids(spark):
+    """Rows are told apart by their vectors, whatever their ids."""
+    a, near, b = [1.0, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    c, nearer = [0.0, 0.0, 0.0, 1.0], [0.0, 0.1, 0.0, 1.0]
+    rows = [(5, a), (5, b), (6, near), (9, near), (None, b), (4, c), (4, nearer), (None, [0.0] * 4), (None, [1.0, 1.0, 1.0, 1.0])]
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<float>, label int, rep string")).collect()
+    want = [(5, 3 - 1, 5, True), (5, 1, 5, True), (6, 2, 5, False), (9, 2, 5, False), (None, 1, 5, False), (4, 1, 4, True), (4, 1, 4, True), (None, 0, None, True), (None, 0, None, True)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))

@@ -81,18 +81,19 @@ def fit(x: np.ndarray, lists: int, seed: int = 7) -> Index:
 
 
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(all rows with their class key or null keys, one row for each class: k1, k2, rep, label, embedding, n).
+    """(all rows with their class key or null keys, one row for each class: k1, k2, rep, least, label, embedding, n).
 
-    A class is the rows of one label with the same vector. Vectors that can't link have null keys. Keys are two 64-bit
-    hashes; counts are combined before the shuffle, so a vector that a third of all rows share is no bottleneck.
+    A class is the rows of one label with the same vector; `rep` is a number of its own, which must be written before it is
+    used, and `least` its smallest vec_id (null: all of its rows have none). Vectors that can't link have null keys. Keys are
+    two 64-bit hashes; counts are combined before the shuffle, so a vector that a third of all rows share is no bottleneck.
     """
     good = F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     e = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select("vec_id", "label", "embedding").withColumn("ok", F.coalesce(good, F.lit(False)))
     key = lambda seed: F.when(F.col("ok"), F.xxhash64(F.lit(seed), "label", e))
     rows = rows.withColumn("k1", key(1)).withColumn("k2", key(2))
-    one = rows.where("ok").groupBy(*_K).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    return rows.select("vec_id", *_K), one
+    one = rows.where("ok").groupBy(*_K).agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    return rows.select("vec_id", *_K), one.withColumn("rep", F.monotonically_increasing_id())
 
 
 _FOUND = "a long, b long, n long"
@@ -118,7 +119,7 @@ def _unit(column: pd.Series) -> np.ndarray:
 
 
 def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
-    sample = one.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toPandas()
+    sample = one.orderBy(*_K).limit(SAMPLE).select("embedding").toPandas()
     lists = int(min(LISTS[1], max(LISTS[0], 2 * most**0.5), len(sample)))
     shared = spark.sparkContext.broadcast(fit(_unit(sample["embedding"]), lists))
 
@@ -126,20 +127,23 @@ def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
         index = shared.value
         for f in frames:
             if len(f):
-                probes = index.nearest(_unit(f["embedding"]).astype(np.float32), PROBES)
-                yield f.assign(probes=list(probes.astype(np.int32)))
+                x = _unit(f["embedding"]).astype(np.float32)
+                probes = index.nearest(x, PROBES)
+                yield f.assign(probes=list(probes.astype(np.int32)), code=[c.tobytes() for c in index.codes(x, probes[:, 0])])
 
-    placed = materialise(one.select("rep", "n", "label", "embedding").mapInPandas(assign, "rep long, n long, label int, embedding array<double>, probes array<int>"), "lists")
+    # vectors keep the type they came in: half the bytes of doubles, as a rule
+    kind = one.schema["embedding"].dataType.simpleString()
+    placed = materialise(one.select("rep", "n", "label", "embedding").mapInPandas(assign, f"rep long, n long, label int, embedding {kind}, probes array<int>, code binary"), "lists")
     # blocks of each list and shares of its queries: at most labels x lists rows. A group holds one of each, so its size is
     # bounded, and a pair meets in one group
     probes = placed.select("label", F.posexplode("probes").alias("nth", "list"))
     size = probes.groupBy("label", "list").agg(F.ceil(F.count_if(F.col("nth") == 0) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / ASKED).cast("int").alias("shares"))
     size = size.where("blocks > 0")
-    row = ["rep", "n", "embedding", "probes"]
+    row = ["rep", "n", "embedding", "probes", "code"]
     own = placed.select("label", *row, F.col("probes")[0].alias("list")).join(size, ["label", "list"])
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = own.select("label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), span("shares").alias("share"), F.lit(True).alias("base"), *row)
-    asked = placed.select("label", *row, F.explode("probes").alias("list")).join(size, ["label", "list"])
+    asked = placed.withColumn("code", F.lit(None).cast("binary")).select("label", *row, F.explode("probes").alias("list")).join(size, ["label", "list"])
     query = asked.select("label", "list", span("blocks").alias("block"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("shares")).cast("int").alias("share"), F.lit(False).alias("base"), *row)
 
     def search(key, f: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +152,7 @@ def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
         if not len(b) or not len(q):
             return pd.DataFrame(columns=["a", "b", "n"], dtype=np.int64)
         xb, ib, nb, pb = _unit(b["embedding"]), b["rep"].to_numpy(), b["n"].to_numpy(), np.stack(b["probes"].to_numpy())
-        codes = index.codes(xb, np.full(len(b), which))
+        codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
         counts: dict[int, int] = {}
         up: dict[int, int] = {}
         edges = []
@@ -186,15 +190,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 
     Links join rows of one label whose cosine is at least 0.93. Null labels and vectors that are null, empty, zero or hold
     null or non-finite numbers link with nothing. Vectors of different dimensions aren't compared. Copies are one class:
-    they link with each other and share the links of their class. Repeated vec_ids are rows of their own.
+    they link with each other and share the links of their class.
+
+    Rows are told apart by their vectors, never by vec_id: rows that repeat a vec_id count as rows of their own, with the
+    links of their own vector, and so do rows without one. component_id is the smallest vec_id of the rows in reach, nulls
+    aside; it is null where none has one. kept is vec_id = component_id, two nulls being equal, so all rows with the smallest
+    vec_id are kept.
     """
     rows, one = classes(vectors)
     one = materialise(one, "classes")
     found = materialise(links(one), "links")
     others = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
-    part = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep")
-    one = one.select(*_K, "rep", "n").join(others, "rep", "left").join(part, "rep", "left")
-    one = one.select(*_K, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    part = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep").withColumnRenamed("component_id", "part")
+    one = one.select(*_K, "rep", "least", "n").join(others, "rep", "left").join(part, "rep", "left")
+    smallest = one.where("part is not null").groupBy("part").agg(F.min("least").alias("smallest"))
+    one = one.join(smallest, "part", "left").select(*_K, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     got = rows.join(one, _K, "left")
-    component = F.coalesce("component_id", "vec_id")
-    return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
