@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences: a configuration linear program over the length histogram.
 
 Tokens are counted once; everything after works on the histogram of piece lengths, which has at most `capacity` rows
-whatever the corpus. The covering program (choose how often to use each way of filling a sequence) is solved by
-multiplicative weights: lengths that are short of coverage gain weight, and a knapsack over the capacity prices the
-configurations. Its solution is rounded to whole sequences, what is left is packed best-fit on the histogram, and the
+whatever the corpus. Lengths are grouped upward into classes that hold enough pieces each, and the covering program (choose
+how often to use each way of filling a sequence with classes) is solved by multiplicative weights: classes that are short of
+coverage gain weight, and a knapsack over the capacity prices the configurations. The solution is rounded to whole sequences
+by carrying remainders on; each slot takes the longest piece of its class, the last one the longest that fits. Pieces whose
+sequence would stay too empty, and what is left, are packed best-fit into the rooms left open and into new sequences. The
 resulting plan - ranges of ranks within each length - places every piece.
 """
 
@@ -12,15 +14,18 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import BLOCK_BYTES, prefix_hash, span_hash
 from .shared import materialise
 
 CAPACITY = 4096
@@ -28,14 +33,56 @@ END_ID = 1
 #: Words whose ids a worker remembers before it starts anew.
 _CACHE_WORDS = 400_000
 
+#: Classes of lengths are made so wide that they hold this many pieces each, on the whole.
+CLASS_PIECES = 32
+#: Rounded sequences may have this share of empty room.
+EMPTY = 0.001
+#: Shares of the program's solution that rounding is tried with; what they leave goes to best fit.
+SHARES = (1.0, 0.9, 0.75, 0.6)
+
 # Text within Latin-1 needs no Unicode tables: it is in normal form, and its letters, digits and white space are these.
 _BEYOND = re.compile(r"[^\x00-\xff]")
-_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+_SPACE = re.compile(rb"[\t-\r \x85\xa0]")
+_NOTHING, _LETTER, _DIGIT, _OTHER = range(4)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(9, 14), 32, 0x85, 0xA0]] = _NOTHING
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xAA, 0xB5, 0xBA, *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]] = _LETTER
+_KIND[[*range(0x30, 0x3A), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = _DIGIT
+_APOSTROPHE = ord("'")
+#: What an apostrophe takes with it: these letters, or these pairs of letters.
+_TAKES_ONE, _TAKES_TWO = np.frombuffer(b"stmd", np.uint8), [tuple(x) for x in (b"re", b"ve", b"ll")]
+
+
+def latin_words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the tokenizer's words in lower-cased Latin-1 texts that lie end to end: contractions, runs of
+    letters, single digits, and runs of what is neither these nor white space."""
+    if not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _KIND[b]
+    heads = off[:-1][off[:-1] < len(b)]
+    before = np.concatenate([[np.uint8(_NOTHING)], kind[:-1]])
+    before[heads] = _NOTHING
+    start = (kind != _NOTHING) & ((kind != before) | (kind == _DIGIT))
+    q = np.flatnonzero((b[:-1] == _APOSTROPHE) & start[:-1] & (kind[1:] == _LETTER) & (before[1:] == _OTHER))
+    second = np.minimum(q + 2, len(b) - 1)
+    goes_on = (q + 2 < len(b)) & (kind[second] == _LETTER) & (before[second] == _LETTER)
+    two = np.zeros(len(q), bool)
+    for x, y in _TAKES_TWO:
+        two |= (b[q + 1] == x) & (b[second] == y)
+    takes = np.where(np.isin(b[q + 1], _TAKES_ONE), 1, np.where(two & goes_on, 2, 0))
+    q, takes = q[takes > 0], takes[takes > 0]
+    start[q + 1] = False
+    after = (q + 1 + takes)[q + 1 + takes < len(b)]
+    start[after[(kind[after] == _LETTER) & (before[after] == _LETTER)]] = True
+    stop = start | (kind == _NOTHING)
+    stop[heads] = True
+    s, places = np.flatnonzero(start), np.append(np.flatnonzero(stop), len(b))
+    return s, places[np.searchsorted(places, s, "right")]
 
 
 class WordTokenizer:
-    """Ids of a BPE tokenizer that lower-cases, splits into words and merges within a word: each distinct word is encoded once.
+    """Ids of a BPE tokenizer that lower-cases, splits into words and merges within a word: each distinct word is encoded
+    once, and the ids of a block of texts are put together at once. Words are told apart by 64-bit hashes.
 
     Texts beyond Latin-1, or with what may be a special token, go to the tokenizer whole.
     """
@@ -48,32 +95,70 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if "<|" in text or _BEYOND.search(text):
-            return self._encode(text)
-        found = _WORD.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            if len(self.known) > _CACHE_WORDS:
-                self.known.clear()
-            self._learn([w for w in dict.fromkeys(found) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, found))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[int, int] = {}
+        self.store, self.at, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, text: str) -> np.ndarray:
+        return self.encode([text])[0]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Long texts are cut at white space, so that blocks stay near a megabyte."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        rows, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            if "<|" in text or _BEYOND.search(text):
+                out[i].append(self._whole(text))
+                continue
+            data, at = text.lower().encode("latin-1"), 0
+            while at < len(data):
+                cut = _SPACE.search(data, at + BLOCK_BYTES) if len(data) - at > 2 * BLOCK_BYTES else None
+                end = cut.start() if cut else len(data)
+                rows.append(i)
+                parts.append(data[at:end])
+                size += end - at
+                at = end
+                if size >= BLOCK_BYTES:
+                    self._block(rows, parts, out)
+                    rows, parts, size = [], [], 0
+        self._block(rows, parts, out)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, "<u4") for x in out]
+
+    def _block(self, rows: list[int], parts: list[bytes], out: list[list[np.ndarray]]) -> None:
+        raw, off = b"".join(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        b = np.frombuffer(raw, np.uint8)
+        s, e = latin_words(b, off)
+        h, first, of = np.unique(span_hash(prefix_hash(b), s, e), return_index=True, return_inverse=True)
+        if len(self.known) > _CACHE_WORDS:
+            self._forget()
+        number = np.fromiter((self.known.get(x, -1) for x in h.tolist()), np.int64, len(h))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            self._learn([raw[s[i] : e[i]].decode("latin-1") for i in first[new].tolist()])
+            number[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(h[new].tolist(), number[new].tolist()))
+        n, at = self.size[number][of], self.at[number][of]
+        total = np.cumsum(n)
+        ids = self.store[np.repeat(at - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+        cut = np.concatenate([[0], total])[np.searchsorted(s, off)].tolist()
+        for i, a, z in zip(rows, cut, cut[1:]):
+            out[i].append(ids[a:z])
 
     def _learn(self, new: list[str]) -> None:
         """Encode words in one call, which costs far less than one each, and cut the ids at word ends."""
-        body = self._encode(" ".join(new))
-        cuts = ((np.flatnonzero(self.ends_word[np.frombuffer(body, "<u4")]) + 1) * 4).tolist()
-        if len(cuts) == len(new):
-            self.known.update(zip(new, (body[a:b] for a, b in zip([0, *cuts], cuts))))
-        else:  # an id that ends a word within one: take each by itself
-            self.known.update((w, self._encode(w)) for w in new)
+        ids = self._whole(" ".join(new))
+        end = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(end) != len(new):  # an id that ends a word within one: take each by itself
+            own = [self._whole(w) for w in new]
+            ids, end = np.concatenate(own), np.cumsum([len(x) for x in own])
+        start = np.concatenate([[0], end[:-1]])
+        self.at, self.size = np.append(self.at, len(self.store) + start), np.append(self.size, end - start)
+        self.store = np.append(self.store, ids)
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -93,27 +178,32 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row for each piece of each document: its tokens and the end id, cut every `capacity` tokens. No shuffle."""
-    end = np.array([end_id], "<u4").tobytes()
-    width = 4 * capacity
+    end = np.array([end_id], "<u4")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = worker_tokenizer(path)
-        for batch in batches:
-            doc, piece, start, length, crc, body = [], [], [], [], [], []
-            for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = tok.ids(text.as_py() or "") + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    doc.append(d)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if with_ids:
-                        body.append(part)
-            cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(body, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        for whole in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(whole.column("text")), 0).to_numpy(False).astype(np.int64))
+            cuts = np.searchsorted(size, np.arange(4 * BLOCK_BYTES, size[-1] if len(size) else 0, 4 * BLOCK_BYTES))
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), whole.num_rows]):
+                if a == z:
+                    continue
+                batch = whole.slice(a, z - a)
+                doc, piece, start, length, crc, body = [], [], [], [], [], []
+                for d, ids in zip(batch.column("doc_id").to_pylist(), tok.encode([t or "" for t in batch.column("text").to_pylist()])):
+                    ids = np.append(ids, end)
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity].tobytes()
+                        doc.append(d)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(len(part) // 4)
+                        crc.append(zlib.crc32(part))
+                        if with_ids:
+                            body.append(part)
+                cols = [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(body, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECE_SCHEMA + ", ids binary" * with_ids)
 
@@ -144,43 +234,60 @@ def _trace(take: np.ndarray, lengths: np.ndarray, c: int) -> dict[int, int]:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 24, rate: float = 1.0, slack: float = 0.05) -> list[tuple[float, dict[int, int]]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rounds: int = 24, rate: float = 4.0, slack: float = 0.02, extra: int = 200) -> list[tuple[float, dict[int, int]]]:
     """A fractional cover of the histogram as [(times, {index of length: number of it})], by multiplicative weights.
 
-    Each round covers an equal share of every length's demand. The knapsack prices all capacities at once, which gives for
-    every length the best configuration that holds it; those worth at least 1 - slack of the best are used. A length's
-    weight is its size, times the exponential of how far its coverage lags behind.
+    The first `rounds` rounds each cover an equal share more of every length's demand, `extra` rounds at most what is then
+    missing. The knapsack prices all capacities at once, which gives for every length the best configuration that holds it;
+    those worth at least 1 - slack of the best are used. A length's weight is its size, times the exponential of how far its
+    coverage lags behind; lengths that are covered have none. Ends when no configuration is left that fills 1 - slack of the
+    capacity.
     """
     total: dict[tuple, float] = {}
     covered = np.zeros(len(lengths))
     size = lengths / capacity
-    for r in range(1, rounds + 1):
-        goal = r / rounds
-        weight = size * np.exp(-rate * (covered / counts - goal))
+    for r in range(1, rounds + extra + 1):
+        goal = min(1.0, r / rounds)
+        rest = counts - covered
+        weight = np.where(rest > 1e-9 * counts, size * np.exp(-rate * np.minimum(covered / counts - goal, 0.0)), 0.0)
+        if not weight.any():
+            break
         best, take = _knapsack(lengths, weight, capacity)
-        for i in range(len(lengths) - 1, -1, -1):
-            if weight[i] + best[capacity - lengths[i]] < (1 - slack) * best[capacity] or covered[i] >= counts[i] * goal:
+        used = 0.0
+        for i in np.argsort(-(weight + best[capacity - lengths])):
+            if weight[i] + best[capacity - lengths[i]] < (1 - slack) * best[capacity]:
+                break
+            if covered[i] >= counts[i] * goal:
                 continue
             config = _trace(take, lengths, int(capacity - lengths[i]))
             config[i] = config.get(i, 0) + 1
             config = {k: min(n, int(counts[k])) for k, n in config.items()}
+            if sum(int(lengths[k]) * n for k, n in config.items()) < (1 - slack) * capacity:
+                continue
             times = min((counts[i] * goal - covered[i]) / config[i], min((counts[k] - covered[k]) / n for k, n in config.items()))
             if times <= 0:
                 continue
             key = tuple(sorted(config.items()))
             total[key] = total.get(key, 0) + times
+            used += times
             for k, n in config.items():
                 covered[k] += times * n
+        if r > rounds and used <= 1e-4 * (counts @ size):
+            break
     return [(x, dict(key)) for key, x in sorted(total.items(), key=lambda kx: (-kx[1], kx[0]))]
 
 
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """Best-fit decreasing on a histogram: bins alike in content are handled together, so counts don't matter for time."""
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, begun: list[tuple[int, dict[int, int]]] = ()) -> list[tuple[int, dict[int, int]]]:
+    """Best-fit decreasing on a histogram, into the rooms of sequences already begun and new ones: bins alike in content are
+    handled together, so counts don't matter for time."""
     bins: dict[int, list[list]] = {}  # by room left: [number of bins, content]
+    for many, content in begun:
+        bins.setdefault(capacity - sum(int(lengths[i]) * n for i, n in content.items()), []).append([many, content])
+    add = lambda content, i, n: content | {i: content.get(i, 0) + n}
     left = counts.copy()
     for i in range(len(lengths) - 1, -1, -1):
         n, size = int(left[i]), int(lengths[i])
-        for room in sorted(r for r in bins if r >= size):
+        for room in sorted(r for r in bins if r >= size) if n else ():
             if not n:
                 break
             for kind in bins.pop(room):
@@ -188,10 +295,10 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
                 each = room // size
                 full = min(many, n // each)
                 if full:
-                    bins.setdefault(room - each * size, []).append([full, content | {i: each}])
+                    bins.setdefault(room - each * size, []).append([full, add(content, i, each)])
                     n -= full * each
                 if full < many and 0 < n:
-                    bins.setdefault(room - n * size, []).append([1, content | {i: n}])
+                    bins.setdefault(room - n * size, []).append([1, add(content, i, n)])
                     full, n = full + 1, 0
                 if full < many:
                     bins.setdefault(room, []).append([many - full, content])
@@ -204,22 +311,68 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
     return [(many, content) for room in sorted(bins) for many, content in bins[room]]
 
 
-def plan_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """Whole configurations that hold each piece once: the program's solution rounded down, then best fit for the rest.
+def classes(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[int, np.ndarray]:
+    """Width of the classes of lengths, a power of two, and each length's class: it is at most class * width."""
+    width = 1
+    while 64 * width < capacity and counts.sum() < CLASS_PIECES * len(np.unique(-(-lengths // width))):
+        width *= 2
+    return width, -(-lengths // width)
+
+
+def round_up(solution: list[tuple[float, dict[int, int]]], tops: np.ndarray, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """Whole sequences made of a fractional cover of classes (`tops`: the largest length of each), and the counts left over.
 
-    Rounding is tried with several shares of the solution, and the one that takes the fewest sequences counts.
+    A configuration is used as often as its share and the remainder carried from those before it say. A slot takes the longest
+    piece that is left up to its class, the last one the longest that fits. Sequences with more than EMPTY room are undone.
     """
-    solution, tried = solve(lengths, counts, capacity), []
-    for share in (1.0, 0.75, 0.5):
-        left, out = counts.astype(np.int64).copy(), []
-        for x, config in solution:
-            times = min(int(share * x), min(int(left[k]) // n for k, n in config.items()))
-            if times:
-                out.append((times, config))
-                for k, n in config.items():
-                    left[k] -= times * n
-        tried.append(out + best_fit(lengths, left, capacity))
-    return min(tried, key=lambda bins: sum(n for n, _ in bins))
+    left, out, carry = counts.astype(np.int64).copy(), [], 0.0
+    have = [int(i) for i in np.flatnonzero(left)]  # lengths that are left, ascending like their indices
+    size = lengths.tolist()
+    for x, config in solution:
+        carry += x
+        times = int(carry)
+        carry -= times
+        slots = [int(tops[k]) for k in sorted(config, reverse=True) for _ in range(config[k])]
+        states = [(times, {}, capacity)] if times else []
+        for nth, top in enumerate(slots, 1):
+            after = []
+            for many, content, room in states:
+                while many:
+                    at = bisect_right(have, room if nth == len(slots) else min(room, top), key=size.__getitem__) - 1
+                    if at < 0:
+                        after.append((many, content, room))
+                        break
+                    i = have[at]
+                    n = min(many, int(left[i]))
+                    left[i] -= n
+                    if not left[i]:
+                        have.pop(at)
+                    after.append((n, content | {i: content.get(i, 0) + 1}, room - size[i]))
+                    many -= n
+            states = after
+        for many, content, room in states:
+            if room <= EMPTY * capacity:
+                out.append((many, content))
+            else:
+                for i, n in content.items():
+                    if not left[i]:
+                        insort(have, i)
+                    left[i] += many * n
+    return out, left
+
+
+def plan_bins(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[int, dict[int, int]]], float]:
+    """Whole configurations that hold each piece once, and the share of tokens that the program placed: its solution is rounded,
+    the rest goes to best fit. Of several shares of the solution the largest counts that takes the fewest sequences."""
+    width, of = classes(lengths, counts, capacity)
+    kinds, inverse = np.unique(of, return_inverse=True)
+    solution = solve(kinds, np.bincount(inverse, counts).astype(np.int64), capacity // width)
+    tops = lengths[np.searchsorted(inverse, np.arange(len(kinds)), "right") - 1]
+    tried = []
+    for share in SHARES:
+        begun, left = round_up([(share * x, config) for x, config in solution], tops, lengths, counts, capacity)
+        tried.append((best_fit(lengths, left, capacity, begun), 1 - float((lengths * left).sum() / (lengths * counts).sum())))
+    return min(tried, key=lambda plan: sum(n for n, _ in plan[0]))
 
 
 @dataclass
@@ -236,7 +389,7 @@ class Plan:
 def make_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """The plan's size depends on the number of distinct lengths (at most the capacity), not on the corpus."""
     used, rows, base = np.zeros(len(lengths), np.int64), [], 0
-    for times, config in plan_bins(lengths, counts, capacity):
+    for times, config in plan_bins(lengths, counts, capacity)[0]:
         at = 0
         for i, n in sorted(config.items(), reverse=True):
             rows.append((int(lengths[i]), int(used[i]), base, n, at))
