@@ -94,8 +94,12 @@ def brute_suffixes(rows, width=100):
     return out
 
 
-def test_suffix_dedup(spark, texts, monkeypatch):
+@pytest.mark.parametrize("wide, hot, slice_size", [(suffixes.WIDE, suffixes.HOT, suffixes.SLICE), (2, suffixes.HOT, 50), (2, 8, 50), (suffixes.WIDE, 8, 1)])
+def test_suffix_dedup(spark, texts, monkeypatch, wide, hot, slice_size):
     monkeypatch.setattr(suffixes, "BLOCK_BYTES", 5000)  # long documents are looked at in parts
+    monkeypatch.setattr(suffixes, "WIDE", wide)  # minimisers of many chunks are merged in two steps
+    monkeypatch.setattr(suffixes, "HOT", hot)  # those of many stretches are sampled at every window
+    monkeypatch.setattr(suffixes, "SLICE", slice_size)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.deduplicate(frame(spark, texts)).collect()}
     assert got == brute_suffixes(texts)
     assert suffixes.deduplicate(frame(spark, [])).collect() == []
@@ -103,6 +107,30 @@ def test_suffix_dedup(spark, texts, monkeypatch):
     assert sorted(n for i, n in twice if i == 1) == [118, 121] or sorted(n for i, n in twice if i == 1) == [120, 121]
 
 
+def test_repeats_are_read_off_shared_prefixes():
+    """Against sets of windows, on texts over two letters whose minimiser is taken to be where they share 4 bytes."""
+    rng = random.Random(2)
+    width, gram = 10, 4
+    for _ in range(40):
+        entries = []
+        for k in range(rng.randrange(2, 40)):
+            left, suffix = "".join(rng.choice("ab") for _ in range(rng.randrange(0, 7))), "abba" + "".join(rng.choice("ab") for _ in range(rng.randrange(0, 9)))
+            if len(left) + len(suffix) >= width:
+                entries.append((suffix.encode(), left.encode(), k, 0, 5, k % 3))
+        entries.sort()
+        run = suffixes.Run([e[0] for e in entries], [0] + [suffixes.common(a[0], b[0], 0) for a, b in zip(entries, entries[1:])], [e[1] for e in entries], np.array([e[2:] for e in entries], np.int64).reshape(-1, 4))
+        decoded = suffixes.Run.decode(run.encode())
+        assert (decoded.suffixes, decoded.lcp, decoded.lefts, decoded.numbers.tolist()) == (run.suffixes, run.lcp, run.lefts, run.numbers.tolist())
+        whole, again = suffixes.repeats(run, width, gram)
+        seen = set()
+        for i in sorted(range(len(entries)), key=lambda i: entries[i][2]):
+            text, n = entries[i][1] + entries[i][0], len(entries[i][1])
+            ds = [d for d in range(width - gram + 1) if n >= d and len(entries[i][0]) >= width - d]
+            want = {d for d in ds if (text[n - d : n - d + width], d) in seen}
+            seen |= {(text[n - d : n - d + width], d) for d in ds}
+            assert want == (set(ds) if whole[i] else set(np.flatnonzero(again[i]).tolist()))
+
+
 def test_loser_tree_orders_and_counts_prefixes():
     rng = random.Random(1)
     runs = []
