@@ -103,7 +103,8 @@ def stretches(buf: np.ndarray, off: np.ndarray, width: int = WIDTH, gram: int =
         last = np.append(first[1:], len(place)) - 1
         keep = ok[first]
         first, last = first[keep], last[keep]
-        out.append(np.stack([first + a, last + a, place[first] + a, (h[place[first]] >> _SHIFT).astype(np.int64)]))
+        # the smallest hashes of many are small: mixed again they deal out evenly
+        out.append(np.stack([first + a, last + a, place[first] + a, (mix(h[place[first]]) >> _SHIFT).astype(np.int64)]))
     return tuple(np.concatenate(out, 1)) if out else tuple(np.zeros((4, 0), np.int64))
 
 
