@@ -62,7 +62,8 @@ def shingles(text):
 def test_jaccard_join(spark, texts, monkeypatch):
     monkeypatch.setattr(jaccard, "CELL", 8)  # so that blocks have several cells, pivots and a rest
     monkeypatch.setattr(jaccard, "PIVOTS", 2)
-    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "ASKED", 8)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
     got = {r.doc_id: r for r in jaccard.join(frame(spark, texts)).collect()}
     s = {i: shingles(t) for i, t in texts}
     ids = sorted(s)
@@ -72,6 +73,24 @@ def test_jaccard_join(spark, texts, monkeypatch):
     assert len(set(want.values())) < len(ids) - 20
 
 
+def test_jaccard_join_of_a_chain(spark, monkeypatch):
+    """A block that is one long chain of shared passages with few links: all links are found, and comparisons stay few."""
+    monkeypatch.setattr(jaccard, "CELL", 8)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    rng = random.Random(8)
+    passages = [prose(rng, 30, 10**6).split() for _ in range(160)]
+    rows = [(i, " ".join(passages[i] + passages[i + 1])) for i in range(159)]
+    rows += [(1000 + i, " ".join(passages[i] + passages[i + 1][:-1] + ["end"])) for i in range(0, 159, 10)]
+    d = jaccard.sets(frame(spark, rows))
+    asked = []
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name, write=jaccard.materialise: asked.append(df.count()) or write(df, name) if name == "tiles" else write(df, name))
+    got = {r.doc_id: r.component_id for r in jaccard.join(frame(spark, rows)).collect()}
+    s = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    assert got == components(sorted(s), links) and len(set(got.values())) == 159
+    assert d.where("prefix is not null").count() > 150 and 0 < asked[0] < 175 * 175 / 4
+
+
 def test_jaccard_join_empty_null_and_repeated(spark):
     assert jaccard.join(frame(spark, [])).collect() == []
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in jaccard.join(frame(spark, [(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, "a b c")])).collect())

@@ -1,16 +1,21 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
 Every distinct word shingle of every document goes to the fragment of the n-gram space that its hash falls in, where its
-document frequency is counted. Frequencies give the global order, rarest first, and with it each document's prefix: two
-sets that reach the threshold share one of them. Documents that share a prefix n-gram form blocks; in cells of a block
-the order is cut into fragments again, partial overlaps are counted for each and added up for every pair.
+document frequency is counted. Frequencies give the order of prefixes, rarest first: two sets that reach the threshold share
+an n-gram of both prefixes. Documents that share prefix n-grams form blocks, and blocks are dealt into cells of bounded size.
 
-Equal sets are one class from the start. Large blocks are dealt into cells of bounded size that share some pivots; what
-the pivots and neighbours don't bring together is compared with the whole block, so no link is lost.
+The n-grams of a cell's documents are cut into fragments of the global order (that of their hashes, which deals them evenly).
+Each fragment of each cell is a unit of work of its own, which counts the partial overlaps of the cell's pairs; the counts of
+all fragments are then summed per pair and held against the threshold.
+
+Equal sets are one class from the start. Cells of a large block share some pivots, which unite what is alike. What is then not
+with the main part of its block is put only to those cells that hold one of its prefix n-grams and sets of like size, so a block
+that is long chains of documents without links costs what its shared n-grams cost, not the square of its size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +30,14 @@ from .shared import components, materialise
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Documents and n-grams of a cell, and pivots of a block that has several.
+#: Fragments of the n-gram order, in which partial overlaps are counted apart.
+FRAGMENTS = 4
+#: Documents and n-grams of a cell, and pivots for each length band of a block that has several cells.
 CELL, CELL_GRAMS, PIVOTS = 128, 2_000_000, 12
-#: Documents on each side of a tile of the second comparison.
-TILE = 512
-#: N-grams of one fragment within a cell.
-FRAGMENT = 8192
+#: Leftover documents that are put to a cell at once.
+ASKED = 512
+#: N-grams of a fragment that are counted at once.
+COLUMNS = 8192
 _ROWS = 60_000
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u4"), ("s1", "<u8"), ("s2", "<u8"), ("null", "u1")])
 _SHIFT = U64(16)
@@ -144,20 +151,24 @@ def _prefixes(f: pd.DataFrame) -> pd.DataFrame:
     n = docs["n"].astype(np.int64)
     take = n - (PERCENT * n + 99) // 100 + 1 - (n - np.diff(at))  # prefix entries that other documents have too
     prefix, common = [None] * len(docs), [None] * len(docs)
+    inner = np.array([i * (1 << 48) // FRAGMENTS for i in range(1, FRAGMENTS)], U64)
     for i in np.flatnonzero((take > 0) & (n > 0) & (docs["null"] == 0)):
         mine = h[at[i] : at[i + 1]]
         prefix[i] = mine[: take[i]].astype(np.int64)
-        common[i] = _pack48(np.sort(mine))
+        mine = np.sort(mine)
+        cut = [0, *np.searchsorted(mine, inner).tolist(), len(mine)]
+        common[i] = [_pack48(mine[a:z]) for a, z in zip(cut, cut[1:])]
     ids = pd.array(docs["doc_id"], "Int64")
     ids[docs["null"] == 1] = pd.NA
-    return pd.DataFrame({"doc_id": ids, "n": n, "s1": docs["s1"].view("<i8"), "s2": docs["s2"].view("<i8"), "prefix": prefix, "common": common})
+    return pd.DataFrame({"doc_id": ids, "n": n, "s1": docs["s1"].view("<i8"), "s2": docs["s2"].view("<i8"), "grams": np.diff(at), "prefix": prefix, "common": common})
 
 
-_SET_SCHEMA = "doc_id long, n long, s1 long, s2 long, prefix array<long>, common binary"
+_SET_SCHEMA = "doc_id long, n long, s1 long, s2 long, grams long, prefix array<long>, common array<binary>"
 
 
 def sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """Each document's number of shingles and set signature; for possible partners the shared n-grams of the prefix and all."""
+    """Each document's number of shingles and set signature; for possible partners the shared n-grams of the prefix, and all by
+    fragment."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = docs.select("doc_id", "text").mapInArrow(_fragments(buckets, width), "bucket int, chunk long, is_docs boolean, blob binary")
     counted = cut.groupBy("bucket").applyInPandas(_frequencies, "chunk long, is_docs boolean, blob binary")
@@ -180,87 +191,134 @@ def _forest(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> list[tuple[int, in
     return out
 
 
-def compare_cell(f: pd.DataFrame) -> pd.DataFrame:
-    """Links of a cell: a spanning forest of the pairs that reach the threshold. Rows of `side` true are compared with the
-    others only, if there are any; else all with all. A document may be on both sides; it isn't compared with itself.
-
-    Partial overlaps are counted for one fragment of the n-gram order after another; it ends when no pair can still reach
-    the threshold.
-    """
-    f = f.drop_duplicates(["rep", "side"]).sort_values("side", ascending=False, kind="stable")
-    ids, n = f["rep"].to_numpy(), f["n"].to_numpy().astype(np.float32)
-    m, split = len(f), int(f["side"].sum())
+def overlaps(grams: list[np.ndarray], split: int) -> np.ndarray:
+    """Numbers of n-grams that pairs of sets share: the first `split` with the others, or (0) all with all."""
+    m = len(grams)
     a, b = (slice(0, split), slice(split, m)) if split else (slice(0, m), slice(0, m))
-    grams = [_unpack48(x) for x in f["common"]]
     row = np.repeat(np.arange(m), [len(g) for g in grams])
     vocabulary, col, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
     ok = times[col] > 1
-    row, col = row[ok], np.cumsum(times > 1)[col[ok]] - 1
+    row, col = row[ok], (np.cumsum(times > 1) - 1)[col[ok]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    need = PERCENT * (n[a][:, None] + n[b][None, :]) / (100 + PERCENT)  # intersection that a link takes
-    need[ids[a][:, None] == ids[b][None, :]] = np.inf
-    overlap = np.zeros(need.shape, np.float32)
-    rest = np.bincount(row, minlength=m).astype(np.float32)
-    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, FRAGMENT):
-        s, e = np.searchsorted(col, [lo, lo + FRAGMENT])
-        x = np.zeros((m, FRAGMENT), np.float32)
+    size = int(col[-1]) + 1 if len(col) else 0
+    out = np.zeros((len(range(m)[a]), len(range(m)[b])), np.float32)
+    for lo in range(0, size, COLUMNS):
+        s, e = np.searchsorted(col, [lo, lo + COLUMNS])
+        x = np.zeros((m, min(COLUMNS, size - lo)), np.float32)
         x[row[s:e], col[s:e] - lo] = 1
-        overlap += x[a] @ x[b].T
-        rest -= x.sum(1)
-        if not (overlap + np.minimum(rest[a][:, None], rest[b][None, :]) >= need - 0.01).any():
-            break
-    o = np.rint(overlap).astype(np.int64)
-    total = n[a].astype(np.int64)[:, None] + n[b].astype(np.int64)[None, :]
-    i, j = np.nonzero((100 * o >= PERCENT * (total - o)) & (ids[a][:, None] != ids[b][None, :]))
-    return pd.DataFrame(_forest(i, split + j, ids), columns=["a", "b"], dtype=np.int64)
+        out += x[a] @ x[b].T
+    return np.rint(out).astype("<u4")
+
+
+_PARTIAL = pa.schema([("deal", pa.int32()), ("cell", pa.int64()), ("members", pa.binary()), ("overlap", pa.binary())])
+_MEMBER = np.dtype([("rep", "<i8"), ("n", "<i8"), ("side", "u1")])
+
+
+def _by_cell(cell: np.ndarray) -> Iterator[np.ndarray]:
+    order = np.argsort(cell, kind="stable")
+    yield from np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else ()
+
+
+def count_partial(table: pa.Table) -> pa.Table:
+    """One fragment of a deal's cells: each cell's members (in an order that is the same in all fragments) and the numbers of
+    n-grams that its pairs share there."""
+    cell, rep, side, n = (table.column(c).to_numpy() for c in ("cell", "rep", "side", "n"))
+    out, deal = [], table.column("deal")[0].as_py()
+    for own in _by_cell(cell):
+        own = own[np.lexsort((rep[own], ~side[own]))]
+        own = own[np.append(True, (np.diff(rep[own]) != 0) | (side[own[1:]] != side[own[:-1]]))]
+        split = int(side[own].sum())
+        if len(own) < 2 or split == len(own):
+            continue
+        members = np.zeros(len(own), _MEMBER)
+        members["rep"], members["n"], members["side"] = rep[own], n[own], side[own]
+        out.append((deal, int(cell[own[0]]), members.tobytes(), overlaps([_unpack48(x.as_py()) for x in table.column("grams").take(own)], split).tobytes()))
+    cols = list(zip(*out)) or [[]] * 4
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PARTIAL)], schema=_PARTIAL)
+
+
+def sum_partial(table: pa.Table) -> pa.Table:
+    """Links of a deal's cells: partial overlaps are summed per pair over the fragments. Of each cell's pairs that reach the
+    threshold a spanning forest is given. Members of `side` are compared with the others only, if there are any, else all with
+    all; a document may be on both sides and isn't compared with itself."""
+    links, members, counts = [], table.column("members"), table.column("overlap")
+    for own in _by_cell(table.column("cell").to_numpy()):
+        f = np.frombuffer(members[int(own[0])].as_py(), _MEMBER)
+        m, split = len(f), int(f["side"].sum())
+        a, b = (slice(0, split), slice(split, m)) if split else (slice(0, m), slice(0, m))
+        ids, n = f["rep"], f["n"]
+        o = sum(np.frombuffer(counts[int(i)].as_py(), "<u4").astype(np.int64) for i in own).reshape(len(ids[a]), len(ids[b]))
+        i, j = np.nonzero((100 * o >= PERCENT * (n[a][:, None] + n[b][None, :] - o)) & (ids[a][:, None] != ids[b][None, :]))
+        links += _forest(i, split + j, ids)
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def compare(cells: DataFrame, deals: int) -> DataFrame:
+    """Spanning links (a, b) of cells: rows (cell, rep, n, side, common). Units of work are a fragment of a deal of cells, then a
+    deal; there are as many deals as keep both small."""
+    unit = cells.withColumn("deal", F.pmod(F.xxhash64("cell"), F.lit(deals)).cast("int")).select("deal", "cell", "rep", "n", "side", F.posexplode("common").alias("fragment", "grams"))
+    partial = unit.groupBy("deal", "fragment").applyInArrow(count_partial, "deal int, cell long, members binary, overlap binary")
+    return partial.groupBy("deal").applyInArrow(sum_partial, _LINKS)
 
 
 _LINKS = "a long, b long"
 
 
-def _compare(cells: DataFrame, *key: str) -> DataFrame:
-    return cells.groupBy(*key).applyInPandas(compare_cell, _LINKS)
+def _deals(spark, grams: int | None) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(grams or 0) // CELL_GRAMS))
 
 
 def _links(d: DataFrame) -> DataFrame:
     """Spanning links of all classes that reach the threshold with another; `d` is the table of `sets`, read again."""
     spark = d.sparkSession
-    first = d.where("prefix is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("n", "prefix", "common"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
-    c = materialise(first.select("rep", "x.n", "x.prefix", "x.common"), "candidates")
+    first = d.where("prefix is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("n", "grams", "prefix", "common"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
+    c = materialise(first.select("rep", "x.n", "x.grams", "x.prefix", "x.common"), "candidates")
     entry = c.select("rep", F.explode("prefix").alias("h"))
     least = entry.groupBy("h").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m <> x").select("h", "m")
     block = components(entry.join(least, "h").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct())
+    # cells of at most so many documents and n-grams; large blocks are cut into bands of length first, as linked sets are at most one apart
     members = c.drop("prefix").join(block.withColumnsRenamed({"id": "rep", "component_id": "block"}), "rep")
-    size = members.groupBy("block").agg(F.count("*").alias("docs"), F.sum(F.octet_length("common") / 6).alias("grams"))
-    size = size.select("block", F.greatest(F.ceil(F.col("docs") / CELL), F.ceil(F.col("grams") / CELL_GRAMS)).cast("int").alias("cells"), F.ceil(F.col("docs") / PIVOTS).alias("one_in"))
-    members = members.join(size, "block").withColumn("cell", F.pmod(F.xxhash64("rep"), "cells").cast("int"))
-    members = materialise(members, "members")
-    pivots = members.where("cells > 1").where(F.pmod(F.xxhash64("rep", F.lit(1)), "one_in") == 0).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    own = members.select("block", "cell", "rep", "n", "common", F.lit(False).alias("side"))
-    found = materialise(_compare(own.unionByName(pivots.select("block", "cell", "rep", "n", "common", F.lit(False).alias("side"))), "block", "cell"), "links")
-    # what isn't yet with the largest component of its block is compared with all of the block, in tiles
+    cells_of = lambda by: F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("grams") / CELL_GRAMS)).cast("int").alias(by)
+    members = members.join(members.groupBy("block").agg(cells_of("large")), "block").withColumn("large", F.col("large") > 1)
+    members = members.withColumn("band", F.when(F.col("large"), F.floor(F.ln("n") / F.lit(math.log(100 / PERCENT)) + 1e-9)).otherwise(0).cast("int"))
+    bands = members.where("large").groupBy("block", "band").agg(cells_of("cells"), F.ceil(F.count("*") / PIVOTS).alias("one_in"))
+    members = members.join(bands, ["block", "band"], "left").fillna(1, ["cells", "one_in"])
+    members = materialise(members.withColumn("nth", F.pmod(F.xxhash64("rep"), "cells").cast("int")).drop("cells"), "members")
+    cell = F.xxhash64("block", "band", "nth")
+    own = members.select(cell.alias("cell"), "rep", "n", F.lit(False).alias("side"), "common")
+    pivots = members.where("large").where(F.pmod(F.xxhash64("rep", F.lit(1)), "one_in") == 0).drop("nth", "large", "one_in").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    pivots = pivots.join(bands.drop("one_in"), ["block", "band"]).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    pivots = pivots.select(cell.alias("cell"), "rep", "n", F.lit(False).alias("side"), "common")
+    total = members.agg(F.sum("grams")).first()[0]
+    found = materialise(compare(own.unionByName(pivots), _deals(spark, total)), "links")
+    return found.unionByName(_leftovers(members, c, found))
+
+
+def _leftovers(members: DataFrame, c: DataFrame, found: DataFrame) -> DataFrame:
+    """Links of what isn't yet with the largest part of its large block.
+
+    Each such document is put to the cells that hold one of its prefix n-grams and sets of its own band of length or a neighbour
+    band, and is compared with all documents of these.
+    """
+    spark = members.sparkSession
     part = components(found).withColumnRenamed("id", "rep")
-    large = members.where("cells > 1").join(part, "rep", "left").withColumn("part", F.coalesce("component_id", "rep")).drop("component_id", "cell")
-    large = materialise(large, "parts")
-    parts = large.groupBy("block", "part").agg(F.count("*").alias("k"), F.sum(F.octet_length("common") / 6).alias("g"))
-    parts = parts.groupBy("block").agg(F.max_by(F.struct("part", "k", "g"), F.struct("k", "part")).alias("main"), F.sum("k").alias("k"), F.sum("g").alias("g"))
-    tiles = lambda k, g: F.greatest(F.ceil(k / TILE), F.ceil(g / CELL_GRAMS)).cast("int")
-    k, g = F.col("k"), F.col("g")
-    parts = parts.where(k > F.col("main.k")).select("block", F.col("main.part").alias("main"), tiles(k - F.col("main.k"), g - F.col("main.g")).alias("groups"), tiles(k, g).alias("columns"))
-    rest = large.join(parts, "block").withColumn("group", F.pmod(F.xxhash64("rep", F.lit(2)), "groups").cast("int")).withColumn("column", F.pmod(F.xxhash64("rep", F.lit(3)), "columns").cast("int"))
-    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = rest.where("part <> main").withColumn("column", F.explode(span("columns"))).withColumn("side", F.lit(True))
-    right = rest.withColumn("group", F.explode(span("groups"))).withColumn("side", F.lit(False))
-    key, own = ("block", "group", "column"), ("rep", "n", "common", "side")
-    # by all of the key: the join on the block would else leave all its tiles in one task
-    dealt = left.select(*key, *own).unionByName(right.select(*key, *own)).repartition(*key)
-    return found.unionByName(dealt.groupBy(*key).applyInPandas(compare_tile, _LINKS))
-
-
-def compare_tile(f: pd.DataFrame) -> pd.DataFrame:
-    """Links of those left over (`side`) with one part of their block."""
-    return compare_cell(f) if f["side"].any() else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+    large = members.where("large").drop("common").join(part, "rep", "left").withColumn("part", F.coalesce("component_id", "rep"))
+    large = materialise(large.select("rep", "n", "block", "band", "nth", "part"), "parts")
+    main = large.groupBy("block", "part").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
+    rest = large.join(main, "block").where("part <> main").select("rep", "block", "band")
+    entry = c.select("rep", F.explode("prefix").alias("h"))
+    asking = entry.join(rest, "rep").select("h", "rep", "block", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    holding = entry.join(large, "rep").select("h", "block", "band", "nth").distinct()
+    asked = materialise(asking.join(holding, ["h", "block", "band"]).select("rep", "block", "band", "nth").distinct(), "asked")
+    key = ["block", "band", "nth"]
+    groups = asked.groupBy(key).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
+    tile, sets_of = F.xxhash64(*key, "group"), members.where("large").select("rep", "n", "grams", "common")
+    left = asked.join(groups, key).withColumn("group", F.pmod(F.xxhash64("rep", F.lit(2)), "groups").cast("int")).select(tile.alias("cell"), "rep", F.lit(True).alias("side"))
+    right = large.join(groups, key).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(tile.alias("cell"), "rep", F.lit(False).alias("side"))
+    tiles = materialise(left.unionByName(right), "tiles")
+    total = tiles.join(sets_of.select("rep", "grams"), "rep").agg(F.sum("grams")).first()[0]
+    return compare(tiles.join(sets_of.drop("grams"), "rep"), _deals(spark, total))
 
 
 def join(docs: DataFrame, width: int = WORDS) -> DataFrame:
