@@ -94,7 +94,7 @@ _CC = (
 )
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
-# Single rules: label, priority, keyword, confidence, phrase.
+# Single rules, written by hand: label, priority, keyword, confidence, phrase.
 _SINGLE = (
     ("mit", 60, "mit license", 0.9, "{the|an} mit license"),
     ("mit", 60, "mit license", 0.95, "released under the mit license"),
@@ -129,6 +129,175 @@ _SINGLE = (
     ("mpl", 70, "mozilla.org", 0.9, "mozilla org mpl"),
     ("gpl", 60, "gnu.org/licenses", 0.7, "gnu org licenses"),
     ("cc", 30, "creative commons", 0.6, "creative commons"),
+    # what licences say of themselves: sentences that only they hold
+    ("mit", 55, "substantial portions", 0.8, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 45, "noninfringement", 0.6, "warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit-0", 65, "mit no attribution", 0.9, "mit no attribution"),
+    ("x11", 60, "x consortium", 0.9, "except as contained in this notice the name of the x consortium shall not be used"),
+    ("bsd", 65, "source code must retain", 0.9, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 65, "binary form must reproduce", 0.9, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 72, "endorse or promote", 0.9, "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", 72, "advertising materials", 0.9, "all advertising materials mentioning features or use of this software must display the following {acknowledgement|acknowledgment}"),
+    ("bsd", 40, "holders and contributors", 0.6, "provided by the copyright holders and contributors as is"),
+    ("isc", 66, "author disclaims", 0.8, "the author disclaims all warranties with regard to this software"),
+    ("hpnd", 65, "its documentation", 0.7, "permission to use copy modify and distribute this software and its documentation for any purpose"),
+    ("zlib", 72, "altered source", 0.9, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("zlib", 72, "origin of this software", 0.9, "the origin of this software must not be misrepresented"),
+    ("libpng", 65, "libpng", 0.9, "libpng license"),
+    ("bsl-1.0", 70, "accompanying documentation", 0.9, "obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("bsl-1.0", 66, "boost.org", 0.9, "boost org license 1 0 txt"),
+    ("unlicense", 60, "unlicense", 0.9, "{the|this} unlicense"),
+    ("unlicense", 66, "unlicense.org", 0.9, "unlicense org"),
+    ("unlicense", 66, "relinquishment in perpetuity", 0.9, "relinquishment in perpetuity of all present and future rights"),
+    ("wtfpl", 55, "wtfpl", 0.9, "wtfpl"),
+    ("beerware", 65, "beer", 0.8, "buy me a beer in return"),
+    ("beerware", 60, "beer", 0.8, "beer ware {license|licence}"),
+    ("json", 65, "not evil", 0.9, "the software shall be used for good not evil"),
+    ("postgresql", 62, "postgresql", 0.9, "postgresql {license|licence}"),
+    ("ncsa", 62, "university of illinois", 0.9, "university of illinois ncsa open source {license|licence}"),
+    ("curl", 60, "curl license", 0.8, "curl license"),
+    ("openssl", 62, "openssl license", 0.9, "openssl license"),
+    ("openssl", 66, "openssl toolkit", 0.9, "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("ssleay", 66, "eric young", 0.9, "this product includes cryptographic software written by eric young"),
+    ("ijg", 66, "independent jpeg", 0.9, "this software is based in part on the work of the independent jpeg group"),
+    ("ftl", 62, "freetype", 0.9, "freetype project? license"),
+    ("vim", 60, "vim license", 0.9, "vim license"),
+    ("ruby", 60, "ruby license", 0.9, "ruby license"),
+    ("sleepycat", 62, "sleepycat", 0.9, "sleepycat {license|licence|software}"),
+    ("w3c", 62, "w3c", 0.9, "w3c software {notice|license|and}"),
+    ("unicode", 62, "unicode", 0.9, "unicode license agreement"),
+    ("icu", 60, "icu license", 0.9, "icu license"),
+    ("naist", 60, "nara institute", 0.8, "nara institute of science and technology"),
+    ("blueoak-1.0.0", 65, "blue oak", 0.9, "blue oak model license"),
+    ("mulan-psl-2.0", 65, "mulan", 0.9, "mulan permissive software {license|licence}"),
+    ("fair", 58, "fair license", 0.7, "fair license"),
+    ("ecl-2.0", 64, "educational community", 0.9, "educational community {license|licence}"),
+    ("intel", 60, "intel open source", 0.9, "intel open source {license|licence}"),
+    ("ipl-1.0", 64, "ibm public", 0.9, "ibm public {license|licence}"),
+    ("apsl", 62, "apple public source", 0.9, "apple public source {license|licence}"),
+    ("npl", 62, "netscape public", 0.9, "netscape public {license|licence}"),
+    ("sissl", 62, "sun industry", 0.9, "sun industry standards source {license|licence}"),
+    ("rpl", 62, "reciprocal public", 0.9, "reciprocal public {license|licence}"),
+    ("rpsl", 62, "realnetworks", 0.9, "realnetworks public source {license|licence}"),
+    ("nokia", 62, "nokia open source", 0.9, "nokia open source {license|licence}"),
+    ("lucent", 62, "lucent public", 0.9, "lucent public {license|licence}"),
+    ("sgi-b", 62, "sgi free software", 0.9, "sgi free software {license|licence} b?"),
+    ("cua", 62, "cua office", 0.9, "cua office public {license|licence}"),
+    ("watcom", 62, "sybase open watcom", 0.9, "sybase open watcom public {license|licence}"),
+    ("entessa", 62, "entessa", 0.9, "entessa public {license|licence}"),
+    ("frameworx", 62, "frameworx", 0.9, "frameworx open {license|licence}"),
+    ("vsl", 62, "vovida", 0.9, "vovida software {license|licence}"),
+    ("xnet", 60, "x net license", 0.8, "x net license"),
+    ("motosoto", 62, "motosoto", 0.9, "motosoto open source {license|licence}"),
+    ("ngpl", 62, "nethack", 0.9, "nethack general public {license|licence}"),
+    ("wxwindows", 62, "wxwindows", 0.9, "wxwindows library {license|licence}"),
+    ("latex", 62, "latex project", 0.9, "latex project public {license|licence}"),
+    ("artistic", 66, "collection of files", 0.7, "package means the collection of files distributed by the copyright holder"),
+    ("elastic-2.0", 64, "elastic license", 0.9, "elastic license"),
+    ("polyform-noncommercial", 64, "polyform", 0.9, "polyform noncommercial license"),
+    ("polyform-small-business", 64, "polyform", 0.9, "polyform small business license"),
+    ("polyform-strict", 64, "polyform", 0.9, "polyform strict license"),
+    ("commons-clause", 64, "commons clause", 0.9, "commons clause"),
+    ("commons-clause", 70, "right to sell", 0.9, "does not grant to you the right to sell the software"),
+    ("hippocratic", 64, "hippocratic", 0.9, "hippocratic {license|licence}"),
+    ("openrail", 64, "rail", 0.9, "{creativeml|bigcode|bigscience} open? rail m? license?"),
+    ("openrail", 60, "responsible ai", 0.9, "responsible ai {license|licence|licenses|licences}"),
+    ("llama", 62, "llama", 0.9, "llama 2? 3? community license agreement?"),
+    ("gemma", 62, "gemma terms", 0.9, "gemma terms of use"),
+    ("redis-sal", 62, "redis source available", 0.9, "redis source available {license|licence}"),
+    ("confluent", 62, "confluent community", 0.9, "confluent community {license|licence}"),
+    ("timescale", 62, "timescale license", 0.9, "timescale license agreement?"),
+    ("gpl", 72, "any later version", 0.8, "either version 2 of the license or at your option any later version"),
+    ("gpl", 72, "any later version", 0.8, "either version 3 of the license or at your option any later version"),
+    ("lgpl", 74, "version 2.1 of the license", 0.8, "either version 2 1 of the license or at your option any later version"),
+    ("gpl", 68, "without any warranty", 0.6, "hope that it will be useful but without any warranty"),
+    ("gpl", 66, "received a copy", 0.8, "you should have received a copy of the gnu general public license"),
+    ("lgpl", 72, "received a copy", 0.8, "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", 72, "received a copy", 0.8, "you should have received a copy of the gnu library general public license"),
+    ("agpl", 72, "received a copy", 0.8, "you should have received a copy of the gnu affero general public license"),
+    ("gpl", 64, "franklin", 0.5, "51 franklin {street|st} fifth floor boston"),
+    ("gpl", 64, "temple place", 0.5, "59 temple place suite 330 boston"),
+    ("gpl", 64, "mass ave", 0.5, "675 mass ave cambridge"),
+    ("gpl", 62, "verbatim copies", 0.6, "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl-classpath", 72, "linking this library", 0.9, "linking this library statically or dynamically with other modules is making a combined work"),
+    ("gcc-exception", 72, "runtime library exception", 0.9, "gcc runtime library exception"),
+    ("llvm-exception", 72, "llvm exception", 0.9, "llvm {exception|exceptions}"),
+    ("agpl", 72, "interacting with it remotely", 0.8, "all users interacting with it remotely through a computer network"),
+    ("apache", 66, "express or implied", 0.8, "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", 66, "specific language governing", 0.8, "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache", 66, "asf", 0.8, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", 66, "apache software foundation", 0.7, "this product includes software developed by the apache software foundation"),
+    ("mpl-2.0", 72, "subject to the terms of the mozilla", 0.95, "this source code form is subject to the terms of the mozilla public license #2.0"),
+    ("mpl-2.0", 68, "incompatible with secondary", 0.9, "incompatible with secondary licenses"),
+    ("mpl-1.1", 70, "contents of this file", 0.8, "the contents of this file are subject to the mozilla public license #1.1"),
+    ("mpl", 72, "the mpl", 0.9, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", 70, "eclipse.org", 0.9, "eclipse org legal epl {v10|v20|2} 0? html?"),
+    ("epl", 68, "accompanying materials", 0.8, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 70, "contents of this file", 0.8, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("ms-pl", 66, "microsoft public", 0.8, "microsoft public license ms pl"),
+    ("ms-limited", 66, "microsoft limited", 0.9, "microsoft limited public license"),
+    ("ms-reference", 66, "microsoft reference source", 0.9, "microsoft reference source license"),
+    ("cc", 40, "creative commons", 0.8, "licensed under a creative commons"),
+    ("cc-by-nc", 50, "non-commercial", 0.5, "creative commons attribution non commercial"),
+    ("cc-by-nc-sa", 56, "non-commercial", 0.6, "creative commons attribution non commercial share alike"),
+    ("cc-by-nc-nd", 56, "non-commercial", 0.6, "creative commons attribution non commercial no {derivatives|derivs}"),
+    ("cc-by-sa", 52, "share alike", 0.6, "creative commons attribution share alike"),
+    ("cc-by-nd", 52, "creative commons", 0.6, "creative commons attribution no {derivatives|derivs}"),
+    ("cc-sampling", 56, "sampling", 0.8, "creative commons sampling plus?"),
+    ("cc-pdm", 66, "public domain mark", 0.9, "public domain mark"),
+    ("cc0", 72, "creativecommons.org", 0.95, "creativecommons org publicdomain zero 1 0"),
+    ("cc0", 68, "waived all copyright", 0.9, "has waived all copyright and related or neighboring rights"),
+    ("cc0", 66, "public domain dedication", 0.9, "cc0 1 0 universal public domain dedication"),
+    ("gfdl", 68, "invariant sections", 0.9, "with no invariant sections no front cover texts and no back cover texts"),
+    ("gfdl", 70, "document under the terms", 0.8, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("odbl", 66, "opendatacommons.org", 0.9, "opendatacommons org licenses odbl"),
+    ("odc-by", 66, "open data commons attribution", 0.9, "open data commons attribution license"),
+    ("pddl", 66, "public domain dedication and license", 0.9, "open data commons public domain dedication and license"),
+    ("cdla-permissive", 66, "community data", 0.9, "community data license agreement permissive"),
+    ("cdla-sharing", 66, "community data", 0.9, "community data license agreement sharing"),
+    ("ogl-uk", 66, "open government", 0.9, "open government {license|licence}"),
+    ("etalab", 64, "ouverte", 0.9, "{licence|license} ouverte etalab?"),
+    ("dl-de-by", 66, "datenlizenz deutschland", 0.9, "datenlizenz deutschland namensnennung"),
+    ("dl-de-zero", 66, "datenlizenz deutschland", 0.9, "datenlizenz deutschland zero"),
+    ("gutenberg", 66, "project gutenberg", 0.9, "project gutenberg {license|licence|tm}"),
+    ("ofl", 70, "reserved font name", 0.9, "with reserved font name"),
+    ("ofl", 66, "scripts.sil.org", 0.9, "scripts sil org ofl"),
+    ("ubuntu-font", 66, "ubuntu font", 0.9, "ubuntu font {license|licence}"),
+    ("bitstream-vera", 66, "bitstream vera", 0.9, "bitstream vera is a trademark of bitstream"),
+    ("arphic", 66, "arphic", 0.9, "arphic public {license|licence}"),
+    ("design-science", 66, "design science", 0.9, "design science {license|licence}"),
+    ("free-art", 66, "free art", 0.9, "free art {license|licence}"),
+    ("against-drm", 66, "against drm", 0.9, "against drm {license|licence}"),
+    ("gpl-notice-es", 66, "licencia pública", 0.8, "licencia pública general {de|gnu} gnu?"),
+    ("gpl-notice-fr", 66, "licence publique", 0.8, "licence publique générale gnu"),
+    ("gpl-notice-de", 66, "öffentlichen", 0.6, "allgemeinen öffentlichen gnu lizenz"),
+    ("eupl", 66, "eupl", 0.9, "licensed under the eupl"),
+    ("cecill-b", 66, "cecill-b", 0.9, "cecill b"),
+    ("cecill-c", 66, "cecill-c", 0.9, "cecill c"),
+    ("proprietary", 55, "trade secret", 0.8, "contains confidential? and? trade secret information"),
+    ("proprietary", 50, "without the", 0.7, "without the {prior|express} {express|prior|written} written? {permission|consent} of"),
+    ("proprietary", 52, "strictly prohibited", 0.7, "{copying|distribution|reproduction|use} is strictly prohibited"),
+    ("proprietary", 45, "internal use only", 0.6, "for internal use only"),
+    ("proprietary", 50, "licensed materials", 0.8, "licensed materials property of"),
+    ("proprietary", 50, "transferable", 0.5, "{non|not} exclusive {non|not} transferable license"),
+    ("proprietary", 55, "reverse engineer", 0.8, "{may|shall|must} not reverse engineer decompile or disassemble"),
+    ("noncommercial", 45, "non-commercial", 0.6, "for non commercial {use|purposes} only"),
+    ("noncommercial", 45, "noncommercial", 0.6, "for noncommercial {use|purposes} only"),
+    ("academic", 45, "purposes only", 0.6, "for {academic|research|educational} and? or? research? purposes only"),
+    ("evaluation", 45, "evaluation purposes", 0.7, "for evaluation purposes only"),
+    ("shareware", 45, "shareware", 0.7, "this is shareware"),
+    ("freeware", 45, "freeware", 0.7, "{is|as} freeware"),
+    ("freely-distributable", 40, "be freely", 0.6, "may be freely {distributed|copied|used}"),
+    ("royalty-free", 40, "royalty-free", 0.6, "{worldwide|perpetual|irrevocable} royalty free"),
+    ("patent-grant", 45, "patent license", 0.6, "perpetual worldwide non exclusive no charge royalty free irrevocable patent license"),
+    ("dual-license", 45, "dual licensed", 0.7, "dual licensed under"),
+    ("dual-license", 45, "at your", 0.6, "at your {choice|option} {of|under|either}"),
+    ("cla", 40, "contributor license", 0.5, "contributor license agreement"),
+    ("dco", 40, "certificate of origin", 0.6, "developer certificate of origin"),
+    ("terms-of-use", 30, "terms of", 0.4, "terms of {use|service}"),
+    ("copyright", 15, "rights reserved", 0.4, "some rights reserved"),
+    ("unknown-license", 8, "see", 0.3, "see the? {license|copying|licence} file"),
+    ("unknown-license", 8, "distributed under", 0.3, "distributed under the {terms|conditions} of"),
     ("unknown-license", 5, "licensed under", 0.3, "licensed under"),
     ("unknown-license", 5, "spdx-license-identifier", 0.5, "spdx license identifier"),
 )
@@ -203,11 +372,19 @@ class Scanner:
         """Detections left after suppression, by place. `text` is lower-cased."""
         found = [(self.rules[i], m.start(), m.end(), i) for i in ids for m in self.compiled[i].finditer(text)]
         found.sort(key=lambda x: (-x[0].priority, -(x[2] - x[1]), x[1], x[3]))
-        # kept intervals by start with the furthest end up to there: only a containing interval suppresses
-        kept: list[tuple[int, int, Rule]] = []
+        # a tree over the starts holds the furthest end of what is kept up to each: that contains b if anything does
+        place = {a: i for i, a in enumerate(sorted({a for _, a, _, _ in found}), 1)}
+        furthest, kept = [0] * (len(place) + 1), []
         for rule, a, b, _ in found:
-            if not any(s <= a and b <= e for s, e, _ in kept):
+            i = place[a]
+            while i and furthest[i] < b:
+                i &= i - 1
+            if not i:
                 kept.append((a, b, rule))
+                i = place[a]
+                while i < len(furthest):
+                    furthest[i] = max(furthest[i], b)
+                    i += i & -i
         return sorted(kept, key=lambda x: (x[0], x[1]))
 
 
