@@ -33,7 +33,7 @@ _TABLE_BITS = 22
 class Items:
     """Items of one block: their word hashes, and the sorted distinct seeds with where they stand."""
 
-    ids: list[int]
+    ids: list[int | None]
     words: list[np.ndarray]
     seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # by n: seeds; first place; item and place of each
 
@@ -44,7 +44,7 @@ def text_words(text: str) -> np.ndarray:
     return span_hash(prefix_hash(b), s, e)
 
 
-def make_items(rows: list[tuple[int, str]]) -> Items:
+def make_items(rows: list[tuple[int | None, str]]) -> Items:
     """Items without words match nothing."""
     kept = [(i, w) for i, t in rows if len(w := text_words(t or ""))]
     found: dict[int, list] = {}
@@ -286,7 +286,7 @@ def _block_leaks(items: Items, find, b: np.ndarray, off: np.ndarray, least: floa
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
     """The benchmark in blocks whose size is bounded; rows come to the driver a partition at a time."""
     rows, size = [], 0
-    for r in benchmark.select("item_id", "text").where("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
+    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         size += len(r["text"]) // 2 + 1
         if size >= 4 * block_words:
@@ -299,8 +299,9 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """Pairs of contaminated documents and benchmark items, with the alignment's score (1: verbatim) and place in words.
 
-    Two scans of the documents for each block of the benchmark: seed frequencies over the whole corpus, then search.
-    Null or empty texts, items without words and empty tables give no pairs; repeated rows are reported each.
+    A scan of the documents for each block of the benchmark counts its seeds over the whole corpus, another searches it.
+    Null or empty texts, items without words and empty tables give no pairs; repeated rows are reported each, and so are
+    documents and items with a null id.
     """
     out = None
     for items in item_blocks(benchmark):
@@ -310,9 +311,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SC
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of `docs` in which no item stands, with their columns."""
-    for items in item_blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(keep_seeds(items, seed_frequencies(docs, items), least))
+    """The rows of `docs` in which no item stands, with their columns. An item needs no id to be found.
+
+    Null and empty texts stay, and so does everything if the benchmark is empty; repeated rows stay or go alike. Seeds of each
+    block of the benchmark are counted in a scan of its own; the last scan searches all blocks.
+    """
+    spark = docs.sparkSession
+    for shared in [spark.sparkContext.broadcast(keep_seeds(items, seed_frequencies(docs, items), least)) for items in item_blocks(benchmark)]:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
