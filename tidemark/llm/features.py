@@ -57,12 +57,14 @@ def stat_bins(stats: np.ndarray) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, allowed: F.Column | None = None) -> DataFrame:
     """doc_id, text and label of at most `most` labelled documents, those with the smallest hash of doc_id.
 
-    Several labels of one document count as their maximum; null labels are left out. Only these bounded ids are broadcast.
+    Several labels of one document count as their maximum; null labels are left out. Of rows that repeat a doc_id one counts,
+    that with the smallest text, so the bound holds whatever the tables repeat. Only these bounded ids are broadcast, and copies
+    are dropped before anything is shuffled.
     """
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     y = y.where(allowed) if allowed is not None else y
     y = y.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 SAMPLE_SCHEMA = "y int, word array<int>, tf array<int>, stats array<double>"

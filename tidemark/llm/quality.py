@@ -100,7 +100,8 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted for every row, in one pass without a shuffle. The model (9 floats for each of
-    2^18 buckets, whatever the corpus) is broadcast. Null and empty texts are scored by their statistics alone."""
+    2^18 buckets, whatever the corpus) is broadcast. Null and empty texts are scored by their statistics alone; repeated rows
+    and rows with a null doc_id (never held out) are scored each."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
 
 def filter_documents(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that score at least the threshold, with their columns; one pass."""
+    """The rows of `docs` that score at least the threshold, with their columns; one pass. Null and empty texts are judged by
+    their statistics, repeated rows alike."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

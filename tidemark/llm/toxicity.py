@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from .features import sample_features, training_rows, word_counts
 from .kernels import blocks
@@ -98,9 +98,10 @@ def fit(grade: np.ndarray, row: np.ndarray, word: np.ndarray, x: np.ndarray, gra
     return Ordinal(buckets[keep], par[:d][keep], par[d] + np.concatenate([[0], np.cumsum(gaps)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = GRADES, sample: int = SAMPLE, binary: bool = True) -> Ordinal:
-    """Fit on a bounded sample. `binary` labels are graded first; else the label column holds grades from 0."""
-    y, cut, word, tf, _ = sample_features(training_rows(docs, labels, label, sample), BITS)
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", grades: int = GRADES, sample: int = SAMPLE, binary: bool = True, allowed: Column | None = None) -> Ordinal:
+    """Fit on a bounded sample of the rows that are `allowed`. `binary` labels are graded first; else the label column holds
+    grades from 0. Rows that repeat a doc_id count once; null labels and ids don't count; without rows all weights are 0."""
+    y, cut, word, tf, _ = sample_features(training_rows(docs, labels, label, sample, allowed), BITS)
     row = np.repeat(np.arange(len(y)), np.diff(cut))
     grade = grade_binary(y, row, word, grades) if binary else np.clip(y, 0, grades - 1).astype(np.int64)
     return fit(grade, row, word, 1 + np.log(tf), grades)
@@ -112,7 +113,8 @@ SCHEMA = "doc_id long, expected_severity double, severity int, p_toxic double, i
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     """Expected severity of every row, its likeliest grade and the probability of any toxicity; one pass, no shuffle.
 
-    The broadcast model holds weights of the sampled vocabulary only. Null and empty texts are scored as having no words.
+    The broadcast model holds weights of the sampled vocabulary only. Null and empty texts are scored as having no words;
+    repeated rows and rows with a null doc_id are scored each.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
