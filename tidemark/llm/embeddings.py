@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, materialise
+from .shared import Scratch, components, materialise
 
 THRESHOLD = 0.93
 #: Vectors that the index is fitted on, at most.
@@ -99,7 +99,7 @@ def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 _FOUND = "a long, b long, n long"
 
 
-def links(one: DataFrame) -> DataFrame:
+def links(one: DataFrame, scratch: Scratch) -> DataFrame:
     """What each block of an inverted list finds, without its pairs: a spanning forest of the links between class
     representatives (a, b, 0), and how many rows each is linked with (a, a, n), each link being counted in one block.
     `one` can be read again."""
@@ -107,7 +107,7 @@ def links(one: DataFrame) -> DataFrame:
     shape = one.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
     pairs = None
     for r in sorted(shape, key=lambda r: r["dim"]):  # as a rule one dimension
-        found = _links_of(spark, one.where(F.size("embedding") == r["dim"]), r["n"])
+        found = _links_of(spark, one.where(F.size("embedding") == r["dim"]), r["n"], scratch)
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs if pairs is not None else spark.createDataFrame([], _FOUND)
 
@@ -118,7 +118,7 @@ def _unit(column: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
+def _links_of(spark, one: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     sample = one.orderBy(*_K).limit(SAMPLE).select("embedding").toPandas()
     lists = int(min(LISTS[1], max(LISTS[0], 2 * most**0.5), len(sample)))
     shared = spark.sparkContext.broadcast(fit(_unit(sample["embedding"]), lists))
@@ -133,7 +133,7 @@ def _links_of(spark, one: DataFrame, most: int) -> DataFrame:
 
     # vectors keep the type they came in: half the bytes of doubles, as a rule
     kind = one.schema["embedding"].dataType.simpleString()
-    placed = materialise(one.select("rep", "n", "label", "embedding").mapInPandas(assign, f"rep long, n long, label int, embedding {kind}, probes array<int>, code binary"), "lists")
+    placed = scratch.keep(one.select("rep", "n", "label", "embedding").mapInPandas(assign, f"rep long, n long, label int, embedding {kind}, probes array<int>, code binary"), "lists")
     # blocks of each list and shares of its queries: at most labels x lists rows. A group holds one of each, so its size is
     # bounded, and a pair meets in one group
     probes = placed.select("label", F.posexplode("probes").alias("nth", "list"))
@@ -198,13 +198,16 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
     vec_id are kept.
     """
     rows, one = classes(vectors)
-    one = materialise(one, "classes")
-    found = materialise(links(one), "links")
+    scratch = Scratch()
+    one = scratch.keep(one, "classes")
+    found = scratch.keep(links(one, scratch), "links")
     others = found.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     part = components(found.where("a <> b").select("a", "b")).withColumnRenamed("id", "rep").withColumnRenamed("component_id", "part")
     one = one.select(*_K, "rep", "least", "n").join(others, "rep", "left").join(part, "rep", "left")
     smallest = one.where("part is not null").groupBy("part").agg(F.min("least").alias("smallest"))
     one = one.join(smallest, "part", "left").select(*_K, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
+    one = materialise(one, "class-links")
+    scratch.drop()
     got = rows.join(one, _K, "left")
     component = F.when(F.col("k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return got.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import SPACE, U64, blocks, lower_ascii, mix, ngram_hash, prefix_hash, span_hash, words
-from .shared import components, materialise
+from .shared import Scratch, components, materialise
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -269,11 +269,11 @@ def _deals(spark, grams: int | None) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(grams or 0) // CELL_GRAMS))
 
 
-def _links(d: DataFrame) -> DataFrame:
+def _links(d: DataFrame, scratch: Scratch) -> DataFrame:
     """Spanning links of all classes that reach the threshold with another; `d` is the table of `sets`, read again."""
     spark = d.sparkSession
     first = d.where("prefix is not null").groupBy("s1", "s2").agg(F.min_by(F.struct("n", "grams", "prefix", "common"), "doc_id").alias("x"), F.min("doc_id").alias("rep"))
-    c = materialise(first.select("rep", "x.n", "x.grams", "x.prefix", "x.common"), "candidates")
+    c = scratch.keep(first.select("rep", "x.n", "x.grams", "x.prefix", "x.common"), "candidates")
     entry = c.select("rep", F.explode("prefix").alias("h"))
     least = entry.groupBy("h").agg(F.min("rep").alias("m"), F.max("rep").alias("x")).where("m <> x").select("h", "m")
     block = components(entry.join(least, "h").where("rep <> m").select(F.col("rep").alias("a"), F.col("m").alias("b")).distinct())
@@ -284,18 +284,18 @@ def _links(d: DataFrame) -> DataFrame:
     members = members.withColumn("band", F.when(F.col("large"), F.floor(F.ln("n") / F.lit(math.log(100 / PERCENT)) + 1e-9)).otherwise(0).cast("int"))
     bands = members.where("large").groupBy("block", "band").agg(cells_of("cells"), F.ceil(F.count("*") / PIVOTS).alias("one_in"))
     members = members.join(bands, ["block", "band"], "left").fillna(1, ["cells", "one_in"])
-    members = materialise(members.withColumn("nth", F.pmod(F.xxhash64("rep"), "cells").cast("int")).drop("cells"), "members")
+    members = scratch.keep(members.withColumn("nth", F.pmod(F.xxhash64("rep"), "cells").cast("int")).drop("cells"), "members")
     cell = F.xxhash64("block", "band", "nth")
     own = members.select(cell.alias("cell"), "rep", "n", F.lit(False).alias("side"), "common")
     pivots = members.where("large").where(F.pmod(F.xxhash64("rep", F.lit(1)), "one_in") == 0).drop("nth", "large", "one_in").withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
     pivots = pivots.join(bands.drop("one_in"), ["block", "band"]).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     pivots = pivots.select(cell.alias("cell"), "rep", "n", F.lit(False).alias("side"), "common")
     total = members.agg(F.sum("grams")).first()[0]
-    found = materialise(compare(own.unionByName(pivots), _deals(spark, total)), "links")
-    return found.unionByName(_leftovers(members, c, found))
+    found = scratch.keep(compare(own.unionByName(pivots), _deals(spark, total)), "links")
+    return found.unionByName(_leftovers(members, c, found, scratch))
 
 
-def _leftovers(members: DataFrame, c: DataFrame, found: DataFrame) -> DataFrame:
+def _leftovers(members: DataFrame, c: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """Links of what isn't yet with the largest part of its large block.
 
     Each such document is put to the cells that hold one of its prefix n-grams and sets of its own band of length or a neighbour
@@ -304,19 +304,19 @@ def _leftovers(members: DataFrame, c: DataFrame, found: DataFrame) -> DataFrame:
     spark = members.sparkSession
     part = components(found).withColumnRenamed("id", "rep")
     large = members.where("large").drop("common").join(part, "rep", "left").withColumn("part", F.coalesce("component_id", "rep"))
-    large = materialise(large.select("rep", "n", "block", "band", "nth", "part"), "parts")
+    large = scratch.keep(large.select("rep", "n", "block", "band", "nth", "part"), "parts")
     main = large.groupBy("block", "part").agg(F.count("*").alias("k")).groupBy("block").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
     rest = large.join(main, "block").where("part <> main").select("rep", "block", "band")
     entry = c.select("rep", F.explode("prefix").alias("h"))
     asking = entry.join(rest, "rep").select("h", "rep", "block", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
     holding = entry.join(large, "rep").select("h", "block", "band", "nth").distinct()
-    asked = materialise(asking.join(holding, ["h", "block", "band"]).select("rep", "block", "band", "nth").distinct(), "asked")
+    asked = scratch.keep(asking.join(holding, ["h", "block", "band"]).select("rep", "block", "band", "nth").distinct(), "asked")
     key = ["block", "band", "nth"]
     groups = asked.groupBy(key).agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
     tile, sets_of = F.xxhash64(*key, "group"), members.where("large").select("rep", "n", "grams", "common")
     left = asked.join(groups, key).withColumn("group", F.pmod(F.xxhash64("rep", F.lit(2)), "groups").cast("int")).select(tile.alias("cell"), "rep", F.lit(True).alias("side"))
     right = large.join(groups, key).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).select(tile.alias("cell"), "rep", F.lit(False).alias("side"))
-    tiles = materialise(left.unionByName(right), "tiles")
+    tiles = scratch.keep(left.unionByName(right), "tiles")
     total = tiles.join(sets_of.select("rep", "grams"), "rep").agg(F.sum("grams")).first()[0]
     return compare(tiles.join(sets_of.drop("grams"), "rep"), _deals(spark, total))
 
@@ -329,9 +329,11 @@ def join(docs: DataFrame, width: int = WORDS) -> DataFrame:
     doc_id are one node. Hashes have 48 bits, signatures of sets 128.
     """
     d = materialise(sets(docs, width), "sets")
-    known = d.where("n > 0 and doc_id is not null")
-    least = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m <> x").drop("x")
+    scratch, known = Scratch(), d.where("n > 0 and doc_id is not null")
+    # written first: adaptive execution splits a join on a set that very many rows share only if both sides come straight from a shuffle
+    least = scratch.keep(known.groupBy("s1", "s2").agg(F.min("doc_id").alias("m"), F.max("doc_id").alias("x")).where("m <> x").drop("x"), "copies")
     same = known.select("doc_id", "s1", "s2").join(least, ["s1", "s2"]).where("doc_id <> m").select(F.col("doc_id").alias("a"), F.col("m").alias("b"))
-    part = components(same.unionByName(_links(d)))
+    part = components(same.unionByName(_links(d, scratch)))
+    scratch.drop()
     got = d.select("doc_id", F.col("n").alias("n_shingles")).join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return got.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, on one machine, as in tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -47,6 +49,22 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Scratch:
+    """Tables written on the way, to be deleted when what reads them has been written in turn."""
+
+    def __init__(self):
+        self.written: list[DataFrame] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.written.append(materialise(df, name))
+        return self.written[-1]
+
+    def drop(self) -> None:
+        for df in self.written:
+            discard(df)
+        self.written = []
+
+
 def _forest(batches):
     """Union-find over one partition's edges: each node of the partition with the smallest node it reaches."""
     up: dict[int, int] = {}
