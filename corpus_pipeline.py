@@ -15,7 +15,10 @@ from tidemark.llm.shared import materialise
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It is fitted on the labelled rows of `documents` that aren't held out."""
+    """Documents that the classifier accepts. It is fitted on the labelled rows of `documents` that aren't held out.
+
+    Null and empty texts are judged by their statistics alone; repeated rows and rows with a null doc_id are judged each.
+    """
     machine = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed=~quality.held_out(F.col("doc_id")))
     return quality.filter_documents(docs, machine)
 
@@ -34,17 +37,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands. Null and empty texts stay; repeated rows stay or go alike."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
+    """All documents, their secrets replaced by a mark. Null and empty texts stay as they are; repeated rows are changed alike."""
     return secrets.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences. Null and empty texts are one token; repeated rows are packed each."""
     return packing.pack(docs)
 
 

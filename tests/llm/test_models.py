@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import embeddings, packing, quality, toxicity, warc
+from tidemark.llm import embeddings, features, packing, quality, toxicity, warc
 from tidemark.llm.queries import table
 from tidemark.llm.shared import components, new_path
 
@@ -52,6 +52,30 @@ def test_toxicity(spark):
     assert toxicity.score(odd, toxicity.train(docs, labels.limit(0))).count() == 2
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """Fitted without a fifth of the labelled rows, it ranks and tells them; odd rows are scored."""
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = toxicity.train(docs, labels, allowed=~quality.held_out(F.col("doc_id")))
+    got = toxicity.score(docs, model).join(labels.where(quality.held_out(F.col("doc_id"))), "doc_id").toPandas()
+    toxic, clean = got[got["toxic"] == 1]["expected_severity"], got[got["toxic"] == 0]["expected_severity"]
+    assert len(toxic) > 20 and len(clean) > 500
+    assert np.mean([(x > clean).mean() + (x == clean).mean() / 2 for x in toxic]) > 0.95  # some labels are wrong
+    assert (got["is_toxic"] == (got["toxic"] == 1)).mean() > 0.97
+    odd = spark.createDataFrame([(None, "x", 1, 2.0), (3, "y " * 200000, 1, 2.0), (3, None, 1, 2.0)], "doc_id long, text string, severity int, p_toxic double")
+    assert sorted(str(r.doc_id) for r in toxicity.score(odd, model).collect()) == ["3", "3", "None"]
+    assert toxicity.score(odd.limit(0), model).collect() == []
+
+
+def test_training_rows_are_bounded(spark):
+    """Rows that repeat a labelled doc_id count once."""
+    docs = spark.createDataFrame([(1, f"text {k % 7}") for k in range(3000)] + [(2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)] * 3, "doc_id long, quality int")
+    got = features.training_rows(docs, labels, "quality", 10).collect()
+    assert sorted((r.doc_id, r.text, r.y) for r in got if r.text) == [(1, "text 0", 1)] and {(r.doc_id, r.y) for r in got} == {(1, 1), (2, 0)}
+    machine = quality.train(docs, labels)
+    assert quality.score(docs, machine).count() == 3003
+
+
 def test_ordinal_gradient_orders_grades():
     rng = np.random.default_rng(1)
     grade = rng.integers(0, 4, 400)
