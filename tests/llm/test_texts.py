@@ -198,6 +198,69 @@ def test_secrets(spark):
     assert secrets.scan(frame(spark, [])).collect() == []
 
 
+def test_secrets_in_very_many_places(spark):
+    """Places add up without a fold over all matches, and odd rows are judged each."""
+    rng = random.Random(4)
+    many = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(1, 40))) + rng.choice(["", " é", " token=abcdefghijklmnop"]) for _ in range(3000))
+    rows = [(1, many), (None, many), (1, many), (2, "0123456789abcdef"), (3, "x"), (4, "a b 0123456789abcdef0 c")]
+    got = [(r.doc_id, r.base_sha256) for r in secrets.digest(secrets.scan(frame(spark, rows))).collect()]
+    assert sorted(map(str, got)) == sorted(str((i, hashlib.sha256(brute_secrets(t).encode()).hexdigest())) for i, t in rows)
+    began = time.time()
+    assert secrets.scan(frame(spark, [(1, "0123456789abcdef " * 16000)])).select(F.size("base")).first()[0] == 16000
+    assert time.time() - began < 20
+
+
+def exact_battery(v):
+    """The battery's p-values by exact tails, with numpy and math alone."""
+    import math
+
+    n, kind = len(v), lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+    size = 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", v) else 26 if re.fullmatch("[a-z]+|[A-Z]+", v) else 32 if re.fullmatch("[A-Z2-7]+=*", v) else 36 if re.fullmatch("[a-z0-9]+|[A-Z0-9]+", v) else 62 if v.isalnum() else 64
+    chi = sum(v.count(c) ** 2 for c in set(v)) * size / n - n
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+
+    def chi_upper(x, df):  # by numerical integration of the density
+        grid = np.linspace(x, x + 40 * math.sqrt(2 * df) + 200, 200001)
+        density = np.exp((df / 2 - 1) * np.log(np.maximum(grid, 1e-300)) - grid / 2 - df / 2 * math.log(2) - math.lgamma(df / 2))
+        return float(np.trapezoid(density, grid))
+
+    c = np.array([ord(x) for x in v], float)
+    d = c - c.mean()
+    serial = (d[:-1] * d[1:]).sum() / (d * d).sum()
+    if size == 26:
+        kind = lambda c: c.lower() < "n"
+    digit = {16: 10 / 16, 26: 0.5, 32: 6 / 32, 36: 10 / 36, 62: 10 / 62, 64: 10 / 64}[size]
+    letter = (1 - digit) / (2 if size > 60 else 1)
+    two = 1 - digit**2 - letter**2 * (2 if size > 60 else 1)
+    changes = sum(kind(a) != kind(b) for a, b in zip(v, v[1:]))
+    runs = tail((changes - (n - 1) * two) / math.sqrt((n - 1) * two * (1 - two)))
+    ps = [chi_upper(chi, size - 1), runs, tail(serial * math.sqrt(n))]
+    return ps, chi_upper(-2 * sum(math.log(max(p, 1e-300)) for p in ps), 6)
+
+
+def test_battery_against_exact_tails(spark):
+    rng = random.Random(7)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 33, 64, 200)] + ["unconstitutionalitiesofthings", "aaaaaaaaaabbbbbbbbbbcccccc1111"]
+    got = {r.v: r for r in secrets.battery(spark.createDataFrame([(t,) for t in tokens], "v string")).collect()}
+    for v in tokens:
+        ps, combined = exact_battery(v)
+        r = got[v]
+        for p, q in zip([*ps, combined], [r.p_uniform, r.p_runs, r.p_serial, r.p_random]):
+            assert abs(p - q) < 0.01 + 0.05 * p, (v, p, q)
+        assert 0 <= r.p <= 1
+    assert got[tokens[-1]].p == 1 and got[tokens[15]].p < 1e-6  # not random; 200 of base 62
+
+
+def test_long_keys_of_one_kind(spark):
+    """Random keys of small letters alone are found when long, by how uniform their letters are; written ones aren't."""
+    rng = random.Random(9)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160))
+    prose_like = "".join(rng.choices("etaoinshrdlcumwfgypbvkjxqz", [127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1], k=160))
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(frame(spark, [(1, f"key {key} end"), (2, f"the {prose_like} end"), (3, None)]))).collect()}
+    assert "random:4:164" in got[1] and got[2] == "" and got[3] == ""
+
+
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 

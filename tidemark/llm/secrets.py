@@ -2,8 +2,10 @@
 
 Places come from the text itself: every match is wrapped in a mark, the marked text is split, and running lengths of the
 parts are code-point offsets. Tokens of 20 or more characters are then tested for looking random in their encoding (hex,
-lower-case or full base-36/64 alphabets): a chi-squared test of uniform characters, a runs test and a serial correlation
-test. Their p-values are combined and cut with a false discovery rate that is controlled within classes of length.
+letters of one case, base 32, 36, 62 or 64): a chi-squared test of uniform characters, a runs test and a serial correlation
+test. Tokens that these reject are out. What is left is held against written text: how uniform its letters are, and how often it
+changes between kinds of character; the smaller of the two p-values is cut with a false discovery rate that is controlled
+within classes of length.
 """
 
 from __future__ import annotations
@@ -24,52 +26,68 @@ TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 FDR = 0.01
 #: In written words one step in so many goes from one kind of character (digit, capital, small letter, other) to another.
 WRITTEN_CHANGES = 0.05
+#: Sum of squares of the letters' shares in written English; other languages that use them are less even.
+WRITTEN_LETTERS = 0.0655
 #: A token is taken for random if the combined tests don't reject that at this level.
 LEAST_RANDOM = 0.001
 #: Two private characters: one wraps matches; where a text holds it, the other stands in for it (neither is in a pattern).
 _MARK, _STAND_IN = "\ue000", "\ue001"
 
 
-def _parts(pattern: str) -> Column:
-    """The text split at its matches: gap, match, gap, match, ..., gap."""
-    return F.split(F.regexp_replace("t", pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)
+_SPAN_LIST = "array<struct<s:long,e:long,o:int,kind:string,v:string>>"
 
 
-def _spans(parts: Column, kind: str, order: int, ok) -> Column:
-    """[(start, end, order, kind)] of the matches for which ok(match) holds.
+def _spans(d: DataFrame, finders: dict[str, tuple]) -> DataFrame:
+    """Adds for each kind of {kind: (order, pattern, gate, ok)} a column [(start, end, order, kind, match)] of the matches in `t`
+    for which ok(match) holds, if the gate does. The gate must be a necessary condition; it is far cheaper than marking a text.
 
-    The lengths are added up once over (start of gap) pairs: a fold that keeps the running offset beside the result.
+    Texts are split at their matches: gap, match, gap, ..., gap. Lengths are added up by a fold that keeps the running offset beside
+    its result. As a fold copies its result at each match, parts are taken in runs of about the square root of their number, whose
+    first offsets are added up beforehand. What is looked at more than once is a column of its own, or each would compute it again.
     """
-    empty = F.array().cast("array<struct<s:long,e:long,o:int,kind:string,v:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), empty.alias("out"))
+    names = d.columns
+    parts = {k: F.when(gate, F.split(F.regexp_replace("t", pattern, f"{_MARK}$0{_MARK}"), _MARK, -1)) for k, (_, pattern, gate, _ok) in finders.items()}
+    d = d.withColumns({f"_{k}_parts": x for k, x in parts.items()})
+    # an even number, so that a run begins with a gap
+    d = d.withColumns({f"_{k}_each": (2 * F.ceil(F.sqrt(F.size(f"_{k}_parts")) / 2)).cast("int") for k in finders})
 
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + F.length(x)
-        one = F.array(F.struct(acc["at"].alias("s"), end.alias("e"), F.lit(order).alias("o"), F.lit(kind).alias("kind"), x.alias("v")))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & ok(x), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def runs(k: str) -> Column:
+        each = F.col(f"_{k}_each")
+        return F.when(each > 0, F.transform(F.sequence(F.lit(0), F.ceil(F.size(f"_{k}_parts") / each).cast("int") - 1), lambda i: F.slice(f"_{k}_parts", i * each + 1, each)))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    def firsts(k: str) -> Column:
+        total = F.transform(f"_{k}_runs", lambda run: F.aggregate(run, F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
+        zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+        return F.aggregate(total, zero, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
+    def spans(k: str, order: int, ok) -> Column:
+        start = lambda at: F.struct(at.alias("at"), F.lit(False).alias("inside"), F.array().cast(_SPAN_LIST).alias("out"))
 
-_SPAN_LIST = "array<struct<s:long,e:long,o:int,kind:string,v:string>>"
+        def step(acc: Column, x: Column) -> Column:
+            end = acc["at"] + F.length(x)
+            one = F.array(F.struct(acc["at"].alias("s"), end.alias("e"), F.lit(order).alias("o"), F.lit(k).alias("kind"), x.alias("v")))
+            return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & ok(x), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
+        found = F.transform(F.arrays_zip(F.col(f"_{k}_runs").alias("run"), F.col(f"_{k}_first").alias("first")), lambda x: F.aggregate(x["run"], start(x["first"]), step, lambda acc: acc["out"]))
+        return F.coalesce(F.flatten(found), F.array().cast(_SPAN_LIST))
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """Adds `base` (spans by start, then kind as listed) and `long_tokens` (candidates of the battery)."""
-    text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("t", F.when(text.contains(_MARK), F.translate(text, _MARK, _STAND_IN)).otherwise(text))
-    none = F.array().cast(_SPAN_LIST)
+    d = d.withColumns({f"_{k}_runs": runs(k) for k in finders}).withColumns({f"_{k}_first": firsts(k) for k in finders})
+    return d.select(*names, *[spans(k, order, ok).alias(k) for k, (order, _p, _g, ok) in finders.items()])
 
-    def spans(pattern: str, kind: str, order: int, ok, gate: Column) -> Column:
-        return F.when(gate, _spans(_parts(pattern), kind, order, ok)).otherwise(none)
 
-    # gates are necessary conditions that are far cheaper than marking the whole text
-    assign = spans(ASSIGN, "assign", 0, lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= LEAST["assign"], F.col("t").rlike(ASSIGN))
-    access = spans(ACCESS, "access", 1, lambda x: F.length(x) >= LEAST["access"], F.col("t").contains("AKIA"))
-    # runs are maximal, so those of 16 and more are the matches that stay
-    hexes = spans(f"{HEX[:-1]}{{{LEAST['hex']},}}", "hex", 2, lambda x: F.lit(True), F.col("t").rlike(f"{HEX[:-1]}{{{LEAST['hex']}}}"))
-    tokens = spans(TOKEN, "random", 3, lambda x: F.lit(True), F.col("t").rlike(TOKEN))
-    return d.withColumn("base", F.array_sort(F.concat(assign, access, hexes))).withColumn("long_tokens", tokens).drop("t")
+def base_spans(docs: DataFrame) -> DataFrame:
+    """row_id and rest of `docs` with `base` (spans by start, then kind as listed) and `long_tokens` (candidates of the battery)."""
+    text, t = F.coalesce("text", F.lit("")), F.col("t")
+    d = docs.select("row_id", "rest", F.when(text.contains(_MARK), F.translate(text, _MARK, _STAND_IN)).otherwise(text).alias("t"))
+    # runs of hexadecimal digits are maximal, so those of 16 and more are the matches that stay
+    finders = {
+        "assign": (0, ASSIGN, t.rlike(ASSIGN), lambda x: F.length(F.regexp_extract(x, ASSIGN, 2)) >= LEAST["assign"]),
+        "access": (1, ACCESS, t.contains("AKIA"), lambda x: F.length(x) >= LEAST["access"]),
+        "hex": (2, f"{HEX[:-1]}{{{LEAST['hex']},}}", t.rlike(f"{HEX[:-1]}{{{LEAST['hex']}}}"), lambda x: F.lit(True)),
+        "random": (3, TOKEN, t.rlike(TOKEN), lambda x: F.lit(True)),
+    }
+    found = _spans(d, finders)
+    return found.select("row_id", "rest", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.col("random").alias("long_tokens"))
 
 
 def normal_tail(z: Column) -> Column:
@@ -92,26 +110,31 @@ def battery(tokens: DataFrame) -> DataFrame:
     """Adds to tokens (column v) their inferred encoding, the tests' p-values, p_random, p and its bin and length class.
 
     p_uniform, p_runs and p_serial test a uniform random string of the encoding; p_random is their Fisher combination.
-    p is the chance that a written word changes between kinds of characters as often as this one: the p-value whose false
-    discoveries are controlled. It is 1 for tokens that the battery rejects.
+    p is that of written text, whose false discoveries are controlled: twice the smaller of the chance that a written word changes
+    between kinds of characters as often as this one (runs), and that its letters are as uniform (chi-squared: below its value for
+    the letters of English, which has a non-central distribution). It is 1 for tokens that the battery rejects.
     """
     v, n = F.col("v"), F.col("n")
-    encoding = F.when(v.rlike("^[0-9a-f]+$") | v.rlike("^[0-9A-F]+$"), "hex").when(v.rlike("^[A-Z2-7]+=*$"), "base32").when(v.rlike("^[a-z0-9]+$") | v.rlike("^[A-Z0-9]+$"), "base36").when(v.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
-    by_encoding = lambda *x: F.element_at(F.create_map(*[F.lit(y) for pair in zip(("hex", "base32", "base36", "base62", "base64"), x) for y in pair]), F.col("encoding"))
+    encoding = F.when(v.rlike("^[0-9a-f]+$") | v.rlike("^[0-9A-F]+$"), "hex").when(v.rlike("^[a-z]+$") | v.rlike("^[A-Z]+$"), "letters").when(v.rlike("^[A-Z2-7]+=*$"), "base32").when(v.rlike("^[a-z0-9]+$") | v.rlike("^[A-Z0-9]+$"), "base36").when(v.rlike("^[A-Za-z0-9]+$"), "base62").otherwise("base64")
+    by_encoding = lambda *x: F.element_at(F.create_map(*[F.lit(y) for pair in zip(("hex", "letters", "base32", "base36", "base62", "base64"), x) for y in pair]), F.col("encoding"))
     t = tokens.withColumn("encoding", encoding).withColumn("n", F.length("v").cast("double")).withColumn("chars", F.split("v", "")).withColumn("c", F.transform("chars", lambda x: F.ascii(x).cast("double")))
-    t = t.withColumn("size", by_encoding(16.0, 32.0, 36.0, 62.0, 64.0))
+    t = t.withColumn("size", by_encoding(16.0, 26.0, 32.0, 36.0, 62.0, 64.0))
     total = lambda column, f: F.aggregate(column, F.lit(0.0), lambda a, x: a + f(x))
     counts = F.transform(F.array_distinct("c"), lambda x: F.size(F.filter("c", lambda y: y == x)).cast("double"))
     chi = total(counts, lambda k: k * k) * F.col("size") / n - n
-    t = t.withColumn("mean", total("c", lambda x: x) / n).withColumn("d", F.transform("c", lambda x: x - F.col("mean")))
+    # no lambda looks at another column: Catalyst may put that column's expression in its place, once for each element
+    t = t.withColumn("sum", total("c", lambda x: x)).withColumn("squares", total("c", lambda x: x * x))
+    # letters of one case have one kind: their runs are those in the first and the second half of the alphabet
+    half = F.col("encoding") == "letters"
     kind = lambda x: F.when(x.between(48, 57), 0).when(x.between(97, 122), 1).when(x.between(65, 90), 2).otherwise(3)
-    t = t.withColumn("k", F.transform("c", kind))
+    t = t.withColumn("k", F.when(half, F.transform("c", lambda x: F.when((x % 32) < 14, 4).otherwise(5))).otherwise(F.transform("c", kind)))
     neighbours = lambda column: F.arrays_zip(F.slice(column, F.lit(1), F.size(column) - 1).alias("a"), F.slice(column, F.lit(2), F.size(column) - 1).alias("b"))
-    serial = total(neighbours("d"), lambda p: p["a"] * p["b"]) / F.nullif(total("d", lambda x: x * x), F.lit(0.0))
+    mean, ends = F.col("sum") / n, F.element_at("c", 1) + F.element_at("c", -1)
+    serial = (total(neighbours("c"), lambda p: p["a"] * p["b"]) - mean * (2 * F.col("sum") - ends) + (n - 1) * mean * mean) / F.nullif(F.col("squares") - n * mean * mean, F.lit(0.0))
     changes = total(neighbours("k"), lambda p: F.when(p["a"] != p["b"], 1.0).otherwise(0.0))
     t = t.withColumn("serial", F.coalesce(serial, F.lit(1.0))).withColumn("changes", changes).withColumn("chi", chi)
-    # chance that two random characters differ in kind: one letter case for the first three encodings, two for the others
-    digit = by_encoding(10 / 16, 6 / 32, 10 / 36, 10 / 62, 10 / 64)
+    # chance that two random characters differ in kind: one letter case for the first four encodings, two for the others
+    digit = by_encoding(10 / 16, 0.5, 6 / 32, 10 / 36, 10 / 62, 10 / 64)
     letter = F.when(F.col("encoding").isin("base62", "base64"), (1 - digit) / 2).otherwise(1 - digit)
     two = 1 - digit * digit - letter * letter * F.when(F.col("encoding").isin("base62", "base64"), 2).otherwise(1)
     steps = n - 1
@@ -119,10 +142,17 @@ def battery(tokens: DataFrame) -> DataFrame:
     t = t.withColumn("p_uniform", chi_tail(F.col("chi"), F.col("size") - 1)).withColumn("p_runs", normal_tail(above(two))).withColumn("p_serial", normal_tail(F.col("serial") * F.sqrt("n")))
     fisher = -2 * sum(F.ln(F.greatest(F.col(p), F.lit(1e-300))) for p in ("p_uniform", "p_runs", "p_serial"))
     z = above(F.lit(WRITTEN_CHANGES))
-    written = F.when(z > 0, normal_tail(z) / 2).otherwise(F.lit(1.0))
+    # letters, whatever their case: chi-squared of 26, of which written ones have more than random ones
+    t = t.withColumn("letters", F.regexp_replace(F.lower("v"), "[^a-z]", "")).withColumn("nl", F.length("letters").cast("double"))
+    of = lambda x: (F.col("nl") - F.length(F.replace("letters", F.lit(x), F.lit("")))).cast("double")
+    nl, more = F.col("nl"), F.col("nl") * (26 * WRITTEN_LETTERS - 1)
+    even = (sum(of(x) * of(x) for x in "abcdefghijklmnopqrstuvwxyz") * 26.0 / F.nullif(nl, F.lit(0.0)) - nl - 25 - more) / F.sqrt(2 * (25 + 2 * more))
+    uniform = F.when((even < 0) & (nl >= 20), normal_tail(even) / 2).otherwise(F.lit(1.0))
+    changing = F.when((z > 0) & ~half, normal_tail(z) / 2).otherwise(F.lit(1.0))
+    written = F.least(F.lit(1.0), 2 * F.least(changing, uniform))
     t = t.withColumn("p_random", chi_tail(fisher, F.lit(6.0))).withColumn("p", F.when(F.col("p_random") >= LEAST_RANDOM, written).otherwise(F.lit(1.0)))
     t = t.withColumn("length_class", F.floor(F.log2("n")).cast("int")).withColumn("bin", F.floor(F.least(-10 * F.log10(F.greatest("p", F.lit(1e-40))), F.lit(400.0))).cast("int"))
-    return t.drop("chars", "c", "d", "k", "mean", "size", "chi")
+    return t.drop("chars", "c", "k", "sum", "squares", "size", "chi", "letters", "nl")
 
 
 def discoveries(tokens: DataFrame, rate: float = FDR) -> DataFrame:
@@ -138,20 +168,21 @@ def discoveries(tokens: DataFrame, rate: float = FDR) -> DataFrame:
 
 
 def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
-    """`docs` with `base` (spans of the base patterns) and `found` (those of the battery too), both by start, then kind.
+    """`docs` without `text`, with `base` (spans of the base patterns) and `found` (those of the battery too), both by start, then
+    kind; these replace columns of such names.
 
     Each text is scanned once and the spans, without the text, are written to the shared folder; the battery then judges
     every long token against the histogram of all, of which one row for each class of length is broadcast. Tokens that
     overlap a base span add nothing. Null and empty texts have no spans; repeated rows and doc_ids are judged each.
     """
-    rows = base_spans(docs.withColumn("row_id", F.monotonically_increasing_id())).drop("text")
-    rows = materialise(rows, "spans")
+    rest = F.struct(*[c for c in docs.columns if c not in ("text", "base", "found")])
+    rows = materialise(base_spans(docs.select(F.monotonically_increasing_id().alias("row_id"), rest.alias("rest"), "text")), "spans")
     tokens = materialise(battery(rows.select("row_id", "base", F.explode("long_tokens").alias("x")).select("row_id", "base", "x", "x.v")), "tokens")
     cuts = F.broadcast(discoveries(tokens, rate))
     clear = ~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
     added = tokens.join(cuts, "length_class").where((F.col("bin") >= F.col("cut")) & clear).groupBy("row_id").agg(F.collect_list("x").alias("added"))
     got = rows.join(added, "row_id", "left")
-    return got.withColumn("found", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN_LIST))))).drop("long_tokens", "added", "row_id")
+    return got.select("rest.*", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN_LIST)))).alias("found"))
 
 
 def join_spans(spans: str) -> Column:
