@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import music, text
-from tidemark.operators import brief, clusters, evaluation, governance, ingest, listening, planner, similarity, taste, warehouse
+from tidemark.operators import brief, clusters, evaluation, governance, ingest, listening, planner, ranks, similarity, taste, warehouse
 from tidemark.plans import report
 from tidemark.plans.queries_listening import plays as event_plays
 from tidemark.sources import files
@@ -199,10 +199,55 @@ def test_gap_codec():
         assert files.decode_gaps(files.encode_gaps(cells)) == cells
 
 
+def test_report_of_a_closed_window(spark, eight):
+    """Both bounds and the zone cut the archetype too, and the cards that need years, clusters or valences are there."""
+    years = spark.createDataFrame([("t1", 1985), ("t2", 2020), ("t3", None)], "track_id string, year int")
+    kinds = spark.createDataFrame([("t1", 0), ("t2", 1), ("t3", 1)], "track_id string, cluster int")
+    valence = spark.createDataFrame([("t1", 0.5), ("t2", 0.25), ("t3", -0.5)], "track_id string, valence double")
+    r = report.build(eight, "2024-03-01", "2024-04-01", "UTC", 5, years, kinds, valence)
+    cards = {c["id"]: c for c in r["cards"]}
+    assert cards["total_hours"]["plays"] == 4
+    m = cards["archetype"]["metrics"]
+    assert (m["discovery_ratio"], m["skip_rate"], m["old_share"]) == (0.5, 0.25, 0.5) and abs(m["cluster_evenness"] - 1) < 1e-12
+    later = report.build(eight, "2024-06-01", "2024-07-01")["cards"][-1]["metrics"]
+    assert abs(later["discovery_ratio"] - 1 / 3) < 1e-12 and later["old_share"] is None
+    assert report.build(eight, None, "2024-03-14", "UTC")["cards"][0]["id"] == "time_of_day"
+    assert report.build(eight, "2024-03-14", "2024-03-15", "Asia/Tokyo")["cards"][0]["plays"] == 4  # 21:05 to 22:20 there
+    assert cards["listening_age"]["year"] == 2002 and cards["listening_age"]["age"] == 22 and cards["listening_age"]["oldest"]["year"] == 1985
+    assert [(x["decade"], x["plays"]) for x in cards["decade_histogram"]["rows"]] == [(1980, 2), (2020, 2)]
+    assert [(x["cluster"], x["plays"], x["artists"]) for x in cards["taste_clusters"]["rows"]] == [(0, 2, ["Alpha"]), (1, 2, ["Beta"])]
+    assert [x["track_id"] for x in cards["hidden_gems"]["rows"]] == ["t2"]
+    assert [(x["artist"], x["plays"]) for x in cards["artist_sprint"]["rows"]] == [("Alpha", 2), ("Beta", 2)]
+
+
+def test_ranks_by_parts_of_the_range(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, i % 3, rng.choice([rng.random() * 10, float(rng.randrange(5)), None, 1e6])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g long, x double")
+    got = {r.id: r for r in ranks.min_rank(ranks.percent_rank(df, "x", "p", ["g"]), "x", "m").collect()}
+    for i, g, x in rows:
+        if x is None:
+            assert got[i].p is None
+            continue
+        same = [y for _, h, y in rows if h == g and y is not None]
+        assert abs(got[i].p - (sum(y < x for y in same) + (sum(y == x for y in same) + 1) / 2) / len(same)) < 1e-12
+        assert got[i].m == 1 + sum(y is not None and y > x for _, _, y in rows)
+
+
+def test_weights_by_stretches(spark, eight, monkeypatch):
+    """However long a stretch is, the fold is that of the plays one after another."""
+    plays, tags = eight.withColumn("event_id", F.lit(0)), spark.createDataFrame([("t1", [0, 1]), ("t2", [1]), ("t3", [2])], "track_id string, kc array<int>")
+    stepped = taste.steps(plays, tags, ("ts", "event_id"))
+    want = {r.kc: (round(r.w_approach, 12), round(r.w_avoid, 12)) for r in taste.weights(stepped).collect()}
+    for fold in (1, 2, 3, 7):
+        monkeypatch.setattr(taste, "FOLD", fold)
+        assert {r.kc: (round(r.w_approach, 12), round(r.w_avoid, 12)) for r in taste.weights(stepped).collect()} == want
+
+
 def test_report_and_tools(eight, tmp_path):
     r = report.build(eight)
-    assert [c["id"] for c in r["cards"]] == ["total_hours", "top_artists", "top_tracks", "top_albums", "time_of_day", "archetype"]
-    assert r["cards"][0]["plays"] == 8 and sum(r["cards"][4]["hours"]) == 8 and r["cards"][-1]["label"] == "loyalist"
+    assert [c["id"] for c in r["cards"]] == ["total_hours", "top_artists", "top_tracks", "top_albums", "artist_sprint", "time_of_day", "archetype"]
+    assert r["cards"][0]["plays"] == 8 and sum(r["cards"][5]["hours"]) == 8 and r["cards"][-1]["label"] == "loyalist"
     report.check_version(r)
     with pytest.raises(ValueError):
         report.check_version({"schema_version": "1.0"})

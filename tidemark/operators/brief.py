@@ -5,18 +5,86 @@ from __future__ import annotations
 import json
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
 
-#: Themes (name, first hour, hour after the last).
-THEMES = (("slow sunrise", 5, 10), ("focus drift", 9, 17), ("golden hour", 15, 20), ("night drive", 20, 24), ("after hours", 0, 5))
+#: Themes (name, moods, least and most energy, hours, bonus at weekends).
+THEMES = (
+    ("slow sunrise", ("chill", "nostalgic", "romantic"), 0.15, 0.6, (5, 6, 7, 8, 9), 0.0),
+    ("focus drift", ("chill", "nostalgic", "somber"), 0.2, 0.55, (9, 10, 11, 12, 13, 14, 15, 16), 0.0),
+    ("golden hour", ("euphoric", "playful", "romantic"), 0.3, 0.8, (15, 16, 17, 18, 19), 0.0),
+    ("night drive", ("melancholic", "anxious", "somber", "nostalgic"), 0.3, 0.75, (20, 21, 22, 23, 0), 0.0),
+    ("peak time", ("euphoric", "triumphant", "aggressive", "playful"), 0.4, 0.95, (20, 21, 22, 23, 0, 1), 0.6),
+    ("after hours", ("chill", "melancholic", "somber"), 0.1, 0.5, (0, 1, 2, 3, 4), 0.0),
+    ("adrenaline", ("aggressive", "triumphant", "euphoric"), 0.5, 1.0, (), 0.0),
+)
+#: Moods, and words that stand for them.
+MOODS = ("euphoric", "triumphant", "aggressive", "playful", "romantic", "nostalgic", "chill", "melancholic", "anxious", "somber")
+WORDS = {
+    "sad": "melancholic", "rain": "melancholic", "rainy": "melancholic", "blue": "melancholic", "happy": "euphoric", "party": "euphoric", "hype": "euphoric", "dance": "euphoric",
+    "angry": "aggressive", "gym": "aggressive", "workout": "aggressive", "hard": "aggressive", "calm": "chill", "relax": "chill", "relaxing": "chill", "study": "chill", "focus": "chill",
+    "love": "romantic", "date": "romantic", "sexy": "romantic", "memories": "nostalgic", "throwback": "nostalgic", "retro": "nostalgic", "tense": "anxious", "dark": "somber", "moody": "melancholic",
+    "win": "triumphant", "epic": "triumphant", "fun": "playful", "silly": "playful",
+}
+SEEDS = 5
 
 
 def theme(hour: int) -> str:
     """The first theme whose hours hold this one."""
-    return next(name for name, lo, hi in THEMES if lo <= hour % 24 < hi)
+    return next(t[0] for t in THEMES if hour % 24 in t[4])
+
+
+def mood_profile(recent: DataFrame, crate: DataFrame) -> DataFrame:
+    """(mood, weight): shares of moods among recent plays (track_id) that the crate has; weights add up to 1."""
+    moods = recent.select("track_id").join(crate.select("track_id", "mood_tags"), "track_id").select(F.explode(F.array_distinct("mood_tags")).alias("mood"))
+    n = moods.groupBy("mood").agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("t")))).select("mood", (F.col("n") / F.col("t")).alias("weight"))
+
+
+def score_themes(profile: DataFrame, hours: DataFrame) -> DataFrame:
+    """(hour, is_weekend, theme, score) for each row of `hours` and theme: 1 in its hours, its bonus at weekends, and the cosine
+    of its moods with the profile (0 without one), rounded to 3 places."""
+    spark = profile.sparkSession
+    themes = spark.createDataFrame([(n, list(m), list(h), b) for n, m, _, _, h, b in THEMES], "theme string, moods array<string>, hours array<int>, bonus double")
+    norm = F.broadcast(profile.agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")))
+    fit = themes.select("theme", F.explode("moods").alias("mood")).join(profile, "mood", "left").groupBy("theme").agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("dot"))
+    fit = themes.join(fit, "theme").crossJoin(norm).withColumn("fit", F.coalesce(F.try_divide("dot", F.sqrt(F.size("moods")) * F.col("norm")), F.lit(0.0)))
+    own = hours.select("hour", "is_weekend").crossJoin(F.broadcast(fit))
+    score = F.array_contains("hours", F.col("hour").cast("int")).cast("double") + F.when(F.col("is_weekend"), F.col("bonus")).otherwise(0.0) + F.col("fit")
+    return own.select("hour", "is_weekend", "theme", F.round(score, 3).alias("score"))
+
+
+def resolve(requested: Column, name: str = "theme") -> list[Column]:
+    """Columns of the theme that a text asks for: its name, moods and energy range.
+
+    A theme named in the text, or whose name holds a text of four and more characters; else one of the text's own made of its
+    mood words, with the energy range of the theme that shares most of them. Nulls if there are none.
+    """
+    said = F.lower(F.trim(requested))
+    table = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, m)).alias("moods"), F.lit(lo).alias("floor"), F.lit(hi).alias("ceiling")) for n, m, lo, hi, _, _ in THEMES])
+    named = F.get(F.filter(table, lambda t: F.contains(said, t["name"]) | ((F.length(said) >= 4) & F.contains(t["name"], said))), F.lit(0))
+    words = F.transform(F.split(said, r"\s+"), lambda w: F.regexp_replace(w, "^[.,!?'\"]+|[.,!?'\"]+$", ""))
+    known = F.create_map(*[F.lit(x) for k, v in {**WORDS, **{m: m for m in MOODS}}.items() for x in (k, v)])
+    moods = F.array_distinct(F.array_compact(F.transform(words, lambda w: F.try_element_at(known, w))))
+    shared = F.transform(table, lambda t: F.struct(F.size(F.array_intersect(t["moods"], moods)).alias("n"), t["floor"].alias("floor"), t["ceiling"].alias("ceiling")))
+    most = F.array_max(F.transform(shared, lambda t: t["n"]))
+    closest = F.get(F.filter(shared, lambda t: t["n"] == most), F.lit(0))
+    own = F.when(F.size(moods) > 0, F.struct(F.trim(requested).alias("name"), moods.alias("moods"), closest["floor"].alias("floor"), closest["ceiling"].alias("ceiling")))
+    got = F.coalesce(named, own)
+    return [got["name"].alias(name), got["moods"].alias("moods"), got["floor"].alias("floor"), got["ceiling"].alias("ceiling")]
+
+
+def pick_seeds(crate: DataFrame, recent: DataFrame, moods: tuple[str, ...], n: int = SEEDS, without: DataFrame | None = None) -> DataFrame:
+    """track_id and place (from 1) of at most n tracks that share a mood: those of `recent` (track_id, ts) latest first, then the
+    others by taste; equal ones by track_id. Tracks of `without` are never seeds."""
+    own = crate.where(F.arrays_overlap("mood_tags", F.array(*map(F.lit, moods)))).select("track_id", "taste")
+    own = own.join(without.select("track_id"), "track_id", "left_anti") if without is not None else own
+    own = own.join(recent.groupBy("track_id").agg(F.max("ts").alias("ts")), "track_id", "left")
+    order = [F.desc_nulls_last("ts"), F.when(F.col("ts").isNull(), F.col("taste")).desc_nulls_last(), F.col("track_id")]
+    best = own.orderBy(*order).limit(n)
+    return best.select("track_id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))  # n rows
 
 
 def build(crate: DataFrame, asked: DataFrame, hour: int, minutes: int) -> DataFrame:

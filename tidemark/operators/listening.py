@@ -53,6 +53,14 @@ def time_of_day(plays: DataFrame, zone: str) -> DataFrame:
     return full.withColumn("is_peak", F.row_number().over(Window.orderBy(F.desc("play_count"), "hour")) == 1)
 
 
+def hours_by(plays: DataFrame, by: str, zone: str) -> DataFrame:
+    """`time_of_day` for each value of `by`, in one pass."""
+    own = plays.groupBy(by, F.hour(local("ts", zone)).alias("hour")).agg(F.count("*").alias("n"))
+    spine = own.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    full = spine.join(own, [by, "hour"], "left").select(by, "hour", F.coalesce("n", F.lit(0)).alias("play_count"))
+    return full.withColumn("is_peak", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("play_count"), "hour")) == 1)
+
+
 def skip_offenders(tracks: DataFrame, min_plays: int = 5, min_rate: float = 0.3) -> DataFrame:
     return tracks.where((F.col("play_count") >= min_plays) & (F.col("skip_rate") >= min_rate)).select("track_id", "name", "artist", "play_count", "skip_rate").orderBy(F.desc("skip_rate"), F.desc("play_count"), "track_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -19,25 +20,49 @@ def keep_one(df: DataFrame, by: list, order: list) -> DataFrame:
     return top_per(df, 1, by, order, "_rank").drop("_rank")
 
 
+#: Parts of a range of values that are ranked apart.
+RANGES = 256
+
+
+def _before(counts: DataFrame, by: list, x: str, descending: bool) -> DataFrame:
+    """Adds `_before`, the sum of `_n` over values that come before, to distinct values with their counts.
+
+    The range of numbers is cut into equal parts: sums of the parts are added up first, then values within each, so that no
+    task sees all values. Values of other types are ranked in one place.
+    """
+    order = F.desc(x) if descending else F.asc(x)
+    upto = lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    if not isinstance(counts.schema[x].dataType, T.NumericType):
+        return counts.withColumn("_before", upto(Window.partitionBy(*by).orderBy(order)))
+    ends = counts.groupBy(*by).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
+    own = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))
+    part = F.coalesce(F.floor(F.try_divide((F.col(x) - F.col("_lo")) * (RANGES - 1), F.col("_hi") - F.col("_lo"))).cast("int"), F.lit(0))
+    own = own.withColumn("_part", -part if descending else part).drop("_lo", "_hi")
+    parts = own.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
+    parts = parts.select(*by, "_part", upto(Window.partitionBy(*by).orderBy("_part")).alias("_first"))
+    own = own.join(parts, [*by, "_part"]).withColumn("_before", F.col("_first") + upto(Window.partitionBy(*by, "_part").orderBy(order)))
+    return own.drop("_part", "_first")
+
+
 def percent_rank(df: DataFrame, x: str, name: str, by: list | None = None, descending: bool = False) -> DataFrame:
     """Mean rank of equal values divided by the number of values (nulls have none).
 
-    Only distinct values are ranked in one place, not rows: they are counted first.
+    Distinct values are counted first, then ranked by parts of their range.
     """
     by = by or []
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(F.desc(x) if descending else F.asc(x))
-    before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    total = F.sum("_n").over(Window.partitionBy(*by))
-    ranks = counts.select(*by, x, ((before + (F.col("_n") + 1) / 2) / total).alias(name), (before + (F.col("_n") + 1) / 2).alias(f"{name}_abs"))
+    total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    ranks = _before(counts, by, x, descending)
+    ranks = ranks.join(total, by) if by else ranks.crossJoin(F.broadcast(total))
+    place = F.col("_before") + (F.col("_n") + 1) / 2
+    ranks = ranks.select(*by, x, (place / F.col("_total")).alias(name), place.alias(f"{name}_abs"))
     return df.join(ranks, [*by, x], "left")
 
 
 def min_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """1 plus the number of rows with a larger value."""
     counts = df.groupBy(x).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    return df.join(counts.select(x, (before + 1).alias(name)), x, "left")
+    return df.join(_before(counts, [], x, True).select(x, (F.col("_before") + 1).alias(name)), x, "left")
 
 
 def unit_position(df: DataFrame, x: str, key: str, name: str, by: list | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RATE, DECAY = 0.05, 0.01
+#: Steps of one stretch.
+FOLD = 1 << 16
 
 
 def check(rate: float, decay: float) -> None:
@@ -28,20 +30,30 @@ def steps(plays: DataFrame, tags: DataFrame, order: tuple[str, ...]) -> DataFram
 def weights(stepped: DataFrame, rate: float = RATE, decay: float = DECAY) -> DataFrame:
     """(kc, w_approach, w_avoid) of the cells that some decisive play has touched; all others are 1.
 
-    With f = 1 - rate, c = 1 - decay and events at steps s_1 < ... < s_N of T, a weight ends at
-    c^T f^N + sum over j = 0..N of f^(N-j) (c^(T-b_j) - c^(T-a_j+1)), where a_0 = 1, a_j = s_j, b_j = s_(j+1) - 1, b_N = T.
+    With f = 1 - rate, c = 1 - decay and events at steps s_1 < ... < s_N of those from S + 1 to E, a weight w becomes
+    c^(E-S) f^N w + sum over j = 0..N of f^(N-j) (c^(E-b_j) - c^(E-a_j+1)), where a_0 = S + 1, a_j = s_j, b_j = s_(j+1) - 1,
+    b_N = E. That is affine in w: stretches of FOLD steps are folded apart, so that a cell that very many plays touch is no
+    bottleneck, and then one after another (over g steps without events w becomes 1 - c^g (1 - w)).
     """
     check(rate, decay)
     f, c = 1 - rate, 1 - decay
     total = F.broadcast(stepped.agg(F.max("step").alias("T")))
     touched = stepped.where("verdict <> 0").select(F.explode("kc").alias("kc"), "step", F.when(F.col("verdict") > 0, "w_avoid").otherwise("w_approach").alias("which"))
-    w = Window.partitionBy("kc", "which").orderBy("step")
-    e = touched.withColumn("j", F.row_number().over(w)).withColumn("next", F.lead("step").over(w)).withColumn("first", F.min("step").over(Window.partitionBy("kc", "which"))).withColumn("N", F.count("*").over(Window.partitionBy("kc", "which"))).crossJoin(total)
+    own = ["kc", "which", "stretch"]
+    touched = touched.withColumn("stretch", F.floor((F.col("step") - 1) / FOLD)).crossJoin(total)
+    touched = touched.withColumn("S", F.col("stretch") * FOLD).withColumn("E", F.least("T", F.col("S") + FOLD))
+    w = Window.partitionBy(*own).orderBy("step")
+    e = touched.withColumn("j", F.row_number().over(w)).withColumn("next", F.lead("step").over(w)).withColumn("N", F.count("*").over(Window.partitionBy(*own)))
     power = lambda x: F.pow(F.lit(c), x)
-    last = F.coalesce(F.col("next") - 1, F.col("T"))
-    term = F.pow(F.lit(f), F.col("N") - F.col("j")) * (power(F.col("T") - last) - power(F.col("T") - F.col("step") + 1))
-    start = F.when(F.col("j") == 1, F.pow(F.lit(f), F.col("N")) * (power(F.col("T")) + power(F.col("T") - F.col("first") + 1) - power(F.col("T"))))
-    per = e.groupBy("kc", "which").agg((F.sum(term) + F.sum(F.coalesce(start, F.lit(0.0)))).alias("w"))
+    last = F.coalesce(F.col("next") - 1, F.col("E"))
+    term = F.pow(F.lit(f), F.col("N") - F.col("j")) * (power(F.col("E") - last) - power(F.col("E") - F.col("step") + 1))
+    start = F.when(F.col("j") == 1, F.pow(F.lit(f), F.col("N")) * (power(F.col("E") - F.col("step") + 1) - power(F.col("E") - F.col("S"))))
+    per = e.groupBy(*own).agg(F.first("S").alias("S"), F.first("E").alias("E"), F.first("T").alias("T"), (power(F.first("E") - F.first("S")) * F.pow(F.lit(f), F.first("N"))).alias("a"), F.sum(term + F.coalesce(start, F.lit(0.0))).alias("b"))
+    parts = per.groupBy("kc", "which").agg(F.array_sort(F.collect_list(F.struct("S", "E", "a", "b"))).alias("parts"), F.first("T").alias("T"))
+    rest = lambda w, g: 1 - power(g) * (1 - w)
+    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0).cast("long").alias("at"))
+    fold = F.aggregate("parts", zero, lambda acc, p: F.struct((p["a"] * rest(acc["w"], p["S"] - acc["at"]) + p["b"]).alias("w"), p["E"].cast("long").alias("at")))
+    per = parts.withColumn("fold", fold).select("kc", "which", rest(F.col("fold.w"), F.col("T") - F.col("fold.at")).alias("w"))
     pick = lambda k: F.coalesce(F.max(F.when(F.col("which") == k, F.col("w"))), F.lit(1.0)).alias(k)
     return per.groupBy("kc").agg(pick("w_approach"), pick("w_avoid"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import music
+from ..functions import music, text
 from ..operators import evaluation, governance, ranks, resolve, similarity, taste, warehouse
 from ..sources.adapters import table
 from .queries_listening import HOURLY, long_plays, months, plays, titles, tracks
@@ -589,9 +589,10 @@ def _(s, d):
     return resolve.best(wanted, library).withColumn("status", resolve.status())
 
 
-@query("res4_representative_albums", f"WITH {PLAYS} SELECT artist_name, album_name, MIN(track_id) AS track_id FROM plays WHERE verdict > 0 GROUP BY 1, 2")
+@query("res4_representative_albums", f"WITH {PLAYS} SELECT lower(artist_name) || '|' || lower(replace(album_name, ' (Remastered)', '')) AS album, MIN(track_id) AS track_id FROM plays WHERE verdict > 0 GROUP BY 1")
 def _(s, d):
-    return plays(s, d).where("verdict > 0").groupBy("artist_name", "album_name").agg(F.min("track_id").alias("track_id"))
+    """One liked track for each album, whose editions count together."""
+    return plays(s, d).where("verdict > 0").groupBy(text.album_key("artist_name", "album_name").alias("album")).agg(F.min("track_id").alias("track_id"))
 
 
 @query("jsn1_first_object")
@@ -624,7 +625,7 @@ def _(s, d):
     return ranks.top_per(e, 20, ["day"], ["ts", "event_id"], "n").select("day", "event_id")
 
 
-@query("ml1_group_split", "WITH g AS (SELECT source, (ROW_NUMBER() OVER (ORDER BY md5('0|' || source), source) - 1) / CAST(COUNT(*) OVER () AS DOUBLE) AS p FROM (SELECT DISTINCT source FROM documents)) SELECT doc_id, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'validation' ELSE 'test' END AS split FROM documents JOIN g USING (source)")
+@query("ml1_group_split", "SELECT doc_id, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'validation' ELSE 'test' END AS split FROM (SELECT doc_id, CAST('0x' || substr(md5('0|' || source), 1, 8) AS BIGINT) / 4294967296.0 AS p FROM documents)")
 def _(s, d):
     return evaluation.split_groups(table(s, d, "documents").select("doc_id", "source"), "source").select("doc_id", "split")
 

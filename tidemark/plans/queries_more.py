@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..operators import clusters, evaluation, planner, ranks, resolve, similarity, taste
+from ..operators import brief, clusters, evaluation, listening, planner, ranks, resolve, similarity, taste
 from ..sources import files
 from ..sources.adapters import table
 from . import report
@@ -115,12 +115,12 @@ def _(s, d):
 
 @query("lsh12_benchmark_sweep")
 def _(s, d):
-    """Mean average precision of label neighbours by hash length, every vector being a query."""
+    """Mean average precision of label neighbours by hash length: a stated query set, ids divisible by 20, against all vectors."""
     v = table(s, d, "embeddings").select("vec_id", "embedding", "label")
     act = similarity.activations(similarity.normalised(v), similarity.edges(s, 120, 64))
     out = None
     for name, tags in [(f"wta_{k}", similarity.winners(act, k)) for k in (4, 12)] + [("sign_16", similarity.sign_bits(v, 16))]:
-        q = F.broadcast(tags.select(F.col("vec_id").alias("q"), F.col("kc").alias("qk"), F.col("label").alias("ql")))
+        q = tags.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("kc").alias("qk"), F.col("label").alias("ql"))
         ranked = tags.crossJoin(q).where("vec_id <> q").select("q", "vec_id", (F.col("label") == F.col("ql")).alias("rel"), similarity.hamming("kc", "qk").alias("distance"))
         row = similarity.average_precision(ranked, "q", "rel", "distance", "vec_id").agg(F.avg("ap").alias("map")).select(F.lit(name).alias("hash"), "map")
         out = row if out is None else out.unionByName(row)
@@ -183,11 +183,14 @@ def _(s, d):
     return named.groupBy("lang").agg(F.initcap(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), " · ")).alias("name"))
 
 
-@query("str14_theme_words", "WITH w(word, mood) AS (VALUES ('sad', 'melancholic'), ('happy', 'euphoric'), ('calm', 'chill'), ('gym', 'aggressive')), q(q) AS (VALUES ('sad rainy day'), ('gym and happy'), ('nothing')) SELECT q, COUNT(mood) AS moods FROM q LEFT JOIN w ON list_contains(string_split(q, ' '), word) GROUP BY 1")
+_ASKED = ("Night Drive", "some golden hour please", "peak", "sad rainy day", "gym, and happy!", "nothing", "chill", "hard dark win", "")
+
+
+@query("str14_theme_words", "SELECT * FROM (VALUES ('Night Drive', 'night drive', 'melancholic,anxious,somber,nostalgic', 0.3, 0.75), ('some golden hour please', 'golden hour', 'euphoric,playful,romantic', 0.3, 0.8), ('peak', 'peak time', 'euphoric,triumphant,aggressive,playful', 0.4, 0.95), ('sad rainy day', 'sad rainy day', 'melancholic', 0.3, 0.75), ('gym, and happy!', 'gym, and happy!', 'aggressive,euphoric', 0.4, 0.95), ('nothing', NULL, NULL, NULL, NULL), ('chill', 'chill', 'chill', 0.15, 0.6), ('hard dark win', 'hard dark win', 'aggressive,somber,triumphant', 0.4, 0.95), ('', NULL, NULL, NULL, NULL)) AS t(q, theme, moods, floor, ceiling)", "floor ceiling")
 def _(s, d):
-    w = F.broadcast(s.createDataFrame([("sad", "melancholic"), ("happy", "euphoric"), ("calm", "chill"), ("gym", "aggressive")], "word string, mood string"))
-    q = s.createDataFrame([("sad rainy day",), ("gym and happy",), ("nothing",)], "q string")
-    return q.select("q", F.explode(F.split("q", " ")).alias("word")).join(w, "word", "left").groupBy("q").agg(F.count("mood").alias("moods"))
+    """What texts ask for: named themes, mood words, nothing. The SQL states the results worked by hand."""
+    q = s.createDataFrame([(x,) for x in _ASKED], "q string")
+    return q.select("q", *brief.resolve(F.col("q"))).withColumn("moods", F.array_join("moods", ","))
 
 
 @query("dj10_polish")
@@ -208,8 +211,8 @@ def _(s, d):
     c = full_crate(s, d)
     picks = planner.select(c, "listener").join(c.select("listener", "track_id", "artist", "tempo", "duration_ms"), ["listener", "track_id"])
     issues = planner.critique(picks, "listener", planner.Rules().minutes).where("kind = 'jarring'")
-    bad = frozenset(r["track_id"] for r in picks.join(issues, ["listener", "slot"], "left_semi").select("track_id").collect())
-    return planner.select(c, "listener", planner.Rules(transition=0.3, hard=True), bad)
+    bad = picks.join(issues, ["listener", "slot"], "left_semi").select("listener", "track_id")
+    return planner.select(c.join(bad, ["listener", "track_id"], "left_anti"), "listener", planner.Rules(transition=0.3, hard=True))
 
 
 @query("res3_best_candidate", "SELECT l_suppkey, arg_max(l_partkey, (ROUND(l_discount, 2), -l_partkey)) AS best FROM lineitem GROUP BY 1")
@@ -254,9 +257,11 @@ def _(s, d):
     return s.createDataFrame([(v, ok(v)) for v in ("2.1", "2.9", "1.0")], "v string, ok boolean")
 
 
-@query("rpt7_time_of_day_all_windows", "SELECT CAST(YEAR(o_orderdate) AS VARCHAR) AS window_id, ISODOW(o_orderdate) - 1 AS dow, COUNT(*) AS n FROM orders GROUP BY 1, 2", longs="dow")
+@query("rpt7_time_of_day_all_windows", f"WITH {PLAYS}, w AS (SELECT CAST(EXTRACT(DAY FROM ts) AS INTEGER) % 3 AS window_id, HOUR(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS hour, COUNT(*) AS n FROM plays GROUP BY 1, 2), f AS (SELECT window_id, hour, COALESCE(n, 0) AS n FROM (SELECT DISTINCT window_id FROM w) CROSS JOIN (SELECT range AS hour FROM range(24)) LEFT JOIN w USING (window_id, hour)) SELECT window_id, hour, n, ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY n DESC, hour) = 1 AS is_peak FROM f", longs="window_id hour")
 def _(s, d):
-    return long_plays(s, d).groupBy(F.year("ts").cast("string").alias("window_id"), F.weekday("ts").alias("dow")).agg(F.count("*").alias("n"))
+    """The card's 24 local hours for several windows in one pass, zeros included, and the peak of each."""
+    own = plays(s, d).withColumn("window_id", F.dayofmonth("ts") % 3)
+    return listening.hours_by(own, "window_id", "America/New_York").select("window_id", "hour", F.col("play_count").alias("n"), "is_peak")
 
 
 @query("gov2_crate_schema", "SELECT TRUE AS passes, TRUE AS refuses")

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import music
-from ..operators import brief, clusters, planner, ranks
+from ..operators import brief, clusters, evaluation, planner, ranks, warehouse
 from ..sources import files
 from ..sources.adapters import table
 from ..streaming import live
@@ -24,8 +24,11 @@ from .registry import PLAYS, query
 
 
 def scratch(spark) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or (unset, on one machine) a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -60,19 +63,47 @@ def _(s, d):
     return planner.order(planner.in_sets(crate(s, d), "artist"), "artist", "set_no")
 
 
-_THEMES = brief.THEMES
+MOODS = "['" + "', '".join(brief.MOODS) + "']"
+_MOODY = f"{_CRATE}, moody AS (SELECT *, [{MOODS}[track_id % 10 + 1], {MOODS}[(track_id * 7 + 3) % 10 + 1]] AS mood_tags, track_id % 17 / 16 AS taste FROM crate), recent AS (SELECT l_partkey AS track_id, MAX(l_shipdate) AS ts FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01' GROUP BY 1)"
 
 
-@query("dj2_theme_by_hour", f"WITH {PLAYS}, t(name, lo, hi) AS (VALUES {', '.join(map(str, _THEMES))}), s AS (SELECT hour_utc, name, CAST(hour_utc >= lo AND hour_utc < hi AS INTEGER) AS fit FROM (SELECT DISTINCT hour_utc FROM plays), t) SELECT hour_utc, arg_min(name, (-fit, name)) AS theme FROM s GROUP BY 1", longs="hour_utc")
+def moody(s, d):
+    """The crate with two moods and a taste for each track, and its latest plays."""
+    k = F.col("track_id")
+    mood = lambda i: F.element_at(F.array(*map(F.lit, brief.MOODS)), (i % 10 + 1).cast("int"))
+    own = crate(s, d).withColumns({"mood_tags": F.array(mood(k), mood(k * 7 + 3)), "taste": k % 17 / 16})
+    recent = table(s, d, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp_ntz"))
+    return own, recent.groupBy(F.col("l_partkey").alias("track_id")).agg(F.max("l_shipdate").alias("ts"))
+
+
+_THEME_ROWS = ", ".join(f"('{n}', {list(m)}, {list(h) or 'CAST([] AS INTEGER[])'}, {b})" for n, m, _, _, h, b in brief.THEMES)
+
+
+@query("dj2_theme_scores", f"WITH {_MOODY}, m AS (SELECT mood, COUNT(*) AS n FROM (SELECT unnest(list_distinct(mood_tags)) AS mood FROM recent JOIN moody USING (track_id)) GROUP BY 1), p AS (SELECT mood, n / SUM(n) OVER () AS weight FROM m), t(theme, moods, hours, bonus) AS (VALUES {_THEME_ROWS}), f AS (SELECT theme, moods, hours, bonus, COALESCE((SELECT SUM(weight) FROM p WHERE list_contains(moods, mood)) / (SQRT(len(moods)) * (SELECT SQRT(SUM(weight * weight)) FROM p)), 0) AS fit FROM t), h AS (SELECT range AS hour, range % 2 = 1 AS is_weekend FROM range(24)) SELECT hour, is_weekend, theme, ROUND(CAST(list_contains(hours, hour) AS DOUBLE) + CASE WHEN is_weekend THEN bonus ELSE 0 END + fit, 3) AS score FROM h, f", "score", "hour")
+def _(s, d):
+    own, recent = moody(s, d)
+    hours = s.range(24).select(F.col("id").alias("hour"), (F.col("id") % 2 == 1).alias("is_weekend"))
+    return brief.score_themes(brief.mood_profile(recent, own), hours)
+
+
+@query("dj2_theme_by_hour", f"WITH {PLAYS}, t(theme, moods, hours, bonus) AS (VALUES {_THEME_ROWS}), s AS (SELECT hour_utc, theme, CAST(list_contains(hours, hour_utc) AS INTEGER) AS fit FROM (SELECT DISTINCT hour_utc FROM plays), t) SELECT hour_utc, arg_min(theme, (-fit, theme)) AS theme FROM s GROUP BY 1", longs="hour_utc")
+def _(s, d):
+    """Without recent moods a theme goes by its hours alone."""
+    hours = plays(s, d).select(F.col("hour_utc").alias("hour"), F.lit(False).alias("is_weekend")).distinct()
+    nothing = s.createDataFrame([], "mood string, weight double")
+    return brief.score_themes(nothing, hours).groupBy(F.col("hour").alias("hour_utc")).agg(F.min_by("theme", F.struct(-F.col("score"), F.col("theme"))).alias("theme"))
+
+
+@query("dj3_seeds", f"WITH {_MOODY} SELECT track_id, ROW_NUMBER() OVER (ORDER BY ts DESC NULLS LAST, CASE WHEN ts IS NULL THEN taste END DESC NULLS LAST, track_id) AS place FROM moody LEFT JOIN recent USING (track_id) WHERE list_has_any(mood_tags, {list(brief.THEMES[3][1])}) ORDER BY place LIMIT 5")
 def _(s, d):
-    themes = F.broadcast(s.createDataFrame(_THEMES, "name string, lo int, hi int"))
-    fit = ((F.col("hour_utc") >= F.col("lo")) & (F.col("hour_utc") < F.col("hi"))).cast("int")
-    return plays(s, d).select("hour_utc").distinct().crossJoin(themes).groupBy("hour_utc").agg(F.min_by("name", F.struct(-fit, F.col("name"))).alias("theme"))
+    return brief.pick_seeds(*moody(s, d), brief.THEMES[3][1])
 
 
-@query("dj3_seeds", f"WITH {_CRATE} SELECT track_id FROM crate WHERE familiar AND energy BETWEEN 0.3 AND 0.7 ORDER BY energy DESC, track_id LIMIT 5")
+@query("dj3_seeds_by_taste", f"WITH {_MOODY} SELECT track_id, ROW_NUMBER() OVER (ORDER BY taste DESC, track_id) AS place FROM moody WHERE list_has_any(mood_tags, {list(brief.THEMES[6][1])}) AND track_id % 2 = 0 ORDER BY place LIMIT 5")
 def _(s, d):
-    return ranks.top(crate(s, d).where(F.col("familiar") & F.col("energy").between(0.3, 0.7)).select("track_id", "energy"), 5, F.desc("energy"), "track_id").select("track_id")
+    """Without recent plays the tracks of the highest taste, odd ones being excluded."""
+    own, recent = moody(s, d)
+    return brief.pick_seeds(own, recent.limit(0), brief.THEMES[6][1], without=own.where("track_id % 2 = 1"))
 
 
 @query("dj_jarring_share", f"WITH {_CRATE}, p AS (SELECT artist, ABS(LEAD(energy) OVER (PARTITION BY artist ORDER BY track_id) - energy) AS step FROM crate) SELECT artist, AVG(CASE WHEN step > 0.25 THEN 1.0 ELSE 0.0 END) AS share FROM p WHERE step IS NOT NULL GROUP BY 1", "share")
@@ -193,7 +224,19 @@ def _(s, d):
 
 @query("rpt12_archetype_metrics", f"WITH {PLAYS}, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY ts, event_id) = 1 AS first FROM plays), c AS (SELECT track_id, COUNT(*) AS n FROM plays GROUP BY 1), r AS (SELECT n, ROW_NUMBER() OVER (ORDER BY n DESC) AS k, GREATEST(1, COUNT(*) OVER () // 100) AS m, SUM(n) OVER () AS t FROM c) SELECT (SELECT AVG(CAST(first AS INTEGER)) FROM f) AS discovery_ratio, (SELECT AVG(CAST(verdict < 0 AS INTEGER)) FROM f) AS skip_rate, (SELECT SUM(n) / MAX(t) FROM r WHERE k <= m) AS top1_share", "discovery_ratio skip_rate top1_share")
 def _(s, d):
-    return report.archetype_metrics(plays(s, d), F.lit(True))
+    return report.archetype_metrics(plays(s, d)).select("discovery_ratio", "skip_rate", "top1_share")
+
+
+@query("rpt12_archetype_window", f"WITH {PLAYS}, f AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY ts, event_id) = 1 AS first FROM plays), w AS (SELECT * FROM f WHERE ts >= TIMESTAMP '2024-01-10 05:00:00' AND ts < TIMESTAMP '2024-01-20 05:00:00'), y AS (SELECT event_id % 10 AS k, CASE WHEN event_id % 10 < 8 THEN 1990 + 4 * (event_id % 10) END AS year, event_id % 3 AS cluster FROM w), g AS (SELECT COUNT(*) / SUM(COUNT(*)) OVER () AS p FROM y GROUP BY cluster) SELECT (SELECT AVG(CAST(first AS INTEGER)) FROM w) AS discovery_ratio, (SELECT AVG(CAST(verdict < 0 AS INTEGER)) FROM w) AS skip_rate, (SELECT COUNT(*) FILTER (year < 2024 - 20) / COUNT(year) FROM y) AS old_share, (SELECT -SUM(p * LN(p)) / LN(COUNT(*)) FROM g) AS cluster_evenness", "discovery_ratio skip_rate old_share cluster_evenness")
+def _(s, d):
+    """A closed window in a zone, with years of release and clusters of tracks."""
+    own = plays(s, d)
+    of = own.select("track_id", F.element_at(F.split("track_id", "-"), 2).cast("long").alias("k")).distinct()
+    years = of.select("track_id", F.when(F.col("k") < 8, 1990 + 4 * F.col("k")).alias("year"))
+    m = report.archetype_metrics(own, "2024-01-10", "2024-01-20", "America/New_York", years, None)
+    w = warehouse.in_window(own, "2024-01-10", "2024-01-20", "America/New_York")
+    shares = w.groupBy((F.col("event_id") % 3).alias("cluster")).agg(F.count("*").alias("n"))
+    return m.select("discovery_ratio", "skip_rate", "old_share").crossJoin(evaluation.shannon_evenness(shares, "n").select(F.col("evenness").alias("cluster_evenness")))
 
 
 @query("rpt3_report_cards")

@@ -42,11 +42,14 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_last_wins(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON lines of which a later one replaces an earlier one of its key. Lines are ordered by file, then place in it."""
-    lines = spark.read.format("binaryFile").load(path).select("path", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line", "json"))
-    rows = lines.where(F.trim("json") != "").select("path", "line", F.from_json("json", schema).alias("r")).select("path", "line", "r.*")
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("path"), F.desc("line")))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n", "path", "line")
+    """JSON lines of which a later one replaces an earlier one of its key. Lines are ordered by file, then place in it.
+
+    Large files are read in splits: a line's place is where its split begins, then its number in the task, which rises.
+    """
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("line")).alias("_place")
+    lines = spark.read.text(path).select(place, "value").where(F.trim("value") != "")
+    rows = lines.select("_place", F.from_json("value", schema).alias("r"))
+    return rows.groupBy(F.col(f"r.{key}").alias("_key")).agg(F.max_by("r", "_place").alias("r")).select("r.*")
 
 
 def append_lines(df: DataFrame, path: str) -> None:
