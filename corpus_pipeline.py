@@ -32,6 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     own = docs.withColumn("_row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()))
     linked = jaccard.join(own.select(F.col("_row").alias("doc_id"), "text")).where("doc_id is not null").select(F.col("doc_id").alias("_row"), "component_id")
     kept = linked.join(own.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("kept"), F.count("*").alias("n")).where("n > 1")
+    kept = materialise(kept, "kept")  # so that adaptive execution can split the join on a large group
     gone = linked.join(kept, "component_id").where("_row <> kept._row").select("_row")
     return own.join(gone, "_row", "left_anti").select(*docs.columns)
 

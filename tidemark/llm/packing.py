@@ -25,13 +25,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import BLOCK_BYTES, prefix_hash, span_hash
+from .kernels import prefix_hash, span_hash
 from .shared import materialise
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers before it starts anew.
-_CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers before it starts anew, and bytes of text that it looks at together.
+_CACHE_WORDS, BLOCK_BYTES = 400_000, 1 << 18
 
 #: Classes of lengths are made so wide that they hold this many pieces each, on the whole.
 CLASS_PIECES = 32
@@ -98,14 +98,15 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.store, self.at, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Sorted hashes of known words and their numbers; by number the place and length of their ids in the store."""
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.store, self.at, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def ids(self, text: str) -> np.ndarray:
         return self.encode([text])[0]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Long texts are cut at white space, so that blocks stay near a megabyte."""
+        """The ids of each text. Long texts are cut at white space, so that blocks stay small."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
         rows, parts, size = [], [], 0
         for i, text in enumerate(texts):
@@ -133,13 +134,15 @@ class WordTokenizer:
         h, first, of = np.unique(span_hash(prefix_hash(b), s, e), return_index=True, return_inverse=True)
         if len(self.known) > _CACHE_WORDS:
             self._forget()
-        number = np.fromiter((self.known.get(x, -1) for x in h.tolist()), np.int64, len(h))
-        new = np.flatnonzero(number < 0)
+        place = np.searchsorted(self.known, h)
+        new = np.flatnonzero(np.append(self.known, np.uint64(0))[place] != h) if len(self.known) else np.arange(len(h))
         if len(new):
             self._learn([raw[s[i] : e[i]].decode("latin-1") for i in first[new].tolist()])
-            number[new] = np.arange(len(self.known), len(self.known) + len(new))
-            self.known.update(zip(h[new].tolist(), number[new].tolist()))
-        n, at = self.size[number][of], self.at[number][of]
+            have = len(self.known)
+            self.known = np.insert(self.known, place[new], h[new])
+            self.number = np.insert(self.number, place[new], np.arange(have, have + len(new), dtype=np.int32))
+        number = self.number[np.searchsorted(self.known, h)]
+        n, at = self.size[number][of].astype(np.int64), self.at[number][of].astype(np.int64)
         total = np.cumsum(n)
         ids = self.store[np.repeat(at - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
         cut = np.concatenate([[0], total])[np.searchsorted(s, off)].tolist()
@@ -154,7 +157,7 @@ class WordTokenizer:
             own = [self._whole(w) for w in new]
             ids, end = np.concatenate(own), np.cumsum([len(x) for x in own])
         start = np.concatenate([[0], end[:-1]])
-        self.at, self.size = np.append(self.at, len(self.store) + start), np.append(self.size, end - start)
+        self.at, self.size = np.append(self.at, (len(self.store) + start).astype(np.int32)), np.append(self.size, (end - start).astype(np.int32))
         self.store = np.append(self.store, ids)
 
     def _whole(self, text: str) -> np.ndarray:
