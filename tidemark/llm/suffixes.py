@@ -39,8 +39,8 @@ from .kernels import BLOCK_BYTES, U64, mix, powers, prefix_hash, text_buffers
 
 WIDTH = 100
 GRAM = 32
-#: Bytes of text in a chunk, as a rule (a document is never divided).
-CHUNK_BYTES = 32 << 20
+#: Bytes of text in a chunk, as a rule (a document is never divided), and those whose minimisers share a bucket; fewest buckets.
+CHUNK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 32 << 20, 12 << 20, 16
 #: Minimisers that more chunks than this hold are merged in two steps; those with more stretches than that are hot.
 WIDE, HOT = 64, 1 << 16
 #: Suffixes that repeats are read off at once, as a rule (suffixes of one minimiser stay together).
@@ -329,7 +329,8 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
     n_bytes = docs.select(F.sum(F.octet_length(text))).first()[0] or 0
     # at small sizes three for each task, so that tasks come out even
     parts = max(3 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // CHUNK_BYTES))
-    groups = math.ceil(parts**0.5)
+    # each chunk sends a row to each bucket: their number follows the bytes, not the number of tasks
+    groups, buckets = math.ceil(parts**0.5), max(LEAST_BUCKETS, -(-n_bytes // BUCKET_BYTES))
     wide, hot = WIDE, HOT
     spread = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
     chunks = docs.select(F.pmod(spread, F.lit(parts)).cast("int").alias("chunk"), "doc_id", text.alias("text")).groupBy("chunk")
@@ -338,7 +339,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
         _, buf, off, _ = rows_in_order(table)
         h, times = np.unique(stretches(buf, off, width, gram)[3], return_counts=True)
         bits = np.log2(np.maximum(times, 1)).astype(np.uint8)
-        cut = _cuts(h, parts)
+        cut = _cuts(h, buckets)
         return _table([(int(i), 0, key[0].as_py(), _pack48(h[cut[i] : cut[i + 1]]) + bits[cut[i] : cut[i + 1]].tobytes()) for i in np.flatnonzero(np.diff(cut))])
 
     def repeated(key, table):
@@ -371,14 +372,14 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
         row = np.searchsorted(off, first, "right") - 1
         raw = buf.tobytes()
         own: dict[tuple[int, int], list] = {}
-        bucket = (h.astype(object) * parts >> 48).tolist() if len(h) else []
+        bucket = (h.astype(object) * buckets >> 48).tolist() if len(h) else []
         for a, z, p, r, k, f in zip(first.tolist(), last.tolist(), place.tolist(), row.tolist(), bucket, flag.tolist()):
             part = chunk % groups if f & _IS_WIDE else _LAST
             start = a - int(off[r])
             if f & _IS_HOT:
                 for i in range(z - a + 1):
                     w = raw[a + i : a + i + width]
-                    own.setdefault((int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()) * parts >> 48, part), []).append((w, b"", int(ids[r]), r, start + i))
+                    own.setdefault((int.from_bytes(hashlib.blake2b(w, digest_size=6).digest()) * buckets >> 48, part), []).append((w, b"", int(ids[r]), r, start + i))
             else:
                 own.setdefault((k, part), []).append((raw[p : z + width], raw[a:p], int(ids[r]), r, start))
         out, marks = [], []
