@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import music, text
-from tidemark.operators import brief, clusters, evaluation, governance, ingest, listening, planner, ranks, similarity, taste, warehouse
+from tidemark.operators import brief, clusters, evaluation, governance, ingest, listening, planner, ranks, resolve, similarity, taste, warehouse
 from tidemark.plans import report
 from tidemark.plans.queries_listening import plays as event_plays
 from tidemark.sources import files
@@ -298,3 +298,78 @@ def test_corpus_operators_are_out_of_reach():
         for node in ast.walk(ast.parse(path.read_text())):
             names = [a.name for a in node.names] + [getattr(node, "module", None) or ""] if isinstance(node, (ast.Import, ast.ImportFrom)) else []
             assert not any("llm" in n.split(".") for n in names), path
+
+
+def test_alike_neighbours_lower_the_cost():
+    c = pd.DataFrame({"track_id": range(4), "energy": 0.5, "tempo": 100.0, "duration_ms": 200_000, "kc": [[1, 2], [8, 9], [1, 2], [8, 9]]})
+    got = planner.order_tracks(c)["track_id"].tolist()
+    assert sum(abs(a - b) % 2 for a, b in zip(got, got[1:])) == 1  # alike tracks stand side by side
+    assert sorted(planner.order_tracks(c.drop(columns="kc"))["track_id"]) == [0, 1, 2, 3]
+
+
+def test_requests_to_order(spark):
+    tracks = spark.createDataFrame([(i, i / 200, 100.0, 200_000) for i in range(150)], "track_id long, energy double, tempo double, duration_ms long")
+    wanted = {"few": [7, 7], "many": list(range(101)), "most": list(range(100)), "lost": [3, -1, 500], "some": [900, 5, 4, 800, 5, 900]}
+    asked = spark.createDataFrame([(r, t, i) for r, ts in wanted.items() for i, t in enumerate(ts)], "request string, track_id long, place long")
+    got = planner.order_requests(asked, tracks, "request").toPandas()
+    own = {r: g.sort_values("slot") for r, g in got.groupby("request")}
+    assert own["few"]["refused"].tolist() == ["pass 2 to 100 distinct tracks, not 1"] and own["many"]["refused"].tolist() == ["pass 2 to 100 distinct tracks, not 101"]
+    assert own["lost"]["refused"].tolist() == ["only 1 of 3 tracks are in the crate"]
+    assert sorted(own["most"]["track_id"]) == list(range(100)) and own["most"]["placed"].all()
+    assert own["some"]["slot"].tolist() == [0, 1, 2, 3] and sorted(own["some"]["track_id"][:2]) == [4, 5]
+    assert own["some"]["track_id"].tolist()[2:] == [900, 800] and own["some"]["placed"].tolist() == [True, True, False, False]
+    assert planner.order_requests(asked.limit(0), tracks, "request").count() == 0
+
+
+def test_empty_sets_are_an_issue(spark):
+    rows = [("a", 0, 1, "x", 0.0, 0.5, 0.5, 100.0, 2_700_000)]
+    picks = spark.createDataFrame(rows, "listener string, slot long, track_id long, artist string, start_s double, target double, energy double, tempo double, duration_ms long")
+    asked = spark.createDataFrame([("a",), ("b",), ("b",)], "listener string")
+    got = planner.critique(picks, "listener", 45.0, asked=asked).where("kind = 'empty'").collect()
+    assert [(r["listener"], r["slot"]) for r in got] == [("b", 0)]
+
+
+def test_sources_are_asked_in_turn(spark):
+    rows = [("hit", 0, 0, 0.8, "a"), ("hit", 0, 1, 0.8, "b"), ("hit", 1, 0, 0.99, "c"), ("miss", 0, 0, 0.6, "d"), ("miss", 1, 0, 0.6, "e"), ("late", 0, 0, 0.1, "f"), ("late", 1, 0, 0.9, "g"), ("none", 0, 0, None, "h")]
+    got = resolve.best_candidate(spark.createDataFrame(rows, "q string, source long, place long, score double, c string"), "q", "c").collect()
+    assert {r["q"]: r["c"] for r in got} == {"hit": "a", "miss": "d", "late": "g"}
+
+
+def test_cluster_cards(spark):
+    rows = [(i, i % 2, 0.1 * (5 - i), None if i == 4 else f"a{i // 2 % 4}", i % 5) for i in range(24)]
+    got = {r["cluster"]: r for r in clusters.cards(spark.createDataFrame(rows, "id long, cluster long, distance double, artist string, plays long"), "id", "artist", "plays").collect()}
+    for c in (0, 1):
+        own = [r for r in rows if r[1] == c]
+        n = pd.DataFrame([r for r in own if r[3]], columns=list("icdap")).groupby("a")["p"].sum()
+        assert got[c]["top_artists"] == sorted(n.index, key=lambda a: (-n[a], a))[:3]
+        assert got[c]["exemplars"] == [r[0] for r in sorted(own, key=lambda r: (-r[4], r[0]))[:10]]
+        assert got[c]["medoid"] == max(r[0] for r in own)
+
+
+def test_files_that_must_not_be_published(spark):
+    key = "k" * 20
+    cases = [
+        ("data/x.txt", "", ["derived from personal data"]),
+        ("data\\x.txt", None, ["derived from personal data"]),
+        ("a/data/x.txt", None, []),
+        ("a/token.json", "", ["personal data"]),
+        ("a/B.MP3", "", ["audio or warehouse data"]),
+        ("a/.parquet", "", []),
+        ("a/Streaming_History_1.json", "", ["raw export or secrets"]),
+        (".env.local", "", ["raw export or secrets"]),
+        (".env.example", "", []),
+        ("a.txt", f"x sk-ant-{key} y", ["API key"]),
+        ("b.txt", f'{{"refresh_token": "{key}"}} -----BEGIN RSA PRIVATE KEY-----', ["refresh token", "private key"]),
+        ("c.txt", '"ip_addr": "192.0.2.77" "ip_addr": null', []),
+        ("c.txt2", '"ip_addr": "192.0.2.77" "ip_addr": "8.8.8.8"', ["ip_addr value"]),
+        ("web/public/rewind/2024.json", '{"audience": "synthetic"}', []),
+        ("web/public/rewind/index.json", '{"audience": "synthetic", "privacy": ""}', ["no privacy note"]),
+        ("web/public/rewind/index2.json", '{"audience": "private"}', ["private report", "public report not marked synthetic"]),
+        ("web/public/wrapped/x.json", "no json", ["public report not marked synthetic"]),
+        ("web/public/y.js", 'America/Chicago "by_hour"', ["hourly counts on a real clock"]),
+        ("web/z.js", '"plainLyrics": "' + "la " * 80 + '"', ["lyrics"]),
+        ("web/short.js", '"plainLyrics": "la la"', []),
+    ]
+    got = governance.file_problems(spark.createDataFrame([c[:2] for c in cases], "path string, text string")).collect()
+    for path, _, want in cases:
+        assert [r["problem"] for r in got if r["path"] == path] == want, path

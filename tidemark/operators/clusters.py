@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
 from .similarity import hamming
 
 #: Distinct fingerprints that medoids are fitted on, at most; all rows are assigned.
@@ -93,3 +94,16 @@ def summary(assigned: DataFrame, plays: str) -> DataFrame:
     """Size, plays and share of plays of each cluster."""
     per = assigned.groupBy("cluster").agg(F.count("*").alias("tracks"), F.sum(plays).alias("plays"))
     return per.crossJoin(F.broadcast(per.agg(F.sum("plays").alias("t")))).select("cluster", "tracks", "plays", (F.col("plays") / F.col("t")).alias("share"))
+
+
+def cards(assigned: DataFrame, key: str, artist: str, plays: str, artists: int = 3, exemplars: int = 10) -> DataFrame:
+    """(cluster, top_artists, exemplars, medoid): the artists and the rows with most plays, most first, and the row nearest to the
+    medoid. Ties go to the smallest name or key; rows without an artist count in none.
+    """
+    listed = lambda df, c: df.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]).alias("_" + c))
+    played = assigned.where(F.col(artist).isNotNull()).groupBy("cluster", artist).agg(F.sum(plays).alias("n"))
+    who = listed(ranks.top_per(played, artists, ["cluster"], [F.desc("n"), artist]), artist)
+    what = listed(ranks.top_per(assigned, exemplars, ["cluster"], [F.desc_nulls_last(plays), key]), key)
+    near = assigned.groupBy("cluster").agg(F.min_by(key, F.struct("distance", key)).alias("medoid"))
+    got = near.join(what, "cluster").join(who, "cluster", "left")
+    return got.select("cluster", F.coalesce("_" + artist, F.array().cast("array<string>")).alias("top_artists"), F.col("_" + key).alias("exemplars"), "medoid")

@@ -10,6 +10,22 @@ from pyspark.sql import types as T
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 QUAD = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
 DOCUMENTATION = r"^(?:192\.0\.2|198\.51\.100|203\.0\.113)\."
+#: Files that must not be published, by folder, name and ending, and names that may.
+FOLDER, NAMES, MAY = "data", ("my_spotify_data.zip", "token.json"), (".env.example",)
+ENDINGS = (".mp3", ".m4a", ".wav", ".flac", ".ogg", ".aac", ".duckdb", ".parquet")
+NAMED_LIKE = r"^(?:Streaming_History_.*\.json|\.env(?:\..+)?)$"
+#: What published content must not hold.
+SECRETS = {
+    "API key": r"sk-ant-[A-Za-z0-9_-]{20,}",
+    "refresh token": r'"refresh_token"\s*:\s*"[A-Za-z0-9_-]{20,}"',
+    "private key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+}
+ADDRESS = r'"ip_addr"\s*:\s*"([0-9a-fA-F.:]{7,})"'
+MAY_ADDRESS = r"^(?:192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|2001:db8:|2001:DB8:)"
+SYNTHETIC, PRIVATE = r'"audience"\s*:\s*"synthetic"', r'"audience"\s*:\s*"private"'
+REPORTS, ASSETS, WEB = r"^web/public/(?:rewind|wrapped)/.*\.json$", r"^web/public/", r"^web/"
+CLOCK, HOURLY = "America/Chicago", r'"(?:by_hour|hour_local)"'
+LYRICS = r'"(?:plainLyrics|syncedLyrics)"\s*:\s*"(?:[^"\\]|\\.){200}'
 CRATE_COLUMNS = ("track_id", "name", "artist", "tempo", "energy", "duration_ms", "familiar", "mood_tags", "fly_valence", "taste", "kc")
 COARSE_FORBIDDEN = ("plays", "sessions")
 
@@ -38,3 +54,41 @@ def personal_data(docs: DataFrame, key: str, text: str) -> DataFrame:
     quads = F.filter(F.regexp_extract_all(text, F.lit(QUAD), F.lit(0)), lambda q: ~q.rlike(DOCUMENTATION))
     got = docs.select(key, F.size(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).alias("emails"), F.size(quads).alias("addresses"))
     return got.where("emails > 0 or addresses > 0")
+
+
+def path_problem(path: str) -> F.Column:
+    """Why a file of this path must not be published; null if it may."""
+    p = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    name = F.substring_index(p, "/", -1)
+    ending = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
+    return (
+        F.when(name.isin(*MAY), None)
+        .when(F.startswith(p, F.lit(f"{FOLDER}/")) | (p == FOLDER), "derived from personal data")
+        .when(name.isin(*NAMES), "personal data")
+        .when(ending.isin(*ENDINGS), "audio or warehouse data")
+        .when(name.rlike(NAMED_LIKE), "raw export or secrets")
+    )
+
+
+def file_problems(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, problem): what keeps each file from being published, by its path, its content and, of reports, its markers.
+
+    Null content counts as empty. One scan, no shuffle.
+    """
+    p, c = F.replace(F.col(path), F.lit("\\"), F.lit("/")), F.coalesce(F.col(text), F.lit(""))
+    has = lambda pattern: c.rlike(pattern)
+    real = F.exists(F.regexp_extract_all(c, F.lit(ADDRESS), F.lit(1)), lambda a: ~a.rlike(MAY_ADDRESS))
+    audience = F.get_json_object(c, "$.audience")
+    public = p.rlike(REPORTS)
+    privacy = F.coalesce(F.get_json_object(c, "$.privacy"), F.lit(""))
+    found = [
+        path_problem(path),
+        *[F.when(has(pattern), label) for label, pattern in SECRETS.items()],
+        F.when(real, "ip_addr value"),
+        F.when(has(PRIVATE), "private report"),
+        F.when(public & ~F.equal_null(audience, F.lit("synthetic")), "public report not marked synthetic"),
+        F.when(public & (audience == "synthetic") & F.endswith(p, F.lit("/index.json")) & privacy.isin("", "{}", "[]", "false", "0"), "no privacy note"),
+        F.when(p.rlike(ASSETS) & ~has(SYNTHETIC) & F.contains(c, F.lit(CLOCK)) & has(HOURLY), "hourly counts on a real clock"),
+        F.when(p.rlike(WEB) & has(LYRICS), "lyrics"),
+    ]
+    return files.select(F.col(path), F.explode(F.array_compact(F.array(*found))).alias("problem"))

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import music
 from ..functions.music import ENERGY_STEP, PHASES, TEMPO_SHIFT, TOLERANCE
 
-#: Tracks that are ordered as one set, at most.
-MOST_TRACKS = 100
+#: Tracks that are ordered as one set, at least and at most, and what alike neighbours are worth.
+LEAST_TRACKS, MOST_TRACKS = 2, 100
+ALIKE = 0.25
 
 
 @dataclass(frozen=True)
@@ -120,8 +121,11 @@ def select(crate: DataFrame, listener: str, rules: Rules | None = None, banned:
     return crate.groupBy(listener).applyInPandas(run, f"{_PICKS}, {listener} {crate.schema[listener].dataType.simpleString()}")
 
 
-def critique(picks: DataFrame, listener: str, minutes: float, least_lift: float = 0.1, length_tolerance: float = 0.15, per_artist: int = 2) -> DataFrame:
-    """Issues of each set: (listener, slot, kind). picks also has artist, tempo and duration_ms."""
+def critique(picks: DataFrame, listener: str, minutes: float, least_lift: float = 0.1, length_tolerance: float = 0.15, per_artist: int = 2, asked: DataFrame | None = None) -> DataFrame:
+    """Issues of each set: (listener, slot, kind). picks also has artist, tempo and duration_ms.
+
+    Listeners of `asked` that have no picks get the one issue `empty`.
+    """
     w, whole = Window.partitionBy(listener).orderBy("slot"), Window.partitionBy(listener)
     p = picks.withColumns({"shift": music.tempo_shift(F.lag("tempo").over(w), F.col("tempo")), "step": F.abs(F.col("energy") - F.lag("energy").over(w)), "nth": F.row_number().over(Window.partitionBy(listener, "artist").orderBy("slot")), "t": (F.col("start_s") + F.col("duration_ms") / 2000) / (minutes * 60), "n": F.count("*").over(whole)})
     slot = lambda cond, kind: p.where(cond).select(listener, "slot", F.lit(kind).alias("kind"))
@@ -129,11 +133,18 @@ def critique(picks: DataFrame, listener: str, minutes: float, least_lift: float
     shape = p.groupBy(listener).agg((mean("peak") - F.greatest(mean("opener"), mean("comedown"))).alias("lift"), (F.sum("duration_ms") / 1000 / (minutes * 60)).alias("length"))
     per_set = lambda cond, kind: shape.where(cond).select(listener, F.lit(0).cast("long").alias("slot"), F.lit(kind).alias("kind"))
     out = slot(F.abs(F.col("energy") - F.col("target")) > TOLERANCE, "off_arc").unionByName(slot(music.jarring("shift", "step"), "jarring")).unionByName(slot(F.col("nth") > per_artist, "artist_cap"))
-    return out.unionByName(per_set(F.col("lift") < least_lift, "flat_shape")).unionByName(per_set(F.abs(F.col("length") - 1) > length_tolerance, "length"))
+    out = out.unionByName(per_set(F.col("lift") < least_lift, "flat_shape")).unionByName(per_set(F.abs(F.col("length") - 1) > length_tolerance, "length"))
+    if asked is None:
+        return out
+    without = asked.select(listener).distinct().join(picks.select(listener), listener, "left_anti")
+    return out.unionByName(without.select(listener, F.lit(0).cast("long").alias("slot"), F.lit("empty").alias("kind")))
 
 
 def order_tracks(f: pd.DataFrame, floor: float | None = None, ceiling: float | None = None, window: int = 3, passes: int = 8) -> pd.DataFrame:
-    """Given tracks along an arc fitted to them: sorted energies meet sorted targets, then near swaps while they help."""
+    """Given tracks along an arc fitted to them: sorted energies meet sorted targets, then near swaps while they help.
+
+    Where the tracks have kc (active cells), alike neighbours lower an order's cost.
+    """
     f = f.drop_duplicates("track_id").sort_values("track_id").reset_index(drop=True)
     n, e, tempo = len(f), f["energy"].to_numpy(float), f["tempo"].to_numpy(float)
     if n < 2:
@@ -146,10 +157,15 @@ def order_tracks(f: pd.DataFrame, floor: float | None = None, ceiling: float | N
     order = np.empty(n, int)
     order[np.argsort(arc_target((np.arange(n) + 0.5) / n, floor, ceiling), kind="stable")] = np.argsort(e, kind="stable")
 
+    alike = np.zeros((n, n))
+    if "kc" in f:
+        cells = [set(k) for k in f["kc"]]
+        alike = np.array([[2 * len(a & b) / max(1, len(a) + len(b)) for b in cells] for a in cells])
+
     def cost(o: np.ndarray) -> float:
         mid = (np.cumsum(d[o]) - d[o] / 2) / d.sum()
         shift, step = tempo_shifts(tempo[o[:-1]], tempo[o[1:]]), np.abs(np.diff(e[o]))
-        return float(np.abs(e[o] - arc_target(mid, floor, ceiling)).sum() / TOLERANCE + 0.5 * cost_of_move(shift, step).sum() + 2 * jars(shift, step).sum())
+        return float(np.abs(e[o] - arc_target(mid, floor, ceiling)).sum() / TOLERANCE + 0.5 * cost_of_move(shift, step).sum() + 2 * jars(shift, step).sum() - ALIKE * alike[o[:-1], o[1:]].sum())
 
     best = cost(order)
     for _ in range(passes):
@@ -182,3 +198,22 @@ def order(tracks: DataFrame, *by: str) -> DataFrame:
 
     keys = ", ".join(f"{c} {tracks.schema[c].dataType.simpleString()}" for c in by)
     return tracks.groupBy(*by).applyInPandas(run, f"slot long, track_id long, {keys}")
+
+
+def order_requests(asked: DataFrame, crate: DataFrame, by: str) -> DataFrame:
+    """Each request's tracks in order: (by, slot, track_id, placed, refused). asked: by, track_id and place.
+
+    A track asked for twice counts once. Tracks that the crate lacks come last, in the order they were asked for, and aren't
+    placed. Requests of fewer than LEAST_TRACKS or more than MOST_TRACKS tracks, or with fewer than LEAST_TRACKS in the crate,
+    are one row that says why they are refused.
+    """
+    wanted = asked.groupBy(by, "track_id").agg(F.min("place").alias("place")).join(crate.withColumn("_held", F.lit(True)), "track_id", "left")
+    size = wanted.groupBy(by).agg(F.count("*").alias("_n"), F.count("_held").alias("_m"))
+    bad = F.when(~F.col("_n").between(LEAST_TRACKS, MOST_TRACKS), F.format_string(f"pass {LEAST_TRACKS} to {MOST_TRACKS} distinct tracks, not %d", "_n"))
+    size = size.withColumn("refused", bad.when(F.col("_m") < LEAST_TRACKS, F.format_string("only %d of %d tracks are in the crate", "_m", "_n")))
+    own = wanted.join(size.where("refused is null"), by)
+    placed = order(own.where("_held").drop("_held", "place", "_n", "_m", "refused"), by).select(by, "slot", "track_id", F.lit(True).alias("placed"), F.lit(None).cast("string").alias("refused"))
+    last = F.row_number().over(Window.partitionBy(by).orderBy("place", "track_id")) + F.col("_m") - 1
+    rest = own.where("_held is null").select(by, last.alias("slot"), "track_id", F.lit(False).alias("placed"), "refused")
+    no = size.where("refused is not null").select(by, F.lit(None).cast("long").alias("slot"), F.lit(None).cast("long").alias("track_id"), F.lit(False).alias("placed"), "refused")
+    return placed.unionByName(rest).unionByName(no)

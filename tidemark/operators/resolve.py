@@ -85,3 +85,26 @@ def best(queries: DataFrame, library: DataFrame) -> DataFrame:
     scored = match_score(block_titles(asked, held), "q_title", "q_artist", "c_title", "c_artist")
     top = scored.groupBy("q_title", "q_artist").agg(F.max_by(F.struct("c", "score"), F.struct("score", -F.col("c"))).alias("best"))
     return queries.join(top, ["q_title", "q_artist"], "left").select("q", "best.c", "best.score")
+
+
+def best_candidate(candidates: DataFrame, key: str, found: str) -> DataFrame:
+    """(key, found, score, source): of the candidates (key, source, place, score, found) the one with the highest score, as sources
+    are asked in turn and the first with a score of at least MATCHED is the last asked. Equal scores: the first source and place.
+
+    One aggregation: once a source matches, nothing before it scored as high, so the best is within that source.
+    """
+    hit = F.col("score") >= MATCHED
+    first = F.struct(F.when(hit, -F.col("source")).alias("hit"), F.col("score"), (-F.col("source")).alias("s"), (-F.col("place")).alias("p"))
+    got = candidates.where("score is not null").groupBy(key).agg(F.max_by(F.struct(found, "score", "source"), first).alias("b"))
+    return got.select(key, f"b.{found}", "b.score", "b.source")
+
+
+def ready(resolved: DataFrame, found: str, *place: str) -> DataFrame:
+    """The distinct matched ids, each at its first place, and how often it was matched beyond that."""
+    matched = resolved.where(F.col("status") == "matched")
+    return matched.groupBy(found).agg(F.min(F.struct(*place)).alias("p"), (F.count("*") - 1).alias("dropped")).select(found, "p.*", "dropped")
+
+
+def report(resolved: DataFrame) -> DataFrame:
+    """Number of resolved titles by status and, of matched ones, by source."""
+    return resolved.groupBy("status", F.when(F.col("status") == "matched", F.col("source")).alias("source")).agg(F.count("*").alias("n"))

@@ -66,3 +66,11 @@ def valence(tags: DataFrame, model: DataFrame, key: str) -> DataFrame:
 
 def attitude(v: str = "valence") -> F.Column:
     return F.when(F.col(v) > 0, "approach").when(F.col(v) < 0, "avoid").otherwise("neutral")
+
+
+def rerank(shortlist: DataFrame, valences: DataFrame, key: str) -> DataFrame:
+    """One row: of a shortlist (key, distance) the row with the highest valence (of equal ones the nearest, then the smallest
+    key), and how many rows are strictly nearer. Rows without a valence can't win."""
+    own = shortlist.select(key, "distance").join(valences.select(key, F.round("valence", 9).alias("valence")), key, "left")
+    best = own.where("valence is not null").orderBy(F.desc("valence"), "distance", key).limit(1).select(F.col(key).alias("winner"), F.col("distance").alias("d"))
+    return own.crossJoin(F.broadcast(best)).groupBy("winner").agg(F.count_if(F.col("distance") < F.col("d")).alias("closer_losers"))

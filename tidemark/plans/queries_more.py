@@ -220,6 +220,40 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy("l_suppkey").agg(F.max_by("l_partkey", F.struct(F.round("l_discount", 2), -F.col("l_partkey"))).alias("best"))
 
 
+_OFFERS = "o AS (SELECT l_suppkey, l_linenumber % 2 AS source, l_orderkey * 10 + l_linenumber AS place, l_partkey, l_quantity / 68.0 AS score FROM lineitem)"
+
+
+def _offers(s, d):
+    line = table(s, d, "lineitem")
+    return line.select("l_suppkey", (F.col("l_linenumber") % 2).alias("source"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place"), "l_partkey", (F.col("l_quantity").cast("double") / 68).alias("score"))
+
+
+@query("res3_sources_in_turn", f"WITH {_OFFERS}, stop AS (SELECT l_suppkey, COALESCE(MIN(source) FILTER (score >= 0.72), 9) AS stop FROM o GROUP BY 1), r AS (SELECT o.*, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY score DESC, source, place) AS k FROM o JOIN stop USING (l_suppkey) WHERE source <= stop) SELECT l_suppkey, l_partkey, score, source FROM r WHERE k = 1", "score", "source")
+def _(s, d):
+    """Two sources; the second is asked only where the first has no match."""
+    return resolve.best_candidate(_offers(s, d), "l_suppkey", "l_partkey")
+
+
+_STATUS = f"{_OFFERS}, r AS (SELECT *, CASE WHEN score >= 0.72 THEN 'matched' WHEN score >= 0.5 THEN 'best guess' ELSE 'missed' END AS status FROM o)"
+
+
+@query("res2_by_source", f"WITH {_STATUS} SELECT status, CASE WHEN status = 'matched' THEN source END AS source, COUNT(*) AS n FROM r GROUP BY 1, 2", longs="source")
+def _(s, d):
+    return resolve.report(_offers(s, d).withColumn("status", resolve.status()))
+
+
+@query("res2_ready", f"WITH {_STATUS} SELECT l_partkey, MIN(place) AS place, COUNT(*) - 1 AS dropped FROM r WHERE status = 'matched' GROUP BY 1")
+def _(s, d):
+    return resolve.ready(_offers(s, d).withColumn("status", resolve.status()), "l_partkey", "place")
+
+
+@query("vis1_rerank_by_valence", f"WITH {_VALENCE}, own AS (SELECT kc FROM tags WHERE track_id = '1-1'), near AS (SELECT track_id, len(tags.kc) + len(own.kc) - 2 * len(list_intersect(tags.kc, own.kc)) AS distance FROM tags, own WHERE track_id <> '1-1' ORDER BY 2, 1 LIMIT 15), w AS (SELECT track_id, distance FROM near JOIN v USING (track_id) ORDER BY ROUND(valence, 9) DESC, distance, track_id LIMIT 1) SELECT w.track_id AS winner, (SELECT COUNT(*) FROM near WHERE near.distance < w.distance) AS closer_losers FROM w")
+def _(s, d):
+    """Of the 15 nearest tracks the one with the highest valence, the nearer of equal ones."""
+    tags, m = model(s, d)
+    return taste.rerank(similarity.nearest(tags, "track_id", "1-1", 15), taste.valence(tags, m, "track_id"), "track_id")
+
+
 @query("rpt5_top_cards", f"WITH {TRACKS} SELECT 'top_tracks' AS card, track_id AS id, play_count FROM (SELECT * FROM tracks ORDER BY play_count DESC, track_id LIMIT 5) UNION ALL SELECT 'top_artists', artist_name, n FROM (SELECT artist_name, COUNT(*) AS n FROM plays GROUP BY 1 ORDER BY n DESC, artist_name LIMIT 5)")
 def _(s, d):
     a = ranks.top(tracks(s, d).select(F.lit("top_tracks").alias("card"), F.col("track_id").alias("id"), "play_count"), 5, F.desc("play_count"), "id")

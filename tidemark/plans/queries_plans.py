@@ -60,7 +60,20 @@ def _(s, d):
 
 @query("dj11_order_tracks")
 def _(s, d):
-    return planner.order(planner.in_sets(crate(s, d), "artist"), "artist", "set_no")
+    return planner.order(planner.in_sets(full_crate(s, d), "artist"), "artist", "set_no")
+
+
+_ASKED = "asked AS (SELECT p_size AS request, CASE WHEN p_partkey % 3 = 0 THEN -p_partkey ELSE p_partkey END AS track_id, p_partkey AS place FROM part)"
+
+
+@query("dj11_requests", f"WITH {_CRATE}, {_ASKED}, n AS (SELECT request, COUNT(*) AS n, COUNT(c.track_id) AS m FROM asked LEFT JOIN crate c USING (track_id) GROUP BY 1), r AS (SELECT *, CASE WHEN n NOT BETWEEN 2 AND 100 THEN 'pass 2 to 100 distinct tracks, not ' || n WHEN m < 2 THEN 'only ' || m || ' of ' || n || ' tracks are in the crate' END AS refused FROM n), z AS (SELECT request, MAX(place) AS place FROM asked WHERE track_id < 0 GROUP BY 1) SELECT request, CASE WHEN refused IS NULL THEN m ELSE 0 END AS placed, CASE WHEN refused IS NULL THEN n - m ELSE 0 END AS unplaced, CASE WHEN refused IS NULL AND n > m THEN -z.place END AS last_track, refused FROM r LEFT JOIN z USING (request)", longs="request placed unplaced last_track")
+def _(s, d):
+    """Sizes as requests; a third of the tracks isn't in the crate and comes last, as it was asked for."""
+    k = F.col("p_partkey")
+    asked = table(s, d, "part").select(F.col("p_size").alias("request"), F.when(k % 3 == 0, -k).otherwise(k).alias("track_id"), k.alias("place"))
+    got = planner.order_requests(asked, full_crate(s, d), "request")
+    last = F.max_by("track_id", F.when(~F.col("placed"), F.col("slot")))
+    return got.groupBy("request").agg(F.count_if("placed").alias("placed"), F.count_if(~F.col("placed") & F.col("refused").isNull()).alias("unplaced"), last.alias("last_track"), F.max("refused").alias("refused"))
 
 
 MOODS = "['" + "', '".join(brief.MOODS) + "']"
@@ -135,6 +148,17 @@ def _(s, d):
     return clusters.summary(own, "label")
 
 
+_PLAYED = f"{_PRINTS}, c(cluster, centre) AS (VALUES (0, {_CENTRES[0]}), (1, {_CENTRES[1]})), x AS (SELECT vec_id, cluster, 1 - len(list_intersect(kc, centre)) / {HASH}.0 AS distance FROM prints, c), a AS (SELECT vec_id, arg_min(cluster, (distance, cluster)) AS cluster, MIN(distance) AS distance FROM x GROUP BY 1), o AS (SELECT cluster, vec_id, distance, 'a' || vec_id % 23 AS artist, vec_id * 7 % 31 AS plays FROM a)"
+
+
+@query("agg23_cluster_cards", f"WITH {_PLAYED}, g AS (SELECT cluster, artist, SUM(plays) AS n FROM o GROUP BY 1, 2), ar AS (SELECT cluster, string_agg(artist, ',' ORDER BY n DESC, artist) AS top_artists FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY n DESC, artist) AS r FROM g) WHERE r <= 3 GROUP BY 1), ex AS (SELECT cluster, string_agg(vec_id::VARCHAR, ',' ORDER BY plays DESC, vec_id) AS exemplars FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY plays DESC, vec_id) AS r FROM o) WHERE r <= 10 GROUP BY 1) SELECT cluster, top_artists, exemplars, (SELECT arg_min(vec_id, (distance, vec_id)) FROM o WHERE o.cluster = ar.cluster) AS medoid FROM ar JOIN ex USING (cluster)", longs="cluster")
+def _(s, d):
+    k = F.col("vec_id")
+    own = clusters.assign(prints(s, d), _CENTRES).select("vec_id", "cluster", "distance", F.concat(F.lit("a"), k % 23).alias("artist"), (k * 7 % 31).alias("plays"))
+    got = clusters.cards(own, "vec_id", "artist", "plays")
+    return got.select("cluster", F.array_join("top_artists", ",").alias("top_artists"), F.array_join(F.transform("exemplars", lambda e: e.cast("string")), ",").alias("exemplars"), "medoid")
+
+
 @query("lsh10_knn_euclid", "SELECT vec_id, list_distance(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 3) AS DOUBLE[])) AS distance FROM embeddings WHERE vec_id <> 3 ORDER BY 2, 1 LIMIT 10", "distance")
 def _(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
