@@ -373,3 +373,33 @@ def test_files_that_must_not_be_published(spark):
     got = governance.file_problems(spark.createDataFrame([c[:2] for c in cases], "path string, text string")).collect()
     for path, _, want in cases:
         assert [r["problem"] for r in got if r["path"] == path] == want, path
+
+
+def test_cluster_names(spark):
+    rows = [(0, ["sad", "late"], 0.1, "1970s")] * 5 + [(1, ["glad", None], 0.9, "2010s")] * 8 + [(1, ["late"], 0.9, None)] * 2 + [(2, None, None, None)] + [(3, [f"t{i}"], 0.65, "2010s") for i in range(5)]
+    got = clusters.names(spark.createDataFrame(rows, "cluster long, mood_tags array<string>, intensity double, era string"))
+    name = {r["cluster"]: r["name"] for r in got.collect()}
+    assert name[0] == "Sad · late · low-key · 1970s" and name[1] == "Glad · high-energy" and name[2] == "" and name[3] == "T0"
+    assert clusters.names(spark.createDataFrame([], "cluster long, mood_tags array<string>, intensity double, era string")).count() == 0
+
+
+def test_more_like_a_named_track(spark):
+    rows = [(1, "Night Song", [1, 2], 0.1, 5), (2, "night song (live)", [3, 4], 0.2, 9), (3, "Other", [3, 5], 0.3, 1), (4, "More", [3, 6], 0.3, 2), (5, None, [7, 8], 0.9, 0)]
+    own = spark.createDataFrame(rows, "id long, name string, kc array<long>, valence double, plays long")
+    like = lambda asked: [(r["id"], r["distance"], r["tied"]) for r in sorted(similarity.more_like_this(own, "id", asked, 3).collect(), key=lambda r: (r["distance"], -r["valence"], -r["plays"]))]
+    assert like("NIGHT") == [(4, 2, 2), (3, 2, 2), (5, 4, 2)]
+    assert [x[1] for x in like("1")] == [4, 4, 4] and like("nothing") == []
+
+
+def test_coverage_notes():
+    assert report.coverage_note({"tier": "B", "plays_used": 1, "plays_of": 4, "tracks_used": 1}) == "Tier B · covers 25% of plays"
+    assert report.coverage_note({"tier": "A", "measured": 500, "tracks_used": 2000, "of": 9}) == "Tier A · all 2,000 tracks · 25% with measured audio, the rest predicted features only"
+    assert report.coverage_note({"tier": "A", "tracks_used": 1, "of": 1200}) == "Tier A · 1 of 1,200 tracks"
+
+
+def test_requests_that_are_refused(spark):
+    good = "spotify:track:" + "a" * 22
+    cases = [("n", [good], None), ("", [good], "no name"), (None, None, "no name"), ("n" * 100, None, None), ("n" * 101, [], "name of more than 100 characters"), ("n", [good] * 500, None), ("n", [good] * 501, "more than 500 tracks: 501"), ("n", [good, None, good + "x", "x" + good], "no track: 3")]
+    df = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i long, name string, uris array<string>")
+    got = {r["i"]: r["r"] for r in df.select("i", governance.refusal().alias("r")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[2] for c in cases]

@@ -107,3 +107,34 @@ def cards(assigned: DataFrame, key: str, artist: str, plays: str, artists: int =
     near = assigned.groupBy("cluster").agg(F.min_by(key, F.struct("distance", key)).alias("medoid"))
     got = near.join(what, "cluster").join(who, "cluster", "left")
     return got.select("cluster", F.coalesce("_" + artist, F.array().cast("array<string>")).alias("top_artists"), F.col("_" + key).alias("exemplars"), "medoid")
+
+
+#: Least share and lift that name a cluster, and standard deviations of energy that do.
+TAG_RATE, ERA_SHARE, ERA_LIFT, ENERGY = 0.25, 0.25, 1.5, 0.3
+
+
+def names(assigned: DataFrame, tags: str = "mood_tags", intensity: str = "intensity", era: str = "era") -> DataFrame:
+    """(cluster, name) by what sets a cluster apart from all rows: up to two tags by lift among those that TAG_RATE of it carry
+    (none: its most frequent one), a word for its energy, and the era of the highest lift.
+
+    Ties go to the smaller tag or era. Null tags, intensities and eras don't count; a cluster with nothing to say has an empty
+    name. Everything beyond one aggregation is as large as clusters times distinct tags and eras.
+    """
+    every = F.broadcast(assigned.agg(F.count("*").alias("rows"), F.avg(intensity).alias("mean"), F.stddev_samp(intensity).alias("std"), F.count(era).alias("dated")))
+    size = assigned.groupBy("cluster").agg(F.count("*").alias("n"), F.avg(intensity).alias("own"), F.count(era).alias("e")).crossJoin(every)
+    tag = assigned.select("cluster", F.explode(F.array_compact(F.array_distinct(tags))).alias("tag")).groupBy("cluster", "tag").agg(F.count("*").alias("k"))
+    rate = tag.join(tag.groupBy("tag").agg(F.sum("k").alias("in_all")), "tag").join(size, "cluster")
+    rate = rate.withColumns({"r": F.col("k") / F.col("n"), "lift": F.col("k") / F.col("n") / (F.col("in_all") / F.col("rows"))}).withColumn("fit", F.col("r") >= TAG_RATE)
+    best = ranks.top_per(rate, 2, ["cluster"], [F.desc("fit"), F.desc(F.round(F.when(F.col("fit"), F.col("lift")).otherwise(F.col("r")), 12)), "tag"], "place").where("fit or place = 1")
+    best = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tag"))), lambda x: x["tag"]).alias("tags"))
+    aged = assigned.where(F.col(era).isNotNull()).groupBy("cluster", F.col(era).alias("era")).agg(F.count("*").alias("k"))
+    aged = aged.join(aged.groupBy("era").agg(F.sum("k").alias("in_all")), "era").join(size, "cluster").where(F.col("k") / F.col("e") >= ERA_SHARE)
+    aged = aged.withColumn("lift", F.round(F.col("k") / F.col("e") / (F.col("in_all") / F.col("dated")), 12))
+    aged = ranks.keep_one(aged, ["cluster"], [F.desc("lift"), "era"]).where(F.col("lift") >= ERA_LIFT).select("cluster", F.col("era").cast("string").alias("era"))
+    z = (F.col("own") - F.col("mean")) / F.when(F.col("std") == 0, 1.0).otherwise(F.col("std"))
+    word = F.when(z >= ENERGY, "high-energy").when(z <= -ENERGY, "low-key")
+    parts = F.concat(F.coalesce("tags", F.array().cast("array<string>")), F.array_compact(F.array(word, F.col("era"))))
+    name = F.array_join(parts, " · ")
+    first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    capital = F.concat(F.upper(F.substring(first, 1, 1)), F.lower(F.substring(first, 2, 1_000)), F.substr(name, F.length(first) + 1))
+    return size.join(best, "cluster", "left").join(aged, "cluster", "left").select("cluster", capital.alias("name"))

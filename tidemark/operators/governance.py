@@ -92,3 +92,19 @@ def file_problems(files: DataFrame, path: str = "path", text: str = "text") -> D
         F.when(p.rlike(WEB) & has(LYRICS), "lyrics"),
     ]
     return files.select(F.col(path), F.explode(F.array_compact(F.array(*found))).alias("problem"))
+
+
+#: What a request to save a list may hold.
+NAME_CHARS, LIST_TRACKS, TRACK = 100, 500, "^spotify:track:[A-Za-z0-9]{22}$"
+
+
+def refusal(name: str = "name", uris: str = "uris") -> F.Column:
+    """Why a request isn't carried out, by the first rule that it breaks; null if it may be. A null list is empty."""
+    own = F.coalesce(uris, F.array().cast("array<string>"))
+    bad = F.size(F.filter(own, lambda u: ~F.coalesce(u.rlike(TRACK), F.lit(False))))
+    return (
+        F.when(F.coalesce(F.length(name), F.lit(0)) == 0, "no name")
+        .when(F.length(name) > NAME_CHARS, F.lit(f"name of more than {NAME_CHARS} characters"))
+        .when(F.size(own) > LIST_TRACKS, F.format_string(f"more than {LIST_TRACKS} tracks: %d", F.size(own)))
+        .when(bad > 0, F.format_string("no track: %d", bad))
+    )

@@ -113,3 +113,19 @@ def pooled(vectors: DataFrame, width: int, x: str = "embedding") -> DataFrame:
     """Dimensions added up modulo `width`."""
     add = lambda j: F.aggregate(F.filter(x, lambda v, i: i % width == j), F.lit(0.0), lambda a, v: a + v.cast("double"))
     return vectors.withColumn(x, F.array(*[add(j) for j in range(width)]))
+
+
+def find(tracks: DataFrame, key: str, name: str, plays: str, asked: str) -> DataFrame:
+    """At most one row: the track of this key, else of those whose name holds the text (in either case) the one played most."""
+    exact = F.col(key).cast("string") == asked
+    own = tracks.where(exact | F.contains(F.lower(name), F.lit(asked.lower())))
+    return own.orderBy(exact.desc(), F.desc_nulls_last(plays), key).limit(1)
+
+
+def more_like_this(tracks: DataFrame, key: str, asked: str, n: int, valence: str = "valence", plays: str = "plays", name: str = "name") -> DataFrame:
+    """The n nearest to the track that a key or a part of a name means: with `distance`, and `tied`, how many of all tracks are
+    as near. Equally near ones come by valence, then plays, then key. No rows if nothing matches."""
+    one = F.broadcast(find(tracks, key, name, plays, asked).select(F.col(key).alias("_key"), F.col("kc").alias("_kc")))
+    far = tracks.crossJoin(one).where(F.col(key) != F.col("_key")).withColumn("distance", hamming("kc", "_kc").cast("long")).drop("_key", "_kc")
+    near = far.orderBy("distance", F.desc_nulls_last(valence), F.desc_nulls_last(plays), key).limit(n)
+    return near.join(F.broadcast(far.groupBy("distance").agg(F.count("*").alias("tied"))), "distance")  # a row for each distance

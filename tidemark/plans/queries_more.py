@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..operators import brief, clusters, evaluation, listening, planner, ranks, resolve, similarity, taste
+from ..operators import brief, clusters, evaluation, governance, listening, planner, ranks, resolve, similarity, taste
 from ..sources import files
 from ..sources.adapters import table
 from . import report
@@ -183,6 +183,34 @@ def _(s, d):
     return named.groupBy("lang").agg(F.initcap(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "tag"))), lambda x: x["tag"]), " · ")).alias("name"))
 
 
+_MOODED = "o AS (SELECT lang AS cluster, doc_id, list_distinct([source, CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END]) AS tags, n_chars AS x, CASE WHEN doc_id % 7 > 0 THEN CAST(1980 + 10 * (doc_id * length(source) % 4 + ascii(lang) % 3) AS VARCHAR) || 's' END AS era FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND n_chars IS NOT NULL)"
+
+
+@query("str13_built_names", f"WITH {_MOODED}, a AS (SELECT COUNT(*) AS nn, AVG(x) AS mean, STDDEV_SAMP(x) AS std, COUNT(era) AS ee FROM o), s AS (SELECT cluster, COUNT(*) AS n, AVG(x) AS own, COUNT(era) AS e FROM o GROUP BY 1), t AS (SELECT cluster, tag, COUNT(*) AS k, SUM(COUNT(*)) OVER (PARTITION BY tag) AS kk FROM (SELECT cluster, unnest(tags) AS tag FROM o) GROUP BY 1, 2), r AS (SELECT cluster, tag, k / n >= 0.25 AS fit, k / n AS r, k / n / (kk / nn) AS lift FROM t JOIN s USING (cluster), a), b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY fit DESC, ROUND(CASE WHEN fit THEN lift ELSE r END, 12) DESC, tag) AS place FROM r), g AS (SELECT cluster, list(tag ORDER BY place) AS tags FROM b WHERE place <= 2 AND (fit OR place = 1) GROUP BY 1), c AS (SELECT cluster, era, COUNT(*) AS k, SUM(COUNT(*)) OVER (PARTITION BY era) AS kk FROM o WHERE era IS NOT NULL GROUP BY 1, 2), l AS (SELECT cluster, era, ROUND(k / e / (kk / ee), 12) AS lift FROM c JOIN s USING (cluster), a WHERE k / e >= 0.25), m AS (SELECT cluster, arg_min(era, (-lift, era)) AS era FROM l GROUP BY 1 HAVING MAX(lift) >= 1.5), w AS (SELECT cluster, list_filter(list_concat(COALESCE(tags, []), [CASE WHEN (own - mean) / std >= 0.3 THEN 'high-energy' WHEN (own - mean) / std <= -0.3 THEN 'low-key' END, m.era]), lambda y: y IS NOT NULL) AS p FROM s LEFT JOIN g USING (cluster) LEFT JOIN m USING (cluster), a) SELECT cluster, upper(left(p[1], 1)) || lower(substr(p[1], 2)) || substr(array_to_string(p, ' · '), length(p[1]) + 1) AS name FROM w")
+def _(s, d):
+    """The languages as clusters, with two tags, an intensity and an era for each document."""
+    k, size = F.col("doc_id"), F.col("n_chars")
+    docs = table(s, d, "documents").where("lang is not null and source is not null and n_chars is not null")
+    era = F.when(k % 7 > 0, F.concat((1980 + 10 * (k * F.length("source") % 4 + F.ascii("lang") % 3)).cast("string"), F.lit("s")))
+    own = docs.select(F.col("lang").alias("cluster"), F.array("source", F.when(size > 2000, "long").otherwise("short")).alias("mood_tags"), size.alias("intensity"), era.alias("era"))
+    return clusters.names(own)
+
+
+@query("lsh8_by_name", f"WITH {_PRINTS}, o AS (SELECT vec_id, kc, 'Vec ' || vec_id AS name, label AS valence, vec_id * 7 % 31 AS plays FROM prints JOIN embeddings USING (vec_id)), q AS (SELECT vec_id AS qi, kc AS qk FROM o WHERE name LIKE 'Vec 7%' ORDER BY plays DESC, vec_id LIMIT 1), far AS (SELECT vec_id, name, valence, plays, 2 * {HASH} - 2 * len(list_intersect(kc, qk)) AS distance FROM o, q WHERE vec_id <> qi), near AS (SELECT * FROM far ORDER BY distance, valence DESC NULLS LAST, plays DESC, vec_id LIMIT 10) SELECT vec_id, name, distance, (SELECT COUNT(*) FROM far WHERE far.distance = near.distance) AS tied FROM near", longs="distance")
+def _(s, d):
+    k = F.col("vec_id")
+    own = prints(s, d).join(table(s, d, "embeddings").select("vec_id", F.col("label").alias("valence")), "vec_id").withColumns({"name": F.concat(F.lit("Vec "), k), "plays": k * 7 % 31})
+    return similarity.more_like_this(own, "vec_id", "vEC 7", 10).select("vec_id", "name", "distance", "tied")
+
+
+@query("api5_requests", "WITH r AS (SELECT o_custkey AS id, o_custkey % 7 AS k, list('spotify:track:' || lpad(CAST(o_orderkey AS VARCHAR), CASE WHEN o_orderkey % 50 = 0 THEN 21 ELSE 22 END, '0')) AS uris, COUNT(*) FILTER (o_orderkey % 50 = 0) AS bad FROM orders GROUP BY 1, 2) SELECT id, CASE WHEN k = 0 THEN 'no name' WHEN k = 1 THEN 'name of more than 100 characters' WHEN len(uris) > 500 THEN 'more than 500 tracks: ' || len(uris) WHEN bad > 0 THEN 'no track: ' || bad END AS refused FROM r")
+def _(s, d):
+    uri = F.concat(F.lit("spotify:track:"), F.lpad(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 50 == 0, 21).otherwise(22), F.lit("0")))
+    k = F.col("o_custkey") % 7
+    asked = table(s, d, "orders").groupBy(F.col("o_custkey").alias("id"), F.when(k == 0, "").when(k == 1, "n" * 101).otherwise("n").alias("name")).agg(F.collect_list(uri).alias("uris"))
+    return asked.select("id", governance.refusal().alias("refused"))
+
+
 _ASKED = ("Night Drive", "some golden hour please", "peak", "sad rainy day", "gym, and happy!", "nothing", "chill", "hard dark win", "")
 
 
@@ -300,8 +328,6 @@ def _(s, d):
 
 @query("gov2_crate_schema", "SELECT TRUE AS passes, TRUE AS refuses")
 def _(s, d):
-    from ..operators import governance
-
     good = s.createDataFrame([], "track_id long, name string, artist string, tempo double, energy double, duration_ms long, familiar boolean, mood_tags array<string>, fly_valence double, taste double, kc array<long>")
 
     def passes(df) -> bool:

@@ -94,7 +94,7 @@ def _year_cards(tracks: DataFrame, years: DataFrame, last: int) -> list[dict]:
     middle = _rows(dated.agg(F.percentile("year", 0.5, F.col("play_count")).cast("int").alias("year")))[0]["year"]
     oldest = _rows(ranks.top(dated, 1, "year", F.desc("play_count"), "track_id").select("artist", "album", "year"))[0]
     decades = dated.groupBy((F.floor(F.col("year") / 10) * 10).alias("decade")).agg(F.sum("play_count").alias("plays")).orderBy("decade")
-    note = f"based on {used['plays_used']} of {used['plays_of']} plays"
+    note = coverage_note({"tier": "B", **used})
     histogram = [{**r, "share": r["plays"] / used["plays_used"]} for r in _rows(decades)]
     peak = max(histogram, key=lambda r: (r["plays"], -r["decade"]))
     return [{"id": "listening_age", "age": last - middle, "year": middle, "oldest": oldest, "coverage": note, **used}, {"id": "decade_histogram", "rows": histogram, "coverage": note, "evidence": [f"{peak['decade']}s: {peak['share']:.0%} of plays"]}]
@@ -169,6 +169,16 @@ def markdown_table(df: DataFrame, most: int = 40) -> str:
     return "\n".join(lines + ([f"… {df.count() - most} more rows"] if len(rows) > most else []))
 
 
+def coverage_note(coverage: dict) -> str:
+    """What a card rests on: the share of plays, else of measured tracks, else the number of tracks."""
+    c, tier = coverage, f"Tier {coverage['tier']}"
+    if c.get("plays_of"):
+        return f"{tier} · covers {c['plays_used'] / c['plays_of']:.0%} of plays"
+    if "measured" in c and c["tracks_used"]:
+        return f"{tier} · all {c['tracks_used']:,} tracks · {c['measured'] / c['tracks_used']:.0%} with measured audio, the rest predicted features only"
+    return f"{tier} · {c['tracks_used']:,} of {c['of']:,} tracks"
+
+
 def markdown(report: dict) -> str:
     out = ["# Listening report"]
     for c in report["cards"]:
