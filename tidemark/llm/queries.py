@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, jaccard, licenses, packing, quality, secrets, suffixes, toxicity, warc
+from . import decontaminate, embeddings, exact, infill, jaccard, licenses, packing, quality, secrets, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,7 +55,15 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings)}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings, op11_infill, op13_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
@@ -65,4 +73,20 @@ ORACLE_SQL: dict[str, str] = {
             CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND kept <> page_id THEN kept END AS refers_to
         FROM p LEFT JOIN k USING (payload_digest)""",
+    "op11_infill": """
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+        r AS (SELECT doc_id, t, n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS r1, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS r2,
+            CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 AS r3, CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 AS r4 FROM h),
+        c AS (SELECT doc_id, t, n, least(r1, r2) AS a, greatest(r1, r2) AS b,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t
+                WHEN 'psm' THEN '<P>' || left(t, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                ELSE '<S>' || substr(t, b + 1) || '<P>' || left(t, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM c""",
+    "op13_exact_dedup": """
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM t WINDOW w AS (PARTITION BY t)""",
 }
