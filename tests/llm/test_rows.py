@@ -3,12 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, infill
+from tidemark.llm import dialogue, exact, infill
 
 SCHEMA = "doc_id long, text string, n long, form string, output string, row long, digest string, old string, keep string, group_size string"
 
@@ -131,3 +132,114 @@ def test_look_ups_compare_whole_digests(spark, monkeypatch):
     got = exact.look_up(asked.select("digest"), index, 1000).join(asked, "digest").collect()
     assert len(got) == 1000
     assert all((r.old_id, r.old_row, r.old_copies) == ((r.id, r.id + 1000, 2) if r.id < 100 else (None, None, None)) for r in got)
+
+
+# -- conversations: plain code over whole conversations, every repair tried row by row
+
+TURNS = "conv_id long, turn long, role string, text string, digest string, at long, block long, fault string, n long"
+
+
+def ordered(rows, damaged=True):
+    """Rows (conv, turn, role, text) of each conversation after damage, in their order."""
+    out = {}
+    for conv, turn, role, text in rows:
+        role, text = (" " if x is None else x for x in (role, text))
+        h = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20 if damaged else 9
+        text = "" if h == 1 else re.sub("[.!?]", "", text) if h == 2 else text
+        out.setdefault(conv, [])
+        out[conv] += [(turn, "user" if h == 4 else role, text)] * (0 if h == 0 else 2 if h == 3 else 1)
+    return {c: sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode(), sha(x[2]))) for c, r in out.items()}
+
+
+def best_repair(rows, faults):
+    """Smallest (cost, audit, lines) by every sequence of edits that can still win, with all states tried at each row."""
+    machine = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    best = {"": (0, "", ())}
+
+    def better(table, state, value):
+        if state not in table or value[:2] < table[state][:2]:
+            table[state] = value
+
+    def insert(table):
+        for _ in range(3):
+            for state, (cost, audit, lines) in list(table.items()):
+                for role in ("user", "assistant"):
+                    if (state, role[0]) in machine:
+                        better(table, machine[state, role[0]], (cost + 2, audit + "I", lines + (f"{role}:",)))
+
+    for (_, role, text), fault in zip(rows, faults):
+        insert(best)
+        new = {}
+        for state, (cost, audit, lines) in best.items():
+            better(new, state, (cost + 3, audit + "D", lines))
+            if fault in ("blank", "duplicate"):
+                continue
+            extra = fault == "truncated"
+            if (state, role[:1]) in machine:
+                better(new, machine[state, role[:1]], (cost + extra, audit + "K", lines + (f"{role}:{text}",)))
+            for other in ("user", "assistant"):
+                if (state, other[0]) in machine:
+                    better(new, machine[state, other[0]], (cost + 2 + extra, audit + "R", lines + (f"{other}:{text}",)))
+        best = new
+    insert(best)
+    return min(best[s] for s in ("", "a") if s in best)
+
+
+def repaired(rows):
+    faults, seen = [], set()
+    for _, role, text in rows:
+        inside = re.sub(r"[\x20\x09-\x0D]", "", text)
+        faults.append("blank" if not inside else "duplicate" if (role, text) in seen else "truncated" if inside[-1] not in ".!?" else None)
+        seen.add((role, text))
+    turns = [t for t, _, _ in rows if t is not None]
+    initials = [r[:1] for _, r, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    cost, audit, lines = best_repair(rows, faults)
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    return gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(lines))
+
+
+@pytest.fixture(scope="module")
+def turns():
+    rng = random.Random(3)
+    texts = ["Yes.", "No!", "Why?", "So", "", " \n", "A long one. With two", "ä😀.", None, "x\ty?"]
+    roles = ["user", "assistant", "system", "user", "assistant", "tool", None, "", "User", "agent"]
+    rows = []
+    for conv in range(150):
+        for turn in range(rng.randrange(1, 9)):
+            role = ("user", "assistant")[turn % 2] if rng.random() < 0.7 else rng.choice(roles)
+            rows.append((conv, rng.choice([turn, turn, turn, None, 2 * turn]), role, rng.choice(texts) if rng.random() < 0.5 else f"Text {rng.randrange(5)}."))
+    rows += [(900, t, rng.choice(roles), rng.choice(texts) if rng.random() < 0.3 else f"No {rng.randrange(200)}{rng.choice(['.', ''])}") for t in range(170)]
+    rows += [(None, 1, "user", "Hi."), (None, None, "assistant", "Ho."), (901, None, None, None), (902, 5, "system", "z" * 200000 + "."), (903, 0, "user", "Hi."), (903, 0, "user", "Hi.")]
+    rows += [(1000 + i, 0, "user", "same words?") for i in range(60)]
+    rng.shuffle(rows)
+    return rows
+
+
+def talk(spark, rows):
+    return spark.createDataFrame([(*r, "d", 1, 2, "blank", 5) for r in rows], TURNS)
+
+
+COLUMNS = ("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@pytest.mark.parametrize("bits", [8, 2])
+def test_conversations_equal_a_full_search(spark, turns, bits, monkeypatch):
+    monkeypatch.setattr(dialogue, "JOINED", 3)
+    source = talk(spark, turns).repartition(3)
+    got = dialogue.digest(source, dialogue.repair(dialogue.damage(source), bits)).select(*COLUMNS).collect()
+    want = [(c, *repaired(r)) for c, r in ordered(turns).items()]
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_repaired_rows_stand_in_order(spark):
+    rows = [(1, 0, "system", "Be kind."), (1, 1, "assistant", "Hello."), (1, 2, "assistant", "Still here."), (2, 0, "user", "")]
+    got = dialogue.repair(talk(spark, rows)).rows.orderBy("conv_id", "at", "seq").collect()
+    # the first assistant row becomes the user's; the blank row of the other conversation is deleted
+    assert [(r.conv_id, r.edit, r.role, r.text) for r in got] == [(1, "K", "system", "Be kind."), (1, "R", "user", "Hello."), (1, "K", "assistant", "Still here.")]
+
+
+def test_conversations_of_no_rows(spark):
+    source = talk(spark, [])
+    assert dialogue.digest(source, dialogue.repair(dialogue.damage(source))).collect() == []

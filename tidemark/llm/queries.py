@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, exact, infill, jaccard, licenses, packing, quality, secrets, suffixes, toxicity, warc
+from . import decontaminate, dialogue, embeddings, exact, infill, jaccard, licenses, packing, quality, secrets, suffixes, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +59,16 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digest(infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogue.digest(conversations, dialogue.repair(dialogue.damage(conversations)))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings, op11_infill, op13_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_decontamination, op3_toxicity, op4_licenses, op5_quality, op6_secrets, op7_warc, op8_packing, op9_jaccard_join, op10_embeddings, op11_infill, op12_conversations, op13_exact_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
