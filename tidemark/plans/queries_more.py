@@ -113,20 +113,6 @@ def _(s, d):
     return s.range(1).select(F.lit(report.config_hash({"a": 1})).alias("h"))
 
 
-@query("lsh12_benchmark_sweep")
-def _(s, d):
-    """Mean average precision of label neighbours by hash length: a stated query set, ids divisible by 20, against all vectors."""
-    v = table(s, d, "embeddings").select("vec_id", "embedding", "label")
-    act = similarity.activations(similarity.normalised(v), similarity.edges(s, 120, 64))
-    out = None
-    for name, tags in [(f"wta_{k}", similarity.winners(act, k)) for k in (4, 12)] + [("sign_16", similarity.sign_bits(v, 16))]:
-        q = tags.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("kc").alias("qk"), F.col("label").alias("ql"))
-        ranked = tags.crossJoin(q).where("vec_id <> q").select("q", "vec_id", (F.col("label") == F.col("ql")).alias("rel"), similarity.hamming("kc", "qk").alias("distance"))
-        row = similarity.average_precision(ranked, "q", "rel", "distance", "vec_id").agg(F.avg("ap").alias("map")).select(F.lit(name).alias("hash"), "map")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query("lsh17_refire_check", f"WITH {_PRINTS} SELECT COUNT(*) AS n, 0 AS wrong FROM prints", longs="wrong")
 def _(s, d):
     """Stored winners must hold every cell above the cut-off activation; only ties may differ."""

@@ -16,6 +16,7 @@ from ..functions import music
 from ..operators import brief, clusters, evaluation, planner, ranks, warehouse
 from ..sources import files
 from ..sources.adapters import table
+from ..sources.stored import scratch
 from ..streaming import live
 from . import report
 from .queries_listening import plays
@@ -23,15 +24,6 @@ from .queries_models import _CRATE, _PRINTS, HASH, crate, prints
 from .registry import PLAYS, query
 
 
-def scratch(spark) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or (unset, on one machine) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    base = base or os.path.join(tempfile.gettempdir(), "tidemark-scratch")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 # --- planner --------------------------------------------------------------------------------------------------------
 
 
