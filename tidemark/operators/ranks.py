@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -20,34 +19,66 @@ def keep_one(df: DataFrame, by: list, order: list) -> DataFrame:
     return top_per(df, 1, by, order, "_rank").drop("_rank")
 
 
-#: Parts of a range of values that are ranked apart.
-RANGES = 256
+#: Parts of an order that are ranked apart: so many times so many, and sampled rows for each.
+FAN, SAMPLED = 16, 32
+
+
+def in_parts(df: DataFrame, by: list, order: list, name: str = "_part") -> DataFrame:
+    """Adds the number of a row's part of the order of (by, order), ascending: parts hold about as many rows each.
+
+    Splitters are quantiles of a fixed number of rows, those whose values have the smallest hashes, so they depend on values
+    alone, whatever their type, and are the same if a task runs again. They are looked up in two steps. Equal values are in one part.
+    """
+    key = F.struct(*by, *order)
+    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(FAN * FAN * SAMPLED)
+    packed = sample.agg(F.array_sort(F.collect_list("k")).alias("k"))
+    parts = FAN * FAN
+    # the smallest value of each part but the first; some may be equal where there are few values
+    at = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / parts).cast("int")))
+    cuts = packed.select(at.alias("cuts")).select(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.slice("cuts", i * FAN + 1, F.lit(FAN))).alias("_fine"), F.filter("cuts", lambda c, i: (i + 1) % FAN == 0).alias("_coarse"))
+    below = lambda cuts, k: F.size(F.filter(cuts, lambda c: c <= k))
+    own = df.crossJoin(F.broadcast(cuts)).withColumn("_key", key).withColumn("_high", below("_coarse", F.col("_key")))
+    # what is under the coarse cut is found in the row of fine cuts that begins after it (the last cut of a row is a coarse one)
+    fine = below(F.get("_fine", F.col("_high")), F.col("_key"))
+    return own.withColumn(name, F.col("_high") * FAN + fine).drop("_fine", "_coarse", "_key", "_high")
+
+
+def _upto(n: str, w) -> Column:
+    return F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col(n)
+
+
+def numbered(df: DataFrame, order: list, name: str, by: list | None = None) -> DataFrame:
+    """Adds the row's number from 1 in the order of `order` (columns, ascending), within `by`.
+
+    A running number without one task for a group, or for the table: parts of the order are counted, then rows are numbered
+    within them.
+    """
+    by = by or []
+    own = in_parts(df, by, order)
+    parts = own.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    parts = parts.select(*by, "_part", _upto("_n", Window.partitionBy(*by).orderBy("_part")).alias("_first"))
+    # not more rows than parts and groups together
+    own = own.join(F.broadcast(parts) if not by else parts, [*by, "_part"])
+    return own.withColumn(name, F.col("_first") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).drop("_part", "_first")
 
 
 def _before(counts: DataFrame, by: list, x: str, descending: bool) -> DataFrame:
-    """Adds `_before`, the sum of `_n` over values that come before, to distinct values with their counts.
+    """Adds `_before`, the sum of `_n` over values that come before, to distinct values (of any type) with their counts.
 
-    The range of numbers is cut into equal parts: sums of the parts are added up first, then values within each, so that no
-    task sees all values. Values of other types are ranked in one place.
+    Sums of the parts are added up first, then values within each, so that no task sees all values.
     """
     order = F.desc(x) if descending else F.asc(x)
-    upto = lambda w: F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    if not isinstance(counts.schema[x].dataType, T.NumericType):
-        return counts.withColumn("_before", upto(Window.partitionBy(*by).orderBy(order)))
-    ends = counts.groupBy(*by).agg(F.min(x).cast("double").alias("_lo"), F.max(x).cast("double").alias("_hi"))
-    own = counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))
-    part = F.coalesce(F.floor(F.try_divide((F.col(x) - F.col("_lo")) * (RANGES - 1), F.col("_hi") - F.col("_lo"))).cast("int"), F.lit(0))
-    own = own.withColumn("_part", -part if descending else part).drop("_lo", "_hi")
+    own = in_parts(counts, by, [x]).withColumn("_part", F.col("_part") * (-1 if descending else 1))
     parts = own.groupBy(*by, "_part").agg(F.sum("_n").alias("_n"))
-    parts = parts.select(*by, "_part", upto(Window.partitionBy(*by).orderBy("_part")).alias("_first"))
-    own = own.join(parts, [*by, "_part"]).withColumn("_before", F.col("_first") + upto(Window.partitionBy(*by, "_part").orderBy(order)))
+    parts = parts.select(*by, "_part", _upto("_n", Window.partitionBy(*by).orderBy("_part")).alias("_first"))
+    own = own.join(parts, [*by, "_part"]).withColumn("_before", F.col("_first") + _upto("_n", Window.partitionBy(*by, "_part").orderBy(order)))
     return own.drop("_part", "_first")
 
 
 def percent_rank(df: DataFrame, x: str, name: str, by: list | None = None, descending: bool = False) -> DataFrame:
     """Mean rank of equal values divided by the number of values (nulls have none).
 
-    Distinct values are counted first, then ranked by parts of their range.
+    Distinct values are counted first, then ranked by parts of their order.
     """
     by = by or []
     counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
@@ -67,9 +98,11 @@ def min_rank(df: DataFrame, x: str, name: str) -> DataFrame:
 
 def unit_position(df: DataFrame, x: str, key: str, name: str, by: list | None = None) -> DataFrame:
     """Position in ascending order from 0 to 1; 1 for a single row. Ties go by key."""
-    w = Window.partitionBy(*(by or []))
-    n = F.count("*").over(w)
-    return df.withColumn(name, F.when(n <= 1, F.lit(1.0)).otherwise((F.row_number().over(w.orderBy(x, key)) - 1) / (n - 1)))
+    by = by or []
+    n = df.groupBy(*by).agg(F.count("*").alias("_total"))
+    own = numbered(df, [x, key], "_k", by)
+    own = own.join(n, by) if by else own.crossJoin(F.broadcast(n))
+    return own.withColumn(name, F.when(F.col("_total") <= 1, F.lit(1.0)).otherwise((F.col("_k") - 1) / (F.col("_total") - 1))).drop("_k", "_total")
 
 
 def decile(rank: Column, n: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import written
+from . import ranks
+
 RATE, DECAY = 0.05, 0.01
 #: Steps of one stretch.
 FOLD = 1 << 16
@@ -16,24 +19,23 @@ def check(rate: float, decay: float) -> None:
 
 
 def steps(plays: DataFrame, tags: DataFrame, order: tuple[str, ...]) -> DataFrame:
-    """Tagged plays numbered from 1 in time. Plays of untagged tracks aren't steps.
+    """(step, kc, verdict) of tagged plays, numbered from 1 in time by parts of the order; those of untagged tracks aren't steps.
 
-    A running number over all plays: counts of days are added up first, then rows are numbered within days, so no task
-    sees more than a day.
+    The result is written, as the fold reads it more than once.
     """
-    own = plays.join(tags.where(F.size("kc") > 0).select("track_id", "kc"), "track_id").withColumn("day", F.col("ts").cast("date"))
-    days = own.groupBy("day").agg(F.count("*").alias("n"))
-    before = days.select("day", (F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    return own.join(F.broadcast(before), "day").withColumn("step", F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy(*order))).drop("before", "day")
+    own = plays.join(tags.where(F.size("kc") > 0).select("track_id", "kc"), "track_id").select(*order, "kc", "verdict")
+    return written(ranks.numbered(own, list(order), "step").select("step", "kc", "verdict"))
 
 
 def weights(stepped: DataFrame, rate: float = RATE, decay: float = DECAY) -> DataFrame:
     """(kc, w_approach, w_avoid) of the cells that some decisive play has touched; all others are 1.
 
-    With f = 1 - rate, c = 1 - decay and events at steps s_1 < ... < s_N of those from S + 1 to E, a weight w becomes
-    c^(E-S) f^N w + sum over j = 0..N of f^(N-j) (c^(E-b_j) - c^(E-a_j+1)), where a_0 = S + 1, a_j = s_j, b_j = s_(j+1) - 1,
-    b_N = E. That is affine in w: stretches of FOLD steps are folded apart, so that a cell that very many plays touch is no
-    bottleneck, and then one after another (over g steps without events w becomes 1 - c^g (1 - w)).
+    With f = 1 - rate, c = 1 - decay and a cell's events at steps s_1 < ... < s_N of 1 to T (s_(N+1) = T + 1), its weight is
+    f^N c^(T - s_1 + 1) + sum over j of f^(N-j) (c^(T - s_(j+1) + 1) - c^(T - s_j + 1)).
+
+    A sum needs no replay, only how many events of its cell follow each one, and the next one's step: a scan in two levels. Events
+    are ordered within stretches of FOLD steps, whose sums are made relative to their own end; then one row for each cell and
+    stretch is scanned, which carries what follows it. No row holds more than numbers, however many plays a cell has.
     """
     check(rate, decay)
     f, c = 1 - rate, 1 - decay
@@ -41,19 +43,18 @@ def weights(stepped: DataFrame, rate: float = RATE, decay: float = DECAY) -> Dat
     touched = stepped.where("verdict <> 0").select(F.explode("kc").alias("kc"), "step", F.when(F.col("verdict") > 0, "w_avoid").otherwise("w_approach").alias("which"))
     own = ["kc", "which", "stretch"]
     touched = touched.withColumn("stretch", F.floor((F.col("step") - 1) / FOLD)).crossJoin(total)
-    touched = touched.withColumn("S", F.col("stretch") * FOLD).withColumn("E", F.least("T", F.col("S") + FOLD))
-    w = Window.partitionBy(*own).orderBy("step")
-    e = touched.withColumn("j", F.row_number().over(w)).withColumn("next", F.lead("step").over(w)).withColumn("N", F.count("*").over(Window.partitionBy(*own)))
-    power = lambda x: F.pow(F.lit(c), x)
-    last = F.coalesce(F.col("next") - 1, F.col("E"))
-    term = F.pow(F.lit(f), F.col("N") - F.col("j")) * (power(F.col("E") - last) - power(F.col("E") - F.col("step") + 1))
-    start = F.when(F.col("j") == 1, F.pow(F.lit(f), F.col("N")) * (power(F.col("E") - F.col("step") + 1) - power(F.col("E") - F.col("S"))))
-    per = e.groupBy(*own).agg(F.first("S").alias("S"), F.first("E").alias("E"), F.first("T").alias("T"), (power(F.first("E") - F.first("S")) * F.pow(F.lit(f), F.first("N"))).alias("a"), F.sum(term + F.coalesce(start, F.lit(0.0))).alias("b"))
-    parts = per.groupBy("kc", "which").agg(F.array_sort(F.collect_list(F.struct("S", "E", "a", "b"))).alias("parts"), F.first("T").alias("T"))
-    rest = lambda w, g: 1 - power(g) * (1 - w)
-    zero = F.struct(F.lit(1.0).alias("w"), F.lit(0).cast("long").alias("at"))
-    fold = F.aggregate("parts", zero, lambda acc, p: F.struct((p["a"] * rest(acc["w"], p["S"] - acc["at"]) + p["b"]).alias("w"), p["E"].cast("long").alias("at")))
-    per = parts.withColumn("fold", fold).select("kc", "which", rest(F.col("fold.w"), F.col("T") - F.col("fold.at")).alias("w"))
+    touched = touched.withColumn("end", F.least("T", (F.col("stretch") + 1) * FOLD))
+    w = Window.partitionBy(*own)
+    # of an event the later ones in its stretch, and the next; an event that is the last there has its term one level above
+    e = touched.withColumn("next", F.lead("step").over(w.orderBy("step"))).withColumn("after", F.count("*").over(w) - F.row_number().over(w.orderBy("step")))
+    power = lambda base, x: F.pow(F.lit(base), x)
+    end = F.col("end")
+    inner = power(f, F.col("after")) * (power(c, end - F.col("next") + 1) - power(c, end - F.col("step") + 1))
+    level = e.groupBy(*own).agg(F.first("T").alias("T"), F.first("end").alias("end"), F.count("*").alias("n"), F.min("step").alias("first"), F.max("step").alias("last"), F.coalesce(F.sum(inner), F.lit(0.0)).alias("inner"))
+    down = Window.partitionBy("kc", "which").orderBy(F.desc("stretch"))
+    level = level.withColumn("later", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("next", F.lag("first").over(down))
+    outer = power(f, F.col("later")) * (power(c, F.col("T") - end) * F.col("inner") + power(c, F.col("T") + 1 - F.coalesce("next", F.col("T") + 1)) - power(c, F.col("T") - F.col("last") + 1))
+    per = level.groupBy("kc", "which").agg((F.sum(outer) + power(f, F.sum("n")) * power(c, F.first("T") - F.min("first") + 1)).alias("w"))
     pick = lambda k: F.coalesce(F.max(F.when(F.col("which") == k, F.col("w"))), F.lit(1.0)).alias(k)
     return per.groupBy("kc").agg(pick("w_approach"), pick("w_avoid"))
 
