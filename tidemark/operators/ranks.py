@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import written
+
 
 def top(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(n)
@@ -19,28 +21,35 @@ def keep_one(df: DataFrame, by: list, order: list) -> DataFrame:
     return top_per(df, 1, by, order, "_rank").drop("_rank")
 
 
-#: Parts of an order that are ranked apart: so many times so many, and sampled rows for each.
-FAN, SAMPLED = 16, 32
+#: Parts of an order are found in steps of FAN ways each, so that a part has about PART_ROWS rows at most; SAMPLED rows are
+#: looked at for each part.
+FAN, PART_ROWS, SAMPLED = 16, 1 << 20, 32
 
 
 def in_parts(df: DataFrame, by: list, order: list, name: str = "_part") -> DataFrame:
     """Adds the number of a row's part of the order of (by, order), ascending: parts hold about as many rows each.
 
-    Splitters are quantiles of a fixed number of rows, those whose values have the smallest hashes, so they depend on values
-    alone, whatever their type, and are the same if a task runs again. They are looked up in two steps. Equal values are in one part.
+    Splitters are quantiles of a sample, those rows whose values have the smallest hashes; so they depend on values alone,
+    whatever their type, and are the same if a task runs again. The sample follows the number of parts, which follows the
+    rows (256 parts, and 16 times as many when these get large). Equal values are in one part.
     """
+    rows = df.count()
+    levels = 2
+    while FAN**levels * PART_ROWS < rows:
+        levels += 1
+    parts = FAN**levels
     key = F.struct(*by, *order)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(FAN * FAN * SAMPLED)
-    packed = sample.agg(F.array_sort(F.collect_list("k")).alias("k"))
-    parts = FAN * FAN
+    share = min(1.0, parts * SAMPLED / max(1, rows))
+    sample = df.select(key.alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct()
+    cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("k"))
     # the smallest value of each part but the first; some may be equal where there are few values
-    at = F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / parts).cast("int")))
-    cuts = packed.select(at.alias("cuts")).select(F.transform(F.sequence(F.lit(0), F.lit(FAN - 1)), lambda i: F.slice("cuts", i * FAN + 1, F.lit(FAN))).alias("_fine"), F.filter("cuts", lambda c, i: (i + 1) % FAN == 0).alias("_coarse"))
-    below = lambda cuts, k: F.size(F.filter(cuts, lambda c: c <= k))
-    own = df.crossJoin(F.broadcast(cuts)).withColumn("_key", key).withColumn("_high", below("_coarse", F.col("_key")))
-    # what is under the coarse cut is found in the row of fine cuts that begins after it (the last cut of a row is a coarse one)
-    fine = below(F.get("_fine", F.col("_high")), F.col("_key"))
-    return own.withColumn(name, F.col("_high") * FAN + fine).drop("_fine", "_coarse", "_key", "_high")
+    cuts = cuts.select(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda i: F.get("k", F.floor(i * F.size("k") / parts).cast("int"))).alias("_cuts"))
+    own = df.crossJoin(F.broadcast(cuts)).withColumns({"_key": key, name: F.lit(0)})
+    for level in reversed(range(levels)):
+        stride = FAN**level
+        steps = F.array(*[F.lit(i * stride - 1) for i in range(1, FAN)])
+        own = own.withColumn(name, F.col(name) + stride * F.size(F.filter(steps, lambda i: F.get("_cuts", F.col(name) + i) <= F.col("_key"))))
+    return own.drop("_cuts", "_key")
 
 
 def _upto(n: str, w) -> Column:
@@ -57,8 +66,7 @@ def numbered(df: DataFrame, order: list, name: str, by: list | None = None) -> D
     own = in_parts(df, by, order)
     parts = own.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
     parts = parts.select(*by, "_part", _upto("_n", Window.partitionBy(*by).orderBy("_part")).alias("_first"))
-    # not more rows than parts and groups together
-    own = own.join(F.broadcast(parts) if not by else parts, [*by, "_part"])
+    own = own.join(parts, [*by, "_part"])
     return own.withColumn(name, F.col("_first") + F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).drop("_part", "_first")
 
 
@@ -81,7 +89,7 @@ def percent_rank(df: DataFrame, x: str, name: str, by: list | None = None, desce
     Distinct values are counted first, then ranked by parts of their order.
     """
     by = by or []
-    counts = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n"))
+    counts = written(df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count("*").alias("_n")))
     total = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
     ranks = _before(counts, by, x, descending)
     ranks = ranks.join(total, by) if by else ranks.crossJoin(F.broadcast(total))
@@ -92,7 +100,7 @@ def percent_rank(df: DataFrame, x: str, name: str, by: list | None = None, desce
 
 def min_rank(df: DataFrame, x: str, name: str) -> DataFrame:
     """1 plus the number of rows with a larger value."""
-    counts = df.groupBy(x).agg(F.count("*").alias("_n"))
+    counts = written(df.groupBy(x).agg(F.count("*").alias("_n")))
     return df.join(_before(counts, [], x, True).select(x, (F.col("_before") + 1).alias(name)), x, "left")
 
 

@@ -21,10 +21,10 @@ def check(rate: float, decay: float) -> None:
 def steps(plays: DataFrame, tags: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """(step, kc, verdict) of tagged plays, numbered from 1 in time by parts of the order; those of untagged tracks aren't steps.
 
-    The result is written, as the fold reads it more than once.
+    Plays are written before they are numbered and after, as both the numbering and the fold read them more than once.
     """
     own = plays.join(tags.where(F.size("kc") > 0).select("track_id", "kc"), "track_id").select(*order, "kc", "verdict")
-    return written(ranks.numbered(own, list(order), "step").select("step", "kc", "verdict"))
+    return written(ranks.numbered(written(own), list(order), "step").select("step", "kc", "verdict"))
 
 
 def weights(stepped: DataFrame, rate: float = RATE, decay: float = DECAY) -> DataFrame:

@@ -28,16 +28,41 @@ def artists(plays: DataFrame) -> DataFrame:
     )
 
 
+_NO_DAY = "DATE'0001-01-01'"
+
+
+def _by_days(plays: DataFrame, by: tuple[str, ...], order: tuple[str, ...], gap: str) -> DataFrame:
+    """Adds `gap` and `session`, from 1 within each listener (`by`); `order` begins with ts. Rows without a time come first.
+
+    A listener is cut into days, so that one who plays very much isn't one task: gaps and starts are found within each day, then
+    days are put together by comparing each one's first time with the last of the day before and adding up the starts. What
+    goes over a whole listener has one row a day.
+    """
+    if order[0] != "ts":
+        raise ValueError("plays must be in the order of ts")
+    w = Window.partitionBy(*by, "_day").orderBy(*order)
+    far = lambda g: F.when(g.isNull() | (g > F.expr(gap)), 1).otherwise(0)
+    own = plays.withColumn("_day", F.coalesce(F.col("ts").cast("date"), F.expr(_NO_DAY))).withColumn("_k", F.row_number().over(w)).withColumn("gap", F.col("ts") - F.lag("ts").over(w))
+    own = own.withColumn("_start", F.when(F.col("_k") == 1, 0).otherwise(far(F.col("gap")))).withColumn("_starts", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = own.groupBy(*by, "_day").agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"), F.sum("_start").alias("_n"))
+    over = Window.partitionBy(*by).orderBy("_day")
+    days = days.withColumn("_before", F.lag("_last").over(over)).withColumn("_opens", far(F.col("_first") - F.col("_before")))
+    days = days.withColumn("_base", F.sum(F.col("_opens") + F.col("_n")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    days = days.select(*[F.col(c).alias(f"_d_{c}") for c in (*by, "_day")], "_before", "_base")
+    same = [F.col(c).eqNullSafe(F.col(f"_d_{c}")) for c in (*by, "_day")]
+    got = own.join(days, same)
+    got = got.withColumn("gap", F.when(F.col("_k") == 1, F.col("ts") - F.col("_before")).otherwise(F.col("gap"))).withColumn("session", F.col("_base") + F.col("_starts"))
+    return got.drop("_day", "_k", "_start", "_starts", "_before", "_base", *[f"_d_{c}" for c in (*by, "_day")])
+
+
 def with_gap(plays: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return plays.withColumn("gap", F.col("ts") - F.lag("ts").over(w))
+    """Adds `gap`, the time since the listener's play before; null for the first."""
+    return _by_days(plays, by, order, SESSION_GAP).drop("session")
 
 
 def with_session(plays: DataFrame, by: tuple[str, ...], order: tuple[str, ...] = ("ts",), gap: str = SESSION_GAP) -> DataFrame:
-    """Adds `session`, from 1 within each listener. `by` names the listener: without it one task would see all plays."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    starts = F.when(F.col("gap").isNull() | (F.col("gap") > F.expr(gap)), 1).otherwise(0)
-    return with_gap(plays, by, order).withColumn("session", F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """Adds `gap` and `session`: a play that follows after more than `gap`, or has no time, begins one."""
+    return _by_days(plays, by, order, gap)
 
 
 def sessions(plays: DataFrame, by: tuple[str, ...], order: tuple[str, ...] = ("ts",)) -> DataFrame:
