@@ -71,18 +71,77 @@ def block_titles(queries: DataFrame, library: DataFrame) -> DataFrame:
     return q.join(pairs, "q_clean").join(c, "c_clean")
 
 
+def _pairs_of(c: str) -> F.Column:
+    """The pairs of neighbouring characters of a text between a start and an end mark, repeats numbered: a set."""
+    marked = F.concat(F.lit("\x02"), F.col(c), F.lit("\x03"))
+    grams = F.transform(F.sequence(F.lit(1), F.length(c) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+    return F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, F.lit(1), i), lambda x: x == g)).cast("string")))
+
+
+def _letters(c: str) -> F.Column:
+    """The characters of a text, repeats numbered: a set whose overlap counts common characters."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(chars, lambda g, i: F.concat(g, F.size(F.filter(F.slice(chars, F.lit(1), i), lambda x: x == g)).cast("string")))
+
+
+def _least(a: F.Column, b: F.Column, ratio: float) -> tuple[F.Column, F.Column]:
+    """Matched characters that texts of lengths a and b need for the ratio, and pairs of neighbours they then share.
+
+    Of M matched characters and the two marks, each character that isn't matched parts two neighbours at most.
+    """
+    matched = F.ceil(F.round((a + b) * ratio / 2, 9))
+    return matched, F.greatest(F.lit(1), 3 * matched + 1 - a - b)
+
+
+def similar_pairs(asked: DataFrame, q: str, held: DataFrame, c: str, ratio: float = MATCHED) -> DataFrame:
+    """(q, c) for distinct texts whose Ratcliff-Obershelp ratio can reach `ratio`: none that does is left out.
+
+    A join on sets of neighbouring characters. A text is only looked up by its rarest few pairs: so many that one that shares
+    as much as the ratio asks for must have one of them (prefix filter). Lengths, shared pairs and common characters are then
+    counted; what passes is for the scorer. Empty texts match nothing. Ratios of two thirds and less promise no shared pair.
+    """
+    if not 2 / 3 < ratio <= 1:
+        raise ValueError("ratio must lie in (2/3, 1]")
+    ratio_of = ratio / (2 - ratio)  # the shorter text has at least this share of the longer one's length
+
+    def grams(df: DataFrame, name: str) -> DataFrame:
+        return df.select(name).where(F.length(name) > 0).distinct().withColumn("grams", _pairs_of(name))
+
+    dq, dc = grams(asked, q), grams(held, c)
+    # how many texts hold a pair: a table as large as the alphabet squared, whatever the number of texts
+    common = dq.select(F.explode("grams").alias("g")).unionByName(dc.select(F.explode("grams").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select(name, F.explode("grams").alias("g")).join(common, "g").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("n", "g"))).alias("r"))
+        a = F.length(name)
+        # the bound is smallest with the shortest partner; without its rounding up it grows with the partner
+        least = F.greatest(F.lit(1), F.ceil((1.5 * ratio - 1) * (a + a * ratio_of) + 1 - 1e-9))
+        return ranked.select(name, F.explode(F.slice("r", F.lit(1), (a + 2 - least).cast("int"))).alias("x")).select(name, "x.g")
+
+    met = prefixes(dq, q).join(prefixes(dc, c), "g").where((F.length(c) >= F.length(q) * ratio_of - 1e-9) & (F.length(q) >= F.length(c) * ratio_of - 1e-9)).select(q, c).distinct()
+    matched, shared = _least(F.length(q), F.length(c), ratio)
+    overlap = lambda f: F.size(F.array_intersect(f(q), f(c)))
+    return met.where(overlap(_pairs_of) >= shared).where(overlap(_letters) >= matched)
+
+
+def block_misspelt(queries: DataFrame, library: DataFrame, ratio: float = MATCHED) -> DataFrame:
+    """Pairs whose clean titles may be as similar as `ratio`; distinct titles are compared, rows come back at the end."""
+    q, c = queries.withColumn("q_clean", clean_title("q_title")), library.withColumn("c_clean", clean_title("c_title"))
+    return q.join(similar_pairs(q, "q_clean", c, "c_clean", ratio), "q_clean").join(c, "c_clean")
+
+
 def status(score: str = "score") -> F.Column:
     return F.when(F.col(score) >= MATCHED, "matched").when(F.col(score) >= GUESSED, "best guess").otherwise("missed")
 
 
-def best(queries: DataFrame, library: DataFrame) -> DataFrame:
+def best(queries: DataFrame, library: DataFrame, block=block_titles) -> DataFrame:
     """q, c and score: the library row that answers each query best (of equal scores the smallest c), null if none can.
 
-    Equal questions are asked once, and equal library rows (all but the smallest c of a title and artist) are left out.
+    `block` gives the pairs that are scored: equal or contained titles, or with `block_misspelt` all that are similar enough. Equal questions are asked once, and equal library rows (all but the smallest c of a title and artist) are left out.
     """
     asked = queries.select("q_title", "q_artist").distinct()
     held = library.groupBy("c_title", "c_artist").agg(F.min("c").alias("c"))
-    scored = match_score(block_titles(asked, held), "q_title", "q_artist", "c_title", "c_artist")
+    scored = match_score(block(asked, held), "q_title", "q_artist", "c_title", "c_artist")
     top = scored.groupBy("q_title", "q_artist").agg(F.max_by(F.struct("c", "score"), F.struct("score", -F.col("c"))).alias("best"))
     return queries.join(top, ["q_title", "q_artist"], "left").select("q", "best.c", "best.score")
 

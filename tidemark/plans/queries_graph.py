@@ -1,4 +1,4 @@
-"""Queries: reachability of modules, neighbours by an inverted index, kNN by pivots."""
+"""Queries: reachability of modules, neighbours by an inverted index, kNN by pivots, misspelt titles."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import neighbours, reach, similarity
+from ..operators import neighbours, reach, resolve, similarity
 from ..sources.adapters import table
 from ..sources.stored import written
 from .queries_models import _ACT, _PRINTS, _SIGN, HASH, prints
@@ -124,3 +124,42 @@ def _(s, d):
     hashes = [(f"wta_{k}", similarity.winners(act, k)) for k in (4, 12)] + [("sign_16", similarity.sign_bits(v, 16))]
     rows = [neighbours.precision_of_truth(own, truth, "vec_id", 10).agg(F.avg("ap").alias("map")).select(F.lit(name).alias("hash"), "map") for name, own in hashes]
     return reduce(DataFrame.unionByName, rows)
+
+
+# --- misspelt titles: a letter left out, one twice, or two in the wrong order, by key --------------------------------
+
+_WRONG = "CASE p_partkey % 3 WHEN 0 THEN left(p_name, 2) || substr(p_name, 4) WHEN 1 THEN left(p_name, 2) || substr(p_name, 2) ELSE left(p_name, 3) || substr(p_name, 5, 1) || substr(p_name, 4, 1) || substr(p_name, 6) END"
+
+
+def misspelt(s: SparkSession, d: str) -> DataFrame:
+    part = lambda start, n=100: F.substring("p_name", start, n)
+    k = F.col("p_partkey") % 3
+    wrong = F.when(k == 0, F.concat(part(1, 2), part(4))).when(k == 1, F.concat(part(1, 2), part(2))).otherwise(F.concat(part(1, 3), part(5, 1), part(4, 1), part(6)))
+    return table(s, d, "part").select(F.col("p_partkey").alias("q"), F.col("p_brand").alias("q_artist"), wrong.alias("q_title"))
+
+
+def library(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select(F.col("p_partkey").alias("c"), F.col("p_name").alias("c_title"), F.col("p_brand").alias("c_artist"))
+
+
+def _bag(x: str, width: int) -> str:
+    """The numbered substrings of a text in SQL: pairs between marks, or characters."""
+    marked = f"(chr(2) || {x} || chr(3))" if width == 2 else x
+    grams = f"list_transform(range(1, len({marked}) + {2 - width}), lambda i: substr({marked}, i, {width}))"
+    return f"list_transform({grams}, lambda g, i: g || len(list_filter({grams}[:i], lambda y: y = g)))"
+
+
+@query("jn12_misspelt_candidates", f"""WITH q AS (SELECT DISTINCT {_WRONG} AS a FROM part), c AS (SELECT DISTINCT p_name AS b FROM part),
+    g AS (SELECT a, {_bag('a', 2)} AS ga, {_bag('a', 1)} AS la FROM q), h AS (SELECT b, {_bag('b', 2)} AS gb, {_bag('b', 1)} AS lb FROM c),
+    p AS (SELECT a, b, len(list_intersect(ga, gb)) AS grams, len(list_intersect(la, lb)) AS letters, ceil(round((len(a) + len(b)) * 0.72 / 2, 9)) AS m FROM g, h WHERE least(len(a), len(b)) >= greatest(len(a), len(b)) * 0.72 / 1.28 - 1e-9)
+    SELECT a AS title, COUNT(*) AS candidates FROM p WHERE grams >= greatest(1, 3 * m + 1 - len(a) - len(b)) AND letters >= m GROUP BY 1""")
+def _(s, d):
+    """Of each misspelt title the number of library titles that may be similar enough."""
+    asked = misspelt(s, d).withColumnRenamed("q_title", "title")
+    return resolve.similar_pairs(asked, "title", library(s, d), "c_title").groupBy("title").agg(F.count("*").alias("candidates"))
+
+
+@query("res1_misspelt")
+def _(s, d):
+    """The library's row for each misspelt title."""
+    return resolve.best(misspelt(s, d), library(s, d), resolve.block_misspelt).withColumn("status", resolve.status())
