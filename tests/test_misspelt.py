@@ -51,4 +51,4 @@ def test_recall_on_given_titles(spark):
     assert len(found) == asked.count()
     # what comes back is the title that scores best among all, with its own brand where the brand has it
     assert sum(r.score >= resolve.MATCHED for r in found) > 0.95 * len(found)
-    assert duckdb.sql(f"SELECT count(DISTINCT p_name) FROM '{SF}/part.parquet'").fetchone()[0] == len(names)
+    assert duckdb.sql(f"SELECT count(DISTINCT p_name) FROM '{SF}/part.parquet'").fetchall()[0][0] == len(names)
