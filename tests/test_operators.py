@@ -181,7 +181,6 @@ def test_metrics(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1), (0.4, 1)], "s double, y int")
     assert abs(evaluation.auc(df, "s", "y").first().auc - 4.5 / 6) < 1e-12
     assert evaluation.auc(df.where("y = 1"), "s", "y").first().auc is None
-    assert evaluation.first_json('x {"a": {"b": "}"}} {"c": 1}') == '{"a": {"b": "}"}}' and evaluation.first_json("no") is None and evaluation.first_json('{"a": ') is None
     split = evaluation.split_groups(spark.range(200).select("id", (F.col("id") % 20).alias("g")), "g")
     assert split.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
 

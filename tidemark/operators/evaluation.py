@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .ranks import percent_rank
 
@@ -40,23 +35,6 @@ def split_groups(df: DataFrame, group: str, shares: tuple[float, float] = (0.7,
     return df.withColumn("split", F.when(place < shares[0], "train").when(place < shares[1], "validation").otherwise("test"))
 
 
-def first_json(text: str | None) -> str | None:
-    """The first complete JSON object in a text, or None."""
-    at = (text or "").find("{")
-    if at < 0:
-        return None
-    try:
-        return json.dumps(json.JSONDecoder().raw_decode(text[at:])[0])
-    except ValueError:
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def extract_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for t in texts:
-        yield t.map(first_json)
-
-
 def shannon_evenness(df: DataFrame, n: str) -> DataFrame:
     """Entropy of shares over its largest value; null with one share."""
     total = df.where(F.col(n) > 0).crossJoin(F.broadcast(df.agg(F.sum(n).alias("_t")))).withColumn("p", F.col(n) / F.col("_t"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import music, text
-from ..operators import evaluation, governance, ranks, resolve, similarity, taste, warehouse
+from ..functions import jsontext, music, text
+from ..operators import evaluation, governance, payloads, ranks, resolve, similarity, taste, warehouse
 from ..sources.adapters import table
 from .queries_listening import HOURLY, long_plays, months, plays, titles, tracks
 from .registry import ORDERS, PLAYS, TRACKS, query
@@ -595,10 +595,34 @@ def _(s, d):
     return plays(s, d).where("verdict > 0").groupBy(text.album_key("artist_name", "album_name").alias("album")).agg(F.min("track_id").alias("track_id"))
 
 
-@query("jsn1_first_object")
+# events' objects in noise: before another one, within one that has braces and quotation marks in strings, none, unclosed, broken
+_NOISY = """noisy AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'Sure: ' || props || ' and {"another": ' WHEN 1 THEN 'x {"a": {"b": "}{\\" \\\\", "c": ' || props || '}} trailing }' WHEN 2 THEN 'no object'
+    WHEN 3 THEN '{"open": ' || props WHEN 4 THEN 'y {bad: ' || props || '} {"k": 1}' ELSE '} { "t": [1, {"u": "' || event_type || '{"}] } "' END AS t FROM events)"""
+_FOUND = f"""{_NOISY}, tok AS (SELECT event_id, substr(t, instr(t, '{{')) AS rest, instr(t, '{{') - 1 AS skipped, regexp_extract_all(regexp_replace(substr(t, instr(t, '{{')), '\\\\(.|\n)', '__', 'g'), '"[^"]*"|[{{}}]|[^"{{}}]+|"') AS l FROM noisy WHERE contains(t, '{{')),
+    pos AS (SELECT event_id, rest, skipped, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM tok),
+    run AS (SELECT *, SUM(CASE x WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER w AS depth, SUM(len(x)) OVER w AS upto, COUNT(*) FILTER (x = '"') OVER w AS lone FROM pos WINDOW w AS (PARTITION BY event_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+    ends AS (SELECT event_id, CAST(MIN(upto) AS BIGINT) AS n, ANY_VALUE(rest) AS rest, ANY_VALUE(skipped) AS skipped FROM run WHERE x = '}}' AND depth = 0 AND lone = 0 GROUP BY 1),
+    found AS (SELECT event_id, CASE WHEN json_valid(left(rest, n)) THEN left(rest, n) END AS json, skipped + n AS stop FROM noisy LEFT JOIN ends USING (event_id))"""
+
+
+def noisy(s: SparkSession, d: str) -> DataFrame:
+    k, lit, p = F.col("event_id") % 6, F.lit, F.col("props")
+    broken = F.concat(lit("y {bad: "), p, lit('} {"k": 1}'))
+    nested = F.concat(lit('x {"a": {"b": "}{\\" \\\\", "c": '), p, lit("}} trailing }"))
+    tail = F.concat(lit('} { "t": [1, {"u": "'), F.col("event_type"), lit('{"}] } "'))
+    t = F.when(k == 0, F.concat(lit("Sure: "), p, lit(' and {"another": '))).when(k == 1, nested).when(k == 2, "no object").when(k == 3, F.concat(lit('{"open": '), p)).when(k == 4, broken).otherwise(tail)
+    return table(s, d, "events").select("event_id", t.alias("t"))
+
+
+@query("jsn1_first_object", f"WITH {_FOUND} SELECT event_id, json FROM found")
+def _(s, d):
+    return noisy(s, d).select("event_id", jsontext.first_object("t").alias("json"))
+
+
+@query("jsn2_stop", f"WITH {_FOUND} SELECT event_id, stop FROM found", longs="stop")
 def _(s, d):
-    noisy = F.concat(F.lit("Sure: "), "props", F.lit(" and {\"another\": "))
-    return table(s, d, "events").select("event_id", evaluation.extract_json(noisy).alias("json"))
+    """Where a generator of each text could have stopped."""
+    return noisy(s, d).select("event_id", jsontext.object_end("t").alias("stop"))
 
 
 @query("jsn3_json_fields", "SELECT event_id, len(json_keys(props)) AS keys FROM events WHERE json_valid(props)", longs="keys")
@@ -613,6 +637,37 @@ def _(s, d):
     return item.groupBy("conv_id").agg(F.count("*").alias("items"), F.min("i.track.role").alias("first_role"))
 
 
+# pages of an API in four shapes; every seventh is cut off
+_ENTRY = "SELECT conv_id, turn, role, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, CASE WHEN turn % 5 <> 4 THEN role || turn % 3 END AS id FROM conversations"
+
+
+def pages(s: SparkSession, d: str) -> DataFrame:
+    c, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
+    one = table(s, d, "conversations").select("conv_id", "turn", F.when(turn % 5 != 4, F.concat(role, (turn % 3).cast("string"))).alias("id"), role.alias("name"), F.concat(F.lit("A"), turn.cast("string")).alias("a"))
+    entry = F.when(c % 4 == 0, F.to_json(F.struct(F.struct("id", "name", F.array(F.struct(F.col("a").alias("name"))).alias("artists")).alias("track"))))
+    entry = entry.when(c % 4 == 1, F.to_json(F.struct(F.struct("id", "name", F.array("a").alias("artists")).alias("item")))).when(c % 4 == 2, F.to_json(F.struct("id", "name", F.col("a").alias("artist")))).otherwise(F.to_json(F.struct(F.struct("id", "name", F.struct(F.col("a").alias("name")).alias("artist")).alias("track"))))
+    got = one.select("conv_id", "turn", entry.alias("e")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "e"))), lambda x: x["e"]), ",").alias("l"))
+    body = F.when(c % 4 == 0, F.concat(F.lit('{"items":['), F.col("l"), F.lit("]}"))).when(c % 4 == 1, F.concat(F.lit('{"tracks":{"items":['), F.col("l"), F.lit("]}}"))).when(c % 4 == 2, F.concat(F.lit("["), F.col("l"), F.lit("]"))).otherwise(F.concat(F.lit('{"tracks":['), F.col("l"), F.lit("]}")))
+    return got.select("conv_id", F.when(c % 7 == 0, F.left(body, F.length(body) - 1)).otherwise(body).alias("body"))
+
+
+@query("api3_variant_tracks", f"WITH e AS ({_ENTRY}) SELECT conv_id, place, id, role AS name, 'A' || turn AS artist FROM e WHERE id IS NOT NULL AND conv_id % 7 <> 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY conv_id, id ORDER BY place) = 1")
+def _(s, d):
+    """The tracks of pages of any shape, read as VARIANT."""
+    return payloads.tracks(payloads.parsed(pages(s, d), "body")[0], "conv_id")
+
+
+@query("api3_malformed", "SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 7 = 0")
+def _(s, d):
+    return payloads.parsed(pages(s, d), "body")[1].select("conv_id")
+
+
+@query("jsn3_variant_fields", "SELECT CASE conv_id % 4 WHEN 0 THEN 'items' ELSE 'tracks' END AS field, CASE conv_id % 4 WHEN 1 THEN 'OBJECT' ELSE 'ARRAY' END AS kind, COUNT(DISTINCT conv_id) AS n FROM conversations WHERE conv_id % 7 <> 0 AND conv_id % 4 <> 2 GROUP BY 1, 2")
+def _(s, d):
+    """The fields that pages have, with the kinds of their values."""
+    return payloads.fields(payloads.parsed(pages(s, d), "body")[0])
+
+
 @query("api5_validation", "SELECT COUNT(*) FILTER (NOT regexp_full_match(c_name, 'Customer#[0-9]+') OR len(c_name) NOT BETWEEN 1 AND 100) AS invalid FROM customer")
 def _(s, d):
     bad = ~F.col("c_name").rlike("^Customer#[0-9]+$") | ~F.length("c_name").between(1, 100)
@@ -641,10 +696,9 @@ def _(s, d):
     return table(s, d, "documents").join(marks, "doc_id", "left").select("doc_id", F.coalesce("m", F.lit("metadata")).alias("arm"), F.lit("dry-run").alias("label_source"))
 
 
-@query("ml4_parse_fallback")
+@query("ml4_parse_fallback", f"WITH {_FOUND} SELECT AVG(CAST(json IS NULL AS INTEGER)) AS failure_rate, COUNT(*) AS scored FROM found", "failure_rate")
 def _(s, d):
-    raw = table(s, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.lit("no object")).otherwise(F.col("props")).alias("t"))
-    parsed = raw.withColumn("json", evaluation.extract_json("t"))
+    parsed = noisy(s, d).withColumn("json", jsontext.first_object("t"))
     return parsed.agg(F.avg(F.col("json").isNull().cast("int")).alias("failure_rate"), F.count("*").alias("scored"))
 
 
