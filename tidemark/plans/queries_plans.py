@@ -286,12 +286,61 @@ def _(s, d):
     return _streamed(s, d, "dashboard", live.dashboard, "complete")
 
 
-@query("stream_sessions")
-def _(s, d):
-    return _streamed(s, d, "sessions", live.sessions, "append")
-
-
 @query("stream_taste_state", "SELECT user_id, COUNT(*) AS n, pow(0.95, COUNT(*) FILTER (event_type = 'error')) AS weight FROM events GROUP BY 1", "weight")
 def _(s, d):
     got = _streamed(s, d, "taste", live.taste_state, "update")
     return got.groupBy("user_id").agg(F.max("n").alias("n"), F.min("weight").alias("weight"))
+
+
+def arrivals(s, d, late: bool = False) -> tuple[str, int]:
+    """(folder, files a batch): the events in four arrivals in the order of time; each is written after the one before.
+
+    With `late`, every fiftieth event of the first half comes in the last one, and every twentieth is delivered twice at once.
+    """
+    path, files = scratch(s), 2
+    own = table(s, d, "events")
+    ends = own.agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    quarter = F.least(F.lit(3), F.floor(4 * F.expr("timestampdiff(SECOND, a, ts)") / F.greatest(F.lit(1), F.expr("timestampdiff(SECOND, a, b)"))))
+    own = own.crossJoin(F.broadcast(ends)).withColumn("quarter", quarter).drop("a", "b")
+    if late:
+        own = own.withColumn("quarter", F.when((F.col("event_id") % 50 == 0) & (F.col("quarter") < 2), 3).otherwise(F.col("quarter")))
+        own = own.withColumn("copy", F.explode(F.when(F.col("event_id") % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
+    for i in range(4):
+        own.where(F.col("quarter") == i).drop("quarter").repartition(files).write.mode("append").parquet(path)
+    return path, files
+
+
+_QUARTERS = "q AS (SELECT e.*, a, b, LEAST(3, FLOOR(4.0 * FLOOR(epoch(ts - a)) / GREATEST(1, FLOOR(epoch(b - a))))) AS quarter FROM events e, (SELECT MIN(ts) AS a, MAX(ts) AS b FROM events))"
+
+
+@query("stream_sliding_windows", f"""WITH {_QUARTERS}, kept AS (SELECT * FROM q WHERE NOT (event_id % 50 = 0 AND quarter < 2)), w AS (SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * i.range AS started_at, event_type, value FROM kept, range(2) i)
+    SELECT started_at, event_type, COUNT(*) AS n, SUM(value) AS total FROM w WHERE started_at + INTERVAL 2 HOURS <= (SELECT MAX(ts) FROM kept) - INTERVAL 1 HOUR GROUP BY 1, 2""", "total")
+def _(s, d):
+    """Windows of two hours every hour over arrivals of which some are repeated and some far too late: those whose end has passed."""
+    path, files = arrivals(s, d, late=True)
+    done = live.run_to_end(live.sliding(live.event_stream(s, path, files)), s, f"sliding_{uuid.uuid4().hex[:8]}", "append", scratch(s))
+    return done.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
+@query("stream_late_rows", f"WITH {_QUARTERS} SELECT COUNT(*) AS late FROM q, range(2) r WHERE event_id % 50 = 0 AND quarter < 2 AND (r.range = 0 OR event_id % 20 = 0)")
+def _(s, d):
+    """How many rows of those arrivals came too late, repeated ones among them."""
+    path, files = arrivals(s, d, late=True)
+    ended = live.start(live.sliding(live.event_stream(s, path, files)), f"late_{uuid.uuid4().hex[:8]}", "append", scratch(s))
+    return table(s, d, "events").limit(1).select(F.lit(live.late_rows(ended)).cast("long").alias("late"))
+
+
+@query("stream_interval_join", "SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOURS")
+def _(s, d):
+    """Purchases within six hours of a click, joined as streams."""
+    path, files = arrivals(s, d)
+    return live.run_to_end(live.followed(live.event_stream(s, path, files), "click", "purchase", "6 hours"), s, f"followed_{uuid.uuid4().hex[:8]}", "append", scratch(s))
+
+
+@query("stream_sessions", """WITH g AS (SELECT *, ts - LAG(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events), n AS (SELECT *, SUM(CASE WHEN gap IS NULL OR gap >= INTERVAL 30 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, MIN(ts) AS started_at, COUNT(*) AS n FROM n GROUP BY user_id, k HAVING MAX(ts) + INTERVAL 30 MINUTES <= (SELECT MAX(ts) FROM events) - INTERVAL 1 HOUR""")
+def _(s, d):
+    """Sessions that are over: those whose gap the watermark has passed."""
+    path, files = arrivals(s, d)
+    done = live.run_to_end(live.sessions(live.event_stream(s, path, files)), s, f"sessions_{uuid.uuid4().hex[:8]}", "append", scratch(s))
+    return done.withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
