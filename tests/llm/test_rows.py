@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import dialogue, exact, infill
+from tidemark.llm import dialogue, exact, infill, secrets
 
 SCHEMA = "doc_id long, text string, n long, form string, output string, row long, digest string, old string, keep string, group_size string"
 
@@ -243,3 +243,26 @@ def test_repaired_rows_stand_in_order(spark):
 def test_conversations_of_no_rows(spark):
     source = talk(spark, [])
     assert dialogue.digest(source, dialogue.repair(dialogue.damage(source))).collect() == []
+
+
+@pytest.mark.parametrize("width", [20, 64])
+def test_secrets_of_a_text_of_many_long_tokens(spark, width):
+    """Tokens beside base spans of their text cost in proportion; those that overlap one add nothing, those that touch one do."""
+    rng = random.Random(width)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(width)) for _ in range(4000)]
+    free = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40)) for _ in range(3000)]
+    words = [f"password={x}" if i % 10 == 0 else x for i, x in enumerate(free)] + hexes
+    rng.shuffle(words)
+    text = " ".join(words)
+    source = spark.createDataFrame([(1, text), (2, None), (3, "plain words only")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(source).collect()}
+    base, found = got[1].base, got[1].found
+    assert sum(x.kind == "hex" for x in base) >= 4000 and sum(x.kind == "assign" for x in base) == 300
+    added = [x for x in found if x.kind == "random"]
+    assert len(added) > 2000 and len(found) == len(base) + len(added)
+    ends = sorted((x.s, x.e) for x in base)
+    starts = np.array([s for s, _ in ends])
+    for x in added:
+        assert text[x.s : x.e] == x.v
+        i = int(np.searchsorted(starts, x.e))
+        assert all(e <= x.s for _, e in ends[max(0, i - 3) : i])

@@ -144,15 +144,17 @@ def battery(tokens: DataFrame) -> DataFrame:
     z = above(F.lit(WRITTEN_CHANGES))
     # letters, whatever their case: chi-squared of 26, of which written ones have more than random ones
     t = t.withColumn("letters", F.regexp_replace(F.lower("v"), "[^a-z]", "")).withColumn("nl", F.length("letters").cast("double"))
-    of = lambda x: (F.col("nl") - F.length(F.replace("letters", F.lit(x), F.lit("")))).cast("double")
+    # a sum over counts as a fold, not 26 terms: those would be put in wherever the sum is used, beyond what compiles
+    t = t.withColumn("lc", F.filter(F.split("letters", ""), lambda x: x != ""))
+    t = t.withColumn("even", total(F.transform(F.array_distinct("lc"), lambda x: F.size(F.filter("lc", lambda y: y == x)).cast("double")), lambda k: k * k))
     nl, more = F.col("nl"), F.col("nl") * (26 * WRITTEN_LETTERS - 1)
-    even = (sum(of(x) * of(x) for x in "abcdefghijklmnopqrstuvwxyz") * 26.0 / F.nullif(nl, F.lit(0.0)) - nl - 25 - more) / F.sqrt(2 * (25 + 2 * more))
+    even = (F.col("even") * 26.0 / F.nullif(nl, F.lit(0.0)) - nl - 25 - more) / F.sqrt(2 * (25 + 2 * more))
     uniform = F.when((even < 0) & (nl >= 20), normal_tail(even) / 2).otherwise(F.lit(1.0))
     changing = F.when((z > 0) & ~half, normal_tail(z) / 2).otherwise(F.lit(1.0))
     written = F.least(F.lit(1.0), 2 * F.least(changing, uniform))
     t = t.withColumn("p_random", chi_tail(fisher, F.lit(6.0))).withColumn("p", F.when(F.col("p_random") >= LEAST_RANDOM, written).otherwise(F.lit(1.0)))
     t = t.withColumn("length_class", F.floor(F.log2("n")).cast("int")).withColumn("bin", F.floor(F.least(-10 * F.log10(F.greatest("p", F.lit(1e-40))), F.lit(400.0))).cast("int"))
-    return t.drop("chars", "c", "k", "sum", "squares", "size", "chi", "letters", "nl")
+    return t.drop("chars", "c", "k", "sum", "squares", "size", "chi", "letters", "nl", "lc", "even")
 
 
 def discoveries(tokens: DataFrame, rate: float = FDR) -> DataFrame:
@@ -167,6 +169,22 @@ def discoveries(tokens: DataFrame, rate: float = FDR) -> DataFrame:
     return h.where(F.pow(F.lit(10.0), -F.col("bin") / 10) <= rate * F.col("found") / F.col("all")).groupBy("length_class").agg(F.min("bin").alias("cut"))
 
 
+def _clear(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """Tokens (row_id, x) that overlap no base span of their row.
+
+    Both are rows by their start, so each token is held against the farthest end before it and the nearest start after it. A
+    token never carries the spans of its text, which would be quadratic in their number.
+    """
+    at = lambda x, token: F.struct(x["s"].alias("s"), F.lit(token).alias("token"), x["e"].alias("e"))
+    base = rows.select("row_id", F.explode("base").alias("x")).select("row_id", at(F.col("x"), False).alias("at"), F.lit(None).cast(tokens.schema["x"].dataType).alias("x"))
+    both = base.join(tokens.select("row_id").distinct(), "row_id", "left_semi").unionByName(tokens.select("row_id", at(F.col("x"), True).alias("at"), "x"))
+    # running values in both directions: a frame that ends with the partition is computed anew for each row
+    up, down = (Window.partitionBy("row_id").orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("at"), F.desc("at")))
+    span = lambda c: F.when(~F.col("at.token"), F.col(f"at.{c}"))
+    near = both.withColumns({"_end": F.max(span("e")).over(up), "_start": F.min(span("s")).over(down)}).where("at.token")
+    return near.where((F.coalesce("_end", F.col("at.s")) <= F.col("at.s")) & (F.coalesce("_start", F.col("at.e")) >= F.col("at.e"))).select("row_id", "x")
+
+
 def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """`docs` without `text`, with `base` (spans of the base patterns) and `found` (those of the battery too), both by start, then
     kind; these replace columns of such names.
@@ -177,10 +195,10 @@ def scan(docs: DataFrame, rate: float = FDR) -> DataFrame:
     """
     rest = F.struct(*[c for c in docs.columns if c not in ("text", "base", "found")])
     rows = materialise(base_spans(docs.select(F.monotonically_increasing_id().alias("row_id"), rest.alias("rest"), "text")), "spans")
-    tokens = materialise(battery(rows.select("row_id", "base", F.explode("long_tokens").alias("x")).select("row_id", "base", "x", "x.v")), "tokens")
+    tokens = materialise(battery(rows.select("row_id", F.explode("long_tokens").alias("x")).select("row_id", "x", "x.v")), "tokens")
     cuts = F.broadcast(discoveries(tokens, rate))
-    clear = ~F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
-    added = tokens.join(cuts, "length_class").where((F.col("bin") >= F.col("cut")) & clear).groupBy("row_id").agg(F.collect_list("x").alias("added"))
+    found = tokens.join(cuts, "length_class").where(F.col("bin") >= F.col("cut")).select("row_id", "x")
+    added = _clear(found, rows).groupBy("row_id").agg(F.collect_list("x").alias("added"))
     got = rows.join(added, "row_id", "left")
     return got.select("rest.*", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN_LIST)))).alias("found"))
 
