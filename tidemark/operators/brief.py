@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import music
+from . import ranks
 
 #: Themes (name, moods, least and most energy, hours, bonus at weekends).
 THEMES = (
@@ -97,6 +98,42 @@ def build(crate: DataFrame, asked: DataFrame, hour: int, minutes: int) -> DataFr
     return got.select(F.lit(name).alias("theme"), F.lit(minutes).alias("minutes"), F.concat(F.lit("["), F.array_join("seeds", ", "), F.lit("]")).alias("seeds"), why.alias("rationale"))
 
 
+def seeds_by_moods(crate: DataFrame, recent: DataFrame, moods: DataFrame, n: int = SEEDS) -> DataFrame:
+    """(moods, seeds): for each list of moods the seeds that `pick_seeds` would pick, in order.
+
+    The best n of a list are among the best n of each of its moods, so tracks are cut to n for each mood first.
+    """
+    own = crate.select("track_id", "taste", F.explode(F.array_distinct("mood_tags")).alias("mood")).join(recent.groupBy("track_id").agg(F.max("ts").alias("ts")), "track_id", "left")
+    order = [F.desc_nulls_last("ts"), F.when(F.col("ts").isNull(), F.col("taste")).desc_nulls_last(), F.col("track_id")]
+    best = ranks.top_per(own, n, ["mood"], order, "place").drop("place")
+    held = moods.select("moods").distinct().select("moods", F.explode("moods").alias("mood")).join(best, "mood").drop("mood").distinct()
+    picked = ranks.top_per(held, n, ["moods"], order, "place")
+    return picked.groupBy("moods").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "track_id"))), lambda x: x["track_id"]).alias("seeds"))
+
+
+def compose(requests: DataFrame, crate: DataFrame, recent: DataFrame, n: int = SEEDS) -> DataFrame:
+    """The brief of each request (request_id, hour, is_weekend, requested, minutes): theme, energy range, seeds and rationale.
+
+    A theme that is asked for is read from the text; without one it is the theme of the highest score for the hour, the day and
+    the moods of recent plays (of equal scores the smaller name). A text that names no mood gets no theme. Only distinct texts,
+    hours and lists of moods are looked at; `recent` has track_id and ts.
+    """
+    said = requests.where("requested is not null").select("requested").distinct().select("requested", *resolve(F.col("requested")))
+    scores = score_themes(mood_profile(recent, crate), requests.select("hour", "is_weekend").distinct())
+    first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "theme")))
+    scored = scores.groupBy("hour", "is_weekend").agg(first.alias("by_score"))
+    named = F.create_map(*[F.lit(x) if isinstance(x, str) else x for name, moods, lo, hi, _, _ in THEMES for x in (name, F.struct(F.lit(name).alias("theme"), F.array(*map(F.lit, moods)).alias("moods"), F.lit(lo).alias("floor"), F.lit(hi).alias("ceiling")))])
+    top, second = F.get("by_score", F.lit(0)), F.get("by_score", F.lit(1))
+    own = requests.join(said, "requested", "left").join(scored, ["hour", "is_weekend"], "left")
+    asked, how = F.struct("theme", "moods", "floor", "ceiling"), F.col("requested").isNotNull()
+    own = own.withColumn("got", F.when(how, asked).otherwise(F.element_at(named, top["theme"])))
+    why = F.when(how & F.col("theme").isNull(), F.concat(F.lit("no mood in: "), F.col("requested"))).when(how, F.lit("asked for"))
+    why = why.otherwise(F.format_string("scored %.3f at %d:00, ahead of %s (%.3f)", -top["s"], F.col("hour"), second["theme"], -second["s"]))
+    own = own.select("request_id", "minutes", "got.*", why.alias("rationale"))
+    picked = seeds_by_moods(crate, recent, own.where("moods is not null"), n)
+    return own.join(F.broadcast(picked), "moods", "left").select("request_id", "theme", "floor", "ceiling", "minutes", F.coalesce("seeds", F.array().cast(picked.schema["seeds"].dataType)).alias("seeds"), "rationale")
+
+
 def fill(tracks: DataFrame, by: str, order: str, minutes: float) -> DataFrame:
     """Tracks of each group in order while more than half a median track's time is left."""
     w = Window.partitionBy(by)

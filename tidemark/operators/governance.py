@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import zipfile
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,8 +77,8 @@ def path_problem(path: str) -> F.Column:
     )
 
 
-def file_problems(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, problem): what keeps each file from being published, by its path, its content and, of reports, its markers.
+def file_problems(files: DataFrame, path: str = "path", text: str = "text", key: str | None = None) -> DataFrame:
+    """(path, or `key`, and problem): what keeps each file from being published, by its path, its content and, of reports, its markers.
 
     Null content counts as empty. One scan, no shuffle.
     """
@@ -91,7 +98,48 @@ def file_problems(files: DataFrame, path: str = "path", text: str = "text") -> D
         F.when(p.rlike(ASSETS) & ~has(SYNTHETIC) & F.contains(c, F.lit(CLOCK)) & has(HOURLY), "hourly counts on a real clock"),
         F.when(p.rlike(WEB) & has(LYRICS), "lyrics"),
     ]
-    return files.select(F.col(path), F.explode(F.array_compact(F.array(*found))).alias("problem"))
+    return files.select(F.col(key or path), F.explode(F.array_compact(F.array(*found))).alias("problem"))
+
+
+#: Bytes of an archive member that are looked at, and of a file at most.
+SCANNED_BYTES = 8 << 20
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["path", "member", "text"]
+    for batch in batches:
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+            data = data or b""
+            try:
+                if path.lower().endswith(".zip"):
+                    archive = zipfile.ZipFile(io.BytesIO(data))
+                    parts = ((info.filename, archive.open(info)) for info in archive.infolist() if not info.is_dir())
+                elif path.lower().endswith(".gz"):
+                    parts = iter([(path.rsplit("/", 1)[-1][:-3], gzip.GzipFile(fileobj=io.BytesIO(data)))])
+                else:
+                    parts = iter([(None, io.BytesIO(data))])
+                # a member at a time, so that an archive is never unpacked whole
+                for member, stream in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (path, member, stream.read(SCANNED_BYTES).decode("utf-8", "replace"))], names)
+            except (OSError, EOFError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError):
+                continue  # what can't be unpacked holds nothing that could be read
+
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, member, text) of files (path, content as bytes): of zip archives each member, of gzip files what they hold, and
+    other files themselves with a null member. Broken archives give no row; bytes that aren't text are replaced."""
+    return files.select("path", "content").mapInArrow(_members, "path string, member string, text string")
+
+
+def archive_problems(files: DataFrame) -> DataFrame:
+    """(path, member, problem) of files and of what archives hold. A member is judged by its own name too, but raw history in an
+    archive isn't a problem of its own, and gzip files are judged as the file without the ending."""
+    own = unpacked(files)
+    inside = F.endswith(F.lower("path"), F.lit(".zip")) & F.col("member").isNotNull()
+    shown = F.when(inside, F.col("member")).otherwise(F.regexp_replace("path", r"(?i)\.gz$", ""))
+    found = file_problems(own.select(F.struct("path", "member", shown.alias("shown")).alias("file"), shown.alias("shown"), "text"), "shown", "text", "file")
+    history = F.contains("file.member", F.lit("Streaming_History")) & (F.col("problem") == "raw export or secrets")
+    return found.where(~F.coalesce(history & F.endswith(F.lower("file.path"), F.lit(".zip")), F.lit(False))).select("file.path", "file.member", "problem")
 
 
 #: What a request to save a list may hold.

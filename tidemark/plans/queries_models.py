@@ -730,6 +730,32 @@ def _(s, d):
     return governance.personal_data(table(s, d, "documents"), "doc_id", "text")
 
 
+_FILES = """files AS (SELECT CASE page_id % 10 WHEN 0 THEN 'data/' || page_id || '.html' WHEN 1 THEN 'web/public/rewind/' || page_id || '.json' WHEN 2 THEN 'web/app/' || page_id || '.tsx' WHEN 3 THEN 'src/' || page_id || '.MP3' WHEN 4 THEN 'docs/' || page_id || '/.env'
+    WHEN 5 THEN 'web/public/rewind/' || page_id || '/index.json' WHEN 6 THEN 'export/Streaming_History_Audio_' || page_id || '.json' WHEN 7 THEN 'web/public/assets/' || page_id || '.json' WHEN 8 THEN 'notes/' || page_id || '.md' ELSE 'a' || page_id || '/.env.example' END AS path,
+    CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN '{"audience": "synthetic", "privacy": "", "note": ' || page_id || '}' WHEN 2 THEN '{"ip_addr": "8.8.8.8", "audience":"private"}' ELSE '"refresh_token": "aaaaaaaaaaaaaaaaaaaaaaaa" America/Chicago "by_hour" "ip_addr": "192.0.2.7"' END AS text FROM pages)"""
+
+
+def made_files(s: SparkSession, d: str) -> DataFrame:
+    """Pages as files: ten kinds of path, four kinds of content."""
+    k = F.col("page_id")
+    n = k.cast("string")
+    paths = [("data/", ".html"), ("web/public/rewind/", ".json"), ("web/app/", ".tsx"), ("src/", ".MP3"), ("docs/", "/.env"), ("web/public/rewind/", "/index.json"), ("export/Streaming_History_Audio_", ".json"), ("web/public/assets/", ".json"), ("notes/", ".md"), ("a", "/.env.example")]
+    path = F.concat(F.element_at(F.array(*[F.lit(a) for a, _ in paths]), (k % 10 + 1).cast("int")), n, F.element_at(F.array(*[F.lit(b) for _, b in paths]), (k % 10 + 1).cast("int")))
+    marked = F.concat(F.lit('{"audience": "synthetic", "privacy": "", "note": '), n, F.lit("}"))
+    text = F.when(k % 4 == 0, F.col("html")).when(k % 4 == 1, marked).when(k % 4 == 2, '{"ip_addr": "8.8.8.8", "audience":"private"}').otherwise('"refresh_token": "aaaaaaaaaaaaaaaaaaaaaaaa" America/Chicago "by_hour" "ip_addr": "192.0.2.7"')
+    return table(s, d, "pages").select(path.alias("path"), text.alias("text"))
+
+
+@query("gov3_file_problems", f"""WITH {_FILES}, f AS (SELECT path, coalesce(text, '') AS t, CASE WHEN json_valid(text) THEN json_extract_string(text, '$.audience') END AS audience, coalesce(CASE WHEN json_valid(text) THEN json_extract_string(text, '$.privacy') END, '') AS privacy, split_part(path, '/', -1) AS name FROM files),
+    p AS (SELECT path, unnest([CASE WHEN name = '.env.example' THEN NULL WHEN starts_with(path, 'data/') THEN 'derived from personal data' WHEN ends_with(lower(name), '.mp3') THEN 'audio or warehouse data' WHEN name = '.env' OR regexp_full_match(name, 'Streaming_History_.*[.]json') THEN 'raw export or secrets' END,
+        CASE WHEN regexp_matches(t, '"refresh_token"\\s*:\\s*"[A-Za-z0-9_-]{{20,}}"') THEN 'refresh token' END, CASE WHEN contains(t, '"ip_addr": "8.8.8.8"') THEN 'ip_addr value' END, CASE WHEN regexp_matches(t, '"audience"\\s*:\\s*"private"') THEN 'private report' END,
+        CASE WHEN regexp_matches(path, '^web/public/rewind/.*[.]json$') AND coalesce(audience, '') <> 'synthetic' THEN 'public report not marked synthetic' END, CASE WHEN starts_with(path, 'web/public/rewind/') AND audience = 'synthetic' AND ends_with(path, '/index.json') AND privacy = '' THEN 'no privacy note' END,
+        CASE WHEN starts_with(path, 'web/public/') AND NOT regexp_matches(t, '"audience"\\s*:\\s*"synthetic"') AND contains(t, 'America/Chicago') AND contains(t, '"by_hour"') THEN 'hourly counts on a real clock' END]) AS problem FROM f) SELECT path, problem FROM p WHERE problem IS NOT NULL""")
+def _(s, d):
+    """What keeps each file from being published, by path, content and markers."""
+    return governance.file_problems(made_files(s, d))
+
+
 @query("rpt1_windows", "SELECT 'all' AS window_id, COUNT(*) AS plays FROM orders UNION ALL SELECT CAST(YEAR(o_orderdate) AS VARCHAR), COUNT(*) FROM orders GROUP BY 1")
 def _(s, d):
     return warehouse.by_window(long_plays(s, d), "UTC").groupBy("window_id").agg(F.count("*").alias("plays"))

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -111,6 +112,30 @@ def _(s, d):
     return brief.pick_seeds(own, recent.limit(0), brief.THEMES[6][1], without=own.where("track_id % 2 = 1"))
 
 
+# what the given requests say: (text, theme, moods, least and most energy)
+_SAID = "said(requested, theme, moods, floor, ceiling) AS (VALUES ('Night Drive, please', 'night drive', ['melancholic', 'anxious', 'somber', 'nostalgic'], 0.3, 0.75), ('sad, happy rainy day', 'sad, happy rainy day', ['melancholic', 'euphoric'], 0.3, 0.8), ('peak', 'peak time', ['euphoric', 'triumphant', 'aggressive', 'playful'], 0.4, 0.95))"
+_RANGES = ", ".join(f"('{n}', {list(m)}, {lo}, {hi})" for n, m, lo, hi, _, _ in brief.THEMES)
+_TEXTS = ("Night Drive, please", "sad, happy rainy day", None, "qwerty", "peak")
+
+
+@query("dj4_briefs", f"""WITH {_MOODY}, {_SAID}, m AS (SELECT mood, COUNT(*) AS n FROM (SELECT unnest(list_distinct(mood_tags)) AS mood FROM recent JOIN moody USING (track_id)) GROUP BY 1), p AS (SELECT mood, n / SUM(n) OVER () AS weight FROM m), t(theme, moods, hours, bonus) AS (VALUES {_THEME_ROWS}), r(theme, moods, floor, ceiling) AS (VALUES {_RANGES}),
+    f AS (SELECT theme, hours, bonus, COALESCE((SELECT SUM(weight) FROM p WHERE list_contains(moods, mood)) / (SQRT(len(moods)) * (SELECT SQRT(SUM(weight * weight)) FROM p)), 0) AS fit FROM t),
+    q AS (SELECT event_id AS request_id, HOUR(ts) AS hour, ISODOW(ts) >= 6 AS is_weekend, 30 + event_id % 60 AS minutes, CASE event_id % 5 WHEN 0 THEN 'Night Drive, please' WHEN 1 THEN 'sad, happy rainy day' WHEN 3 THEN 'qwerty' WHEN 4 THEN 'peak' END AS requested FROM events),
+    s AS (SELECT hour, is_weekend, theme, ROUND(CAST(list_contains(hours, hour) AS DOUBLE) + CASE WHEN is_weekend THEN bonus ELSE 0 END + fit, 3) AS score, ROW_NUMBER() OVER (PARTITION BY hour, is_weekend ORDER BY score DESC, theme) AS k FROM (SELECT DISTINCT hour, is_weekend FROM q), f),
+    w AS (SELECT a.hour, a.is_weekend, a.theme, printf('scored %.3f at %d:00, ahead of %s (%.3f)', a.score, a.hour, b.theme, b.score) AS why FROM s a JOIN s b ON a.hour = b.hour AND a.is_weekend = b.is_weekend AND a.k = 1 AND b.k = 2),
+    g AS (SELECT request_id, minutes, CASE WHEN q.requested IS NULL THEN w.theme ELSE said.theme END AS theme, CASE WHEN q.requested IS NULL THEN r.moods ELSE said.moods END AS moods, CASE WHEN q.requested IS NULL THEN r.floor ELSE said.floor END AS floor, CASE WHEN q.requested IS NULL THEN r.ceiling ELSE said.ceiling END AS ceiling,
+        CASE WHEN q.requested IS NULL THEN why WHEN said.theme IS NULL THEN 'no mood in: ' || q.requested ELSE 'asked for' END AS rationale FROM q LEFT JOIN said USING (requested) JOIN w ON w.hour = q.hour AND w.is_weekend = q.is_weekend JOIN r ON r.theme = w.theme),
+    k AS (SELECT moods, string_agg(CAST(track_id AS VARCHAR), ',' ORDER BY place) AS seeds FROM (SELECT x.moods, track_id, ROW_NUMBER() OVER (PARTITION BY x.moods ORDER BY ts DESC NULLS LAST, CASE WHEN ts IS NULL THEN taste END DESC NULLS LAST, track_id) AS place FROM (SELECT DISTINCT moods FROM g) x JOIN moody ON list_has_any(mood_tags, x.moods) LEFT JOIN recent USING (track_id)) WHERE place <= 5 GROUP BY 1)
+    SELECT request_id, theme, floor, ceiling, minutes, COALESCE(seeds, '') AS seeds, rationale FROM g LEFT JOIN k USING (moods)""", "floor ceiling", "minutes")
+def _(s, d):
+    """A brief for every event: a theme that is asked for, or the one that scores highest by hour, day and recent moods."""
+    k = F.col("event_id")
+    text = reduce(lambda c, x: c.when(k % 5 == x[0], F.lit(x[1])), enumerate(_TEXTS), F.when(F.lit(False), F.lit("")))
+    requests = table(s, d, "events").select(k.alias("request_id"), F.hour("ts").alias("hour"), (F.weekday("ts") >= 5).alias("is_weekend"), text.alias("requested"), (30 + k % 60).alias("minutes"))
+    got = brief.compose(requests, *moody(s, d))
+    return got.withColumn("seeds", F.array_join(F.transform("seeds", lambda x: x.cast("string")), ","))
+
+
 @query("dj_jarring_share", f"WITH {_CRATE}, p AS (SELECT artist, ABS(LEAD(energy) OVER (PARTITION BY artist ORDER BY track_id) - energy) AS step FROM crate) SELECT artist, AVG(CASE WHEN step > 0.25 THEN 1.0 ELSE 0.0 END) AS share FROM p WHERE step IS NOT NULL GROUP BY 1", "share")
 def _(s, d):
     step = F.abs(F.lead("energy").over(Window.partitionBy("artist").orderBy("track_id")) - F.col("energy"))
