@@ -1,5 +1,6 @@
 """Fill-in-the-middle, conversation repair and exact dedup against brute force, with nulls, empty and long texts, ties and repeats."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import dialogue, exact, infill, secrets
+from tidemark.llm import dialogue, exact, infill, secrets, warc
 
 SCHEMA = "doc_id long, text string, n long, form string, output string, row long, digest string, old string, keep string, group_size string"
 
@@ -266,3 +267,31 @@ def test_secrets_of_a_text_of_many_long_tokens(spark, width):
         assert text[x.s : x.e] == x.v
         i = int(np.searchsorted(starts, x.e))
         assert all(e <= x.s for _, e in ends[max(0, i - 3) : i])
+
+
+def record(kind, ident, block, **headers):
+    lines = "".join(f"{k}: {v}\r\n" for k, v in headers.items())
+    return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{ident}>\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """One gzip member a record, no compression, names in other cases, bytes that are no UTF-8, broken ends, large payloads."""
+    http = {"Content-Type": "application/http; msgtype=response"}
+    six = [record("response", f"r{i}", b"HTTP/1.1 200 OK\r\nX: caf\xe9\r\n\r\nbody " + bytes([65 + i]), **http) for i in range(6)]
+    foreign = b"WARC/1.0\r\nwarc-type:RESPONSE\r\nwarc-record-id:<f>\r\nx-note: one\r\n two\r\ncontent-type: application/http\r\ncontent-length:0005\r\n\r\nabcde\r\n\r\n"
+    large = record("response", "large", b"HTTP/1.1 200 OK\r\n\r\n" + b"z" * (30 << 20), **http)
+    files = {"members.warc.gz": b"".join(map(gzip.compress, six)), "plain.warc": b"".join(six[:2]) + foreign, "cut.warc.gz": gzip.compress(six[0] + six[1])[:-30], "short.warc": six[0] + six[1][:-20], "noise.warc": six[2] + b"noise", "empty.warc": b"", "large.warc.gz": gzip.compress(large)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read_records(spark, f"file://{tmp_path}").select("record_id", "record_type", "http_headers", F.octet_length("body").alias("n"), "headers").collect()
+    count = lambda *ids: [sum(r.record_id == f"<{i}>" for r in rows) for i in ids]
+    assert count("r2", "r3", "r4", "r5", "f", "large") == [2, 1, 1, 1, 1, 1]
+    # a gzip file that is cut off may still hold whole records, but not all of them
+    assert sum(r.record_type == "broken" for r in rows) in (2, 3)
+    assert all("caf\xe9" in r.http_headers for r in rows if r.record_id == "<r3>")
+    foreign_row = next(r for r in rows if r.record_id == "<f>")
+    assert foreign_row.record_type == "response" and foreign_row.headers["x-note"] == "one two"
+    assert next(r for r in rows if r.record_id == "<large>").n == 30 << 20
+    # whole records before a broken end are kept, and captures are put together without it
+    assert next(warc.parse_archive(files["short.warc"]))["record_id"] == "<r0>"
+    assert warc.assemble(warc.read_records(spark, f"file://{tmp_path}"), bodies=False).count() == 8

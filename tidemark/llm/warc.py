@@ -20,6 +20,7 @@ from .shared import new_path
 LEAST_REVISIT_BYTES = 1000
 FILE_RECORDS = 4000
 _EOL = "\r\n"
+_CHUNK = 1 << 20
 #: Headers of responses and revisits: page_id, and that of the response that a revisit repeats.
 _PAGE, _REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 _RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("target_uri", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("http_headers", pa.string()), ("body", pa.binary())])
@@ -86,39 +87,116 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     p.select(F.concat_ws(_EOL * 2, request, main, metadata).alias("value")).write.option("lineSep", _EOL * 2).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """An archive's bytes in chunks of up to a megabyte: all members of a gzip file one after another, or the file as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[at : at + _CHUNK] for at in range(0, len(data), _CHUNK))
+        return
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            chunk = member.decompress(data, _CHUNK)
+            data = member.unused_data if member.eof else member.unconsumed_tail
+            yield chunk
+            if not chunk and not data and not member.eof:
+                return  # cut short: what was whole has been given
+
+
+class _Bytes:
+    """Reads ahead in chunks, and holds no more than is asked for and a chunk."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, bytearray()
+
+    def more(self) -> bool:
+        chunk = next(self.chunks, None)
+        self.held += chunk or b""
+        return chunk is not None
+
+    def starts(self, mark: bytes) -> bool:
+        while len(self.held) < len(mark) and self.more():
+            pass
+        return self.held.startswith(mark)
+
+    def upto(self, end: bytes) -> bytes | None:
+        """What stands before `end`, which is passed over; None if it doesn't come."""
+        looked = 0
+        while (at := self.held.find(end, looked)) < 0:
+            looked = max(0, len(self.held) - len(end))
+            if not self.more():
+                return None
+        out = bytes(self.held[:at])
+        del self.held[: at + len(end)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n and self.more():
+            pass
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
+
+
+def _header_lines(text: str) -> list[tuple[str, str]]:
+    """(name, value) of lines split at the first colon; a line that begins with a blank goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in text.replace("\r\n", "\n").split("\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif ":" in line:
+            name, value = line.split(":", 1)
+            out.append((name.strip(), value.strip()))
+    return out
+
+
 def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of one archive; blocks are taken by Content-Length, so they may hold anything."""
-    at, end = 0, len(data)
-    while at < end:
-        if data.startswith(b"\r\n", at):
-            at += 2
-            continue
-        stop = data.find(b"\r\n\r\n", at)
-        if stop < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        lines = data[at:stop].decode("utf-8").split("\r\n")[1:]
-        head = dict(line.split(": ", 1) for line in lines)
-        length = int(head["Content-Length"])
-        block = data[stop + 4 : stop + 4 + length]
+    """The records of one archive, gzipped (in one member or one for each record) or not; blocks are taken by Content-Length.
+
+    Names of headers may be in any case, HTTP headers hold any bytes. Raises ValueError where a record is broken or cut short,
+    when the whole ones before it have been given.
+    """
+    source, n = _Bytes(_inflated(data)), 0
+    while True:
+        while source.starts(b"\r\n"):
+            source.take(2)
+        if not source.starts(b"WARC/"):
+            if source.held:
+                raise ValueError(f"no record after {n}")
+            return
+        raw = source.upto(b"\r\n\r\n")
+        pairs = _header_lines((raw or b"").decode("utf-8", "replace").split("\r\n", 1)[-1])
+        head = {name.lower(): value for name, value in pairs}
+        if raw is None or not head.get("content-length", "").isdigit():
+            raise ValueError(f"record {n + 1} has no length")
+        length = int(head["content-length"])
+        block = source.take(length)
         if len(block) != length:
-            raise ValueError(f"record at byte {at} is cut short")
-        at = stop + 4 + length
+            raise ValueError(f"record {n + 1} is cut short")
         http, body = "", block
-        if head.get("Content-Type", "").startswith("application/http"):
+        if head.get("content-type", "").startswith("application/http"):
             first, _, body = block.partition(b"\r\n\r\n")
-            http = first.decode("utf-8")
-        digest = head.get("WARC-Payload-Digest")
+            http = first.decode("latin-1")
+        digest, size = head.get("warc-payload-digest"), head.get("x-payload-length", "")
         yield {
-            "record_id": head["WARC-Record-ID"], "record_type": head["WARC-Type"], "concurrent_to": head.get("WARC-Concurrent-To"), "refers_to": head.get("WARC-Refers-To"), "target_uri": head.get("WARC-Target-URI"),
-            "payload_digest": digest.removeprefix("sha1:") if digest else None, "payload_bytes": int(head["X-Payload-Length"]) if "X-Payload-Length" in head else None, "headers": list(head.items()), "http_headers": http, "body": body,
+            "record_id": head.get("warc-record-id"), "record_type": head.get("warc-type", "").lower() or None, "concurrent_to": head.get("warc-concurrent-to"), "refers_to": head.get("warc-refers-to"), "target_uri": head.get("warc-target-uri"),
+            "payload_digest": digest.removeprefix("sha1:") if digest else None, "payload_bytes": int(size) if size.isdigit() else None, "headers": list(dict(pairs).items()), "http_headers": http, "body": body,
         }
+        n += 1
+
+
+def _records(data: bytes) -> Iterator[dict]:
+    """The records of an archive and, where it is broken, a last one of type `broken`, as one file must not end a job over many."""
+    try:
+        yield from parse_archive(data)
+    except (ValueError, zlib.error):
+        yield dict.fromkeys(_RECORD.names) | {"record_type": "broken", "headers": [], "http_headers": "", "body": b""}
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column("content"):
             rows, held = [], 0
-            for row in parse_archive(zlib.decompress(data.as_py(), 31)):
+            for row in _records(data.as_py()):
                 rows.append(row)
                 held += len(row["body"])
                 if held > 4 << 20:
@@ -129,8 +207,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under `path`."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    """One row for each record of the archives under `path`: files as `write_archives` makes them, *.warc and *.warc.gz.
+
+    A file is inflated a megabyte at a time; what is held is its bytes as they are stored, and one record. A broken archive has
+    a last row of type `broken`, after its whole records.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt.gz,warc,warc.gz}").load(path).select("content")
     return files.mapInArrow(_parse, RECORD_SCHEMA)
 
 
