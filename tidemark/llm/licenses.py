@@ -2,7 +2,8 @@
 
 A rule is a regular expression over the lower-cased text, written in words: in a phrase a space stands for any run of
 separators, `a|b` in braces for alternatives, `?` after a word for an optional one and `#3.0` for a version, said as
-"version 3.0", "v 3.0" or "v3.0", or without its 0. Each rule names a keyword, words
+"version 3.0", "v 3.0" or "v3.0", or without its 0. Versions of names and abbreviations and identifiers behind the SPDX mark have
+patterns of their own. Each rule names a keyword, words
 that stand in all that it matches; a document runs only the rules whose keyword it contains, between any separators. Detections that overlap are resolved by priority: one that lies
 within a detection of at least its priority is dropped. The four base phrases are matched on words and always stay.
 """
@@ -26,6 +27,14 @@ _SEP = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _NOT_IN_WORD, _WORD_ENDS = r"(?<![^\x00-\x2f\x3a-\x60\x7b-\x7f])", r"(?![^\x00-\x2f\x3a-\x60\x7b-\x7f])"
 #: After a bare major version: it isn't the beginning of another version.
 _NO_MINOR = r"(?!\.[1-9]|\.0[0-9])"
+#: After a version with its point: it isn't the beginning of a longer one.
+_NO_MORE = r"(?!\.[0-9])"
+#: Between a name and a version without the word.
+_BESIDE = r"[ ,(-]+"
+#: What lets later versions in.
+_LATER = "(?:" + "|".join(_SEP + x.replace(" ", _SEP) for x in ("or later", "or newer", "or any later version", "or at your option any later version")) + r"|\+)"
+#: What stands in an expression of identifiers before one that isn't the first: the same line, up to the next mark.
+_EXPRESSION = r"(?:(?!spdx)[^\n])*?[ \t)]+(?:and|or|with)[ \t(]+"
 
 
 @dataclass(frozen=True)
@@ -37,22 +46,50 @@ class Rule:
     pattern: str
 
 
-def _version(version: str) -> str:
-    """The regular expression of a version in words."""
+def _version(version: str, minor: bool = False) -> str:
+    """The regular expression of a version in words; `minor`: as digits with a point alone, without the word."""
     first, *rest = version.split(".")
-    minor = f"{_NO_MINOR}(?:{_SEP}0)?" if rest == ["0"] else "".join(_SEP + x for x in rest)
-    return f"(?:version{_SEP}|v{_SEP}|v){first}{minor}"
+    if minor:
+        return re.escape(version) + _NO_MORE
+    tail = f"{_NO_MINOR}(?:{_SEP}0)?" if rest == ["0"] else "".join(_SEP + x for x in rest)
+    return f"(?:version{_SEP}|v{_SEP}|v){first}{tail}"
 
 
-def _phrase(text: str) -> str:
-    """The regular expression of a phrase in the notation above."""
+def _words(text: str) -> str:
+    """A phrase in the notation above, without its ends."""
     out = ""
     for i, w in enumerate(text.split()):
         optional = w.endswith("?")
         w = w.rstrip("?")
         w = _version(w[1:]) if w[0] == "#" else "(?:" + "|".join(map(re.escape, w[1:-1].split("|"))) + ")" if w[0] == "{" else re.escape(w)
         out += (f"(?:{_SEP}{w})?" if optional else f"{_SEP}{w}") if i else w
-    return f"{_NOT_IN_WORD}{out}{_WORD_ENDS}"
+    return out
+
+
+def _phrase(text: str) -> str:
+    """The regular expression of a phrase in the notation above."""
+    return f"{_NOT_IN_WORD}{_words(text)}{_WORD_ENDS}"
+
+
+def _versions(name: str, version: str, short: bool = False) -> Iterator[tuple[str, str]]:
+    """Patterns of a name with a version, and whether each means that version alone ("") or later ones too ("+").
+
+    After a full name a version says so, or stands beside it with its point (a bare number may be that of a section); after an
+    abbreviation it may be any number, and be written together with it.
+    """
+    if short:
+        said = (f"(?:{_SEP})?" + _version(version).replace("|v)", "|v|)"),)
+    else:
+        said = (_SEP + _version(version), _BESIDE + _version(version, True))
+    for v in said:
+        yield f"{_NOT_IN_WORD}{_words(name)}{v}(?:{_SEP}only)?{_WORD_ENDS}", ""
+        yield f"{_NOT_IN_WORD}{_words(name)}{v}{_LATER}{_WORD_ENDS}", "+"
+
+
+def _identifier(words: str) -> Iterator[str]:
+    """Patterns of a short identifier behind its mark: as the first of an expression, and as a later one (a group of its own)."""
+    yield _phrase(f"spdx license identifier {words}")
+    yield f"{_NOT_IN_WORD}{_words('spdx license identifier')}{_EXPRESSION}({_words(words)}){_WORD_ENDS}"
 
 
 # Licences with versions: label stem, keyword, name phrases, abbreviations, versions.
@@ -79,12 +116,12 @@ _VERSIONED = (
     ("cecill", "cecill", ("cecill free? software? license?",), (), ("1.0", "2.0", "2.1")),
     ("zpl", "zope public", ("zope public {license|licence}",), (), ("1.1", "2.0", "2.1")),
     ("psf", "python software foundation", ("python software foundation {license|licence}",), (), ("2.0",)),
-    ("php", "php license", ("php license",), (), ("3.0", "3.01")),
-    ("qpl", "q public", ("q public license",), (), ("1.0",)),
-    ("ms-pl", "microsoft public", ("microsoft public license",), (), ("1.0",)),
-    ("ms-rl", "microsoft reciprocal", ("microsoft reciprocal license",), (), ("1.0",)),
-    ("nposl", "non-profit open", ("non profit open software license",), (), ("3.0",)),
-    ("upl", "universal permissive", ("universal permissive license",), ("upl",), ("1.0",)),
+    ("php", "php licen", ("php {license|licence}",), (), ("3.0", "3.01")),
+    ("qpl", "q public", ("q public {license|licence}",), (), ("1.0",)),
+    ("ms-pl", "microsoft public", ("microsoft public {license|licence}",), (), ("1.0",)),
+    ("ms-rl", "microsoft reciprocal", ("microsoft reciprocal {license|licence}",), (), ("1.0",)),
+    ("nposl", "non-profit open", ("non profit open software {license|licence}",), (), ("3.0",)),
+    ("upl", "universal permissive", ("universal permissive {license|licence}",), ("upl",), ("1.0",)),
 )
 
 # Creative Commons: elements in words, label.
@@ -96,17 +133,21 @@ _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 # Single rules, written by hand: label, priority, keyword, confidence, phrase.
 _SINGLE = (
-    ("mit", 60, "mit license", 0.9, "{the|an} mit license"),
-    ("mit", 60, "mit license", 0.95, "released under the mit license"),
-    ("mit", 60, "mit license", 0.95, "licensed under the mit license"),
+    ("mit", 55, "mit licence", 0.85, "mit licence"),
+    ("mit", 60, "mit licen", 0.9, "{the|an} mit {license|licence}"),
+    ("mit", 60, "mit licen", 0.95, "released under the mit {license|licence}"),
+    ("mit", 60, "mit licen", 0.95, "licensed under the mit {license|licence}"),
     ("mit", 70, "permission is hereby granted", 0.95, "permission is hereby granted free of charge to any person obtaining a copy"),
     ("isc", 70, "permission to use", 0.9, "permission to use copy modify and {or|distribute} distribute? this software for any purpose"),
-    ("isc", 60, "isc license", 0.9, "isc license"),
+    ("isc", 60, "isc licen", 0.9, "isc {license|licence}"),
     ("bsd", 70, "redistribution and use", 0.95, "redistribution and use in source and binary forms"),
     ("bsd", 40, "bsd", 0.7, "bsd {license|licence|licensed|style}"),
     ("bsd-2-clause", 60, "bsd", 0.9, "{2|two|simplified} clause? bsd"),
+    ("bsd-2-clause", 60, "bsd", 0.9, "bsd {2|two} clause"),
     ("bsd-3-clause", 60, "bsd", 0.9, "{3|three|new|modified|revised} clause? bsd"),
+    ("bsd-3-clause", 60, "bsd", 0.9, "bsd {3|three} clause"),
     ("bsd-4-clause", 60, "bsd", 0.9, "{4|four|original} clause? bsd"),
+    ("bsd-4-clause", 60, "bsd", 0.9, "bsd {4|four} clause"),
     ("0bsd", 60, "zero", 0.9, "zero clause bsd"),
     ("zlib", 60, "zlib", 0.9, "zlib {license|licence}"),
     ("zlib", 70, "as-is", 0.8, "this software is provided as is without any express or implied warranty"),
@@ -124,8 +165,8 @@ _SINGLE = (
     ("copyright", 10, "copyright", 0.4, "copyright"),
     ("gpl", 70, "free software foundation", 0.9, "under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", 75, "lesser general", 0.9, "under the terms of the gnu lesser general public license"),
-    ("apache", 70, "apache license", 0.95, "licensed under the apache license version 2 0"),
-    ("apache", 70, "apache.org", 0.9, "www apache org licenses license 2 0"),
+    ("apache-2.0", 70, "apache license", 0.95, "licensed under the apache license #2.0"),
+    ("apache-2.0", 70, "apache.org", 0.9, "www apache org licenses license 2 0"),
     ("mpl", 70, "mozilla.org", 0.9, "mozilla org mpl"),
     ("gpl", 60, "gnu.org/licenses", 0.7, "gnu org licenses"),
     ("cc", 30, "creative commons", 0.6, "creative commons"),
@@ -311,17 +352,15 @@ def rules() -> list[Rule]:
             out.append(Rule(stem, 50, keyword, 0.85, _phrase(name)))
         for v in versions:
             number = v.replace(".", " ")
-            loose = number.removesuffix(" 0")
             for name in names:
-                for tail, mark in (("or later", "+"), ("only", ""), ("", "")):
-                    out.append(Rule(f"{stem}-{v}{mark}", 65 + 5 * bool(tail), keyword, 0.95, _phrase(f"{name} #{v} {tail}".strip())))
+                out += [Rule(f"{stem}-{v}{mark}", 65 + 5 * bool(mark), keyword, 0.95, p) for p, mark in _versions(name, v)]
             for abbreviation in short:
-                first, *rest = loose.split()
-                tight = " ".join([f"{{v{first}|{first}}}", *rest])
-                keyword_short = abbreviation.split()[-1]
-                out.append(Rule(f"{stem}-{v}", 55, keyword_short, 0.8, _phrase(f"{abbreviation} {tight}")))
-                out.append(Rule(f"{stem}-{v}+", 60, keyword_short, 0.8, _phrase(f"{abbreviation} {tight} or later")))
-            out.append(Rule(f"{stem}-{v}", 80, "spdx-license-identifier", 0.99, _phrase(f"spdx license identifier {stem.replace('-', ' ')} {number}")))
+                out += [Rule(f"{stem}-{v}{mark}", 55 + 5 * bool(mark), abbreviation.split()[-1], 0.8, p) for p, mark in _versions(abbreviation, v, True)]
+            family = stem.replace("-", " ")
+            for p in _identifier(f"{family} {number}"):
+                out.append(Rule(f"{stem}-{v}", 80, "spdx license identifier", 0.99, p))
+            for p in (*_identifier(f"{family} {number} or later"), f"{_NOT_IN_WORD}{_words(f'spdx license identifier {family} {number}')}\\+"):
+                out.append(Rule(f"{stem}-{v}+", 80, "spdx license identifier", 0.99, p))
     for name, short, label in _CC:
         out.append(Rule(label, 50 + len(short), "creative commons", 0.85, _phrase(f"creative commons {name}")))
         out.append(Rule(label, 40 + len(short), "cc", 0.7, _phrase(f"cc {short}")))
@@ -332,6 +371,9 @@ def rules() -> list[Rule]:
             out.append(Rule(f"{label}-{v}", 60 + len(short), "creativecommons.org", 0.95, _phrase(f"creativecommons org licenses {short} {number}")))
     for label, priority, keyword, confidence, phrase in _SINGLE:
         out.append(Rule(label, priority, keyword, confidence, _phrase(phrase)))
+    known = {r.label for r in out if r.keyword == "spdx license identifier"}
+    for label in sorted({r.label for r in out if "+" not in r.label} - known - {"unknown-license"}):
+        out += [Rule(label, 80, "spdx license identifier", 0.99, p) for p in _identifier(re.sub(r"[-.]", " ", label))]
     return out
 
 
@@ -370,7 +412,7 @@ class Scanner:
 
     def detect(self, text: str, ids: list[int]) -> list[tuple[int, int, Rule]]:
         """Detections left after suppression, by place. `text` is lower-cased."""
-        found = [(self.rules[i], m.start(), m.end(), i) for i in ids for m in self.compiled[i].finditer(text)]
+        found = [(self.rules[i], *m.span(m.re.groups), i) for i in ids for m in self.compiled[i].finditer(text)]
         found.sort(key=lambda x: (-x[0].priority, -(x[2] - x[1]), x[1], x[3]))
         # a tree over the starts holds the furthest end of what is kept up to each: that contains b if anything does
         place = {a: i for i, a in enumerate(sorted({a for _, a, _, _ in found}), 1)}
