@@ -329,7 +329,8 @@ def test_decontamination(spark, monkeypatch):
     assert {r.doc_id for r in decontaminate.decontaminate(frame(spark, rows), nameless).collect()} == {i for i, _ in got}
     assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), nameless).collect()} == kept
     assert [r.item_id for r in decontaminate.decontaminate(frame(spark, [(None, items[3][1])] * 2), bench).collect()] == [3, 3]
-    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, blocks=decontaminate.item_blocks: blocks(b, 20))
+    monkeypatch.setattr(decontaminate, "item_blocks", lambda b, blocks=decontaminate.item_blocks, **k: blocks(b, 20, **k))
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
     assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench).collect()} == kept
     assert {(r.doc_id, r.item_id): r.score for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()} == got
     assert decontaminate.decontaminate(frame(spark, []), bench).collect() == []
@@ -373,6 +374,22 @@ def test_decontamination_finds_what_alignment_finds(spark):
     assert {(100 * i + k, i) for i in range(8) for k in range(4)} <= set(got)
 
 
+def test_short_items_by_their_score_alone(spark):
+    """Without the rule of words in a row, items of any length are found as by Smith-Waterman on every document."""
+    rng = random.Random(17)
+    items = [(i, prose(rng, n, 40)) for i, n in enumerate((1, 2, 3, 4, 5, 6, 7, 7, 7, 9, 12))] + [(50, "a b c d e f g")]
+    rows = [(i, prose(rng, 25, 40)) for i in range(150)] + [(900, "x a b y d e x g z"), (901, ""), (902, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    words = {i: decontaminate.text_words(t) for i, t in items}
+    want = {(d, i): brute_alignment(w.tolist(), decontaminate.text_words(t or "").tolist()) / (2 * len(w)) for d, t in rows for i, w in words.items()}
+    want = {k: s for k, s in want.items() if s >= 0.5}
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.decontaminate(frame(spark, rows), bench, short_run=0).collect()}
+    assert got == want and (900, 50) in want
+    assert {r.doc_id for r in decontaminate.clean(frame(spark, rows), bench, short_run=0).collect()} == {d for d, _ in rows} - {d for d, _ in want}
+    by_run = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(frame(spark, rows), bench).collect()}
+    assert by_run < set(want) and (900, 50) not in by_run
+
+
 def matches_of(pattern):
     """Texts that a rule's pattern matches, one for each choice of alternatives, with `|` for a run of separators."""
     pattern = pattern.removeprefix(licenses._NOT_IN_WORD).removesuffix(licenses._WORD_ENDS).replace(licenses._EXPRESSION, " or ")

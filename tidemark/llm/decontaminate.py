@@ -18,14 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, blocks, lower_ascii, ngram_hash, prefix_hash, span_hash, words
+from .shared import materialise
 
-#: Items of fewer words than this say little: they must share SHORT_SEED words in a row with a document (or stand whole).
-SHORT, SHORT_SEED = 8, 3
+#: Items of fewer words than this say little: by default they must also share SHORT_RUN words in a row with a document (or
+#: stand whole), as an item of two words would else stand wherever one of them does. `short_run=0` turns that off.
+SHORT, SHORT_RUN = 8, 3
 #: Words of benchmark text in one broadcast block (about 90 bytes each with their seeds); more items make more blocks.
 BLOCK_WORDS = 500_000
 #: An alignment counts when it reaches this share of the item's own score.
 LEAST_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, 1, 1
+#: Blocks of the benchmark that one scan of `clean` searches; with more, what is left is written between scans.
+BLOCKS_AT_ONCE = 4
 _TABLE_BITS = 22
 
 
@@ -44,12 +48,12 @@ def text_words(text: str) -> np.ndarray:
     return span_hash(prefix_hash(b), s, e)
 
 
-def make_items(rows: list[tuple[int | None, str]]) -> Items:
-    """Items without words match nothing."""
+def make_items(rows: list[tuple[int | None, str]], short_run: int = SHORT_RUN) -> Items:
+    """Items without words match nothing. Seeds of short items are runs of `short_run` words, or (0) those of all items."""
     kept = [(i, w) for i, t in rows if len(w := text_words(t or ""))]
     found: dict[int, list] = {}
     for k, (_, w) in enumerate(kept):
-        for n in (1, 2) if len(w) >= SHORT else (min(SHORT_SEED, len(w)),):
+        for n in (1, 2) if len(w) >= SHORT or not short_run else (min(short_run, len(w)),):
             g = ngram_hash(w, n)
             found.setdefault(n, []).append(np.stack([g, np.full(len(g), k, np.uint64), np.arange(len(g), dtype=np.uint64)], 1))
     seeds = {}
@@ -283,43 +287,50 @@ def _block_leaks(items: Items, find, b: np.ndarray, off: np.ndarray, least: floa
     yield from by_row.items()
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, short_run: int = SHORT_RUN) -> Iterator[Items]:
     """The benchmark in blocks whose size is bounded; rows come to the driver a partition at a time."""
     rows, size = [], 0
     for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id", "text").toLocalIterator():
         rows.append((r["item_id"], r["text"]))
         size += len(r["text"]) // 2 + 1
         if size >= 4 * block_words:
-            yield make_items(rows)
+            yield make_items(rows, short_run)
             rows, size = [], 0
     if rows:
-        yield make_items(rows)
+        yield make_items(rows, short_run)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, short_run: int = SHORT_RUN) -> DataFrame:
     """Pairs of contaminated documents and benchmark items, with the alignment's score (1: verbatim) and place in words.
 
     A scan of the documents for each block of the benchmark counts its seeds over the whole corpus, another searches it.
+    With `short_run=0` the score alone decides for items of any length; else see SHORT_RUN.
     Null or empty texts, items without words and empty tables give no pairs; repeated rows are reported each, and so are
     documents and items with a null id.
     """
     out = None
-    for items in item_blocks(benchmark):
+    for items in item_blocks(benchmark, short_run=short_run):
         found = find_leaks(docs, keep_seeds(items, seed_frequencies(docs, items), least), least)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], PAIR_SCHEMA) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, short_run: int = SHORT_RUN) -> DataFrame:
     """The rows of `docs` in which no item stands, with their columns. An item needs no id to be found.
 
     Null and empty texts stay, and so does everything if the benchmark is empty; repeated rows stay or go alike. Seeds of each
-    block of the benchmark are counted in a scan of its own; the last scan searches all blocks.
+    block of the benchmark are counted over all of `docs` in a scan of its own. A scan searches BLOCKS_AT_ONCE blocks, so what
+    is broadcast at once is bounded; before the next what is left is written to shared storage.
     """
-    spark = docs.sparkSession
-    for shared in [spark.sparkContext.broadcast(keep_seeds(items, seed_frequencies(docs, items), least)) for items in item_blocks(benchmark)]:
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    left, held = docs, []
+    for items in item_blocks(benchmark, short_run=short_run):
+        if len(held) == BLOCKS_AT_ONCE:
+            left = materialise(left, "clean")
+            while held:
+                held.pop().unpersist()
+        held.append(docs.sparkSession.sparkContext.broadcast(keep_seeds(items, seed_frequencies(docs, items), least)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=held[-1]) -> Iterator[pa.RecordBatch]:
             own = shared.value
             find = _finder(own)
             for batch in batches:
@@ -329,5 +340,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) ->
                         keep[lo + row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        left = left.mapInArrow(run, left.schema)
+    return left
