@@ -58,6 +58,17 @@ def slug(x: str | Column, most: int = 40) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(F.lower(_c(x)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(most))
 
 
+def cell(x: str | Column, whole: bool = False) -> Column:
+    """A number as a table shows it: thousands apart, at most three decimals and no zeros at their end; nulls are empty."""
+    shown = F.format_number(_c(x), 0) if whole else F.regexp_replace(F.format_number(_c(x), 3), r"\.?0+$", "")
+    return F.coalesce(shown, F.lit(""))
+
+
+def config_hash(config: str | Column) -> Column:
+    """Eight characters for a configuration said as JSON with ordered keys."""
+    return F.substring(F.sha2(_c(config), 256), 1, 8)
+
+
 def clock_label(hour: str | Column) -> Column:
     h = _c(hour)
     twelve = F.when(h % 12 == 0, 12).otherwise(h % 12)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stored import written
@@ -18,6 +18,11 @@ def check(rate: float, decay: float) -> None:
         raise ValueError("rate must lie in (0, 1], decay in [0, 1)")
 
 
+def valid(rate: Column, decay: Column) -> Column:
+    """What `check` lets pass, for parameters that are columns; nulls are not valid."""
+    return F.coalesce((rate > 0) & (rate <= 1) & (decay >= 0) & (decay < 1), F.lit(False))
+
+
 def steps(plays: DataFrame, tags: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """(step, kc, verdict) of tagged plays, numbered from 1 in time by parts of the order; those of untagged tracks aren't steps.
 

@@ -347,9 +347,10 @@ def _(s, d):
     return shifts(s, d).where("step is not null").select("track_id", music.jarring("shift", "step").alias("jarring"))
 
 
-@query("mth3_arc", "SELECT range AS i, CASE WHEN t < 0.15 THEN 'opener' WHEN t < 0.55 THEN 'build' WHEN t < 0.8 THEN 'peak' ELSE 'comedown' END AS phase, 0.3 + 0.5 * CASE WHEN t < 0.15 THEN 0.2 WHEN t < 0.55 THEN 0.2 + 0.7 * (t - 0.15) / 0.4 WHEN t < 0.8 THEN 0.95 ELSE 0.95 - 0.7 * (t - 0.8) / 0.2 END AS target FROM (SELECT range, CAST(range AS DOUBLE) / 20 AS t FROM range(21))", "target")
+@query("mth3_arc", "SELECT i, CASE WHEN t < 0.15 THEN 'opener' WHEN t < 0.55 THEN 'build' WHEN t < 0.8 THEN 'peak' ELSE 'comedown' END AS phase, 0.3 + 0.5 * CASE WHEN t < 0.15 THEN 0.2 WHEN t < 0.55 THEN 0.2 + 0.7 * (t - 0.15) / 0.4 WHEN t < 0.8 THEN 0.95 ELSE 0.95 - 0.7 * (t - 0.8) / 0.2 END AS target FROM (SELECT p_partkey AS i, CAST(p_partkey % 21 AS DOUBLE) / 20 AS t FROM part)", "target")
 def _(s, d):
-    return s.range(21).select(F.col("id").alias("i"), (F.col("id") / 20).alias("t")).select("i", music.phase("t").alias("phase"), music.target("t", 0.3, 0.8).alias("target"))
+    k = F.col("p_partkey")
+    return table(s, d, "part").select(k.alias("i"), (k % 21 / 20).alias("t")).select("i", music.phase("t").alias("phase"), music.target("t", 0.3, 0.8).alias("target"))
 
 
 @query("mth4_dice", "WITH t AS (SELECT s_suppkey % 5 AS a, s_nationkey % 4 AS b, s_suppkey FROM supplier) SELECT s_suppkey, CASE WHEN a + b > 0 THEN 1 - ABS(a - b) / (a + b) ELSE 0 END AS dice FROM t", "dice")
@@ -411,9 +412,11 @@ def prints(s: SparkSession, d: str) -> DataFrame:
     return similarity.fingerprints(table(s, d, "embeddings").select("vec_id", "embedding"), similarity.edges(s, N_KC, 64), HASH).drop("embedding")
 
 
-@query("lsh1_edges", f"WITH {_EDGES} SELECT kc, dim FROM edges")
+@query("lsh1_edges", f"WITH {_EDGES}, m AS (SELECT d - 1 AS dim, AVG(CAST(embedding[d] AS DOUBLE)) AS mean FROM embeddings, (SELECT range AS d FROM range(1, 65)) GROUP BY 1) SELECT kc, dim, mean FROM edges JOIN m USING (dim)", "mean", "dim")
 def _(s, d):
-    return similarity.edges(s, N_KC, 64)
+    """The inputs of each cell, with the mean of what the table's vectors put on them."""
+    means = similarity.moments(table(s, d, "embeddings")).select("dim", "mean")
+    return similarity.edges(s, N_KC, 64).join(F.broadcast(means), "dim")
 
 
 @query("lsh2_normalised", f"WITH {_ACT} SELECT vec_id, SUM(z) AS total FROM z GROUP BY 1", "total")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import json
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.feather
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +16,7 @@ from ..sources import files
 from ..sources.adapters import table
 from . import report
 from .queries_listening import long_plays, plays, titles, tracks
-from .queries_models import _TAGS, _VALENCE, HASH, _PRINTS, _YEARS, crate, model, prints, taste_tags, years
+from .queries_models import _STEPS, _TAGS, _VALENCE, HASH, _PRINTS, _YEARS, crate, model, prints, taste_tags, years
 from .queries_plans import full_crate, scratch
 from .registry import PLAYS, TRACKS, query
 
@@ -31,12 +28,11 @@ def _(s, d):
     return table(s, d, "nation").join(s.read.parquet(path), F.col("n_regionkey") == F.col("r_regionkey")).agg(F.count("*").alias("n"))
 
 
-@query("src8_arrow_file")
+@query("src8_arrow_file", "SELECT vec_id, label FROM embeddings")
 def _(s, d):
-    out = io.BytesIO()
-    pa.feather.write_feather(pa.table({"pre": [1, 2, 2], "post": [10, 10, 11], "syn": [5, 3, 1]}), out)
-    batch = s.createDataFrame([(bytearray(out.getvalue()),)], "content binary")
-    return batch.mapInArrow(files.parse_feather(["pre", "post"]), "pre long, post long")
+    """Rows written as Arrow IPC files, and two of their columns read back."""
+    packed = table(s, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label")).mapInArrow(files.pack_feather, "content binary")
+    return packed.mapInArrow(files.parse_feather(["vec_id", "label"]), "vec_id long, label long")
 
 
 @query("src11_parquet_sink", "SELECT r_regionkey, r_name FROM region", longs="r_regionkey")
@@ -108,9 +104,10 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", evaluation.jaccard(F.array("lang", "source"), F.array(F.lit("en"), F.lit("src1"))).alias("fit"))
 
 
-@query("hsh1_config_hash", "SELECT left(sha256('{\"a\": 1}'), 8) AS h")
+@query("hsh1_config_hash", """SELECT n_nationkey, left(sha256('{"k": ' || n_nationkey || ', "name": "' || n_name || '"}'), 8) AS h FROM nation""")
 def _(s, d):
-    return s.range(1).select(F.lit(report.config_hash({"a": 1})).alias("h"))
+    config = F.format_string('{"k": %d, "name": "%s"}', "n_nationkey", "n_name")
+    return table(s, d, "nation").select("n_nationkey", text.config_hash(config).alias("h"))
 
 
 @query("lsh17_refire_check", f"WITH {_PRINTS} SELECT COUNT(*) AS n, 0 AS wrong FROM prints", longs="wrong")
@@ -124,23 +121,26 @@ def _(s, d):
     return own.withColumn("cut", cut).agg(F.count("*").alias("n"), F.count_if(F.size(F.array_except(above, "kc")) > 0).alias("wrong"))
 
 
-@query("mb1_one_step", "SELECT k.range AS kc, 1 + 0.01 * (1 - CASE WHEN k.range < 3 THEN 0.95 ELSE 1 END) - (1 - CASE WHEN k.range < 3 THEN 0.95 ELSE 1 END) AS w FROM range(6) k", "w")
-def _(s, d):
-    """A rewarded play of cells 0 to 2: avoidance falls there, then all weights decay to 1."""
-    w = F.when(F.col("id") < 3, 1 - taste.RATE).otherwise(1.0)
-    return s.range(6).select(F.col("id").alias("kc"), (w + taste.DECAY * (1 - w)).alias("w"))
+_LEARNT = "0.95 * 0.99 + 0.01"
 
 
-@query("mb6_parameters", "SELECT range AS case_no, range IN (0, 1) AS ok FROM range(5)")
+@query("mb1_one_step", f"WITH {_STEPS}, one AS (SELECT arg_min(kc, step) AS cells, arg_min(verdict, step) AS verdict FROM steps WHERE verdict <> 0) SELECT unnest(cells) AS kc, CASE WHEN verdict > 0 THEN 1 ELSE {_LEARNT} END AS w_approach, CASE WHEN verdict > 0 THEN {_LEARNT} ELSE 1 END AS w_avoid FROM one", "w_approach w_avoid")
 def _(s, d):
-    def ok(rate: float, decay: float) -> bool:
-        try:
-            taste.check(rate, decay)
-        except ValueError:
-            return False
-        return True
+    """What the model learns of the first decisive play of all, alone: its cells lose in the channel that erred, then decay to 1."""
+    own = plays(s, d)
+    stepped = taste.steps(own, taste_tags(own), ("ts", "event_id")).where("verdict <> 0")
+    first = stepped.agg(F.min_by("kc", "step").alias("kc"), F.min_by("verdict", "step").alias("verdict")).withColumn("step", F.lit(1).cast("long"))
+    return taste.weights(first)
 
-    return s.createDataFrame([(i, ok(*p)) for i, p in enumerate([(0.05, 0.01), (1.0, 0.0), (0.0, 0.1), (0.5, 1.0), (1.5, 0.1)])], "case_no long, ok boolean")
+
+_PARAMETERS = "SELECT l_linenumber, CAST(l_discount AS DOUBLE) * 10 AS rate, CAST(l_tax AS DOUBLE) * 12.5 AS decay FROM lineitem"
+
+
+@query("mb6_parameters", f"SELECT l_linenumber, COUNT(*) AS n, COUNT(*) FILTER (rate > 0 AND rate <= 1 AND decay >= 0 AND decay < 1) AS ok FROM ({_PARAMETERS}) GROUP BY 1", longs="l_linenumber")
+def _(s, d):
+    """How many of the rates and decays that line items give the model would accept."""
+    rate, decay = F.col("l_discount").cast("double") * 10, F.col("l_tax").cast("double") * 12.5
+    return table(s, d, "lineitem").groupBy("l_linenumber").agg(F.count("*").alias("n"), F.count_if(taste.valid(rate, decay)).alias("ok"))
 
 
 @query("vis2_what_if", f"WITH {_VALENCE}, l AS (SELECT kc FROM (SELECT unnest(kc) AS kc FROM tags WHERE track_id = '1-1')), w2 AS (SELECT kc, CASE WHEN kc IN (SELECT kc FROM l) THEN w_approach * 0.95 ELSE w_approach END AS w_approach, w_avoid FROM weights) SELECT track_id, SUM(COALESCE(w_approach - w_avoid, 0)) AS valence FROM (SELECT track_id, unnest(kc) AS kc FROM tags) LEFT JOIN w2 USING (kc) GROUP BY 1", "valence")
@@ -200,11 +200,15 @@ def _(s, d):
 _ASKED = ("Night Drive", "some golden hour please", "peak", "sad rainy day", "gym, and happy!", "nothing", "chill", "hard dark win", "")
 
 
-@query("str14_theme_words", "SELECT * FROM (VALUES ('Night Drive', 'night drive', 'melancholic,anxious,somber,nostalgic', 0.3, 0.75), ('some golden hour please', 'golden hour', 'euphoric,playful,romantic', 0.3, 0.8), ('peak', 'peak time', 'euphoric,triumphant,aggressive,playful', 0.4, 0.95), ('sad rainy day', 'sad rainy day', 'melancholic', 0.3, 0.75), ('gym, and happy!', 'gym, and happy!', 'aggressive,euphoric', 0.4, 0.95), ('nothing', NULL, NULL, NULL, NULL), ('chill', 'chill', 'chill', 0.15, 0.6), ('hard dark win', 'hard dark win', 'aggressive,somber,triumphant', 0.4, 0.95), ('', NULL, NULL, NULL, NULL)) AS t(q, theme, moods, floor, ceiling)", "floor ceiling")
+_ASKED_SQL = "list_extract([" + ", ".join(f"'{x}'" for x in _ASKED) + f"], CAST(c_custkey % {len(_ASKED)} AS INTEGER) + 1)"
+
+
+@query("str14_theme_words", "SELECT t.*, n FROM (VALUES ('Night Drive', 'night drive', 'melancholic,anxious,somber,nostalgic', 0.3, 0.75), ('some golden hour please', 'golden hour', 'euphoric,playful,romantic', 0.3, 0.8), ('peak', 'peak time', 'euphoric,triumphant,aggressive,playful', 0.4, 0.95), ('sad rainy day', 'sad rainy day', 'melancholic', 0.3, 0.75), ('gym, and happy!', 'gym, and happy!', 'aggressive,euphoric', 0.4, 0.95), ('nothing', NULL, NULL, NULL, NULL), ('chill', 'chill', 'chill', 0.15, 0.6), ('hard dark win', 'hard dark win', 'aggressive,somber,triumphant', 0.4, 0.95), ('', NULL, NULL, NULL, NULL)) AS t(q, theme, moods, floor, ceiling) JOIN (SELECT " + _ASKED_SQL + " AS q, COUNT(*) AS n FROM customer GROUP BY 1) USING (q)", "floor ceiling")
 def _(s, d):
-    """What texts ask for: named themes, mood words, nothing. The SQL states the results worked by hand."""
-    q = s.createDataFrame([(x,) for x in _ASKED], "q string")
-    return q.select("q", *brief.resolve(F.col("q"))).withColumn("moods", F.array_join("moods", ","))
+    """What customers ask for, each one of these texts: named themes, mood words, nothing. The SQL states the results worked by hand."""
+    said = F.get(F.array(*map(F.lit, _ASKED)), (F.col("c_custkey") % len(_ASKED)).cast("int"))
+    q = table(s, d, "customer").groupBy(said.alias("q")).agg(F.count("*").alias("n"))
+    return q.select("q", *brief.resolve(F.col("q")), "n").withColumn("moods", F.array_join("moods", ","))
 
 
 @query("dj10_polish")
@@ -293,16 +297,13 @@ def _(s, d):
     return years(s, d).agg(F.concat(F.lit("based on "), used, F.lit(" of "), F.sum("plays").cast("string"), F.lit(" plays")).alias("note"))
 
 
-@query("rpt18_version_gate", "SELECT v, v LIKE '2.%' AS ok FROM (VALUES ('2.1'), ('2.9'), ('1.0')) AS t(v)")
-def _(s, d):
-    def ok(v: str) -> bool:
-        try:
-            report.check_version({"schema_version": v})
-        except ValueError:
-            return False
-        return True
+_VERSION = "CAST(p_size % 4 AS VARCHAR) || '.' || CAST(p_partkey % 10 AS VARCHAR)"
 
-    return s.createDataFrame([(v, ok(v)) for v in ("2.1", "2.9", "1.0")], "v string, ok boolean")
+
+@query("rpt18_version_gate", f"SELECT p_partkey, {_VERSION} AS v, {_VERSION} LIKE '2.%' AS ok FROM part")
+def _(s, d):
+    v = F.concat_ws(".", (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 10).cast("string"))
+    return table(s, d, "part").select("p_partkey", v.alias("v"), report.readable(v).alias("ok"))
 
 
 @query("rpt7_time_of_day_all_windows", f"WITH {PLAYS}, w AS (SELECT CAST(EXTRACT(DAY FROM ts) AS INTEGER) % 3 AS window_id, HOUR(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') AS hour, COUNT(*) AS n FROM plays GROUP BY 1, 2), f AS (SELECT window_id, hour, COALESCE(n, 0) AS n FROM (SELECT DISTINCT window_id FROM w) CROSS JOIN (SELECT range AS hour FROM range(24)) LEFT JOIN w USING (window_id, hour)) SELECT window_id, hour, n, ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY n DESC, hour) = 1 AS is_peak FROM f", longs="window_id hour")
@@ -312,9 +313,10 @@ def _(s, d):
     return listening.hours_by(own, "window_id", "America/New_York").select("window_id", "hour", F.col("play_count").alias("n"), "is_peak")
 
 
-@query("gov2_crate_schema", "SELECT TRUE AS passes, TRUE AS refuses")
+@query("gov2_crate_schema", "SELECT TRUE AS passes, TRUE AS refuses, COUNT(*) AS n FROM part")
 def _(s, d):
-    good = s.createDataFrame([], "track_id long, name string, artist string, tempo double, energy double, duration_ms long, familiar boolean, mood_tags array<string>, fly_valence double, taste double, kc array<long>")
+    """The crate of all parts passes the rule; with a column more it is refused."""
+    good = full_crate(s, d).select("track_id", "name", "artist", "tempo", "energy", "duration_ms", "familiar", F.array(F.lit("chill")).alias("mood_tags"), F.lit(0.0).alias("fly_valence"), "taste", "kc")
 
     def passes(df) -> bool:
         try:
@@ -323,7 +325,8 @@ def _(s, d):
             return False
         return True
 
-    return s.createDataFrame([(passes(good), not passes(good.withColumn("last_played", F.current_timestamp())))], "passes boolean, refuses boolean")
+    refused = not passes(good.withColumn("last_played", F.current_timestamp()))
+    return good.agg(F.lit(passes(good)).alias("passes"), F.lit(refused).alias("refuses"), F.count("*").alias("n"))
 
 
 @query("mb_tag_cells", f"WITH {PLAYS}, ids AS (SELECT DISTINCT track_id FROM plays) SELECT COUNT(*) AS tracks, COUNT(*) * 3 AS cells FROM ids")
@@ -337,7 +340,9 @@ def _(s, d):
     return table(s, d, "events").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
 
 
-@query("str11_cell_format")
+@query("str11_cell_format", "SELECT o_orderkey, format('{:,}', o_orderkey) AS key_cell, rtrim(rtrim(format('{:,.3f}', CAST(o_totalprice AS DOUBLE)), '0'), '.') AS price_cell, CASE WHEN o_orderkey % 12 = 0 THEN 12 ELSE o_orderkey % 12 END || CASE WHEN o_orderkey % 24 < 12 THEN ' AM' ELSE ' PM' END AS clock, '' AS nothing FROM orders")
 def _(s, d):
-    rows = [report.cell(x) for x in (None, 1234.5, 0.12345, 1234567, "text", True)]
-    return s.createDataFrame(list(enumerate(rows)), "i long, cell string").withColumn("label", text.clock_label(F.lit(9)))
+    """Keys, prices, hours and nulls as the cells of a table."""
+    key, nothing = F.col("o_orderkey"), F.when(F.col("o_orderkey") < 0, F.col("o_orderkey"))
+    price = F.col("o_totalprice").cast("double")
+    return table(s, d, "orders").select("o_orderkey", text.cell(key, whole=True).alias("key_cell"), text.cell(price).alias("price_cell"), text.clock_label(key % 24).alias("clock"), text.cell(nothing).alias("nothing"))

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
 import os
 import tempfile
 import uuid
-import zipfile
 from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import music
-from ..operators import brief, clusters, evaluation, planner, ranks, warehouse
+from ..operators import brief, clusters, evaluation, ingest, planner, ranks, warehouse
 from ..sources import files
 from ..sources.adapters import table
 from ..sources.stored import scratch
@@ -187,19 +185,14 @@ def _(s, d):
 # --- files ----------------------------------------------------------------------------------------------------------
 
 
-@query("src1_zip_history")
+@query("src1_zip_history", f"WITH kept AS (SELECT * FROM events WHERE event_id % 7 <> 0), {PLAYS.replace('FROM events', 'FROM kept')} SELECT track_id, hour_utc, COUNT(*) AS n, CAST(SUM(ms_played) AS BIGINT) AS ms, CAST(SUM(verdict) AS BIGINT) AS net, MAX(album_name) AS album FROM plays GROUP BY 1, 2", longs="hour_utc")
 def _(s, d):
-    rows = [{"ts": f"2024-03-14T12:{i:02d}:17Z", "ms_played": 1000 * i, "spotify_track_uri": f"spotify:track:t{i % 3}" if i % 5 else None, "reason_end": "trackdone", "master_metadata_track_name": f"Song {i % 3}"} for i in range(30)]
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        z.writestr("x/Streaming_History_Audio_0.json", json.dumps(rows))
-        z.writestr("x/ReadMe.json", "[]")
-    from ..operators.ingest import to_plays
-
-    # the archive is a row of a table here, which is what a binary file source gives
-    archive = s.createDataFrame([("history.zip", bytearray(data.getvalue()))], "path string, content binary")
-    lines = files.history_records(archive)
-    return to_plays(lines).select("track_id", "track_name", "ms_played", "completion", "verdict", "hour_utc", "dow")
+    """All plays written as zipped exports, one record in seven without a track, and read back as plays."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts")
+    uri = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("spotify:track:"), "track_id")).alias("spotify_track_uri")
+    records = plays(s, d).select(stamp, "ms_played", uri, "reason_end", F.col("track_name").alias("master_metadata_track_name"), F.col("album_name").alias("master_metadata_album_album_name"), F.lit("198.51.100.7").alias("ip_addr"))
+    own = ingest.to_plays(files.history_records(files.pack_history(records)))
+    return own.groupBy("track_id", "hour_utc").agg(F.count("*").alias("n"), F.sum("ms_played").alias("ms"), F.sum("verdict").alias("net"), F.max("album_name").alias("album"))
 
 
 @query("src3_parquet_scan", "SELECT COUNT(*) AS n FROM lineitem")
@@ -255,9 +248,15 @@ def _(s, d):
     return s.read.parquet(path).select("vec_id", F.size("kc").alias("n"))
 
 
-@query("src18_sample_history")
+_DRAW = "CAST('0x' || substr(md5('{}/' || {}), 1, 8) AS BIGINT)"
+_PLAY = "track_id || '/' || play"
+
+
+@query("src18_sample_history", f"WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS track_id, p_brand AS artist_name FROM part), p AS (SELECT *, unnest(range(1, 2 + CAST(floor(pow({_DRAW.format('n', 'track_id')} / 4294967296.0, 3) * 20) AS BIGINT))) AS play FROM c) SELECT track_id, CAST(play AS BIGINT) AS play, artist_name, CAST(1672531200 + {_DRAW.format('ts', _PLAY)} % 31536000 AS BIGINT) AS second, CAST(30000 + {_DRAW.format('ms', _PLAY)} % 200000 AS BIGINT) AS ms_played, CASE WHEN {_DRAW.format('reason', _PLAY)} % 5 = 0 THEN 'fwdbtn' ELSE 'trackdone' END AS reason_end FROM p")
 def _(s, d):
-    return files.sample_history(s, 2000)
+    """A made-up history of every part as a track."""
+    catalogue = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("track_id"), F.col("p_brand").alias("artist_name"))
+    return files.history_of(catalogue).withColumn("second", F.unix_seconds("ts")).drop("ts")
 
 
 # --- reports --------------------------------------------------------------------------------------------------------

@@ -126,9 +126,12 @@ def _(s, d):
     return own.agg(F.lit(refused).alias("refused"), F.lit(about["as_of"]).alias("as_of"), F.count("*").alias("n"))
 
 
-@query("gov5_profiles", "SELECT name, private, reads, publishes FROM (VALUES ('private', TRUE, 'private/warehouse', FALSE), ('synthetic', FALSE, 'synthetic/warehouse', TRUE)) AS t(name, private, reads, publishes)")
+@query("gov5_profiles", "SELECT name, private, reads, publishes, COUNT(*) AS n FROM customer JOIN (VALUES ('private', TRUE, 'private/warehouse', FALSE), ('synthetic', FALSE, 'synthetic/warehouse', TRUE)) AS t(name, private, reads, publishes) ON private = (c_custkey % 3 = 0) GROUP BY ALL")
 def _(s, d):
-    return s.createDataFrame([(p.name, p.private, p.warehouse(""), p.may_publish()) for p in report.PROFILES], "name string, private boolean, reads string, publishes boolean")
+    """Customers by the profile that they belong to, and what each profile reads and may publish."""
+    profiles = s.createDataFrame([(p.name, p.private, p.warehouse(""), p.may_publish()) for p in report.PROFILES], "name string, private boolean, reads string, publishes boolean")
+    own = table(s, d, "customer").select((F.col("c_custkey") % 3 == 0).alias("private"))
+    return own.join(F.broadcast(profiles), "private").groupBy("name", "private", "reads", "publishes").agg(F.count("*").alias("n"))
 
 
 @query("api2_set_tools")

@@ -7,7 +7,7 @@ import html
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, listening, ranks, warehouse
@@ -154,6 +154,11 @@ def check_version(report: dict) -> None:
         raise ValueError(f"report version {report.get('schema_version')} is not {SCHEMA_VERSION}")
 
 
+def readable(version: Column) -> Column:
+    """Whether `check_version` lets a version pass."""
+    return F.coalesce(F.split_part(version, F.lit("."), F.lit(1)) == SCHEMA_VERSION.split(".")[0], F.lit(False))
+
+
 def cell(x) -> str:
     if x is None:
         return ""

@@ -41,6 +41,21 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     return history_records(spark.read.format("binaryFile").load(path))
 
 
+def pack_history(records: DataFrame, most: int = 20_000) -> DataFrame:
+    """Play records as zipped exports (path, content): each task deals its records into archives of at most `most`."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for start in range(0, len(f), most):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("export/Streaming_History_Audio_0.json", "[" + ",".join(f["line"].iloc[start : start + most]) + "]")
+                    z.writestr("export/ReadMe.json", "[]")
+                yield pd.DataFrame({"path": [f"history-{start}.zip"], "content": [out.getvalue()]})
+
+    return records.select(F.to_json(F.struct("*")).alias("line")).mapInPandas(pack, "path string, content binary")
+
+
 def read_last_wins(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     """JSON lines of which a later one replaces an earlier one of its key. Lines are ordered by file, then place in it.
 
@@ -71,6 +86,14 @@ def parse_feather(columns: list[str]):
     return parse
 
 
+def pack_feather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: each batch of rows as an Arrow IPC file (content)."""
+    for batch in batches:
+        out = io.BytesIO()
+        pa.feather.write_feather(pa.Table.from_batches([batch]), out)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["content"])
+
+
 def read_feather(spark: SparkSession, path: str, schema: str, columns: list[str]) -> DataFrame:
     """Arrow IPC files, read on the executors through Spark's file systems."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse_feather(columns), schema)
@@ -109,6 +132,18 @@ def decode_gaps(data: bytes) -> list[int]:
     return out
 
 
+def history_of(catalogue: DataFrame, most: int = 20, start: int = 1672531200, days: int = 365) -> DataFrame:
+    """A made-up history of the tracks of a catalogue (track_id, artist_name): one to `most` plays each, few of most tracks.
+
+    All of it follows from hashes of the track and the play's number, so that any engine can repeat it.
+    """
+    draw = lambda what, *k: F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(what), *[F.col(c).cast("string") for c in k])), 1, 8), 16, 10).cast("long")
+    plays = catalogue.select("track_id", "artist_name", F.explode(F.sequence(F.lit(1), 1 + F.floor(F.pow(draw("n", "track_id") / 2**32, 3) * most).cast("int"))).alias("play"))
+    at = lambda what: draw(what, "track_id", "play")
+    reason = F.when(at("reason") % 5 == 0, "fwdbtn").otherwise("trackdone")
+    return plays.select("track_id", "play", "artist_name", F.timestamp_seconds(start + at("ts") % (days * 86400)).alias("ts"), (30000 + at("ms") % 200000).alias("ms_played"), reason.alias("reason_end"))
+
+
 def sample_history(spark: SparkSession, n: int, tracks: int = 300, seed: int = 7) -> DataFrame:
     """A made-up history for fixtures: Zipf-like popularity, plays about four minutes apart."""
     r = lambda k: F.rand(seed + k)
