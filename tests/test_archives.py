@@ -76,3 +76,10 @@ def test_columns_say_what_the_plain_functions_say(spark):
         else:
             with pytest.raises(ValueError):
                 taste.check(rate, decay)
+
+
+def test_noise_is_normal_and_repeatable(spark):
+    keys = spark.range(4000).select(F.explode(text.noise("id", 3)).alias("x"))
+    mean, sd, far = keys.agg(F.avg("x"), F.stddev("x"), F.avg((F.abs("x") > 1.96).cast("int"))).first()
+    assert abs(mean) < 0.03 and abs(sd - 1) < 0.03 and 0.04 < far < 0.06
+    assert keys.where("x is null or isnan(x)").count() == 0 and keys.exceptAll(keys).count() == 0

@@ -64,6 +64,16 @@ def cell(x: str | Column, whole: bool = False) -> Column:
     return F.coalesce(shown, F.lit(""))
 
 
+def noise(key: str | Column, n: int) -> Column:
+    """n numbers that look normally distributed and follow from the key alone: two hashes each, by Box and Muller."""
+
+    def share(i: Column, which: str) -> Column:
+        h = F.md5(F.concat_ws("/", _c(key).cast("string"), i.cast("string"), F.lit(which)))
+        return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") + 1) / F.lit(2.0**32 + 1)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.sqrt(-2 * F.ln(share(i, "r"))) * F.cos(2 * F.pi() * share(i, "a")))
+
+
 def config_hash(config: str | Column) -> Column:
     """Eight characters for a configuration said as JSON with ordered keys."""
     return F.substring(F.sha2(_c(config), 256), 1, 8)

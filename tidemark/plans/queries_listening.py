@@ -413,9 +413,11 @@ def _(s, d):
     return table(s, d, "part").agg(F.max_by("p_partkey", F.struct("p_retailprice", "p_partkey")).alias("p_partkey"))
 
 
-@query("top14_seeded_sample")
+@query("top14_seeded_sample", "SELECT p_partkey FROM part ORDER BY md5(p_partkey || '-7'), p_partkey LIMIT 25")
 def _(s, d):
-    return table(s, d, "part").orderBy(F.xxhash64("p_partkey", F.lit(7)), "p_partkey").limit(25).select("p_partkey")
+    """25 parts drawn without replacement: those whose hashes, with the seed, are smallest."""
+    draw = F.md5(F.concat(F.col("p_partkey").cast("string"), F.lit("-7")))
+    return table(s, d, "part").orderBy(draw, "p_partkey").limit(25).select("p_partkey")
 
 
 @query("set1_union_keep_last", "SELECT user_id, v FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY b DESC, event_id DESC) AS k FROM (SELECT user_id, event_id, value AS v, 1 AS b FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id, -value, 2 FROM events WHERE event_type = 'click')) WHERE k = 1", "v")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,7 +14,7 @@ from ..operators import brief, clusters, evaluation, governance, listening, plan
 from ..sources import files
 from ..sources.adapters import table
 from . import report
-from .queries_listening import long_plays, plays, titles, tracks
+from .queries_listening import _CLEAN, _TITLES, long_plays, plays, titles, tracks
 from .queries_models import _STEPS, _TAGS, _VALENCE, HASH, _PRINTS, _YEARS, crate, model, prints, taste_tags, years
 from .queries_plans import full_crate, scratch
 from .registry import PLAYS, TRACKS, query
@@ -81,18 +80,20 @@ def _(s, d):
     return coded.select("vec_id", (decode("b") == F.col("kc")).alias("same"), F.octet_length("b").alias("bytes"))
 
 
-@query("prj9_placeholder_vectors")
+def _share(which: str) -> str:
+    return f"(CAST('0x' || substr(md5(track_id || '/' || i || '/{which}'), 1, 8) AS BIGINT) + 1) / 4294967297.0"
+
+
+@query("prj9_placeholder_vectors", f"WITH {TRACKS} SELECT track_id, i, sqrt(-2 * ln({_share('r')})) * cos(2 * pi() * {_share('a')}) AS x FROM tracks, (SELECT range AS i FROM range(8))", "x", "i")
 def _(s, d):
-    """Deterministic noise from a hash of the key; a baseline only."""
+    """Deterministic noise from hashes of the key, one row for each dimension; a baseline only."""
+    return tracks(s, d).select("track_id", F.posexplode(text.noise("track_id", 8)).alias("i", "x"))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def noise(seed: pd.Series) -> pd.Series:
-        return seed.map(lambda x: np.random.default_rng(abs(int(x))).normal(size=8).tolist())
 
-    return tracks(s, d).select("track_id", noise(F.conv(F.substring(F.sha2("track_id", 256), 1, 8), 16, 10).cast("long")).alias("x"))
+_BLOCKED = f"{_TITLES}, q AS (SELECT p_partkey AS q, {_CLEAN} AS t FROM titles), c AS (SELECT {_CLEAN} AS t FROM (SELECT p_name AS title FROM part))"
 
 
-@query("jn12_title_blocking")
+@query("jn12_title_blocking", f"WITH {_BLOCKED} SELECT q, COUNT(*) AS n FROM q JOIN c ON q.t = c.t OR (len(c.t) >= {resolve.GRAM} AND contains(q.t, c.t)) OR (len(q.t) >= {resolve.GRAM} AND contains(c.t, q.t)) GROUP BY 1")
 def _(s, d):
     wanted = titles(s, d).select(F.col("p_partkey").alias("q"), F.col("title").alias("q_title"))
     library = table(s, d, "part").select(F.col("p_partkey").alias("c"), F.col("p_name").alias("c_title"))
