@@ -87,6 +87,76 @@ def test_ordinal_gradient_orders_grades():
     assert np.allclose(p.sum(1), 1) and (np.diff([expected[grade == g].mean() for g in range(4)]) > 0.3).all()
 
 
+def ordinal_loss(w, theta, x, grade):
+    """Mean negative log likelihood of grades, a row at a time."""
+    total = 0.0
+    for row, g in zip(x, grade):
+        below = [0.0] + [1 / (1 + np.exp(-(t - row @ w))) for t in theta] + [1.0]
+        total -= np.log(max(below[g + 1] - below[g], 1e-9))
+    return total / len(grade)
+
+
+def test_ordinal_fit_against_plain_likelihood():
+    """A step goes down every slope that differences of the likelihood show, and the whole fit gets as low as plain descent."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (60, 5)).astype(float)
+    grade = np.clip(np.round(x @ [1.0, 0.5, 0, 0, -0.7] + rng.normal(0, 0.7, 60)), 0, 3).astype(int)
+    row, word = np.nonzero(x)
+    share = np.cumsum(np.bincount(grade, minlength=4) + 0.5)[:3] / 62
+    par = np.concatenate([np.zeros(5), np.log(share / (1 - share))])
+    loss = lambda p: ordinal_loss(p[:5], p[5:], x, grade)
+    slope = lambda p: np.array([(loss(p + e) - loss(p - e)) / 2e-5 for e in np.eye(8) * 1e-5])
+    step = toxicity.fit(grade, row, word, x[row, word], l1=0, steps=1, rate=1e-3)
+    g = slope(par)
+    assert step.buckets.tolist() == list(range(5)) and (np.sign(step.w) == -np.sign(g[:5])).all()
+    assert np.sign(step.theta[0] - par[5]) == -np.sign(g[5:].sum())  # the first threshold carries the others
+    for _ in range(400):
+        par = par - 0.3 * slope(par)
+    model = toxicity.fit(grade, row, word, x[row, word], l1=0)
+    assert ordinal_loss(model.w, model.theta, x, grade) < loss(par) + 0.01 < ordinal_loss(np.zeros(5), np.log(share / (1 - share)), x, grade)
+
+
+def machine_loss(m, x, y):
+    """Mean logistic loss of a factorisation machine, all pairs of features one by one."""
+    total = 0.0
+    for row, label in zip(x, y):
+        pairs = sum(m.v[i].astype(float) @ m.v[j] * row[i] * row[j] for i in range(len(row)) for j in range(i))
+        p = 1 / (1 + np.exp(-(m.w0 + m.w.astype(float) @ row + pairs)))
+        total -= np.log(p if label else 1 - p)
+    return total / len(y)
+
+
+def test_machine_fit_against_plain_likelihood():
+    """A step goes down every slope that differences of the loss show; what only pairs of features tell is learnt."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 2, (60, 4)) * rng.uniform(0.5, 2, (60, 4))
+    x[:, 0] = 1
+    y = rng.integers(0, 2, 60).astype(float)
+    row, index = np.nonzero(x)
+    fit = lambda rate: quality.fit(y, np.searchsorted(row, np.arange(61)), index, x[row, index], 4, rank=2, epochs=1, least_steps=1, rate=rate, decay=0)
+    before, after = fit(0.0), fit(1e-2)
+    before = quality.Machine(before.w0, before.w.astype(float), before.v.astype(float))
+
+    def slope(part, at):
+        values = []
+        for e in (1e-4, -1e-4):
+            moved = quality.Machine(before.w0, before.w.copy(), before.v.copy())
+            getattr(moved, part)[at] += e
+            values.append(machine_loss(moved, x, y))
+        return (values[0] - values[1]) / 2e-4
+
+    for i in range(4):
+        assert np.sign(after.w[i] - before.w[i]) == -np.sign(slope("w", i))
+        for f in range(2):
+            assert np.sign(after.v[i, f] - before.v[i, f]) == -np.sign(slope("v", (i, f)))
+    up, down = quality.Machine(before.w0 + 1e-4, before.w, before.v), quality.Machine(before.w0 - 1e-4, before.w, before.v)
+    assert np.isclose((before.w0 - after.w0) / 1e-2, (machine_loss(up, x, y) - machine_loss(down, x, y)) / 2e-4, atol=1e-6)
+    a, b = rng.integers(0, 2, 400), rng.integers(0, 2, 400)
+    index = np.stack([a, 2 + b], 1).ravel()  # the label is whether a and b differ: no single feature tells
+    machine = quality.fit((a != b).astype(float), np.arange(0, 801, 2), index, np.ones(800), 4)
+    assert ((machine.margin(np.arange(0, 801, 2), index, np.ones(800)) > 0) == (a != b)).all()
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return packing.WordTokenizer(packing.tokenizer_path())
