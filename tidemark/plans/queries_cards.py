@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cards
+from ..sources import reports
 from ..sources.adapters import table
+from ..sources.stored import scratch
 from .registry import query
 
 ZONE = "America/New_York"
@@ -92,14 +94,47 @@ def _(s, d):
     return age.join(vibe, "window_id").select("window_id", "tier_a", "tier_b", "tier_c")
 
 
-@query("rpt16_visitor_cards", f"""WITH {_TOPS}, {_AGES}, {_DECADES}, {_CLUSTERS}, {_HOURS}
+_CARDS = f"""{_TOPS}, {_AGES}, {_DECADES}, {_CLUSTERS}, {_HOURS}, report AS (
     SELECT window_id, 1 AS card_no, 'total_hours' AS card, 1 AS place, {_NUMBER('SUM(plays)')} || ' plays of ' || {_NUMBER('COUNT(*)')} || ' tracks' AS label, SUM(ms) / 3.6e6 AS value FROM t GROUP BY 1
     UNION ALL SELECT window_id, CASE card WHEN 'top_artists' THEN 2 WHEN 'top_tracks' THEN 3 ELSE 4 END, card, place, label, plays FROM tops
     UNION ALL SELECT window_id, 5, 'time_of_day', hour + 1, CAST(hour AS VARCHAR), plays FROM hours
     UNION ALL SELECT window_id, 6, 'skip_offenders', ROW_NUMBER() OVER (PARTITION BY window_id ORDER BY skips / plays DESC, plays DESC, track_id) AS place, name, skips / plays FROM t WHERE plays >= 5 AND skips / plays >= 0.3 QUALIFY place <= 5
     UNION ALL SELECT window_id, 7, 'listening_age', 1, oldest, year FROM ages
     UNION ALL SELECT window_id, 8, 'decade_histogram', place, decade || 's', share FROM decades
-    UNION ALL SELECT window_id, 9, 'taste_clusters', place, name, share FROM clusters""", "value", "card_no place")
+    UNION ALL SELECT window_id, 9, 'taste_clusters', place, name, share FROM clusters)"""
+
+
+@query("rpt16_visitor_cards", f"WITH {_CARDS} SELECT * FROM report", "value", "card_no place")
 def _(s, d):
     """A visitor's own history, in the visitor's zone: every card of all time and of each year."""
     return cards.report(long_history(s, d), ZONE, releases(s, d), *clustered(s, d))
+
+
+def _written(s: SparkSession, d: str) -> str:
+    path = scratch(s)
+    reports.write(cards.report(long_history(s, d), ZONE, releases(s, d), *clustered(s, d)), path)
+    return path
+
+
+@query("src16_window_reports", f"WITH {_CARDS} SELECT * FROM report", "value", "card_no place")
+def _(s, d):
+    """The reports of all windows, written as JSON documents and read back."""
+    return reports.card_rows(reports.read(s, _written(s, d)))
+
+
+@query("src16_report_index", f"WITH {_CARDS} SELECT window_id, COUNT(DISTINCT card) AS cards, COUNT(*) AS rows FROM report GROUP BY 1")
+def _(s, d):
+    return reports.index(s, _written(s, d))
+
+
+_SHOWN = "rtrim(rtrim(format('{:,.3f}', CAST(value AS DOUBLE)), '0'), '.')"
+_MARKED = "replace(replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query("src17_window_renderings", f"""WITH {_CARDS}, per_card AS (SELECT window_id, card_no, card, string_agg('| ' || place || ' | ' || replace(label, '|', '\\|') || ' | ' || {_SHOWN} || ' |', chr(10) ORDER BY place) AS lines,
+    string_agg('<tr><td>' || place || '</td><td>' || {_MARKED} || '</td><td>' || {_SHOWN} || '</td></tr>', '' ORDER BY place) AS cells FROM report GROUP BY ALL)
+    SELECT window_id, '# Report: ' || CASE window_id WHEN 'all' THEN 'all time' ELSE window_id END || chr(10) || string_agg(chr(10) || '## ' || card || chr(10) || chr(10) || '| place | what | value |' || chr(10) || '| --- | --- | --- |' || chr(10) || lines, chr(10) ORDER BY card_no) || chr(10) AS markdown,
+    '<!doctype html><title>' || replace('Report: X</title><h1>Report: X</h1>', 'X', CASE window_id WHEN 'all' THEN 'all time' ELSE window_id END) || string_agg('<h2>' || card || '</h2><table>' || cells || '</table>', '' ORDER BY card_no) AS html FROM per_card GROUP BY 1""")
+def _(s, d):
+    """The reports of all windows as Markdown and HTML."""
+    return reports.renderings(reports.documents(cards.report(long_history(s, d), ZONE, releases(s, d), *clustered(s, d))))
