@@ -77,6 +77,21 @@ def test_infill_cuts_at_any_chunk_size(spark):
             assert got._n == len(parts) and got._cuts == [len("".join(parts[:r])) for r in asked]
 
 
+def test_infill_looks_through_a_text_few_times(spark):
+    """Marks are put into the two chunks that own cuts, not into each chunk to count; an output is split once to put it back."""
+    got = infill.digest(infill.transform(frame(spark, [(1, "ab c")])))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(f"$0{infill._MARK}") == 2 and plan.count("split(") == 1 and plan.count("substring_index(") <= 2 and "translate(" not in plan
+
+
+def test_infill_counts_long_runs_of_boundaries(spark):
+    text = "a\ue000\U0001f600\n" * 30_000
+    for unit in infill.UNITS:
+        parts = units(text, unit)
+        got = infill.cut(spark.createDataFrame([(text,)], "text string"), lambda n: [n - 1], unit, 200_000).first()
+        assert got._n == len(parts) and got._cuts == [len("".join(parts[:-1]))]
+
+
 def test_infill_of_no_rows(spark):
     assert infill.digest(infill.transform(frame(spark, []))).collect() == []
 

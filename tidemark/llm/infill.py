@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Units by (the character that ends one, the character that must follow).
-UNITS = {"char": (r"[\s\S]", r"[\s\S]"), "word": (r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"), "line": (r"\n", r"[\s\S]")}
-#: Code points of a chunk.
-CHUNK = 1024
+UNITS = {"char": ("(?s:.)", "(?s:.)"), "word": (r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"), "line": (r"\n", "(?s:.)")}
+#: Code points of a chunk. Smaller ones cost more calls, larger ones more marks in the two that are looked at again.
+CHUNK = 256
 #: Marks of prefix, suffix and middle. A text that holds one of them is never cut.
 MARKS = ("<P>", "<S>", "<M>")
 #: Of 100 texts so many stay plain, and of 100 others so many put the suffix first.
@@ -29,10 +29,15 @@ def _numbers(seed: int, key: str) -> list[Column]:
     return [F.conv(F.substring(digits, 8 * i + 1, 8), 16, 10).cast("long") for i in range(4)]
 
 
+def _boundary(unit: str) -> str:
+    """The pattern of a character that ends a unit."""
+    left, right = UNITS[unit]
+    return f"{left}(?={right})"
+
+
 def _marked(window: Column, unit: str) -> Column:
     """A chunk with the next one's first character, a mark put in after each character that ends a unit."""
-    left, right = UNITS[unit]
-    return F.regexp_replace(F.translate(window, _MARK, _STAND_IN), f"{left}(?={right})", f"$0{_MARK}")
+    return F.regexp_replace(F.replace(window, F.lit(_MARK), F.lit(_STAND_IN)), _boundary(unit), f"$0{_MARK}")
 
 
 def cut(docs: DataFrame, ranks, unit: str = "char", chunk: int = CHUNK) -> DataFrame:
@@ -41,11 +46,11 @@ def cut(docs: DataFrame, ranks, unit: str = "char", chunk: int = CHUNK) -> DataF
     `ranks` takes the column of n and gives a list of columns of numbers from 0 to n. Null texts count as empty: n is 0.
     """
     # the pattern takes whole code points, so each chunk but the last has exactly `chunk` of them
-    d = docs.withColumn("_chunks", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[\\s\\S]{{1,{chunk}}}"), F.lit(0)))
+    d = docs.withColumn("_chunks", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s:.{{1,{chunk}}}+)"), F.lit(0)))
     following = F.concat(F.slice("_chunks", F.lit(2), F.greatest(F.size("_chunks") - 1, F.lit(0))), F.array(F.lit("")))
     d = d.withColumn("_windows", F.when(F.size("_chunks") > 0, F.zip_with("_chunks", following, lambda own, after: F.concat(own, F.left(after, F.lit(1))))).otherwise(F.array().cast("array<string>")))
-    # one pass over the whole text: boundaries of each chunk
-    d = d.withColumn("_counts", F.transform("_windows", lambda w: (F.length(_marked(w, unit)) - F.length(w)).cast("long")))
+    # one pass over the whole text: boundaries of each chunk, taken out in runs, as that costs far less than marks put in one by one
+    d = d.withColumn("_counts", F.transform("_windows", lambda w: (F.length(w) - F.length(F.regexp_replace(w, f"(?:{_boundary(unit)})++", ""))).cast("long")))
     d = d.withColumn("_n", F.aggregate("_counts", F.lit(0).cast("long"), lambda a, x: a + x) + F.when(F.size("_windows") > 0, 1).otherwise(0))
     wanted = ranks(F.col("_n"))
     d = d.withColumns({f"_rank{i}": r for i, r in enumerate(wanted)})
@@ -95,19 +100,11 @@ def transform(docs: DataFrame, unit: str = "char", seed: int = 1, marks: tuple[s
 
 
 def restore(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
-    """The text again. Marks begin and end with characters that can't be joined to another one's, so the first of each is it."""
-    p, s, m = marks
-
-    def after(x: Column, mark: str) -> Column:
-        return F.substring(x, F.length(F.substring_index(x, mark, 1)) + len(mark) + 1, F.length(x))
-
-    def parts(first: str, second: str) -> tuple[Column, Column, Column]:
-        rest = after(output, first)
-        tail = after(rest, second)
-        return F.substring_index(rest, second, 1), F.substring_index(tail, m, 1), after(tail, m)
-
-    psm, spm = parts(p, s), parts(s, p)
-    return F.when(form == "psm", F.concat(psm[0], psm[2], psm[1])).when(form == "spm", F.concat(spm[1], spm[2], spm[0])).otherwise(output)
+    """The text again. Marks begin and end with characters that can't be joined to another one's, so an output is split at its own
+    three and nowhere else. It is looked through once: the parts are bound to a name."""
+    split = F.split(output, "|".join(f"\\Q{mark}\\E" for mark in marks), -1)
+    back = F.transform(F.array(split), lambda x: F.when(form == "psm", F.concat(x[1], x[3], x[2])).otherwise(F.concat(x[2], x[3], x[1])))
+    return F.when(form.isin("psm", "spm"), F.get(back, F.lit(0))).otherwise(output)
 
 
 def digest(transformed: DataFrame) -> DataFrame:
