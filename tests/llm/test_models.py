@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -321,6 +322,34 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_take_few_jobs(spark):
+    """The driver keeps account of each task of each shuffle of a round (67 jobs on such a chain before)."""
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        got = components(spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 90), (95, 100)], "a long, b long").repartition(4))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.id: r.component_id for r in got.collect()} == {**{k: 0 for k in range(41)}, 90: 90, 95: 90, 100: 90}
+    assert jobs < 60
+
+
+def test_fit_holds_little_beside_its_sample(monkeypatch):
+    """A driver of bounded memory fits the model: some 20 bytes at the peak for each word of the sample, beside the model itself."""
+    rng, n = np.random.default_rng(3), 4000
+    cut = np.concatenate([[0], np.cumsum(rng.integers(0, 600, n))])
+    sample = rng.integers(0, 2, n).astype(np.int32), cut, rng.integers(0, 2000, cut[-1]).astype(np.int32), rng.integers(1, 9, cut[-1]).astype(np.int32), rng.random((n, 12))
+    monkeypatch.setattr(quality, "training_rows", lambda *a: None)
+    monkeypatch.setattr(quality, "sample_features", lambda *a: sample)
+    tracemalloc.start()
+    try:
+        quality.train(None, None)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 24 * cut[-1] + (16 << 20)
+
+
 def test_near_duplicates_with_repeated_ids(spark):
     """One row of each group of texts stays, whatever rows share a doc_id."""
     import corpus_pipeline as p

@@ -84,5 +84,6 @@ def sample_features(rows: DataFrame, bits: int) -> list:
     y = got.column("y").to_numpy()
     word, tf, stats = (got.column(c).combine_chunks() for c in ("word", "tf", "stats"))
     if not len(y):
-        return y, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, N_STATS))
-    return y, np.concatenate([[0], np.cumsum(word.value_lengths().to_numpy(False))]), word.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(float), np.array(stats.flatten()).reshape(-1, N_STATS)
+        return y, np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, N_STATS))
+    # words and counts as they came: the sample is small for a cluster, but not for a driver that holds it several times
+    return y, np.concatenate([[0], np.cumsum(word.value_lengths().to_numpy(False), dtype=np.int64)]), word.flatten().to_numpy(), tf.flatten().to_numpy(), np.array(stats.flatten()).reshape(-1, N_STATS)

@@ -39,15 +39,27 @@ class Machine:
 
 
 def assemble_rows(n: int, row: np.ndarray, word: np.ndarray, tf: np.ndarray, stats: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, index and value of each row's features: words weighted 1 + ln(tf) with unit norm, then the statistics' bins."""
+    """Start, index and value of each row's features: words weighted 1 + ln(tf) with unit norm, then the statistics' bins. `row`
+    ascends."""
     x = 1 + np.log(tf)
     norm = np.sqrt(np.bincount(row, x * x, n))
-    x = x / np.maximum(norm, 1e-12)[row]
-    bins = stat_bins(stats) + (1 << bits)
-    index, value = np.concatenate([word, bins.ravel()]), np.concatenate([x, np.full(bins.size, _STAT_WEIGHT)])
-    rows = np.concatenate([row, np.repeat(np.arange(n), N_STATS)])
-    order = np.argsort(rows, kind="stable")
-    return np.searchsorted(rows[order], np.arange(n + 1)), index[order], value[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) + N_STATS)])
+    index, value = np.empty(start[-1], np.int32), np.full(start[-1], _STAT_WEIGHT)
+    at = np.arange(len(row)) + row * N_STATS
+    index[at], value[at] = word, x / np.maximum(norm, 1e-12)[row]
+    index[start[1:, None] - N_STATS + np.arange(N_STATS)] = stat_bins(stats) + (1 << bits)
+    return start, index, value
+
+
+def assemble_sample(cut: np.ndarray, word: np.ndarray, tf: np.ndarray, stats: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a whole sample, whose row i has word[cut[i]:cut[i+1]], some rows at a time: beside the result little is held."""
+    start = cut + N_STATS * np.arange(len(cut))
+    index, value = np.empty(start[-1], np.int32), np.empty(start[-1])
+    for lo in range(0, len(cut) - 1, 64):
+        hi = min(lo + 64, len(cut) - 1)
+        row, here, own = np.repeat(np.arange(hi - lo), np.diff(cut[lo : hi + 1])), slice(start[lo], start[hi]), slice(cut[lo], cut[hi])
+        _, index[here], value[here] = assemble_rows(hi - lo, row, word[own], tf[own].astype(float), stats[lo:hi], bits)
+    return start, index, value
 
 
 def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size: int, rank: int = RANK, epochs: int = 12, least_steps: int = 800, rate: float = 0.05, decay: float = 1e-5, seed: int = 7) -> Machine:
@@ -55,7 +67,9 @@ def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size
     if len(y) == 0 or y.min() == y.max():
         p = (y.sum() + 1) / (len(y) + 2)
         return Machine(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
-    used, local = np.unique(index, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[index] = True
+    used, local = np.flatnonzero(seen), np.cumsum(seen) - 1
     rng = np.random.default_rng(seed)
     theta = np.zeros((len(used), rank + 1))
     theta[:, 1:] = rng.normal(0, 0.05, (len(used), rank))
@@ -67,7 +81,7 @@ def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size
         for batch in np.array_split(order, batches):
             lengths = start[batch + 1] - start[batch]
             take = np.repeat(start[batch], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            feature, value = local[take], x[take]
+            feature, value = local[index[take]], x[take]
             cut = np.cumsum(lengths) - lengths
             par = theta[feature]
             v = par[:, 1:] * value[:, None]
@@ -90,8 +104,9 @@ def fit(y: np.ndarray, start: np.ndarray, index: np.ndarray, x: np.ndarray, size
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", allowed: F.Column | None = None, sample: int = SAMPLE) -> Machine:
     y, cut, word, tf, stats = sample_features(training_rows(docs, labels, label, sample, allowed), BITS)
-    row = np.repeat(np.arange(len(y)), np.diff(cut))
-    return fit(y.astype(float), *assemble_rows(len(y), row, word, tf, stats), size=(1 << BITS) + N_STATS * N_BINS)
+    rows = assemble_sample(cut, word, tf, stats)
+    del word, tf, stats
+    return fit(y.astype(float), *rows, size=(1 << BITS) + N_STATS * N_BINS)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
