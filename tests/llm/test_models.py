@@ -4,8 +4,10 @@ import hashlib
 import re
 import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,6 +383,40 @@ def test_pipeline(spark):
     assert set(packed["doc_id"]) == {r.doc_id for r in seen.collect()}
 
 
+def test_pipeline_hands_workers_bounded_batches(spark):
+    """A partition of long texts doesn't stand whole in a task and its worker."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        own = spark.newSession()
+        docs = own.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 2000).alias("text"), F.lit("s").alias("source")).coalesce(1)
+        stage(own, docs, "/root/testdata/sf0.001")
+        sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").toPandas()["n"]
+        assert sizes.sum() > 12 << 20 and sizes.max() < 5 << 20, name
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "9m")
+    p.redact_secrets(own, own.createDataFrame([(1, "a")], "doc_id long, text string"), "")
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "9m"
+
+
+def test_quality_scan_holds_little(spark):
+    """Beside a batch and the model a scan holds the temporaries of a small block."""
+    machine = quality.Machine(0.0, np.zeros((1 << quality.BITS) + 120, np.float32), np.zeros(((1 << quality.BITS) + 120, quality.RANK), np.float32))
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"word{i}" for i in range(3000)], 300)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    context = SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))
+    run = quality.filter_documents(SimpleNamespace(schema=None, sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda f, schema: f), machine)
+    list(run(iter([batch.slice(0, 10)])))  # tables that are made once
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run(iter([batch]))) == len(texts)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 20 << 20, most
+
+
 def test_embeddings_with_repeated_and_null_ids(spark):
     """Rows are told apart by their vectors, whatever their ids."""
     a, near, b = [1.0, 0.0, 0.0, 0.0], [1.0, 0.1, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, blocks, lower_ascii, ngram_hash, prefix_hash, span_hash, words
+from .kernels import ALNUM, SCAN_BYTES, blocks, lower_ascii, ngram_hash, prefix_hash, span_hash, words
 from .shared import materialise
 
 #: Items of fewer words than this say little: by default they must also share SHORT_RUN words in a row with a document (or
@@ -103,7 +103,7 @@ def seed_frequencies(docs: DataFrame, items: Items) -> dict[int, np.ndarray]:
         find = _finder(own)
         df = {n: np.zeros(len(s[0]), np.int64) for n, s in own.seeds.items()}
         for batch in batches:
-            for _, _, b, off in blocks(batch.column("text")):
+            for _, _, b, off in blocks(batch.column("text"), SCAN_BYTES):
                 h, row, _ = _words_of(b, off)
                 for n, at, i in find(h, row):
                     size = len(df[n])
@@ -258,7 +258,7 @@ def find_leaks(docs: DataFrame, items: Items, least: float = LEAST_SCORE) -> Dat
         find = _finder(own)
         for batch in batches:
             rows = []
-            for lo, _, b, off in blocks(batch.column("text")):
+            for lo, _, b, off in blocks(batch.column("text"), SCAN_BYTES):
                 for row, got in _block_leaks(own, find, b, off, least):
                     rows += [(batch.column("doc_id")[lo + row].as_py(), own.ids[k], s, a, z) for k, s, a, z in got]
             cols = list(zip(*rows)) or [[]] * 5
@@ -335,7 +335,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, sho
             find = _finder(own)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for lo, _, b, off in blocks(batch.column("text")):
+                for lo, _, b, off in blocks(batch.column("text"), SCAN_BYTES):
                     for row, _found in _block_leaks(own, find, b, off, least):
                         keep[lo + row] = False
                 yield batch.filter(pa.array(keep))

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
+#: For scans that make many temporaries of a block and gain nothing by larger ones.
+SCAN_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import N_BINS, N_STATS, sample_features, stat_bins, statistics, training_rows, word_counts
-from .kernels import blocks
+from .kernels import SCAN_BYTES, blocks
 
 BITS = 18
 RANK = 8
@@ -122,7 +122,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for lo, hi, b, off in blocks(batch.column("text")):
+            for lo, hi, b, off in blocks(batch.column("text"), SCAN_BYTES):
                 row, word, n = word_counts(b, off, BITS)
                 p = 1 / (1 + np.exp(-np.clip(model.margin(*assemble_rows(hi - lo, row, word, n.astype(float), statistics(b, off))), -40, 40)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(p)], names=["doc_id", "score"])
@@ -140,7 +140,7 @@ def filter_documents(docs: DataFrame, machine: Machine, threshold: float = THRES
         model = shared.value
         for batch in batches:
             keep = [np.zeros(0, bool)]
-            for lo, hi, b, off in blocks(batch.column("text")):
+            for lo, hi, b, off in blocks(batch.column("text"), SCAN_BYTES):
                 row, word, n = word_counts(b, off, BITS)
                 p = 1 / (1 + np.exp(-np.clip(model.margin(*assemble_rows(hi - lo, row, word, n.astype(float), statistics(b, off))), -40, 40)))
                 keep.append(p >= threshold)
