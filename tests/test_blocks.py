@@ -27,7 +27,7 @@ def test_overlaps_send_no_row_for_a_pair(spark, monkeypatch):
     assert "Join" not in plan(got) and "FlatMapGroupsInArrow" in plan(got)
 
 
-@pytest.mark.parametrize("name", ["jn11_pair_overlaps"])
+@pytest.mark.parametrize("name", ["jn11_pair_overlaps", "lsh7_normalised_hamming"])
 def test_overlap_queries_join_no_cells(spark, name):
     """The fingerprints are made with joins of one packed row; pairs are not made by a join of theirs on cells."""
     assert "FlatMapGroupsInArrow" in plan(QUERIES[name](spark, SF))
