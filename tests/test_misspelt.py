@@ -52,3 +52,15 @@ def test_recall_on_given_titles(spark):
     # what comes back is the title that scores best among all, with its own brand where the brand has it
     assert sum(r.score >= resolve.MATCHED for r in found) > 0.95 * len(found)
     assert duckdb.sql(f"SELECT count(DISTINCT p_name) FROM '{SF}/part.parquet'").fetchall()[0][0] == len(names)
+
+
+def test_titles_are_counted_before_they_meet(spark):
+    """As many as the rows of `block_titles`, repeats of q and null titles among them; copies of a title don't meet as pairs (here 4 * 10^10)."""
+    names = ["red bolt", "Red Bolt (Live)", "bolt", "old red bolt", "ox", "red ox", None, ""]
+    q = spark.createDataFrame([(i % 13, names[i % 8]) for i in range(40)], "q long, q_title string")
+    c = spark.createDataFrame([(i, names[i % 8]) for i in range(30)], "c long, c_title string")
+    want = {r.q: r["count"] for r in resolve.block_titles(q, c).groupBy("q").count().collect()}
+    assert {r.q: r.n for r in resolve.count_titles(q, c).collect()} == want
+    many = spark.range(200_000).selectExpr("id as q", "'red bolt' as q_title")
+    got = resolve.count_titles(many, many.toDF("c", "c_title")).groupBy("n").count().collect()
+    assert [tuple(r) for r in got] == [(200_000, 200_000)]

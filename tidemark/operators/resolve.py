@@ -59,16 +59,32 @@ def _contained(held: DataFrame, h: str, whole: DataFrame, w: str) -> DataFrame:
     return rare.join(inside, "g").where(F.col(w).contains(F.col(h))).select(h, w)
 
 
+def _clean_pairs(q: DataFrame, c: DataFrame) -> DataFrame:
+    """(q_clean, c_clean) for distinct clean titles that are equal or contained, by equi-joins on their rarest grams."""
+    dq, dc = q.select("q_clean").distinct(), c.select("c_clean").distinct()
+    same = dq.join(dc, F.col("q_clean") == F.col("c_clean"))
+    return same.unionByName(_contained(dq, "q_clean", dc, "c_clean")).unionByName(_contained(dc, "c_clean", dq, "q_clean")).distinct()
+
+
+def _cleaned(queries: DataFrame, library: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return queries.withColumn("q_clean", clean_title("q_title")), library.withColumn("c_clean", clean_title("c_title"))
+
+
 def block_titles(queries: DataFrame, library: DataFrame) -> DataFrame:
     """Pairs whose clean titles are equal, or of which one of at least GRAM characters stands within the other.
 
     Distinct titles are compared, by equi-joins on their rarest grams rather than a nested loop; rows come back at the end.
     """
-    q, c = queries.withColumn("q_clean", clean_title("q_title")), library.withColumn("c_clean", clean_title("c_title"))
-    dq, dc = q.select("q_clean").distinct(), c.select("c_clean").distinct()
-    same = dq.join(dc, F.col("q_clean") == F.col("c_clean"))
-    pairs = same.unionByName(_contained(dq, "q_clean", dc, "c_clean")).unionByName(_contained(dc, "c_clean", dq, "q_clean")).distinct()
-    return q.join(pairs, "q_clean").join(c, "c_clean")
+    q, c = _cleaned(queries, library)
+    return q.join(_clean_pairs(q, c), "q_clean").join(c, "c_clean")
+
+
+def count_titles(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """(q, n): how many rows `block_titles` gives for each q. Rows of equal titles are counted before they meet, not paired."""
+    q, c = _cleaned(queries, library)
+    q, c = (df.groupBy(*by).agg(F.count("*").alias(n)) for df, by, n in ((q, ("q", "q_clean"), "times"), (c, ("c_clean",), "rows")))
+    held = _clean_pairs(q, c).join(c, "c_clean").groupBy("q_clean").agg(F.sum("rows").alias("rows"))
+    return q.join(held, "q_clean").groupBy("q").agg(F.sum(F.col("times") * F.col("rows")).alias("n"))
 
 
 def _pairs_of(c: str) -> F.Column:
