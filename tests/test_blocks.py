@@ -85,3 +85,9 @@ def test_knn_block_by_block(spark, monkeypatch, n):
             want[q, i + 1] = k
     assert rows == want
     assert {r.distance for r in got.where("q = 304").collect()} >= {1.0, None}
+
+
+def test_knn_table_asks_for_every_row(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    got = QUERIES["lsh10_knn_table"](spark, SF).groupBy("q").count().collect()
+    assert len(got) == n and {r["count"] for r in got} == {10}
