@@ -3,9 +3,11 @@
 import datetime
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans.catalog import ORACLE_SQL, QUERIES
 from tidemark.streaming import live
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -49,3 +51,24 @@ def test_interval_join_forgets(spark, folder, tmp_path):
     want = sorted((a[0], b[0]) for a in first for b in first if a[2] == b[2] and a[3] == "click" and b[3] == "purchase" and a[1] < b[1] <= a[1] + hours)
     assert sorted((r.first_id, r.then_id) for r in spark.table("j1").collect() if r.first_id < 900) == want
     assert live.held_rows(query) < 60
+
+
+@pytest.fixture(scope="module")
+def half(spark, tmp_path_factory):
+    """An event each ten minutes for four days; one that comes late (its id is divisible by 50) lies in the last hour of the first half."""
+    path = str(tmp_path_factory.mktemp("half"))
+    rows = [(i + 15, T0 + datetime.timedelta(minutes=10 * i, seconds=1), i % 3, "view", 1.0) for i in range(576)]
+    assert rows[285][0] % 50 == 0
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").repartition(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def same_as_sql(spark, path, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/events.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL[name]).fetchall()
+    return sorted(tuple(r) for r in QUERIES[name](spark, path).collect()) == sorted(want) and len(want) > 0
+
+
+def test_rows_of_the_last_hour_of_the_half_are_late(spark, half):
+    assert same_as_sql(spark, half, "stream_late_rows")

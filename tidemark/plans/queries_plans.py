@@ -319,7 +319,8 @@ def _(s, d):
 def arrivals(s, d, late: bool = False) -> tuple[str, int]:
     """(folder, files a batch): the events in four arrivals in the order of time; each is written after the one before.
 
-    With `late`, every fiftieth event of the first half comes in the last one, and every twentieth is delivered twice at once.
+    With `late`, every fiftieth event of the first half comes in a fifth one, and every twentieth is delivered twice at once. A batch
+    drops what is older than the watermark that the batch before it had, so in the fourth one the last hour of the half would still pass.
     """
     path, files = scratch(s), 2
     own = table(s, d, "events")
@@ -327,9 +328,9 @@ def arrivals(s, d, late: bool = False) -> tuple[str, int]:
     quarter = F.least(F.lit(3), F.floor(4 * F.expr("timestampdiff(SECOND, a, ts)") / F.greatest(F.lit(1), F.expr("timestampdiff(SECOND, a, b)"))))
     own = own.crossJoin(F.broadcast(ends)).withColumn("quarter", quarter).drop("a", "b")
     if late:
-        own = own.withColumn("quarter", F.when((F.col("event_id") % 50 == 0) & (F.col("quarter") < 2), 3).otherwise(F.col("quarter")))
+        own = own.withColumn("quarter", F.when((F.col("event_id") % 50 == 0) & (F.col("quarter") < 2), 4).otherwise(F.col("quarter")))
         own = own.withColumn("copy", F.explode(F.when(F.col("event_id") % 20 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("copy")
-    for i in range(4):
+    for i in range(5 if late else 4):
         own.where(F.col("quarter") == i).drop("quarter").repartition(files).write.mode("append").parquet(path)
     return path, files
 
