@@ -72,3 +72,7 @@ def same_as_sql(spark, path, name):
 
 def test_rows_of_the_last_hour_of_the_half_are_late(spark, half):
     assert same_as_sql(spark, half, "stream_late_rows")
+
+
+def test_windows_leave_out_rows_of_the_last_hour_of_the_half(spark, half):
+    assert same_as_sql(spark, half, "stream_sliding_windows")
