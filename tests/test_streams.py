@@ -76,3 +76,12 @@ def test_rows_of_the_last_hour_of_the_half_are_late(spark, half):
 
 def test_windows_leave_out_rows_of_the_last_hour_of_the_half(spark, half):
     assert same_as_sql(spark, half, "stream_sliding_windows")
+
+
+def test_added_rows_are_written_by_tasks(spark, folder, tmp_path):
+    """In append mode the rows are read from files, also where there are none yet; no table of them is held on the driver."""
+    path, _ = folder
+    got = live.run_to_end(live.sessions(live.event_stream(spark, path)), spark, "s2", "append", str(tmp_path / "c"))
+    assert got.count() > 0 and got.inputFiles() and not spark.catalog.tableExists("s2")
+    none = live.run_to_end(live.sessions(live.event_stream(spark, path).where("user_id < 0")), spark, "s3", "append", str(tmp_path / "d"))
+    assert none.columns == got.columns and none.count() == 0

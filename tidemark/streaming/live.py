@@ -72,9 +72,16 @@ def start(df: DataFrame, name: str, mode: str, checkpoint: str):
 
 
 def run_to_end(df: DataFrame, spark: SparkSession, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is now, and give its table."""
-    start(df, name, mode, checkpoint)
-    return spark.table(name)
+    """Run a stream over what there is now, and give its table.
+
+    Rows that are only added (append mode) are written by tasks to files beside the checkpoint, and never stand on the driver.
+    """
+    if mode != "append":
+        start(df, name, mode, checkpoint)
+        return spark.table(name)
+    path = f"{checkpoint}-{name}"
+    df.writeStream.format("parquet").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def late_rows(query) -> int:
