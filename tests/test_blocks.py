@@ -91,3 +91,10 @@ def test_knn_table_asks_for_every_row(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     got = QUERIES["lsh10_knn_table"](spark, SF).groupBy("q").count().collect()
     assert len(got) == n and {r["count"] for r in got} == {10}
+
+
+@pytest.mark.parametrize("name", ["lsh8_sign_neighbours"])
+def test_neighbour_queries_pair_no_rows(spark, name):
+    """Sets of few different members are compared within tasks: the rows of an index aren't joined."""
+    got = plan(QUERIES[name](spark, SF))
+    assert "FlatMapGroupsInArrow" in got and "array_intersect" not in got
