@@ -93,7 +93,7 @@ def test_knn_table_asks_for_every_row(spark):
     assert len(got) == n and {r["count"] for r in got} == {10}
 
 
-@pytest.mark.parametrize("name", ["lsh8_sign_neighbours", "lsh8_neighbour_table"])
+@pytest.mark.parametrize("name", ["lsh8_sign_neighbours", "lsh8_neighbour_table", "top9_neighbour_table"])
 def test_neighbour_queries_pair_no_rows(spark, name):
     """Sets of few different members are compared within tasks: the rows of an index aren't joined."""
     got = plan(QUERIES[name](spark, SF))
